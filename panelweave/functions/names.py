@@ -23,11 +23,11 @@ APOSTROPHES = "'’`"
 
 def squish(text: Column) -> Column:
     """Collapse runs of white space and trim both ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
 def _whole_word(words: tuple[str, ...]) -> str:
-    return r"\b(" + "|".join(words) + r")\b"
+    return r"(?U)\b(" + "|".join(words) + r")\b"
 
 
 def company_key(name: Column) -> Column:
