@@ -87,29 +87,24 @@ def _field_count(record: Column) -> Column:
     return F.size(F.split(bare, ","))
 
 
-def read_dirty_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], *, encoding: str = "UTF-8",
-                   header: bool = True) -> DataFrame:
-    """All-text rows of dirty CSV files, with ``row_state``: ``ok``, ``short`` or ``long``.
+def csv_options(header: bool = True, encoding: str = "UTF-8") -> dict[str, object]:
+    """Reader options for dirty files, batch or stream.
 
-    Quoted fields may span lines and double their quotes; backslash escapes nothing. The token
-    ``\\N`` is NULL while an empty field stays an empty string. Short rows are padded with NULL; rows
-    with too many fields are marked ``long`` for the caller to count and drop. A file is read by one
-    task, because records span lines; parallelism comes from the number of files.
+    Quoted fields may span lines and double their quotes; backslash escapes nothing. The NULL option
+    is set to a mark that never occurs, which keeps the NULL token apart from an empty field.
+    """
+    return {
+        "header": header, "multiLine": True, "quote": '"', "escape": '"', "nullValue": _UNSET, "emptyValue": "",
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "encoding": encoding, "enforceSchema": True,
+    }
+
+
+def csv_fields(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Repaired text fields with ``row_state`` (``ok``, ``short``, ``long``) and ``source_file``.
+
+    The token ``\\N`` is NULL while an empty field stays an empty string. Short rows are padded with
+    NULL; rows with too many fields are marked ``long`` for the caller to count and drop.
     """
-    raw = (
-        spark.read.schema(text_schema(columns, corrupt=True))
-        .option("header", header)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("nullValue", _UNSET)  # never occurs: keeps \\N apart from an empty field
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("encoding", encoding)
-        .option("enforceSchema", True)
-        .csv(path)
-    )
     bad = F.col(f"`{CORRUPT}`")
     many = _field_count(bad) > len(columns)
     state = F.when(bad.isNull(), "ok").when(many, "long").otherwise("short")
@@ -121,6 +116,16 @@ def read_dirty_csv(spark: SparkSession, path: str | list[str], columns: Sequence
     return raw.select(*fields, state.alias("row_state"), F.col("_metadata.file_path").alias("source_file"))
 
 
+def read_dirty_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], *, encoding: str = "UTF-8",
+                   header: bool = True) -> DataFrame:
+    """All-text rows of dirty CSV files; see :func:`csv_options` and :func:`csv_fields`.
+
+    A file is read by one task, because records span lines; parallelism comes from the number of files.
+    """
+    schema = text_schema(columns, corrupt=True)
+    return csv_fields(spark.read.schema(schema).options(**csv_options(header, encoding)).csv(path), columns)
+
+
 def probe_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Per file: physical lines and whether all of them are valid UTF-8, in one streaming pass."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
@@ -164,7 +169,7 @@ def renamed(raw: DataFrame, names: Mapping[str, str] = SOURCE_NAMES) -> DataFram
     return raw.withColumnsRenamed({k: v for k, v in names.items() if k in raw.columns})
 
 
-def key_from_path(path: Column, pattern: str = r"contribDB_(\d{4})", low: int = 1979, high: int = 2024) -> Column:
+def key_from_path(path: Column, pattern: str = r"_(\d{4})\.csv", low: int = 1979, high: int = 2024) -> Column:
     """Partition key from the file name; a missing or out-of-range key is an error."""
     key = F.regexp_extract(path, pattern, 1).try_cast("bigint")
     message = F.concat(F.lit("no key in range in file name "), path)

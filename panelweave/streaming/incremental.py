@@ -2,54 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.sources.transactions import CORRUPT, NULL_TOKEN, repaired, text_schema, typed
+from panelweave.sources.transactions import (
+    TYPED, csv_fields, csv_options, key_from_path, text_schema, typed,
+)
 
 
 def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str,
-                      columns: Sequence[str], *, pattern: str = r"contribDB_(\d{4})",
-                      types: dict[str, str] | None = None, files_per_batch: int = 64) -> None:
+                      columns: Sequence[str], *, key: str = "cycle", types: Mapping[str, str] = TYPED,
+                      pattern: str = r"_(\d{4})\.csv", files_per_batch: int = 64) -> None:
     """Convert the files in ``source`` that no earlier call has finished, then stop.
 
     The stream's checkpoint knows the finished files, so a repeated or restarted call does only
     what is left. A batch writes under its own number: a batch replayed after a crash overwrites its
-    own output in data and ledger and adds nothing twice. Rows whose key is not the one in their
-    file name are counted in the ledger.
+    own output in data and ledger and adds nothing twice. The partition key comes from the file
+    name; rows that state another key are kept as ``row_<key>`` and counted in the ledger.
     """
-    raw = (
+    stream = (
         spark.readStream.schema(text_schema(columns, corrupt=True))
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("nullValue", NULL_TOKEN)
-        .option("columnNameOfCorruptRecord", CORRUPT)
+        .options(**csv_options())
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(source)
     )
-    fields = [repaired(F.col(f"`{c}`")).alias(c) for c in columns]
-    lines = raw.select(*fields, F.col("_metadata.file_path").alias("source_file"))
 
     def convert(batch: DataFrame, number: int) -> None:
-        rows = typed(batch, types or {})
-        rows = rows.withColumn("file_cycle", F.regexp_extract("source_file", pattern, 1).try_cast("bigint"))
+        rows = typed(batch, types, key).withColumnRenamed(key, f"row_{key}")
+        rows = rows.withColumn(key, key_from_path(F.col("source_file"), pattern))
         out = f"{target}/batch={number}"
-        rows.write.mode("overwrite").partitionBy("cycle").option("compression", "zstd").parquet(out)
+        rows.write.mode("overwrite").partitionBy(key).option("compression", "zstd").parquet(out)
         done = batch.sparkSession.read.schema(rows.schema).parquet(out)
-        differs = ~F.col("cycle").eqNullSafe(F.col("file_cycle"))
         entry = done.groupBy("source_file").agg(
-            F.max("file_cycle").alias("cycle"), F.count("*").alias("n_written"), F.count_if(differs).alias("n_wrong")
+            F.max(key).alias(key),
+            F.count("*").alias("n_written"),
+            F.count_if(~F.col(key).eqNullSafe(F.col(f"row_{key}"))).alias("n_wrong"),
         )
         status = F.when(F.col("n_wrong") > 0, "wrong_key").otherwise("converted")
         entry.withColumn("status", status).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     query = (
-        lines.writeStream.foreachBatch(convert)
+        csv_fields(stream, columns)
+        .writeStream.foreachBatch(convert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+
+
+def read_converted(spark: SparkSession, target: str) -> DataFrame:
+    """All converted rows, over all batches."""
+    return spark.read.parquet(target).drop("batch")
