@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations, product
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Factor:
@@ -51,7 +54,7 @@ class Column:
 
 
 def _label_value(value) -> str:
-    return {True: "TRUE", False: "FALSE"}.get(value, str(value)) if isinstance(value, bool) else str(value)
+    return str(value).upper() if isinstance(value, bool) else str(value)
 
 
 def _expand(term: Term) -> list[Column]:
@@ -99,3 +102,14 @@ class Design:
         """Column positions of the given labels."""
         names = [c.label for c in self.columns]
         return [names.index(label) for label in labels]
+
+
+def coded(df: DataFrame, design: Design) -> DataFrame:
+    """Append the design columns (treatment coding) to the rows, named by their labels."""
+    out = {}
+    for c in design.columns:
+        value = F.lit(1.0)
+        for name, level in c.levels:
+            value = value * F.when(F.col(name) == F.lit(level), 1.0).when(F.col(name).isNotNull(), 0.0)
+        out[c.label] = value * F.col(c.numeric).cast("double") if c.numeric else value
+    return df.withColumns(out)

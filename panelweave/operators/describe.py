@@ -105,10 +105,15 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     margin = 4.0 / accuracy
     low, high = [max(p - margin, 0.0) for p in probs], [min(p + margin, 1.0) for p in probs]
+    sketch = lambda ps: F.percentile_approx("_x", F.array(*[F.lit(p) for p in ps]), F.lit(accuracy))
+    whole = F.col("_n") * margin < 4  # a small group is its own bracket
     brackets = known.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(p) for p in low]), F.lit(accuracy)).alias("_lo"),
-        F.percentile_approx("_x", F.array(*[F.lit(p) for p in high]), F.lit(accuracy)).alias("_hi"),
+        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
+        sketch(low).alias("_lo"), sketch(high).alias("_hi"),
+    ).select(
+        *by, "_n",
+        F.when(whole, F.array_repeat("_min", k)).otherwise(F.col("_lo")).alias("_lo"),
+        F.when(whole, F.array_repeat("_max", k)).otherwise(F.col("_hi")).alias("_hi"),
     )
     # distinct values first: repeated scores, however frequent, cost one row per task
     values = known.groupBy(*by, "_x").agg(F.count("*").alias("_c"))
@@ -124,22 +129,28 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     inside = placed.where(F.size(hits) > 0).select(*by, "_x", "_c", F.explode(hits).alias("_q"))
     running = Window.partitionBy(*by, "_q").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = inside.withColumn("_cum", F.sum("_c").over(running))
-    lists = ranked.groupBy(*by).agg(F.collect_list(F.struct("_q", "_x", "_cum")).alias("_in"))
-    out = below.join(lists.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_in"),
-                     _all([below[c].eqNullSafe(F.col(f"_k_{c}")) for c in by]))
-
-    def at_rank(i: int, rank: Column) -> Column:
-        fits = F.filter("_in", lambda s: (s["_q"] == i) & (F.col("_below")[i] + s["_cum"] >= rank))
-        found = F.array_min(F.transform(fits, lambda s: s["_x"]))
-        sound = (F.col("_below")[i] < rank) & found.isNotNull()
-        return F.when(sound, found).otherwise(F.raise_error(F.lit("quantile bracket missed")).cast("double"))
-
-    cols = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        v0, v1 = at_rank(i, F.floor(h) + 1), at_rank(i, F.ceil(h) + 1)
-        cols.append((v0 + (v1 - v0) * (h - F.floor(h))).alias(f"q{i}"))
-    return out.select(*by, F.col("_n").alias("n"), *cols)
+    ranked = ranked.join(
+        below.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n", "_below"),
+        _all([ranked[c].eqNullSafe(F.col(f"_k_{c}")) for c in by]),
+    )
+    # position of the quantile among the sorted values, counted from zero
+    place = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_q") + 1)
+    under = F.element_at("_below", F.col("_q") + 1)
+    upto = under + F.col("_cum")
+    low_rank, high_rank = F.floor(place) + 1, F.ceil(place) + 1
+    found = ranked.groupBy(*by, "_q").agg(
+        F.max("_n").alias("_n"),
+        F.min(F.when(upto >= low_rank, F.col("_x"))).alias("_v0"),
+        F.min(F.when(upto >= high_rank, F.col("_x"))).alias("_v1"),
+        F.bool_and(under < low_rank).alias("_sound"),
+        F.max(place - F.floor(place)).alias("_part"),
+    )
+    sound = F.col("_sound") & F.col("_v1").isNotNull()
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_part")
+    missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
+    exact = found.withColumn("_v", F.when(sound, between).otherwise(missed))
+    picks = [F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(f"q{i}") for i in range(k)]
+    return exact.groupBy(*by).agg(F.max("_n").alias("n"), *picks)
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

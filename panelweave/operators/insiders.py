@@ -131,8 +131,9 @@ def role_name(officer: Column, director: Column) -> Column:
 def _owner_buckets(reference: DataFrame) -> DataFrame:
     """Per (firm, surname, first name) the insiders by middle initial.
 
-    Each initial keeps its smallest owner with attributes and its largest owner id: enough to tell
-    whether exactly one owner fits. A key has at most one bucket per letter, so the array is short.
+    Each initial keeps its smallest owner with attributes, its largest owner id and its counts: enough
+    to tell whether exactly one owner fits. A key has at most one bucket per letter, so the array is
+    short. The reference has one row per owner and firm.
     """
     parts = person_parts(F.col("owner_name_raw"), surname_first=True)
     named = reference.select(
@@ -146,20 +147,19 @@ def _owner_buckets(reference: DataFrame) -> DataFrame:
         ).alias("owner"),
     ).where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
     by_initial = named.groupBy("cik_j", "c_last", "c_first", "i_mi").agg(
-        F.min("owner").alias("lo"), F.max("owner.owner_cik").alias("hi")
+        F.min("owner").alias("lo"), F.max("owner.owner_cik").alias("hi"), F.count("*").alias("n")
     )
     return by_initial.groupBy("cik_j", "c_last", "c_first").agg(
-        F.collect_list(F.struct("i_mi", "lo", "hi")).alias("buckets")
+        F.collect_list(F.struct("i_mi", "lo", "hi", "n")).alias("buckets")
     )
 
 
-def link_insiders(people: DataFrame, reference: DataFrame) -> DataFrame:
-    """Panel people who are exactly one insider of their firm.
+def fitting_owners(people: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per (cid, cycle, firm) with a fitting insider: smallest (``lo``) and largest owner, and counts.
 
-    A match needs the same firm, surname and first name, and initials that do not contradict; a
-    missing initial fits any. A person with two different fitting insiders is dropped. ``people``
-    needs cid, cycle, cik and name. Distinct names per firm are resolved first, then joined back,
-    so neither a common name nor a big firm multiplies rows.
+    An owner fits with the same firm, surname and first name, and initials that do not contradict; a
+    missing initial fits any. ``people`` needs cid, cycle, cik and name. Distinct names per firm are
+    resolved first, then joined back, so neither a common name nor a big firm multiplies rows.
     """
     parts = person_parts(F.col("name"))
     left = people.select(
@@ -177,14 +177,22 @@ def link_insiders(people: DataFrame, reference: DataFrame) -> DataFrame:
             *keys, "n_rows",
             F.array_min(F.transform("fits", lambda b: b["lo"])).alias("lo"),
             F.array_max(F.transform("fits", lambda b: b["hi"])).alias("hi"),
+            F.aggregate("fits", F.lit(0).cast("long"), lambda total, b: total + b["n"]).alias("n_fit"),
         )
     )
     found = hot_split_join(left, resolved, keys, count="n_rows", null_safe=True).where(F.col("lo").isNotNull())
-    unique = (
-        found.groupBy("cid", "cycle", "cik_j")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("name").alias("name"))
-        .where(F.col("lo.owner_cik") == F.col("hi"))
+    return found.groupBy("cid", "cycle", "cik_j").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("name").alias("name"), F.sum("n_fit").alias("n_fitting"),
+        F.max("n_fit").alias("n_owners"),
     )
+
+
+def link_insiders(people: DataFrame, reference: DataFrame) -> DataFrame:
+    """Panel people who are exactly one insider of their firm; see :func:`fitting_owners`.
+
+    A person with two different fitting insiders is dropped altogether.
+    """
+    unique = fitting_owners(people, reference).where(F.col("lo.owner_cik") == F.col("hi"))
     return unique.select(
         "cid", "cycle", "cik_j", "name", "lo.*",
         F.lit(True).alias("is_sec_insider"),

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 PROFILE_SCHEMA = "cik string, name string, sic string, sicDescription string"
 
 
-def read_profiles(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Company profiles, one JSON document per file; documents that do not parse are skipped.
+def read_profiles(spark: SparkSession, path: str | list[str], one_per_file: bool = True) -> DataFrame:
+    """Company profiles as JSON, one document per file or per line; broken documents are skipped.
 
     Only the four named fields are parsed. Blank codes become NULL; a profile needs a name.
     """
-    docs = spark.read.schema(PROFILE_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    reader = spark.read.schema(PROFILE_SCHEMA).option("multiLine", one_per_file).option("mode", "PERMISSIVE")
+    docs = reader.json(path)
     return docs.where(F.col("name").isNotNull()).select(
         F.col("cik").try_cast("int").alias("cik"),
         F.col("name").alias("real_name"),

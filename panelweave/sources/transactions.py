@@ -106,13 +106,13 @@ def csv_fields(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     NULL; rows with too many fields are marked ``long`` for the caller to count and drop.
     """
     bad = F.col(f"`{CORRUPT}`")
-    many = _field_count(bad) > len(columns)
-    state = F.when(bad.isNull(), "ok").when(many, "long").otherwise("short")
+    count = _field_count(bad)
+    state = F.when(bad.isNull(), "ok").when(count > len(columns), "long").otherwise("short")
     fields = []
-    for c in columns:
+    for i, c in enumerate(columns):
         text = F.col(f"`{c}`")
-        known = F.when(bad.isNull(), F.coalesce(text, F.lit(""))).otherwise(text)
-        fields.append(F.nullif(repaired(known), F.lit(NULL_TOKEN)).alias(c))
+        present = F.when(bad.isNull() | (count > i), F.coalesce(text, F.lit("")))
+        fields.append(F.nullif(repaired(present), F.lit(NULL_TOKEN)).alias(c))
     return raw.select(*fields, state.alias("row_state"), F.col("_metadata.file_path").alias("source_file"))
 
 
@@ -197,7 +197,7 @@ def write_partitioned(df: DataFrame, path: str, by: str, *, mode: str = "overwri
 def read_partitioned(spark: SparkSession, path: str, schema: StructType, key: str = "cycle", key_type: str = "bigint") -> DataFrame:
     """Partition tree with a pinned key type; no file is opened to infer a schema."""
     fields = [f for f in schema.fields if f.name != key]
-    pinned = StructType(fields).add(key, key_type)
+    pinned = StructType([*fields, *StructType.fromDDL(f"`{key}` {key_type}").fields])
     df = spark.read.schema(pinned).parquet(path)
     if df.schema[key].dataType.simpleString() != key_type:
         raise TypeError(f"{key} is {df.schema[key].dataType.simpleString()}, not {key_type}")

@@ -14,7 +14,7 @@ from panelweave.sources.transactions import (
 
 def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str,
                       columns: Sequence[str], *, key: str = "cycle", types: Mapping[str, str] = TYPED,
-                      pattern: str = r"_(\d{4})\.csv", files_per_batch: int = 64) -> None:
+                      pattern: str = r"_(\d{4})\.csv", header: bool = True, files_per_batch: int = 64) -> None:
     """Convert the files in ``source`` that no earlier call has finished, then stop.
 
     The stream's checkpoint knows the finished files, so a repeated or restarted call does only
@@ -24,7 +24,7 @@ def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str
     """
     stream = (
         spark.readStream.schema(text_schema(columns, corrupt=True))
-        .options(**csv_options())
+        .options(**csv_options(header))
         .option("maxFilesPerTrigger", files_per_batch)
         .csv(source)
     )
