@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from panelweave.functions.jaro import jaro_distance
 from panelweave.functions.names import company_key
 from panelweave.functions.signatures import with_signatures
 from panelweave.operators.skew import hot_split_join
+from panelweave.session import written
 
 STRICT, LOOSE = 0.03, 0.06
 
@@ -32,15 +34,37 @@ def company_reference(register: DataFrame, name: str = "real_name", code: str =
     return first.select("ref_norm", *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def candidate_pairs(queries: DataFrame, reference: DataFrame, max_distance: float, *,
+@dataclass(frozen=True)
+class Matcher:
+    """A register made ready once and reused by every batch of strings: reference rows and blocking keys."""
+
+    reference: DataFrame
+    index: DataFrame
+    loose: float
+
+
+def build_matcher(register: DataFrame, loose: float = LOOSE, *, name: str = "real_name", code: str = "sic",
+                  order: str = "cik") -> Matcher:
+    """Deduplicate a register and write it and its blocking keys for ``loose`` to the shared folder."""
+    reference = written(company_reference(register, name, code, order), "reference")
+    index = written(with_signatures(reference.select("ref_norm"), "ref_norm", loose, "reference"), "reference-index")
+    return Matcher(reference, index, loose)
+
+
+def candidate_pairs(queries: DataFrame, reference: DataFrame | Matcher, max_distance: float, *,
                     query_key: str = "query_norm", ref_key: str = "ref_norm") -> DataFrame:
     """All (query, reference) key pairs within ``max_distance``, with ``distance``.
 
     A pair appears once per shared blocking key; group or deduplicate downstream. Each key value
-    must occur once per side.
+    must occur once per side. A matcher's index must have been built for the same distance.
     """
     left = with_signatures(queries.select(query_key), query_key, max_distance, "query")
-    right = with_signatures(reference.select(ref_key), ref_key, max_distance, "reference")
+    if isinstance(reference, Matcher):
+        if reference.loose != max_distance:
+            raise ValueError(f"the matcher was built for distance {reference.loose}, not {max_distance}")
+        right = reference.index
+    else:
+        right = with_signatures(reference.select(ref_key), ref_key, max_distance, "reference")
     return (
         left.join(right, "sig")
         .select(query_key, ref_key)
@@ -70,13 +94,17 @@ def match_status(match_type: Column, distance: Column, strict: float = STRICT, l
     )
 
 
-def link_keys(keys: DataFrame, reference: DataFrame, loose: float = LOOSE, order: str = "cik") -> DataFrame:
+def _rows_of(reference: DataFrame | Matcher) -> DataFrame:
+    return reference.reference if isinstance(reference, Matcher) else reference
+
+
+def link_keys(keys: DataFrame, reference: DataFrame | Matcher, loose: float = LOOSE, order: str = "cik") -> DataFrame:
     """Per distinct non-empty key: ``ref_norm``, ``distance`` and ``match_type`` (exact, fuzzy or none)."""
-    known = reference.select("ref_norm").withColumn("_hit", F.lit(True))
+    known = _rows_of(reference).select("ref_norm").withColumn("_hit", F.lit(True))
     tiered = keys.join(known, keys.query_norm == known.ref_norm, "left").select("query_norm", "_hit")
     # the costly tier sees only what the cheap tier left over
     rest = tiered.where(F.col("_hit").isNull())
-    close = nearest(candidate_pairs(rest, reference, loose), reference, order=order)
+    close = nearest(candidate_pairs(rest, reference, loose), _rows_of(reference), order=order)
     return tiered.join(close, "query_norm", "left").select(
         "query_norm",
         F.when(F.col("_hit"), F.col("query_norm")).otherwise(F.col("ref_norm")).alias("ref_norm"),
@@ -85,12 +113,13 @@ def link_keys(keys: DataFrame, reference: DataFrame, loose: float = LOOSE, order
     )
 
 
-def link_companies(rows: DataFrame, reference: DataFrame, column: str = "employer", *, strict: float = STRICT,
+def link_companies(rows: DataFrame, reference: DataFrame | Matcher, column: str = "employer", *, strict: float = STRICT,
                    loose: float = LOOSE, name: str = "real_name", order: str = "cik") -> DataFrame:
     """One row per distinct raw string with its match, and ``n_rows``, how often it occurs.
 
     Raw strings are grouped (not collected) first, their keys grouped again, and only distinct keys
-    are linked. Reference columns come along; ``name`` is renamed ``matched_name``.
+    are linked. Reference columns come along; ``name`` is renamed ``matched_name``. With a
+    :class:`Matcher`, ``loose`` must be the distance it was built for.
     """
     if loose < strict:
         raise ValueError("loose must not be smaller than strict")
@@ -102,7 +131,7 @@ def link_companies(rows: DataFrame, reference: DataFrame, column: str = "employe
     )
     keys = raw.where(F.col("query_norm") != "").select("query_norm").distinct()
     linked = link_keys(keys, reference, loose, order)
-    attributes = reference.withColumnRenamed(name, "matched_name")
+    attributes = _rows_of(reference).withColumnRenamed(name, "matched_name")
     matched = linked.join(attributes, "ref_norm", "left")
     match_type = F.coalesce("match_type", F.lit("none"))
     return (

@@ -30,18 +30,16 @@ def leave_one_out(total: Column, n: Column, x: Column) -> Column:
 
 
 def attach_group_stats(df: DataFrame, keys: Sequence[str], value: str, *, mean: str | None = None,
-                       loo: str | None = None, size: str | None = None, denominator: str = "rows",
-                       base: DataFrame | None = None) -> DataFrame:
+                       loo: str | None = None, size: str | None = None, denominator: str = "rows") -> DataFrame:
     """Attach the group mean, leave-one-out mean and group size to every row.
 
     The group is aggregated first and joined back; a window over the group would collect it in one
     task. A NULL key is a group of its own. ``denominator="rows"`` counts all rows of the group,
-    also those without a value; ``"non_null"`` counts values only. ``base`` names the frame to take
-    the statistics from when ``df`` already carries joins, so that the plan does not repeat them.
+    also those without a value; ``"non_null"`` counts values only.
     """
     if denominator not in ("rows", "non_null"):
         raise ValueError("denominator must be 'rows' or 'non_null'")
-    stats = group_stats(df if base is None else base, keys, value, "_g_")
+    stats = group_stats(df, keys, value, "_g_")
     joined = hot_split_join(df, stats, keys, count="_g_n", null_safe=True)
     n = F.col("_g_n") if denominator == "rows" else F.col("_g_n_x")
     out = list(df.columns)
@@ -54,22 +52,54 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], value: str, *, mean:
     return joined.select(*out)
 
 
+_STATIC, _DYNAMIC = "contributor_score", "score_dyn"
+
+
+def _place_stats(panel: DataFrame, place: str) -> DataFrame:
+    """One row per place: totals of the static score, and dynamic sums by state and cycle.
+
+    A place spans a handful of states and cycles, so its parts fit in a short array, and one join on
+    the place serves the means over every finer key.
+    """
+    fine = panel.groupBy(place, "state", "cycle").agg(
+        F.count("*").alias("n"),
+        F.sum(_STATIC).alias("static"), F.count(_STATIC).alias("n_static"),
+        F.sum(_DYNAMIC).alias("dyn"), F.count(_DYNAMIC).alias("n_dyn"),
+    )
+    return fine.groupBy(place).agg(
+        F.sum("n").alias("_n"), F.sum("static").alias("_static"), F.sum("n_static").alias("_n_static"),
+        F.collect_list(F.struct("state", "cycle", "n", "dyn", "n_dyn")).alias("_parts"),
+    )
+
+
+def _total(parts: Column, field: str) -> Column:
+    return F.aggregate(parts, F.lit(0.0), lambda total, p: total + F.coalesce(p[field], F.lit(0)).cast("double"))
+
+
 def attach_local_means(panel: DataFrame) -> DataFrame:
     """All local means of the panel: by city and zip (static), and by place and cycle (dynamic).
 
-    The key lists follow the published tables: the zip-by-cycle mean includes the state while its
-    leave-one-out twin does not, and the static city mean has no state. ``panel`` is read once per
-    key list: hand in a written table (see ``session.written``) when it is costly to compute.
+    The keys follow the published tables: the zip-by-cycle mean includes the state while its
+    leave-one-out twin does not, and the static city mean has no state. Eight means over five key
+    lists need two joins, one by city and one by zip. ``panel`` is read three times: hand in a
+    written table (see ``session.written``) when it is costly to compute.
     """
-    static, dynamic = "contributor_score", "score_dyn"
-    steps = (
-        (("city",), static, "mean_score_city", "mean_score_city_wo_i", None),
-        (("zipcode",), static, "mean_score_zipcode", "mean_score_zipcode_wo_i", "n_per_zip"),
-        (("city", "state", "cycle"), dynamic, "mean_dyn_score_city_cycle", "mean_dyn_score_city_cycle_wo_i", None),
-        (("zipcode", "state", "cycle"), dynamic, "mean_dyn_score_zipcode_cycle", None, None),
-        (("zipcode", "cycle"), dynamic, None, "mean_dyn_score_zipcode_cycle_wo_i", None),
-    )
     out = panel
-    for keys, value, mean, loo, size in steps:
-        out = attach_group_stats(out, keys, value, mean=mean, loo=loo, size=size, base=panel)
+    same_cycle = lambda p: p["cycle"].eqNullSafe(F.col("cycle"))
+    same_state = lambda p: same_cycle(p) & p["state"].eqNullSafe(F.col("state"))
+    static, dynamic = F.col(_STATIC), F.col(_DYNAMIC)
+    for place, name in (("city", "city"), ("zipcode", "zipcode")):
+        joined = hot_split_join(out, _place_stats(panel, place), [place], count="_n", null_safe=True)
+        here = F.filter("_parts", same_state)
+        # the leave-one-out mean by zip and cycle runs over all states of the zip
+        others = here if place == "city" else F.filter("_parts", same_cycle)
+        added = [
+            (F.col("_static") / F.col("_n_static")).alias(f"mean_score_{name}"),
+            leave_one_out(F.col("_static"), F.col("_n"), static).alias(f"mean_score_{name}_wo_i"),
+            F.when(_total(here, "n_dyn") > 0, _total(here, "dyn") / _total(here, "n_dyn")).alias(f"mean_dyn_score_{name}_cycle"),
+            leave_one_out(_total(others, "dyn"), _total(others, "n"), dynamic).alias(f"mean_dyn_score_{name}_cycle_wo_i"),
+        ]
+        if place == "zipcode":
+            added.append(F.col("_n").alias("n_per_zip"))
+        out = joined.select(*out.columns, *added)
     return out

@@ -34,7 +34,10 @@ def running_count(df: DataFrame, by: Sequence[str], bucket: Column, order: Seque
 
 
 def row_numbers(df: DataFrame, bucket: Column, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Consecutive row numbers over the whole frame in ``order``, bucket by bucket."""
+    """Consecutive row numbers over the whole frame in ``order``, bucket by bucket.
+
+    One task adds up the bucket totals, so choose a bucket that gives at most some million of them.
+    """
     whole = df.withColumn("_all", F.lit(1))
     return running_count(whole, ["_all"], bucket, order, F.lit(True), name).drop("_all")
 

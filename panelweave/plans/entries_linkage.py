@@ -12,6 +12,7 @@ from panelweave.functions.scores import clean_ticker, filing_date
 from panelweave.operators import insiders, linkage, panel, validate
 from panelweave.plans import bind, study
 from panelweave.plans.bind import TARGETS, company_key_sql, person_sql, role_sql, table
+from panelweave.plans.entries_tables import _LOCAL, _scheme_sql
 from panelweave.plans.registry import query, r6, rounded
 from panelweave.session import written
 
@@ -33,7 +34,7 @@ def _keys(spark: SparkSession, d: str) -> DataFrame:
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     rows = written(_panel(spark, d), "panel")
-    return linkage.link_companies(rows, written(_reference(spark, d), "reference"))
+    return linkage.link_companies(rows, linkage.build_matcher(bind.register(spark, d)))
 
 
 _KEYS_SQL = "keys AS (SELECT DISTINCT query_norm FROM strings WHERE query_norm <> '')"
@@ -278,22 +279,25 @@ def _(spark, d):
 def _people(spark, d) -> DataFrame:
     """Panel people with the firm number of their city."""
     rows = _panel(spark, d).where("cid IS NOT NULL").withColumns(occupation_flags(F.col("occupation")))
-    return written(rows.withColumn("cik", (F.split_part("city", F.lit(" "), F.lit(2)).cast("bigint") + 100)), "people")
+    return written(rows.withColumn("cik", (F.split_part("city", F.lit(" "), F.lit(2)).cast("bigint") + 1000)), "people")
 
 
-_INSIDER_SQL = f"""people AS (SELECT *, CAST(split_part(city, ' ', 2) AS BIGINT) + 100 AS cik,
-      CASE WHEN occupation IS NULL THEN NULL WHEN regexp_matches(occupation, '{'|'.join(MANAGER_WORDS)}') THEN 'manager'
-      WHEN regexp_matches(occupation, '{'|'.join(ENGINEER_WORDS)}') THEN 'engineer' ELSE 'other' END AS occupation_std FROM panel WHERE cid IS NOT NULL),
-    lhs AS (SELECT cid, cycle, lpad(CAST(cik AS VARCHAR), 10, '0') AS cik_j, name, {person_sql('name', False, ('c_last', 'c_first', 'c_mi'))} FROM people),
+_OCCUPATION_SQL = f"""CASE WHEN occupation IS NULL THEN NULL WHEN regexp_matches(occupation, '{'|'.join(MANAGER_WORDS)}') THEN 'manager'
+      WHEN regexp_matches(occupation, '{'|'.join(ENGINEER_WORDS)}') THEN 'engineer' ELSE 'other' END AS occupation_std"""
+# from ``people`` (cid, cycle, cik, name) and spells to unambiguous matches
+_FOUND_SQL = f"""lhs AS (SELECT cid, cycle, lpad(CAST(cik AS VARCHAR), 10, '0') AS cik_j, name, {person_sql('name', False, ('c_last', 'c_first', 'c_mi'))} FROM people),
     rhs AS (SELECT owner_cik, cik AS cik_j, owner_name_raw, issuer_name, title_label, ever_officer, ever_director, CAST(cycle_from AS INTEGER) AS cycle_from,
       CAST(cycle_to AS INTEGER) AS cycle_to, {person_sql('owner_name_raw', True, ('c_last', 'c_first', 'i_mi'))} FROM spell),
     cand AS (SELECT * FROM lhs JOIN rhs USING (cik_j, c_last, c_first) WHERE c_mi IS NULL OR i_mi IS NULL OR c_mi = i_mi),
     keep AS (SELECT cid, cycle, cik_j FROM cand GROUP BY 1, 2, 3 HAVING count(DISTINCT owner_cik) = 1),
-    found AS (SELECT cand.* FROM cand SEMI JOIN keep USING (cid, cycle, cik_j))"""
+    found AS (SELECT cand.*, CASE WHEN ever_officer AND ever_director THEN 'officer_director' WHEN ever_officer THEN 'officer' WHEN ever_director THEN 'director' END AS insider_role
+      FROM cand SEMI JOIN keep USING (cid, cycle, cik_j))"""
+_INSIDER_SQL = f"""people AS (SELECT *, CAST(split_part(city, ' ', 2) AS BIGINT) + 1000 AS cik, {_OCCUPATION_SQL} FROM panel WHERE cid IS NOT NULL),
+    {_FOUND_SQL}"""
 
 
 @query("lnk_insiders", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, cik_j, name, owner_cik, owner_name_raw, issuer_name, title_label, ever_officer, ever_director,
-    cycle_from, cycle_to, TRUE AS is_sec_insider, CASE WHEN ever_officer AND ever_director THEN 'officer_director' WHEN ever_officer THEN 'officer' WHEN ever_director THEN 'director' END AS insider_role FROM found""")
+    cycle_from, cycle_to, TRUE AS is_sec_insider, insider_role FROM found""")
 def _(spark, d):
     return insiders.link_insiders(_people(spark, d), _spells(spark, d))
 
@@ -327,11 +331,30 @@ def _(spark, d):
 # --- the whole job ---------------------------------------------------------------------------------
 
 
-@query("study_people", None)
+_ENGINEER, _MANAGER = (f"regexp_matches(occupation, '{'|'.join(w)}')" for w in (ENGINEER_WORDS, MANAGER_WORDS))
+_STUDY_SQL = _MATCH_SQL + f""",
+    people AS (SELECT p.*, m.matched_name AS employer_matched, m.cik, m.sic, CAST(m.sic AS INT) AS sic_int, {_OCCUPATION_SQL.replace('occupation IS', 'p.occupation IS')}
+      FROM panel p JOIN matches m ON p.employer = m.employer_raw WHERE m.status = 'auto_accept' AND length(m.employer_raw) > 0),
+    code AS (SELECT DISTINCT sic_int AS p_partkey, sic_int FROM people), {_scheme_sql(12)}, {_scheme_sql(49)}, {_FOUND_SQL},
+    study AS (SELECT * REPLACE (round(total_amount, 4) AS total_amount, round(score_dyn, 9) AS score_dyn), {', '.join(_LOCAL.values())}, count(*) OVER (PARTITION BY zipcode) AS n_per_zip FROM (
+      SELECT p.*, ff12_abbr, ff12_name, ff49_abbr, ff49_name, coalesce(ff49_abbr IN ('Softw', 'Hardw', 'Chips'), FALSE) AS ff49_is_tech, {_ENGINEER} AS engineer, {_MANAGER} AS manager,
+      NOT {_ENGINEER} AND NOT {_MANAGER} AS other, f.owner_cik IS NOT NULL AS is_sec_insider,
+      f.owner_cik IS NOT NULL AND p.cycle >= f.cycle_from AND p.cycle <= f.cycle_to + 2 AS sec_insider_now, f.insider_role
+      FROM people p JOIN s12 USING (sic_int) JOIN s49 USING (sic_int) LEFT JOIN found f ON p.cid = f.cid AND p.cycle = f.cycle AND lpad(CAST(p.cik AS VARCHAR), 10, '0') = f.cik_j))"""
+_STUDY = role_sql("strings", "reference", "range_def", "spell", extra=_STUDY_SQL)
+_ROUNDED = [c for c in study.PANEL_COLUMNS if c.startswith("mean_")]
+
+
+@query("study_panel", _STUDY + f" SELECT {', '.join(study.PANEL_COLUMNS)} FROM study")
 def _(spark, d):
-    return study.latest_people(study.enriched_panel(**study.inputs_from_tables(spark, d)))
+    out = study.enriched_panel(**study.inputs_from_tables(spark, d))
+    return rounded(rounded(out, "score_dyn", *_ROUNDED, digits=9), "total_amount", digits=4)
+
+
+_LATEST_SQL = ", ".join(f"arg_max({c}, {{'c': cycle, 'v': {c}}}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in study.PEOPLE_COLUMNS[1:])
 
 
-@query("study_panel", None)
+@query("study_people", _STUDY + f" SELECT cid, max(cycle) AS cycle, {_LATEST_SQL} FROM study GROUP BY cid")
 def _(spark, d):
-    return study.enriched_panel(**study.inputs_from_tables(spark, d))
+    out = study.latest_people(study.enriched_panel(**study.inputs_from_tables(spark, d)))
+    return rounded(out, *[c for c in _ROUNDED if c in out.columns], digits=9)

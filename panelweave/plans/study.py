@@ -41,12 +41,12 @@ def enriched_panel(transactions: DataFrame, register: DataFrame, definitions: Da
     """Panel with linked firm, industries, occupation, insider status and local means.
 
     Frames that feed several later steps are written once to the shared folder: the panel (linked,
-    then joined back), and the linked panel (read per key list of the local means). Everything else
-    stays one lazy plan.
+    then joined back), the matcher, and the linked panel (read by the local means). Everything else
+    stays lazy.
     """
     base = written(panel.person_cycle_panel(transactions, targets), "panel")
-    reference = written(linkage.company_reference(register), "reference")
-    matches = linkage.link_companies(base, reference, strict=strict, loose=loose)
+    matcher = linkage.build_matcher(register, loose)
+    matches = linkage.link_companies(base, matcher, strict=strict, loose=loose)
     firms = linkage.attach_matches(base, matches, how="inner", keep=["matched_name", "cik", "sic"])
     firms = firms.withColumnRenamed("matched_name", "employer_matched").where(F.col("cik").isNotNull())
     lookup = industry.crosswalk(definitions, sic_list)

@@ -46,9 +46,9 @@ def read_tsv_union(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def write_lookup(df: DataFrame, path: str) -> None:
-    """A small lookup as CSV and as parquet, one file each."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
-    df.coalesce(1).write.mode("overwrite").parquet(f"{path}/parquet")
+    """A small lookup as CSV and as parquet."""
+    df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    df.write.mode("overwrite").parquet(f"{path}/parquet")
 
 
 def read_lookup(spark: SparkSession, path: str, schema: str) -> DataFrame:
