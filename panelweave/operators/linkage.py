@@ -102,6 +102,7 @@ def link_keys(keys: DataFrame, reference: DataFrame | Matcher, loose: float = LO
     """Per distinct non-empty key: ``ref_norm``, ``distance`` and ``match_type`` (exact, fuzzy or none)."""
     known = _rows_of(reference).select("ref_norm").withColumn("_hit", F.lit(True))
     tiered = keys.join(known, keys.query_norm == known.ref_norm, "left").select("query_norm", "_hit")
+    tiered = written(tiered, "exact-tier")
     # the costly tier sees only what the cheap tier left over
     rest = tiered.where(F.col("_hit").isNull())
     close = nearest(candidate_pairs(rest, reference, loose), _rows_of(reference), order=order)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.session import written
+
 HOT_KEYS = 512  # length of the broadcast list; any key outside it owns less than 1/512 of the rows
 
 
@@ -20,12 +22,16 @@ def hot_split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, co
                    null_safe: bool = False) -> DataFrame:
     """Left join to a ``right`` with one row per key of ``left``; ``right[count]`` counts its rows.
 
+    ``right`` is written to the shared folder first: it is read twice below, and a stored table of
+    known size lets the planner broadcast it when small, which spares ``left`` the shuffle.
+
     The ``HOT_KEYS`` most frequent keys go into a broadcast list, whose length bounds it. Rows that
     meet it are done; in the shuffled join they carry a salt, which spreads them over the
     partitions, while all other rows join on salt 0. Rows with a NULL key are spread the same way.
     A key absent from ``right`` joins to nothing, but its rows stay together: hand in all keys and
     filter afterwards when an absent key may be frequent.
     """
+    right = written(right, "join-side")
     values = [c for c in right.columns if c not in keys]
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_v_{v}") for v in values])
     tie = [f"_k_{k}" for k in keys]
