@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Legal-form words, titles and suffixes that carry no identity, and the words that
@@ -51,20 +51,21 @@ def _person_text(name: Column, surname_first: bool) -> Column:
     return F.regexp_replace(text, r"^(\S+)\s+", "$1, ") if surname_first else text
 
 
-def person_parts(name: Column, surname_first: bool = False) -> dict[str, Column]:
-    """Surname, first name and middle initial of a person, each NULL when absent.
+def with_person_parts(df: DataFrame, name: str, surname_first: bool = False,
+                      into: tuple[str, str, str] = ("last", "first", "mi")) -> DataFrame:
+    """Append surname, first name and middle initial of a person, each NULL when absent.
 
     ``surname_first=False`` reads ``SMITH, JOHN A``; ``True`` reads the register form ``Smith John A``.
+    The shared text is a column of its own, so that its chain of patterns runs once per row. The parts
+    leave through a generator: a later test on them then stays above it, where a test moved down to
+    the scan would run the whole chain again.
     """
-    text = _person_text(name, surname_first)
-    given = F.trim(F.regexp_replace(text, r"^[^,]*,?", ""))
-    token = lambda i: F.split_part(given, F.lit(" "), F.lit(i))
-    empty = F.lit("")
-    return {
-        "last": F.nullif(F.trim(F.regexp_extract(text, r"^([^,]*)", 1)), empty),
-        "first": F.nullif(token(1), empty),
-        "mi": F.nullif(F.substring(token(2), 1, 1), empty),
-    }
+    staged = df.withColumn("_text", _person_text(F.col(name), surname_first))
+    staged = staged.withColumn("_given", F.trim(F.regexp_replace("_text", r"^[^,]*,?", "")))
+    token = lambda i: F.split_part("_given", F.lit(" "), F.lit(i))
+    raw = (F.trim(F.regexp_extract("_text", r"^([^,]*)", 1)), token(1), F.substring(token(2), 1, 1))
+    parts = staged.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in zip(into, raw, strict=True)]))))
+    return parts.withColumns({n: F.when(F.col(n) != "", F.col(n)) for n in into})
 
 
 def looks_like_entity(name: Column) -> Column:

@@ -105,15 +105,14 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[floa
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
     margin = 4.0 / accuracy
     low, high = [max(p - margin, 0.0) for p in probs], [min(p + margin, 1.0) for p in probs]
-    sketch = lambda ps: F.percentile_approx("_x", F.array(*[F.lit(p) for p in ps]), F.lit(accuracy))
+    sketch = F.percentile_approx("_x", F.array(*[F.lit(p) for p in (*low, *high)]), F.lit(accuracy))
     whole = F.col("_n") * margin < 4  # a small group is its own bracket
     brackets = known.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        sketch(low).alias("_lo"), sketch(high).alias("_hi"),
+        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), sketch.alias("_s"),
     ).select(
         *by, "_n",
-        F.when(whole, F.array_repeat("_min", k)).otherwise(F.col("_lo")).alias("_lo"),
-        F.when(whole, F.array_repeat("_max", k)).otherwise(F.col("_hi")).alias("_hi"),
+        F.when(whole, F.array_repeat("_min", k)).otherwise(F.slice("_s", 1, k)).alias("_lo"),
+        F.when(whole, F.array_repeat("_max", k)).otherwise(F.slice("_s", k + 1, k)).alias("_hi"),
     )
     # distinct values first: repeated scores, however frequent, cost one row per task
     values = known.groupBy(*by, "_x").agg(F.count("*").alias("_c"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.functions.names import looks_like_entity, person_parts
+from panelweave.functions.names import looks_like_entity, with_person_parts
 from panelweave.functions.picks import first_by, longest
 from panelweave.functions.scores import clean_ticker, even_cycle, filing_date, padded_id
 from panelweave.operators.skew import hot_split_join
@@ -90,10 +90,8 @@ def person_years(submissions: DataFrame, owners: DataFrame) -> DataFrame:
 
 def persons_only(years: DataFrame) -> DataFrame:
     """Drop entities and unparsable names; add the name parts."""
-    parts = person_parts(F.col("owner_name_raw"), surname_first=True)
-    named = years.where(~looks_like_entity(F.col("owner_name_raw"))).withColumns(
-        {"last": parts["last"], "first": parts["first"], "middle_init": parts["mi"]}
-    )
+    people = years.where(~looks_like_entity(F.col("owner_name_raw")))
+    named = with_person_parts(people, "owner_name_raw", surname_first=True, into=("last", "first", "middle_init"))
     return named.where(F.col("last").isNotNull() & F.col("first").isNotNull())
 
 
@@ -135,17 +133,16 @@ def _owner_buckets(reference: DataFrame) -> DataFrame:
     to tell whether exactly one owner fits. A key has at most one bucket per letter, so the array is
     short. The reference has one row per owner and firm.
     """
-    parts = person_parts(F.col("owner_name_raw"), surname_first=True)
-    named = reference.select(
+    rows = reference.select(
         padded_id(F.col("cik")).alias("cik_j"),
-        parts["last"].alias("c_last"),
-        parts["first"].alias("c_first"),
-        parts["mi"].alias("i_mi"),
+        "owner_name_raw",
         F.struct(
             "owner_cik", "owner_name_raw", "issuer_name", "title_label", "ever_officer", "ever_director",
             "cycle_from", "cycle_to",
         ).alias("owner"),
-    ).where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
+    )
+    named = with_person_parts(rows, "owner_name_raw", surname_first=True, into=("c_last", "c_first", "i_mi"))
+    named = named.where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
     by_initial = named.groupBy("cik_j", "c_last", "c_first", "i_mi").agg(
         F.min("owner").alias("lo"), F.max("owner.owner_cik").alias("hi"), F.count("*").alias("n")
     )
@@ -161,12 +158,9 @@ def fitting_owners(people: DataFrame, reference: DataFrame) -> DataFrame:
     missing initial fits any. ``people`` needs cid, cycle, cik and name. Distinct names per firm are
     resolved first, then joined back, so neither a common name nor a big firm multiplies rows.
     """
-    parts = person_parts(F.col("name"))
-    left = people.select(
-        "cid", "cycle", padded_id(F.col("cik")).alias("cik_j"),
-        parts["last"].alias("c_last"), parts["first"].alias("c_first"), parts["mi"].alias("c_mi"),
-        F.col("name"),
-    ).where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
+    rows = people.select("cid", "cycle", padded_id(F.col("cik")).alias("cik_j"), "name")
+    left = with_person_parts(rows, "name", into=("c_last", "c_first", "c_mi"))
+    left = left.where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
     keys = ["cik_j", "c_last", "c_first", "c_mi"]
     names = left.groupBy(*keys).agg(F.count("*").alias("n_rows"))
     fits = F.filter("buckets", lambda b: F.col("c_mi").isNull() | b["i_mi"].isNull() | (b["i_mi"] == F.col("c_mi")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.jaro import jaro_similarity
-from panelweave.functions.names import company_key, looks_like_entity, person_parts
+from panelweave.functions.names import company_key, looks_like_entity, with_person_parts
 from panelweave.functions.occupation import ENGINEER_WORDS, MANAGER_WORDS, occupation_flags
 from panelweave.functions.scores import clean_ticker, filing_date
 from panelweave.operators import insiders, linkage, panel, validate
@@ -60,8 +60,8 @@ def _(spark, d):
     UNION ALL SELECT 'register', CAST(ACCESSION_NUMBER AS BIGINT), {person_sql('RPTOWNERNAME', True, ('last', 'first', 'mi'))} FROM owner""")
 def _(spark, d):
     def side(df, label, key, name, surname_first):
-        parts = person_parts(F.col(name), surname_first)
-        return df.select(F.lit(label).alias("side"), F.col(key).cast("bigint").alias("txn_id"), *[c.alias(n) for n, c in parts.items()])
+        rows = df.select(F.lit(label).alias("side"), F.col(key).cast("bigint").alias("txn_id"), name)
+        return with_person_parts(rows, name, surname_first).drop(name)
 
     return side(bind.transactions(spark, d), "contributor", "txn_id", "name", False).unionByName(
         side(bind.owners(spark, d), "register", "ACCESSION_NUMBER", "RPTOWNERNAME", True)
@@ -72,7 +72,7 @@ def _(spark, d):
     SELECT unnest([RPTOWNERNAME, upper(RPTOWNERNAME)]) AS raw FROM owner)""")
 def _(spark, d):
     raw = bind.owners(spark, d).select(F.explode(F.array("RPTOWNERNAME", F.upper("RPTOWNERNAME"))).alias("raw"))
-    return raw.select("raw", *[c.alias(n) for n, c in person_parts(F.col("raw"), True).items()])
+    return with_person_parts(raw, "raw", True)
 
 
 @query("lnk_reference", role_sql("reference") + " SELECT ref_norm, cik, real_name, sic, sic_description FROM reference")

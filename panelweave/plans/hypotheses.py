@@ -15,12 +15,12 @@ from panelweave.operators import describe
 
 # Levels with the reference first.
 OCCUPATION = Factor("occupation_std", ("manager", "engineer", "other"))
-GENDER = Factor("gender", ("M", "", "F", "U"))
 INSIDER = Factor("is_sec_insider", (False, True))
 TECH = Factor("ff49_is_tech", (False, True))
 ZIP_STATIC = Numeric("mean_score_zipcode_wo_i")
 ZIP_DYNAMIC = Numeric("mean_dyn_score_zipcode_cycle_wo_i")
 STATIC, DYNAMIC = "contributor_score", "score_dyn"
+_MAX_LEVELS = 1000
 INDUSTRY, FIRM = "ff49_abbr", "employer_matched"
 
 PEOPLE_CASES = (STATIC, "occupation_std", ZIP_STATIC.name, INDUSTRY, "gender", "is_sec_insider")
@@ -35,8 +35,10 @@ def estimation_samples(people: DataFrame, panel: DataFrame) -> tuple[DataFrame,
 
 
 def _levels(df: DataFrame, name: str, reference=None) -> Factor:
-    """Levels present in the data, sorted; industries and cycles have few."""
-    found = sorted(r[0] for r in df.select(name).distinct().limit(1000).collect() if r[0] is not None)
+    """Levels present in the data, sorted, ``reference`` first; industries, cycles and genders have few."""
+    found = sorted(r[0] for r in df.select(name).distinct().limit(_MAX_LEVELS + 1).collect() if r[0] is not None)
+    if len(found) > _MAX_LEVELS:
+        raise ValueError(f"{name} has more than {_MAX_LEVELS} levels; use it as a group")
     first = reference if reference in found else found[0]
     return Factor(name, tuple(found)).reordered(first)
 
@@ -56,9 +58,10 @@ def _with(prefix: str, designs: dict[str, Design]) -> dict[str, Design]:
 
 def h1(people: DataFrame) -> dict:
     """Static score by tech flag, and by industry; occupation, gender and zip mean added in turn."""
+    gender = _levels(people, "gender", "M")
     industry = _levels(people, INDUSTRY, "Chips")
-    cells = collect_cells(people, STATIC, [TECH, industry, OCCUPATION, GENDER], [ZIP_STATIC.name])
-    steps = [("+ occupation", main(OCCUPATION)), ("+ gender", main(GENDER)), ("+ zip mean", main(ZIP_STATIC))]
+    cells = collect_cells(people, STATIC, [TECH, industry, OCCUPATION, gender], [ZIP_STATIC.name])
+    steps = [("+ occupation", main(OCCUPATION)), ("+ gender", main(gender)), ("+ zip mean", main(ZIP_STATIC))]
     tech = _with("h1 tech", _stepwise(("baseline", main(TECH)), *steps))
     by_industry = _with("h1 industry", _stepwise(("baseline", main(industry)), *steps))
     return fit_nested(cells, {**tech, **by_industry})
@@ -66,8 +69,9 @@ def h1(people: DataFrame) -> dict:
 
 def h2(people: DataFrame, who: Factor) -> dict:
     """Static score by ``who`` with industry intercepts, then with varying slopes, then by REML."""
-    cells = collect_cells(people, STATIC, [who, GENDER], [ZIP_STATIC.name], group=INDUSTRY)
-    designs = _stepwise(("null", []), ("+ who", main(who)), ("+ gender", main(GENDER)), ("+ zip mean", main(ZIP_STATIC)))
+    gender = _levels(people, "gender", "M")
+    cells = collect_cells(people, STATIC, [who, gender], [ZIP_STATIC.name], group=INDUSTRY)
+    designs = _stepwise(("null", []), ("+ who", main(who)), ("+ gender", main(gender)), ("+ zip mean", main(ZIP_STATIC)))
     fits = {f"h2 {who.name}: {k}": fit_mixed(cells, d) for k, d in designs.items()}
     return {**fits, **_slopes(f"h2 {who.name}", cells, designs["+ zip mean"], who)}
 
@@ -84,27 +88,29 @@ def _slopes(label: str, cells, design: Design, who: Factor) -> dict:
 
 def h3(people: DataFrame) -> dict:
     """Static score by tech flag and by industry among managers, and among insiders."""
+    gender = _levels(people, "gender", "M")
     industry = _levels(people, INDUSTRY, "Chips")
     out = {}
     for label, rows in (("managers", people.where("occupation_std = 'manager'")), ("insiders", people.where("is_sec_insider"))):
         if rows.isEmpty():
             continue
-        cells = collect_cells(rows, STATIC, [TECH, industry, GENDER], [ZIP_STATIC.name])
+        cells = collect_cells(rows, STATIC, [TECH, industry, gender], [ZIP_STATIC.name])
         for name, first in (("tech", TECH), ("industry", industry)):
-            steps = _stepwise(("baseline", main(first)), ("+ gender", main(GENDER)), ("+ zip mean", main(ZIP_STATIC)))
+            steps = _stepwise(("baseline", main(first)), ("+ gender", main(gender)), ("+ zip mean", main(ZIP_STATIC)))
             out.update({f"h3 {label} {name}: {k}": fit_ols(cells, d) for k, d in steps.items()})
     return out
 
 
 def h4(panel: DataFrame) -> dict:
     """Dynamic score by cycle among managers, and among insiders, with industry intercepts and slopes."""
+    gender = _levels(panel, "gender", "M")
     cycle = _levels(panel, "cycle")
     out = {}
     for label, rows in (("managers", panel.where("occupation_std = 'manager'")), ("insiders", panel.where("is_sec_insider"))):
         if rows.isEmpty():
             continue
-        cells = collect_cells(rows, DYNAMIC, [cycle, GENDER], [ZIP_DYNAMIC.name], group=INDUSTRY)
-        designs = _stepwise(("cycle", main(cycle)), ("+ zip mean", main(ZIP_DYNAMIC)), ("+ gender", main(GENDER)))
+        cells = collect_cells(rows, DYNAMIC, [cycle, gender], [ZIP_DYNAMIC.name], group=INDUSTRY)
+        designs = _stepwise(("cycle", main(cycle)), ("+ zip mean", main(ZIP_DYNAMIC)), ("+ gender", main(gender)))
         out.update({f"h4 {label}: {k}": fit_mixed(cells, d) for k, d in designs.items()})
         out.update(_slopes(f"h4 {label}", cells, designs["+ gender"], cycle))
     return out
@@ -112,16 +118,17 @@ def h4(panel: DataFrame) -> dict:
 
 def h56(panel: DataFrame, who: Factor) -> dict:
     """Dynamic score by cycle and ``who`` with firm intercepts: in tech firms, and with tech interacted."""
+    gender = _levels(panel, "gender", "M")
     cycle = _levels(panel, "cycle")
     out = {}
     tech_rows = panel.where("ff49_is_tech")
-    tail = [("+ gender", main(GENDER)), ("+ zip mean", main(ZIP_DYNAMIC))]
+    tail = [("+ gender", main(gender)), ("+ zip mean", main(ZIP_DYNAMIC))]
     if not tech_rows.isEmpty():
-        cells = collect_cells(tech_rows, DYNAMIC, [cycle, who, GENDER], [ZIP_DYNAMIC.name], group=FIRM)
+        cells = collect_cells(tech_rows, DYNAMIC, [cycle, who, gender], [ZIP_DYNAMIC.name], group=FIRM)
         designs = _stepwise(("baseline", main(cycle)), ("+ who", main(who)), ("* who", crossed(cycle, who)), *tail)
         out.update({f"h56 tech {who.name}: {k}": fit_mixed(cells, d) for k, d in designs.items()})
         out[f"h56 tech {who.name}: REML"] = fit_mixed(cells, designs["+ zip mean"], reml=True)
-    cells = collect_cells(panel, DYNAMIC, [cycle, TECH, who, GENDER], [ZIP_DYNAMIC.name], group=FIRM)
+    cells = collect_cells(panel, DYNAMIC, [cycle, TECH, who, gender], [ZIP_DYNAMIC.name], group=FIRM)
     designs = _stepwise(
         ("baseline", main(cycle)), ("+ tech", main(TECH)), ("+ who", main(who)),
         ("^2", crossed(cycle, TECH, who, order=2)), ("* tech * who", crossed(cycle, TECH, who)), *tail,

@@ -73,9 +73,9 @@ def publish(enriched: DataFrame, root: str, sample: bool = False) -> DataFrame:
     """Write the panel by cycle and the people by state; returns the written panel."""
     suffix = "_sample" if sample else ""
     target = f"{root}/processed_panel{suffix}"
-    write_partitioned(enriched, target, "cycle", replace_all=True)
+    write_partitioned(enriched, target, "cycle", replace_all=True, files_per_key=256)
     stored = enriched.sparkSession.read.schema(enriched.schema).parquet(target)
-    write_partitioned(latest_people(stored), f"{root}/processed_people{suffix}", "state", replace_all=True)
+    write_partitioned(latest_people(stored), f"{root}/processed_people{suffix}", "state", replace_all=True, files_per_key=16)
     return stored
 
 

@@ -177,13 +177,18 @@ def key_from_path(path: Column, pattern: str = r"_(\d{4})\.csv", low: int = 1979
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, *, mode: str = "overwrite", compression: str = "zstd",
-                      rows_per_file: int = 20_000_000, replace_all: bool = False) -> None:
+                      rows_per_file: int = 20_000_000, replace_all: bool = False, files_per_key: int | None = None) -> None:
     """Partitioned parquet. Overwriting replaces only the partitions that ``df`` holds.
 
-    Rows go out from the tasks that hold them, without a shuffle by the partition key, so a key with
-    most of the rows is written by all tasks; long files are cut.
+    By default rows go out from the tasks that hold them, without a shuffle: right when a task holds
+    few keys. With ``files_per_key`` rows are first gathered by key and a salt, which gives every key
+    at most that many files while a key with most of the rows is still written by that many tasks.
+    Long files are cut.
     """
     scope = "static" if replace_all else "dynamic"
+    if files_per_key:
+        salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != by]), F.lit(files_per_key))
+        df = df.repartition(F.col(by), salt)
     (
         df.write.mode(mode)
         .option("compression", compression)

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.functions.names import company_key, looks_like_entity, person_parts
+from panelweave.functions.names import company_key, looks_like_entity, with_person_parts
 from panelweave.functions.occupation import occupation_flags
 from panelweave.functions.picks import first_by, last_by, longest
 from panelweave.functions.scores import amount_weight, clean_ticker, even_cycle, filing_date, insider_now, tech_flag
@@ -142,8 +142,7 @@ def test_occupation(spark):
 )
 def test_person_names(spark, raw, surname_first, parts):
     df = spark.createDataFrame([(raw,)], "n string")
-    p = person_parts(F.col("n"), surname_first)
-    assert tuple(one(df.select(p["last"], p["first"], p["mi"]))) == parts
+    assert tuple(one(with_person_parts(df, "n", surname_first).drop("n"))) == parts
 
 
 @pytest.mark.parametrize(

@@ -140,3 +140,22 @@ def test_incremental_conversion_converts_each_file_once(spark, tmp_path):
 def test_written_survives_in_the_shared_folder(spark):
     df = written(spark.range(5), "t")
     assert df.count() == 5 and "FileScan parquet" in df._jdf.queryExecution().toString()
+
+
+def test_files_per_key_bounds_the_files(spark, tmp_path):
+    path = str(tmp_path / "out")
+    df = spark.range(2000).repartition(8).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id") % 7).alias("k"))
+    transactions.write_partitioned(df, path, "k", files_per_key=2)
+    back = spark.read.parquet(path)
+    files = back.groupBy("k").agg(F.countDistinct(F.col("_metadata.file_path")).alias("n"))
+    assert back.count() == 2000 and files.agg(F.max("n")).first()[0] <= 2
+
+
+def test_publish_writes_panel_and_people(spark, tmp_path):
+    from panelweave.plans import study
+
+    inputs = study.inputs_from_tables(spark, "/root/testdata/sf0.001")
+    stored = study.publish(study.enriched_panel(**inputs), str(tmp_path))
+    people = spark.read.parquet(str(tmp_path / "processed_people"))
+    assert stored.count() > 0 and people.count() == stored.select("cid").distinct().count()
+    assert registers.read_processed(spark, str(tmp_path / "processed_panel")).count() == stored.count()
