@@ -144,7 +144,7 @@ def test_written_survives_in_the_shared_folder(spark):
 
 def test_files_per_key_bounds_the_files(spark, tmp_path):
     path = str(tmp_path / "out")
-    df = spark.range(2000).repartition(8).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id") % 7).alias("k"))
+    df = spark.range(2000).repartition(8).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"))
     transactions.write_partitioned(df, path, "k", files_per_key=2)
     back = spark.read.parquet(path)
     files = back.groupBy("k").agg(F.countDistinct(F.col("_metadata.file_path")).alias("n"))
