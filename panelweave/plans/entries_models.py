@@ -12,7 +12,7 @@ from panelweave.models.mixed import fit_mixed, likelihood_ratio_table
 from panelweave.models.ols import coefficient_table, fit_nested, fit_ols, measure_table
 from panelweave.plans import hypotheses, study
 from panelweave.plans.bind import table
-from panelweave.plans.registry import query, rounded
+from panelweave.plans.registry import query, r6, rounded
 from panelweave.session import written
 
 FLAG = Factor("l_returnflag", ("A", "N", "R"))
@@ -121,8 +121,8 @@ def _ri_query(spark, d, reml: bool) -> DataFrame:
     cells = collect_cells(_lines(spark, d), "y", [], ["l_quantity"], group="l_suppkey")
     fit = fit_mixed(cells, Design.of(main(QTY)), reml=reml)
     rows = coefficient_table(spark, {"m": fit}).select("term", "estimate")
-    digits = F.when(F.col("term") == "l_quantity", F.round("estimate", 5)).when(F.col("term") == "sd__Observation", F.round("estimate", 4))
-    return rows.withColumn("estimate", digits.otherwise(F.round("estimate", 3)))
+    value = F.when(F.col("term") == "l_quantity", r6("estimate", 5)).when(F.col("term") == "sd__Observation", r6("estimate", 4))
+    return rows.withColumn("estimate", value.otherwise(r6("estimate", 3)))
 
 
 @query("mdl_lmm_ri", f"{_L}, {_profile_sql(False, True, 'a')} {_ri_terms('a')}")

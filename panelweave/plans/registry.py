@@ -29,9 +29,14 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(column: Column | str, digits: int = 6) -> Column:
-    """Round for comparison; adding zero turns a negative zero into a plain one."""
+    """Round half away from zero for comparison, by scaling, as the check engine does.
+
+    Spark's own ``round`` works on the shortest decimal form, which differs on ties. Adding zero turns
+    a negative zero into a plain one.
+    """
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c, digits) + F.lit(0.0)
+    scale = float(10**digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
