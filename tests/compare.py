@@ -57,12 +57,13 @@ def differences(spark, con, sf_dir: str, fn, sql: str) -> str | None:
 
 
 def main() -> int:
-    from panelweave.plans import registry
     from panelweave.session import local_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    queries, checks = registry.load()
+    import __spark_entry__ as contract
+
+    queries, checks = contract.queries(), contract.oracle_sql()
     names = sys.argv[2:] or list(queries)
     spark, con = local_session("8"), check_engine(sf_dir)
     failed = 0
