@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +28,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spans_json(column: Column) -> Column:
-    """An array of structs as one comma-joined string of kind:start:end."""
-    return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+def by_batch(rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, step: int = 256) -> DataFrame:
+    """Apply ``work`` to the columns of at most ``step`` rows at a time, as Arrow batches inside the tasks.
+
+    ``work`` gets and returns columns as lists. Small steps bound what one call holds beside the batch.
+    """
+    spark = rows.sparkSession
+    kind = spark.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(kind)
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                made = work(batch.slice(start, step).to_pydict())
+                yield pa.RecordBatch.from_pydict({f.name: pa.array(made[f.name], f.type) for f in out}, schema=out)
+
+    return rows.mapInArrow(run, kind)
