@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import exact_dedup, html_text, secret_scan
+from panelweave.llm import exact_dedup, html_text, pii, secret_scan
 from panelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,12 +22,17 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op8_html_extraction, op10_secret_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op8_html_extraction, op9_pii, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": r"""
