@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import exact_dedup, html_text, pii, secret_scan
+from panelweave.llm import exact_dedup, fingerprint, html_text, mixing, packing, pii, secret_scan
 from panelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all sources, one row per shown copy of a document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
@@ -32,7 +48,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op8_html_extraction, op9_pii, op10_secret_scan)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_fingerprints, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan)
+}
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": r"""
