@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import exact_dedup, fingerprint, html_text, mixing, packing, pii, secret_scan
+from panelweave.llm import exact_dedup, fingerprint, html_text, language_id, mixing, packing, pii, secret_scan
 from panelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -49,7 +54,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_exact_dedup, op3_packing, op4_fingerprints, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan)
+    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_packing, op4_fingerprints, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan)
 }
 
 ORACLE: dict[str, str] = {
