@@ -178,6 +178,8 @@ def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.nd
 def fit(samples: dict[str, list[str]], rounds: int = _ROUNDS) -> Model:
     """A model from texts by language: gradient ascent (Adam) on the likelihood of the word labels."""
     languages = sorted(samples)
+    if not languages:
+        return Model([], np.zeros((1 << _BITS, 0)), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
     rng = random.Random(7)
     sequences: list[list[tuple[str, int]]] = []
     lines = [[line for text in samples[name] for line in text.split("\n") if line.strip()] for name in languages]
