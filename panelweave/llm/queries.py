@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import exact_dedup, fingerprint, html_text, language_id, mixing, near_dedup, packing, pii, secret_scan
+from panelweave.llm import exact_dedup, fingerprint, html_text, language_id, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup
 from panelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, threshold=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated passages of 100 bytes and more."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all sources, one row per shown copy of a document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -59,7 +64,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_near_dedup, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan)
+    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_near_dedup, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan)
 }
 
 ORACLE: dict[str, str] = {
