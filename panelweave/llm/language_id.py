@@ -36,6 +36,8 @@ _BITS = 16
 _BLOCK = 32
 _ROUNDS, _RATE, _DECAY = 20, 0.15, 1e-4
 _SLICE_BYTES = 6 << 20
+#: Documents below this score count as of unknown language in ``known_language``.
+LEAST_SCORE = 0.35
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long"
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -254,7 +256,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, size in enumerate(sizes):
         if i > start and held + size > _SLICE_BYTES:
@@ -275,6 +277,19 @@ def label_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return forward_backward(scores, np.append(starts[some], starts[-1]), model.transitions)[0], starts
 
 
+def _judged(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, best language (its number, one past the last for none) and score of each text."""
+    marginals, starts = label_batch(model, column) if model.languages else (np.zeros((0, 0)), np.zeros(len(column) + 1, dtype=np.int64))
+    counts = np.diff(starts)
+    best, score = np.full(len(counts), len(model.languages)), np.zeros(len(counts))
+    some = np.flatnonzero(counts > 0)
+    if len(some):
+        means = np.add.reduceat(marginals, starts[:-1][some], axis=0) / counts[some, None]
+        best[some] = means.argmax(axis=1)
+        score[some] = np.clip(means.max(axis=1), 0.0, 1.0)
+    return counts, best, score
+
+
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, n_words.
 
@@ -293,14 +308,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
         names = np.asarray([*own.languages, UNKNOWN], dtype=object)
         for batch in batches:
             for part in _slices(batch):
-                marginals, starts = label_batch(own, part.column("text")) if own.languages else (np.zeros((0, 0)), np.zeros(part.num_rows + 1, dtype=np.int64))
-                counts = np.diff(starts)
-                best, score = np.full(len(counts), len(own.languages)), np.zeros(len(counts))
-                some = np.flatnonzero(counts > 0)
-                if len(some):
-                    means = np.add.reduceat(marginals, starts[:-1][some], axis=0) / counts[some, None]
-                    best[some] = means.argmax(axis=1)
-                    score[some] = np.clip(means.max(axis=1), 0.0, 1.0)
+                counts, best, score = _judged(own, part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(counts, pa.int64())],
                     schema=out,
@@ -330,8 +338,18 @@ def runs_of_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return texts(docs).mapInArrow(run, kind)
 
 
-def known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The documents whose language is known with at least ``least_score``, with all their columns."""
-    found = identify(docs).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    ids = found.select(F.coalesce("doc_id", F.lit(-1)).alias("_lang_id")).distinct()
-    return docs.join(ids, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_lang_id"), "left_semi")
+def known_language(docs: DataFrame, least_score: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
+    """The documents whose language is known with at least ``least_score``, with all their columns.
+
+    Texts without a letter and null texts go. The rows are filtered in the tasks that read them.
+    """
+    learned = docs.sparkSession.sparkContext.broadcast(model if model is not None else train(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = learned.value
+        for batch in batches:
+            for part in _slices(batch):
+                counts, best, score = _judged(own, pc.fill_null(part.column("text"), ""))
+                yield part.filter(pa.array((best < len(own.languages)) & (score >= least_score)))
+
+    return docs.mapInArrow(run, docs.schema)
