@@ -51,7 +51,7 @@ def window_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
     """Merged windows of a candidate whose entropy reaches the threshold of their class."""
     if len(run) < window:
         return []
-    weigh = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    weigh = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
     weight, others, found = 0.0, 0, []
     whole = math.log2(window)
