@@ -78,8 +78,8 @@ def window_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
 def allowed(span: str) -> bool:
     """Whether a span of high entropy is on the allow-list."""
     letters = any(c.isalpha() for c in span)
-    digits = sum(c.isdigit() for c in span)
-    return not letters or digits < 3 or bool(ALLOWED.search(span.lower()))
+    digits = any(c.isdigit() for c in span)
+    return not letters or not digits or bool(ALLOWED.search(span.lower()))
 
 
 def _entropy(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
