@@ -71,7 +71,7 @@ def test_random_strings_are_found_and_words_are_not(spark):
     rows = [(i, f"use {k} to log in") for i, k in enumerate(keys)]
     rows += [
         (100, "incomprehensibilities-of-internationalization and/or/counterrevolutionaries"), (101, "0123456789abcdefghijklmnopqrstuvwxyz"),
-        (102, "A" * 60 + "1234"), (103, "12345678901234567890123456789012345"), (104, "your_api_example_placeholder_key_42_here_1234"),
+        (102, "A" * 60 + "1234"), (103, "1234567890123456789012345"), (104, "your_api_example_placeholder_key_42_here_1234"),
     ]
     got = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(20):
