@@ -13,59 +13,39 @@ from panelweave.operators.skew import hot_split_join
 YEARS = (1995, 2100)
 
 
-def clean_submissions(raw: DataFrame) -> DataFrame:
-    """Typed filing headers: dates that do not parse become NULL, ids are padded."""
-    period = F.trim("PERIOD_OF_REPORT")
-    return raw.select(
-        F.col("ACCESSION_NUMBER").alias("accession"),
-        F.upper(F.trim("DOCUMENT_TYPE")).alias("form_type"),
-        filing_date(F.col("FILING_DATE")).alias("filed_date"),
-        filing_date(F.col("PERIOD_OF_REPORT")).alias("period_date"),
-        F.right(period, F.lit(4)).try_cast("int").alias("period_year"),
-        F.lpad(F.trim("ISSUERCIK"), 10, "0").alias("cik"),
-        F.upper(F.trim("ISSUERNAME")).alias("issuer_name"),
-        clean_ticker(F.col("ISSUERTRADINGSYMBOL")).alias("ticker"),
-    )
-
+def event_columns(filed: str = "FILING_DATE", period: str = "PERIOD_OF_REPORT") -> dict[str, Column]:
+    """Dates of a filing: as filed, as reported, the event (reported, else filed) and its year.
 
-def clean_owners(raw: DataFrame) -> DataFrame:
-    """Typed owner rows of filings."""
-    return raw.select(
-        F.col("ACCESSION_NUMBER").alias("accession"),
-        F.lpad(F.trim("RPTOWNERCIK"), 10, "0").alias("owner_cik"),
-        F.trim("RPTOWNERNAME").alias("owner_name_raw"),
-        F.upper(F.coalesce("RPTOWNER_RELATIONSHIP", F.lit(""))).alias("relationship"),
-        F.nullif(F.trim("RPTOWNER_TITLE"), F.lit("")).alias("owner_title"),
-    )
+    The year may be readable where the reported date is not.
+    """
+    on_file, reported = filing_date(F.col(filed)), filing_date(F.col(period))
+    stated = F.right(F.trim(period), F.lit(4)).try_cast("int")
+    return {"filed_date": on_file, "period_date": reported, "event": F.coalesce(reported, on_file), "year": F.coalesce(stated, F.year(on_file))}
 
 
-def role_flags(relationship: Column, form_type: Column) -> dict[str, Column]:
-    """Officer, director and initial-statement flags of one owner row."""
-    return {
-        "is_officer": relationship.contains("OFFICER"),
-        "is_director": relationship.contains("DIRECTOR"),
-        "has_form3": form_type.startswith("3"),
-    }
+def role_columns(relationship: str = "RPTOWNER_RELATIONSHIP") -> dict[str, Column]:
+    """Officer and director flags of an owner row; no statement means neither."""
+    stated = F.coalesce(F.upper(relationship), F.lit(""))
+    return {"is_officer": stated.contains("OFFICER"), "is_director": stated.contains("DIRECTOR")}
 
 
 def officer_filings(submissions: DataFrame, owners: DataFrame) -> DataFrame:
-    """Owner rows joined to their filing, officers and directors only, with event date, year and flags.
+    """Officers and directors with what their filing says: event, year, issuer, ticker, initial statement or not.
 
-    The role test sits on the owner side, so it runs below the join.
+    Either side is cut to the rows and columns that count before they meet.
     """
-    joined = clean_owners(owners).join(clean_submissions(submissions), "accession")
-    rows = joined.withColumns(
-        {
-            **role_flags(F.col("relationship"), F.col("form_type")),
-            "event": F.coalesce("period_date", "filed_date"),
-            "year": F.coalesce(F.col("period_year"), F.year("filed_date")),
-        }
+    number = F.col("ACCESSION_NUMBER").alias("accession")
+    insider = owners.withColumns(role_columns()).where("(is_officer OR is_director) AND RPTOWNERNAME IS NOT NULL").select(
+        number, padded_id(F.trim("RPTOWNERCIK")).alias("owner_cik"), F.trim("RPTOWNERNAME").alias("owner_name_raw"),
+        "is_officer", "is_director", F.nullif(F.trim("RPTOWNER_TITLE"), F.lit("")).alias("owner_title"),
     )
-    return rows.where(
-        (F.col("is_officer") | F.col("is_director"))
-        & F.col("owner_name_raw").isNotNull()
-        & F.col("year").between(*YEARS)
+    dates = {name: made for name, made in event_columns().items() if name in ("event", "year")}
+    header = submissions.withColumns(dates).where(F.col("year").between(*YEARS)).select(
+        number, *dates, padded_id(F.trim("ISSUERCIK")).alias("cik"), F.upper(F.trim("ISSUERNAME")).alias("issuer_name"),
+        clean_ticker(F.col("ISSUERTRADINGSYMBOL")).alias("ticker"),
+        F.upper(F.trim("DOCUMENT_TYPE")).startswith("3").alias("has_form3"),
     )
+    return insider.join(header, "accession")
 
 
 def person_years(submissions: DataFrame, owners: DataFrame) -> DataFrame:

@@ -210,17 +210,15 @@ def _spells(spark, d) -> DataFrame:
     try_strptime(trim(PERIOD_OF_REPORT), '%d-%b-%Y')::DATE AS period_date, coalesce(try_strptime(trim(PERIOD_OF_REPORT), '%d-%b-%Y')::DATE, try_strptime(trim(FILING_DATE), '%d-%b-%Y')::DATE) AS event,
     CAST(coalesce(TRY_CAST(right(trim(PERIOD_OF_REPORT), 4) AS INTEGER), year(try_strptime(trim(FILING_DATE), '%d-%b-%Y'))) AS INTEGER) AS year FROM submission""")
 def _(spark, d):
-    s = insiders.clean_submissions(bind.submissions(spark, d))
-    return s.select("accession", "filed_date", "period_date", F.coalesce("period_date", "filed_date").alias("event"),
-                    F.coalesce("period_year", F.year("filed_date")).alias("year"))
+    dated = {name: made.alias(name) for name, made in insiders.event_columns().items()}
+    return bind.submissions(spark, d).select(F.col("ACCESSION_NUMBER").alias("accession"), *dated.values())
 
 
 @query("prj_like_flags", role_sql("owner") + """ SELECT ACCESSION_NUMBER AS accession, is_officer, is_director FROM (SELECT *, upper(coalesce(RPTOWNER_RELATIONSHIP, '')) LIKE '%OFFICER%' AS is_officer,
     upper(coalesce(RPTOWNER_RELATIONSHIP, '')) LIKE '%DIRECTOR%' AS is_director FROM owner) WHERE is_officer OR is_director""")
 def _(spark, d):
-    o = insiders.clean_owners(bind.owners(spark, d))
-    flags = insiders.role_flags(F.col("relationship"), F.lit(""))
-    return o.select("accession", flags["is_officer"].alias("is_officer"), flags["is_director"].alias("is_director")).where("is_officer or is_director")
+    flags = [made.alias(name) for name, made in insiders.role_columns().items()]
+    return bind.owners(spark, d).select(F.col("ACCESSION_NUMBER").alias("accession"), *flags).where("is_officer or is_director")
 
 
 @query("prj_ticker_clean", role_sql("submission") + " SELECT ACCESSION_NUMBER AS accession, nullif(upper(trim(ISSUERTRADINGSYMBOL)), 'NONE') AS ticker FROM submission")
@@ -284,14 +282,18 @@ def _people(spark, d) -> DataFrame:
 
 _OCCUPATION_SQL = f"""CASE WHEN occupation IS NULL THEN NULL WHEN regexp_matches(occupation, '{'|'.join(MANAGER_WORDS)}') THEN 'manager'
       WHEN regexp_matches(occupation, '{'|'.join(ENGINEER_WORDS)}') THEN 'engineer' ELSE 'other' END AS occupation_std"""
-# from ``people`` (cid, cycle, cik, name) and spells to unambiguous matches
-_FOUND_SQL = f"""lhs AS (SELECT cid, cycle, lpad(CAST(cik AS VARCHAR), 10, '0') AS cik_j, name, {person_sql('name', False, ('c_last', 'c_first', 'c_mi'))} FROM people),
-    rhs AS (SELECT owner_cik, cik AS cik_j, owner_name_raw, issuer_name, title_label, ever_officer, ever_director, CAST(cycle_from AS INTEGER) AS cycle_from,
-      CAST(cycle_to AS INTEGER) AS cycle_to, {person_sql('owner_name_raw', True, ('c_last', 'c_first', 'i_mi'))} FROM spell),
-    cand AS (SELECT * FROM lhs JOIN rhs USING (cik_j, c_last, c_first) WHERE c_mi IS NULL OR i_mi IS NULL OR c_mi = i_mi),
-    keep AS (SELECT cid, cycle, cik_j FROM cand GROUP BY 1, 2, 3 HAVING count(DISTINCT owner_cik) = 1),
-    found AS (SELECT cand.*, CASE WHEN ever_officer AND ever_director THEN 'officer_director' WHEN ever_officer THEN 'officer' WHEN ever_director THEN 'director' END AS insider_role
-      FROM cand SEMI JOIN keep USING (cid, cycle, cik_j))"""
+# from ``people`` (cid, cycle, cik, name) and spells to the insiders nobody else can be taken for: distinct names are
+# parsed once on either side, and a fit is kept where no second owner fits the same person and firm
+_FOUND_SQL = f"""said AS (SELECT name, {person_sql('name', False, ('surname', 'given', 'letter'))} FROM (SELECT DISTINCT name FROM people)),
+    filed AS (SELECT owner_name_raw, {person_sql('owner_name_raw', True, ('surname', 'given', 'letter'))} FROM (SELECT DISTINCT owner_name_raw FROM spell)),
+    namesake AS (SELECT name, owner_name_raw FROM said JOIN filed ON said.surname = filed.surname AND said.given = filed.given
+      AND coalesce(said.letter, filed.letter, '') = coalesce(filed.letter, said.letter, '')),
+    fit AS (SELECT p.cid, p.cycle, s.cik AS cik_j, p.name, s.owner_cik, s.owner_name_raw, s.issuer_name, s.title_label, s.ever_officer, s.ever_director,
+      CAST(s.cycle_from AS INTEGER) AS cycle_from, CAST(s.cycle_to AS INTEGER) AS cycle_to
+      FROM people p, namesake, spell s WHERE namesake.name = p.name AND s.owner_name_raw = namesake.owner_name_raw AND CAST(s.cik AS BIGINT) = CAST(p.cik AS BIGINT)),
+    found AS (SELECT *, nullif(concat_ws('_', CASE WHEN ever_officer THEN 'officer' END, CASE WHEN ever_director THEN 'director' END), '') AS insider_role
+      FROM fit WHERE NOT EXISTS (SELECT 1 FROM fit other WHERE other.cid = fit.cid AND other.cycle = fit.cycle AND other.cik_j = fit.cik_j
+        AND other.owner_cik <> fit.owner_cik))"""
 _INSIDER_SQL = f"""people AS (SELECT *, CAST(split_part(city, ' ', 2) AS BIGINT) + 1000 AS cik, {_OCCUPATION_SQL} FROM panel WHERE cid IS NOT NULL),
     {_FOUND_SQL}"""
 
@@ -302,19 +304,20 @@ def _(spark, d):
     return insiders.link_insiders(_people(spark, d), _spells(spark, d))
 
 
-@query("jn_equi_theta", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, cik_j, count(*) AS n_fitting, count(DISTINCT owner_cik) AS n_owners FROM cand GROUP BY 1, 2, 3""")
+@query("jn_equi_theta", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, cik_j, count(*) AS n_fitting, count(DISTINCT owner_cik) AS n_owners FROM fit GROUP BY cid, cycle, cik_j""")
 def _(spark, d):
     fits = insiders.fitting_owners(_people(spark, d), _spells(spark, d))
     return fits.select("cid", "cycle", "cik_j", "n_fitting", "n_owners")
 
 
-@query("jn_unique_reject", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, cik_j FROM cand GROUP BY 1, 2, 3 HAVING count(DISTINCT owner_cik) > 1""")
+@query("jn_unique_reject", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, cik_j FROM fit EXCEPT SELECT cid, cycle, cik_j FROM found""")
 def _(spark, d):
     fits = insiders.fitting_owners(_people(spark, d), _spells(spark, d))
     return fits.where("n_owners > 1").select("cid", "cycle", "cik_j")
 
 
-@query("jn_semi", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, occupation_std FROM people WHERE (cid, cycle, lpad(CAST(cik AS VARCHAR), 10, '0')) IN (SELECT cid, cycle, cik_j FROM keep)""")
+@query("jn_semi", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, occupation_std FROM people WHERE EXISTS (SELECT 1 FROM found
+    WHERE found.cid = people.cid AND found.cycle = people.cycle AND CAST(found.cik_j AS BIGINT) = people.cik)""")
 def _(spark, d):
     people = _people(spark, d)
     keys = insiders.link_insiders(people, _spells(spark, d)).select("cid", "cycle")
@@ -322,7 +325,7 @@ def _(spark, d):
 
 
 @query("lnk_coding_check", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT occupation_std, n, round(n / sum(n) OVER (), 9) AS share FROM (
-    SELECT occupation_std, count(*) AS n FROM people SEMI JOIN (SELECT cid, cycle FROM keep) k USING (cid, cycle) WHERE occupation_std IS NOT NULL GROUP BY 1)""")
+    SELECT occupation_std, count(*) AS n FROM people SEMI JOIN (SELECT cid, cycle FROM found) k USING (cid, cycle) WHERE occupation_std IS NOT NULL GROUP BY 1)""")
 def _(spark, d):
     people = _people(spark, d)
     return rounded(insiders.coding_check(people, insiders.link_insiders(people, _spells(spark, d))), "share", digits=9)
