@@ -13,7 +13,7 @@ from panelweave.operators import panel
 from panelweave.plans import bind
 from panelweave.plans.bind import TARGETS, role_sql, table
 from panelweave.plans.registry import query, r6, rounded
-from panelweave.session import shared_path
+from panelweave.session import shared_path, written
 from panelweave.sources import audit, registers, transactions
 from panelweave.streaming.incremental import convert_new_files, read_converted
 
@@ -22,19 +22,28 @@ TYPES = {"amount": "double", "date": "date", "cid": "bigint", "txn_id": "bigint"
 PATTERN = r"file=contrib_(\d{4})"
 
 
+LATIN = 1996  # the files of this cycle are not UTF-8
+
+
 def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
     """CSV records of the transactions, dirty by rule, with the file they go to."""
-    t = bind.transactions(spark, d).where(F.col("employer").isNotNull())
+    t = bind.transactions(spark, d)
     k = F.col("txn_id")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\\N"))
     quoted = lambda *parts: F.concat(F.lit('"'), *parts, F.lit('"'))
     employer = (
-        F.when(k % 19 == 0, quoted("employer", F.lit("\\\nDivision")))
+        F.when(F.col("employer").isNull(), "\\N")
+        .when(k % 19 == 0, quoted("employer", F.lit("\\\nDivision")))
         .when(k % 23 == 0, quoted(F.lit('The ""Big"", '), "employer"))
+        .when(k % 71 == 0, quoted("employer", F.lit("\\")))
         .when(F.col("employer").contains(","), quoted("employer"))
+        .when(k % 17 == 0, F.concat("employer", F.lit("\\")))
         .otherwise(F.col("employer"))
     )
-    city = F.when(k % 29 == 0, "").otherwise(F.concat("city", F.when(k % 37 == 0, "\\").otherwise("")))
+    place = F.concat("city", F.when(k % 31 == 0, " Zürich").otherwise(""))
+    city = (
+        F.when(k % 29 == 0, "").when(k % 73 == 0, quoted(place, F.lit("\\"))).when(k % 37 == 0, F.concat(place, F.lit("\\"))).otherwise(place)
+    )
     fields = [
         F.when(k % 101 == 0, "bad").otherwise(F.col("cycle").cast("string")),
         k.cast("string"),
@@ -43,12 +52,18 @@ def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
     ]
     line = F.concat_ws(",", *fields)
     line = F.when(k % 61 == 0, line).when(k % 67 == 0, F.concat_ws(",", line, city, F.lit("extra"))).otherwise(F.concat_ws(",", line, city))
-    return t.select(line.alias("value"), F.concat(F.lit("contrib_"), F.col("cycle")).alias("file"), "cycle")
+    value = F.when(F.col("cycle") == LATIN, F.encode(line, "ISO-8859-1").cast("string")).otherwise(line)
+    return t.select(value.alias("value"), F.concat(F.lit("contrib_"), F.col("cycle")).alias("file"), "cycle")
 
 
-_EMPLOYER = ("CASE WHEN txn_id % 19 = 0 THEN employer || chr(10) || 'Division' WHEN txn_id % 23 = 0 THEN 'The \"Big\", ' || employer ELSE employer END")
-_CITY = "CASE WHEN txn_id % 61 = 0 THEN NULL WHEN txn_id % 29 = 0 THEN '' ELSE city END"
-_SRC = "src AS (SELECT * FROM txn WHERE employer IS NOT NULL)"
+# what the fields must come to: a backslash stays unless it ends a line, outside quotes or before a break inside them
+_EMPLOYER = """CASE WHEN employer IS NULL THEN NULL WHEN txn_id % 19 = 0 THEN employer || chr(10) || 'Division' WHEN txn_id % 23 = 0 THEN 'The "Big", ' || employer
+    WHEN txn_id % 71 = 0 THEN employer || chr(92) WHEN contains(employer, ',') THEN employer WHEN txn_id % 17 = 0 AND txn_id % 61 <> 0 THEN employer || chr(92) ELSE employer END"""
+_CITY = """CASE WHEN txn_id % 61 = 0 THEN NULL WHEN txn_id % 29 = 0 THEN '' ELSE city || CASE WHEN txn_id % 31 = 0 THEN ' Zürich' ELSE '' END
+    || CASE WHEN txn_id % 73 = 0 THEN chr(92) ELSE '' END END"""
+_LONG = "(txn_id % 67 = 0 AND txn_id % 61 <> 0)"
+_LINES = "CAST(sum(CASE WHEN txn_id % 19 = 0 AND employer IS NOT NULL THEN 2 ELSE 1 END) AS BIGINT)"
+_SRC = "src AS (SELECT * FROM txn)"
 
 
 def _files(spark: SparkSession, d: str) -> str:
@@ -58,7 +73,7 @@ def _files(spark: SparkSession, d: str) -> str:
 
 
 def _dirty(spark: SparkSession, d: str) -> DataFrame:
-    return transactions.read_dirty_csv(spark, f"{_files(spark, d)}/file=*", COLUMNS, header=False)
+    return transactions.read_files(spark, f"{_files(spark, d)}/file=*", COLUMNS, header=False)
 
 
 @query("src_dirty_csv", role_sql("txn", extra=_SRC) + """ SELECT CASE WHEN txn_id % 61 = 0 THEN 'short' WHEN txn_id % 67 = 0 THEN 'long' ELSE 'ok' END AS row_state,
@@ -69,14 +84,14 @@ def _(spark, d):
     )
 
 
-@query("src_repair_lines", role_sql("txn", extra=_SRC) + f""" SELECT txn_id, {_EMPLOYER} AS employer, {_CITY} AS city FROM src WHERE NOT (txn_id % 67 = 0 AND txn_id % 61 <> 0)""")
+@query("src_repair_lines", role_sql("txn", extra=_SRC) + f""" SELECT txn_id, {_EMPLOYER} AS employer, {_CITY} AS city FROM src WHERE NOT {_LONG}""")
 def _(spark, d):
     rows = _dirty(spark, d).where("row_state <> 'long'")
     return rows.select(F.col("txn_id").cast("bigint").alias("txn_id"), "employer", "city")
 
 
 _TYPED = f"""SELECT cycle, txn_id, CASE WHEN txn_id % 47 = 0 THEN NULL ELSE amount END AS amount, date, cid, {_EMPLOYER} AS employer, {_CITY} AS city
-    FROM src WHERE txn_id % 101 <> 0 AND NOT (txn_id % 67 = 0 AND txn_id % 61 <> 0)"""
+    FROM src WHERE txn_id % 101 <> 0 AND NOT {_LONG}"""
 
 
 @query("src_typed_project", role_sql("txn", extra=_SRC) + f" SELECT * REPLACE (round(amount, 6) AS amount) FROM ({_TYPED})")
@@ -84,8 +99,7 @@ def _(spark, d):
     return rounded(transactions.typed(_dirty(spark, d), TYPES).drop("source_file"), "amount")
 
 
-@query("src_probe_files", role_sql("txn", extra=_SRC) + """ SELECT cycle, CAST(sum(CASE WHEN txn_id % 19 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_lines, TRUE AS is_utf8
-    FROM src GROUP BY cycle""")
+@query("src_probe_files", role_sql("txn", extra=_SRC) + f" SELECT cycle, {_LINES} AS n_lines, cycle <> {LATIN} AS is_utf8 FROM src GROUP BY cycle")
 def _(spark, d):
     probed = transactions.probe_files(spark, f"{_files(spark, d)}/file=*")
     return probed.groupBy(transactions.key_from_path(F.col("source_file"), PATTERN).alias("cycle")).agg(
@@ -114,20 +128,25 @@ def _(spark, d):
     return audit.wrong_key_counts(rows, "year", "expected").withColumnRenamed("expected", "cycle")
 
 
-@query("ing_ledger", role_sql("txn", extra=_SRC) + f""" SELECT cycle, n_lines, FALSE AS transcoded, n_written, 'converted' AS status FROM (
-    SELECT cycle, CAST(sum(CASE WHEN txn_id % 19 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n_lines FROM src GROUP BY 1) JOIN (SELECT cycle, count(*) AS n_written FROM ({_TYPED}) GROUP BY 1) USING (cycle)""")
+_COUNTS = f"""SELECT cycle, {_LINES} AS n_lines, cycle = {LATIN} AS transcoded, count(*) FILTER (WHERE txn_id % 101 <> 0 AND NOT {_LONG}) AS n_written,
+    count(*) FILTER (WHERE {_LONG}) AS n_long, count(*) FILTER (WHERE txn_id % 101 = 0 AND NOT {_LONG}) AS n_bad_key FROM src GROUP BY cycle"""
+
+
+def _per_cycle(entries: DataFrame) -> DataFrame:
+    counts = ("n_lines", "n_written", "n_long", "n_bad_key")
+    return entries.groupBy("cycle").agg(*[F.sum(c).alias(c) for c in counts], F.bool_or("transcoded").alias("transcoded"), F.min("status").alias("status"))
+
+
+@query("ing_ledger", role_sql("txn", extra=_SRC) + f" SELECT *, 'converted' AS status FROM ({_COUNTS})")
 def _(spark, d):
     path = f"{_files(spark, d)}/file=*"
-    rows = transactions.typed(transactions.read_dirty_csv(spark, path, COLUMNS, header=False), TYPES)
-    ledger = audit.ledger_rows(rows, transactions.probe_files(spark, path))
-    key = transactions.key_from_path(F.col("source_file"), PATTERN)
-    return ledger.groupBy(key.alias("cycle")).agg(
-        F.sum("n_lines").alias("n_lines"), F.bool_or("transcoded").alias("transcoded"), F.sum("n_written").alias("n_written"),
-        F.min("status").alias("status"),
-    )
+    probed = written(transactions.probe_files(spark, path), "probed")
+    rows = transactions.read_files(spark, path, COLUMNS, header=False, probed=probed)
+    return _per_cycle(audit.ledger_rows(rows, probed, file_key=transactions.key_from_path(F.col("source_file"), PATTERN)))
 
 
-@query("ing_incremental", role_sql("txn", extra=_SRC) + f""" SELECT cycle, count(*) AS n, CAST(0 AS BIGINT) AS n_wrong, CASE WHEN cycle <= 1998 THEN 1 ELSE 2 END AS pass FROM ({_TYPED}) GROUP BY cycle""")
+@query("ing_incremental", role_sql("txn", extra=_SRC) + f""" SELECT c.*, 'converted' AS status, n_umlaut, n_backslash, CASE WHEN cycle <= 1998 THEN 1 ELSE 2 END AS pass FROM ({_COUNTS}) c
+    JOIN (SELECT cycle, count(*) FILTER (WHERE city LIKE '%ü%') AS n_umlaut, count(*) FILTER (WHERE contains(employer, chr(92))) AS n_backslash FROM ({_TYPED}) GROUP BY cycle) USING (cycle)""")
 def _(spark, d):
     root = shared_path(spark, "incremental")
     source, target, ledger, state = (f"{root}/{p}" for p in ("source", "target", "ledger", "state"))
@@ -137,15 +156,15 @@ def _(spark, d):
         if arrived is not None:
             arrived.select("value", "file").write.mode("append").partitionBy("file").text(source)
         convert_new_files(spark, f"{source}/file=*", target, ledger, state, COLUMNS, types=TYPES, pattern=PATTERN, header=False)
-        entries = spark.read.parquet(ledger).select("source_file", "cycle", "n_written", "n_wrong")
+        entries = spark.read.parquet(ledger).drop("batch")
         new = entries if seen is None else entries.join(seen.select("source_file"), "source_file", "left_anti")
-        stamped = new.withColumn("pass", F.lit(number))
-        path = f"{root}/passes/pass_number={number}"
-        stamped.write.parquet(path)
+        new.withColumn("pass", F.lit(number)).write.parquet(f"{root}/passes/pass_number={number}")
         seen = spark.read.parquet(f"{root}/passes").drop("pass_number")
-    stored = read_converted(spark, target).groupBy("cycle").agg(F.count("*").alias("n"))
-    passes = seen.groupBy("cycle").agg(F.sum("n_wrong").alias("n_wrong"), F.max("pass").alias("pass"))
-    return stored.withColumn("cycle", F.col("cycle").cast("bigint")).join(passes, "cycle")
+    rows = read_converted(spark, target, COLUMNS, types=TYPES)
+    stored = rows.groupBy("cycle").agg(
+        F.count_if(F.col("city").contains("ü")).alias("n_umlaut"), F.count_if(F.col("employer").contains("\\")).alias("n_backslash")
+    )
+    return stored.join(_per_cycle(seen), "cycle").join(seen.groupBy("cycle").agg(F.max("pass").alias("pass")), "cycle")
 
 
 @query("ing_partition_summary", role_sql("txn") + " SELECT cycle, count(*) AS n_rows FROM txn GROUP BY cycle ORDER BY cycle")

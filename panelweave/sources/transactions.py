@@ -63,28 +63,36 @@ TYPED: Mapping[str, str] = {
 }
 NULL_TOKEN = "\\N"
 CORRUPT = "_corrupt_record"
+_BEYOND = "_beyond"
 _UNSET = "\u0001"
+_BYTES = "ISO-8859-1"  # every byte is one character, so text read this way can be decoded again
 
 
 def text_schema(columns: Sequence[str], corrupt: bool = False) -> StructType:
-    """All columns as text, optionally with the column that receives malformed records."""
-    names = [*columns, CORRUPT] if corrupt else list(columns)
+    """All columns as text, optionally with one column too many and the one that receives the record.
+
+    A record that lacks a field counts as malformed, and only such records are handed over whole. With
+    one column more than the file has, that is every record of the right or a smaller length.
+    """
+    names = [*columns, _BEYOND, CORRUPT] if corrupt else list(columns)
     return StructType([StructField(n, StringType()) for n in names])
 
 
-def repaired(text: Column) -> Column:
+def repaired(text: Column, ends_record: Column) -> Column:
     """Remove a backslash at the end of each physical line of a field.
 
     The source escapes a line break inside quotes with a backslash. With backslash not an escape
     character the reader keeps such a field in one piece, so the stray mark can go after parsing:
-    no cleaned copy of the files is written.
+    no cleaned copy of the files is written. The end of a field is the end of a line only where
+    ``ends_record``: for the last field of a record, and only if no closing quote follows it.
     """
-    return F.regexp_replace(text, r"(?m)\\$", "")
+    inside = F.regexp_replace(text, r"\\(?=\n)", "")
+    return F.when(ends_record, F.regexp_replace(inside, r"\\$", "")).otherwise(inside)
 
 
 def _field_count(record: Column) -> Column:
     bare = F.regexp_replace(record, r'(?s)"[^"]*"', "")
-    return F.size(F.split(bare, ","))
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
 
 
 def csv_options(header: bool = True, encoding: str = "UTF-8") -> dict[str, object]:
@@ -105,15 +113,16 @@ def csv_fields(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     The token ``\\N`` is NULL while an empty field stays an empty string. Short rows are padded with
     NULL; rows with too many fields are marked ``long`` for the caller to count and drop.
     """
-    bad = F.col(f"`{CORRUPT}`")
-    count = _field_count(bad)
-    state = F.when(bad.isNull(), "ok").when(count > len(columns), "long").otherwise("short")
+    n, record = len(columns), F.col(f"`{CORRUPT}`")
+    counted = raw.withColumn("_n_fields", F.when(record.isNull(), n + 1).otherwise(_field_count(record)))
+    counted = counted.withColumn("_open_end", F.coalesce(~F.endswith(record, F.lit('"')), F.lit(False)))
+    count = F.col("_n_fields")
+    state = F.when(count > n, "long").when(count < n, "short").otherwise("ok")
     fields = []
     for i, c in enumerate(columns):
-        text = F.col(f"`{c}`")
-        present = F.when(bad.isNull() | (count > i), F.coalesce(text, F.lit("")))
-        fields.append(F.nullif(repaired(present), F.lit(NULL_TOKEN)).alias(c))
-    return raw.select(*fields, state.alias("row_state"), F.col("_metadata.file_path").alias("source_file"))
+        present = F.when(count > i, F.coalesce(F.col(f"`{c}`"), F.lit("")))
+        fields.append(F.nullif(repaired(present, F.col("_open_end") & (count == i + 1)), F.lit(NULL_TOKEN)).alias(c))
+    return counted.select(*fields, state.alias("row_state"), F.col("_metadata.file_path").alias("source_file"))
 
 
 def read_dirty_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str], *, encoding: str = "UTF-8",
@@ -134,34 +143,31 @@ def probe_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_files(spark: SparkSession, path: str | list[str], columns: Sequence[str]) -> DataFrame:
-    """Dirty CSV of mixed encodings: valid UTF-8 as it is, all else as Latin-1."""
-    probed = [(r.source_file, r.is_utf8) for r in probe_files(spark, path).collect()]  # one row per file
-    parts = [
-        read_dirty_csv(spark, [f for f, ok in probed if ok is is_utf8], columns, encoding=name)
-        for is_utf8, name in ((True, "UTF-8"), (False, "ISO-8859-1"))
-        if any(ok is is_utf8 for _, ok in probed)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def read_files(spark: SparkSession, path: str | list[str], columns: Sequence[str], *, header: bool = True,
+               probed: DataFrame | None = None) -> DataFrame:
+    """Dirty CSV of mixed encodings: valid UTF-8 as it is, all else as Latin-1.
+
+    All files are read once, a character per byte; the fields of files that ``probed`` (by default
+    :func:`probe_files`) finds to be UTF-8 are then decoded. No list of files reaches the driver.
+    """
+    rows = read_dirty_csv(spark, path, columns, encoding=_BYTES, header=header)
+    known = (probe_files(spark, path) if probed is None else probed).select("source_file", "is_utf8")
+    joined = rows.join(known, "source_file")
+    text = lambda c: F.when(F.col("is_utf8"), F.decode(F.encode(F.col(c), _BYTES), "UTF-8")).otherwise(F.col(c))
+    return joined.select(*[text(c).alias(c) for c in columns], "row_state", "source_file")
+
+
+def rejection(raw: DataFrame, key: str = "cycle") -> Column:
+    """Why a row is not converted: too many fields (``long``) or a key that does not parse (``key``); else NULL."""
+    no_key = F.when(F.col(key).try_cast("bigint").isNull(), "key")
+    return F.when(F.col("row_state") == "long", "long").otherwise(no_key) if "row_state" in raw.columns else no_key
 
 
 def typed(raw: DataFrame, types: Mapping[str, str] = TYPED, key: str = "cycle") -> DataFrame:
-    """Cast tolerantly, drop overlong rows and rows whose key does not parse."""
-    kept = raw.where(F.col("row_state") != "long") if "row_state" in raw.columns else raw
-    out = []
-    for c in raw.columns:
-        if c == "row_state":
-            continue
-        if c == key:
-            out.append(F.col(c).try_cast("bigint").alias(c))
-        elif c in types:
-            out.append(F.col(c).try_cast(types[c]).alias(c))
-        else:
-            out.append(F.col(c))
-    return kept.select(*out).where(F.col(key).isNotNull())
+    """Cast tolerantly, without the rows that :func:`rejection` names; count those beforehand (``audit.ledger_rows``)."""
+    casts = {c: types[c] for c in raw.columns if c in types} | {key: "bigint"}
+    kept = raw.where(rejection(raw, key).isNull())
+    return kept.select(*[F.col(c).try_cast(casts[c]).alias(c) if c in casts else F.col(c) for c in raw.columns if c != "row_state"])
 
 
 def renamed(raw: DataFrame, names: Mapping[str, str] = SOURCE_NAMES) -> DataFrame:
@@ -171,9 +177,14 @@ def renamed(raw: DataFrame, names: Mapping[str, str] = SOURCE_NAMES) -> DataFram
 
 def key_from_path(path: Column, pattern: str = r"_(\d{4})\.csv", low: int = 1979, high: int = 2024) -> Column:
     """Partition key from the file name; a missing or out-of-range key is an error."""
-    key = F.regexp_extract(path, pattern, 1).try_cast("bigint")
     message = F.concat(F.lit("no key in range in file name "), path)
-    return F.when(key.between(low, high), key).otherwise(F.raise_error(message).cast("bigint"))
+    return F.coalesce(key_or_null(path, pattern, low, high), F.raise_error(message).cast("bigint"))
+
+
+def key_or_null(path: Column, pattern: str, low: int, high: int) -> Column:
+    """The key in the file name if it has one in range, else NULL."""
+    key = F.regexp_extract(path, pattern, 1).try_cast("bigint")
+    return F.when(key.between(low, high), key)
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, *, mode: str = "overwrite", compression: str = "zstd",

@@ -6,46 +6,45 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from panelweave.sources.transactions import (
-    TYPED, csv_fields, csv_options, key_from_path, text_schema, typed,
-)
+from panelweave.session import written
+from panelweave.sources.audit import ledger_rows
+from panelweave.sources.transactions import TYPED, key_or_null, probe_files, read_files, read_partitioned, typed
 
 
 def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str,
                       columns: Sequence[str], *, key: str = "cycle", types: Mapping[str, str] = TYPED,
-                      pattern: str = r"_(\d{4})\.csv", header: bool = True, files_per_batch: int = 64) -> None:
+                      pattern: str = r"_(\d{4})\.csv", low: int = 1979, high: int = 2024, header: bool = True,
+                      files_per_batch: int = 64) -> None:
     """Convert the files in ``source`` that no earlier call has finished, then stop.
 
-    The stream's checkpoint knows the finished files, so a repeated or restarted call does only
-    what is left. A batch writes under its own number: a batch replayed after a crash overwrites its
-    own output in data and ledger and adds nothing twice. The partition key comes from the file
-    name; rows that state another key are kept as ``row_<key>`` and counted in the ledger.
+    The stream carries the names of new files only (``files_per_batch`` at a time); their content goes
+    through the batch reader, which tells UTF-8 from Latin-1 per file. The stream's checkpoint knows the
+    finished files, so a repeated or restarted call does only what is left. A batch writes under its own
+    number: a batch replayed after a crash overwrites its own output in data and ledger and adds nothing
+    twice. The partition key comes from the file name; rows that state another key are kept as
+    ``row_<key>`` and counted in the ledger. Every file gets a ledger row, also one without a good row; a
+    file whose name has no key from ``low`` to ``high`` is entered as failed and the others go on.
     """
-    stream = (
-        spark.readStream.schema(text_schema(columns, corrupt=True))
-        .options(**csv_options(header))
-        .option("maxFilesPerTrigger", files_per_batch)
-        .csv(source)
-    )
+    kind = "path string, modificationTime timestamp, length bigint, content binary"  # only the path is read
+    names = spark.readStream.format("binaryFile").schema(kind).option("maxFilesPerTrigger", files_per_batch).load(source).select("path")
 
     def convert(batch: DataFrame, number: int) -> None:
-        rows = typed(batch, types, key).withColumnRenamed(key, f"row_{key}")
-        rows = rows.withColumn(key, key_from_path(F.col("source_file"), pattern))
+        session = batch.sparkSession
+        paths = [r["path"] for r in batch.collect()]  # at most files_per_batch
+        probed = written(probe_files(session, paths), "probed")
+        of_file = key_or_null(F.col("source_file"), pattern, low, high)
+        raw = read_files(session, paths, columns, header=header, probed=probed).withColumn(f"_file_{key}", of_file)
+        raw = written(raw.where(F.col(f"_file_{key}").isNotNull()), "batch-rows")
+        rows = typed(raw, types, key).withColumnsRenamed({key: f"row_{key}", f"_file_{key}": key})
         out = f"{target}/batch={number}"
         rows.write.mode("overwrite").partitionBy(key).option("compression", "zstd").parquet(out)
-        done = batch.sparkSession.read.schema(rows.schema).parquet(out)
-        entry = done.groupBy("source_file").agg(
-            F.max(key).alias(key),
-            F.count("*").alias("n_written"),
-            F.count_if(~F.col(key).eqNullSafe(F.col(f"row_{key}"))).alias("n_wrong"),
-        )
-        status = F.when(F.col("n_wrong") > 0, "wrong_key").otherwise("converted")
-        entry.withColumn("status", status).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        entries = ledger_rows(raw, probed, key=key, file_key=of_file)
+        entries.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     query = (
-        csv_fields(stream, columns)
-        .writeStream.foreachBatch(convert)
+        names.writeStream.foreachBatch(convert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -53,6 +52,9 @@ def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str
     query.awaitTermination()
 
 
-def read_converted(spark: SparkSession, target: str) -> DataFrame:
-    """All converted rows, over all batches."""
-    return spark.read.parquet(target).drop("batch")
+def read_converted(spark: SparkSession, target: str, columns: Sequence[str], *, key: str = "cycle",
+                   types: Mapping[str, str] = TYPED) -> DataFrame:
+    """All converted rows, over all batches, with the types they were written with and the key pinned to BIGINT."""
+    kinds = {**{c: types.get(c, "string") for c in columns if c != key}, f"row_{key}": "bigint", "source_file": "string", "batch": "bigint"}
+    schema = StructType.fromDDL(", ".join(f"`{c}` {kind}" for c, kind in kinds.items()))
+    return read_partitioned(spark, target, schema, key).drop("batch")

@@ -44,7 +44,7 @@ def test_dirty_csv(spark, tmp_path, zipped):
     assert rows["5"]["row_state"] == "short" and rows["5"]["city"] is None
     assert rows["6"]["row_state"] == "long"
     assert rows["7"]["employer"] == "back\\slash" and rows["7"]["city"] == "end"
-    assert rows["8"]["employer"] == "tail" and rows["8"]["row_state"] == "short"
+    assert rows["8"]["employer"] == "tail\\" and rows["8"]["row_state"] == "short"
     typed = {r["txn_id"]: r for r in transactions.typed(transactions.read_dirty_csv(spark, path, COLUMNS)).collect()}
     assert set(typed) == {"1", "2", "3", "5", "7", "8"}
     assert typed["3"]["amount"] is None and typed["7"]["amount"] == 100.0 and typed["1"]["cycle"] == 2016
@@ -116,8 +116,10 @@ def test_audit_and_ledger(spark, tmp_path):
     assert (good["n"], good["n_wrong"], good["complete"]) == (6, 0, True)
     wrong = rows.withColumn("cycle", F.when(F.col("txn_id") == "1", None).otherwise(F.col("cycle")))
     assert audit.audit(wrong, "cycle", "file_cycle", COLUMNS).first()["complete"] is False
-    entry = audit.ledger_rows(rows, transactions.probe_files(spark, path)).first()
-    assert (entry["n_lines"], entry["n_written"], entry["transcoded"]) == (10, 6, False)
+    raw = transactions.read_dirty_csv(spark, path, COLUMNS)
+    entry = audit.ledger_rows(raw, transactions.probe_files(spark, path)).first()
+    assert (entry["n_lines"], entry["n_written"], entry["n_long"], entry["n_bad_key"], entry["transcoded"]) == (10, 6, 1, 1, False)
+    assert (entry["cycle"], entry["status"]) == (2016, "converted")
     files = spark.createDataFrame([(entry["source_file"],), ("other",)], "source_file string")
     assert [r[0] for r in audit.not_yet_done(files, spark.createDataFrame([entry])).collect()] == ["other"]
 
@@ -127,14 +129,54 @@ def test_incremental_conversion_converts_each_file_once(spark, tmp_path):
     run = lambda: convert_new_files(spark, source, out, ledger, state, COLUMNS)
     _write(f"{source}/txn_2016.csv", DIRTY)
     run()
-    assert read_converted(spark, out).count() == 6
+    assert read_converted(spark, out, COLUMNS).count() == 6
     run()
-    assert read_converted(spark, out).count() == 6
+    back = read_converted(spark, out, COLUMNS)
+    assert back.count() == 6 and back.schema["cycle"].dataType.simpleString() == "bigint"
     _write(f"{source}/txn_2018.csv", HEADER + b"2018,1,1,a,b\n2020,2,1,a,b\n")
     run()
     entries = {r["cycle"]: (r["n_written"], r["n_wrong"], r["status"]) for r in spark.read.parquet(ledger).collect()}
     assert entries == {2016: (6, 0, "converted"), 2018: (2, 1, "wrong_key")}
-    assert read_converted(spark, out).where("cycle = 2018 and row_cycle = 2020").count() == 1
+    assert read_converted(spark, out, COLUMNS).where("cycle = 2018 and row_cycle = 2020").count() == 1
+
+
+def test_incremental_conversion_of_odd_files(spark, tmp_path):
+    source, out, ledger, state = (str(tmp_path / p) for p in ("src", "out", "ledger", "state"))
+    _write(f"{source}/txn_2016.csv", HEADER + "2016,1,1,Müller,Köln\n".encode("latin-1"))
+    _write(f"{source}/txn_2018.csv", HEADER + "2018,2,1,Müller,Köln\n".encode())
+    _write(f"{source}/txn_2020.csv", HEADER + b"bad,3,1,a,b\n")
+    _write(f"{source}/txn_2022.csv", HEADER)
+    _write(f"{source}/txn_2026.csv", HEADER + b"2026,4,1,a,b\n")
+    convert_new_files(spark, source, out, ledger, state, COLUMNS)
+    rows = read_converted(spark, out, COLUMNS).collect()
+    assert {(r["cycle"], r["employer"], r["city"]) for r in rows} == {(2016, "Müller", "Köln"), (2018, "Müller", "Köln")}
+    entries = {os.path.basename(r["source_file"]): r for r in spark.read.parquet(ledger).collect()}
+    assert {k: (r["status"], r["n_written"], r["n_bad_key"], r["transcoded"]) for k, r in entries.items()} == {
+        "txn_2016.csv": ("converted", 1, 0, True), "txn_2018.csv": ("converted", 1, 0, False), "txn_2020.csv": ("empty", 0, 1, False),
+        "txn_2022.csv": ("empty", 0, 0, False), "txn_2026.csv": ("failed", 0, 0, False),
+    }
+    other = [str(tmp_path / p) for p in ("out2", "ledger2", "state2")]
+    convert_new_files(spark, source, *other, COLUMNS, high=2030)
+    assert read_converted(spark, other[0], COLUMNS).where("cycle = 2026").count() == 1
+
+
+@pytest.mark.parametrize(
+    "line,employer,city",
+    [
+        (b"2016,1,1,ACME\\,Boston\n", "ACME\\", "Boston"), (b'2016,1,1,"ACME\\",Boston\\\n', "ACME\\", "Boston"),
+        (b'2016,1,1,a,"Boston\\"\n', "a", "Boston\\"), (b'2016,1,1,"two\\\n\\\nlines\\x",b\n', "two\n\nlines\\x", "b"),
+        (b"2016,1,1,a,b\\\\\n", "a", "b\\"), (b"2016,1,1,a\\\n", "a", None), (b"2016,1,1,,\n", "", ""),
+    ],
+)
+def test_backslashes(spark, tmp_path, line, employer, city):
+    _write(str(tmp_path / "txn_2016.csv"), HEADER + line)
+    row = transactions.read_dirty_csv(spark, str(tmp_path), COLUMNS).first()
+    assert (row["employer"], row["city"]) == (employer, city)
+
+
+def test_files_without_a_header(spark, tmp_path):
+    _write(str(tmp_path / "txn_2016.csv"), b"2016,1,1,a,b\n2016,2,1,a,b\n")
+    assert transactions.read_files(spark, str(tmp_path), COLUMNS, header=False).count() == 2
 
 
 def test_written_survives_in_the_shared_folder(spark):
