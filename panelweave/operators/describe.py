@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from panelweave.operators.ordered import running_total
 from panelweave.operators.skew import hot_split_join
 
 
@@ -92,74 +93,48 @@ def composition(df: DataFrame, by: str, part: str) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by)))
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 100_000) -> DataFrame:
-    """Exact quantiles per group with linear interpolation, as columns ``q0, q1, ...``, and rows ``n``.
+def ranked_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Distinct known values per group: ``_x``, rows that have it ``_c``, rows up to it ``_upto``, rows of the group ``_n``.
 
-    ``percentile`` would hold all distinct values of a group in one buffer. Here a mergeable sketch
-    brackets every quantile, and a second pass counts what lies below each bracket and ranks the
-    distinct values inside it, a few in ``accuracy``. A bracket that misses its rank is an error.
+    Repeated values, however frequent, cost one row per task before they are ranked, and ranking splits a
+    large group over ranges; see ``ordered.running_total``, which writes the values.
     """
-    if not by:
-        return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs, accuracy).drop("_all")
-    by, k = list(by), len(probs)
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"))
-    margin = 4.0 / accuracy
-    low, high = [max(p - margin, 0.0) for p in probs], [min(p + margin, 1.0) for p in probs]
-    sketch = F.percentile_approx("_x", F.array(*[F.lit(p) for p in (*low, *high)]), F.lit(accuracy))
-    whole = F.col("_n") * margin < 4  # a small group is its own bracket
-    brackets = known.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"), sketch.alias("_s"),
-    ).select(
-        *by, "_n",
-        F.when(whole, F.array_repeat("_min", k)).otherwise(F.slice("_s", 1, k)).alias("_lo"),
-        F.when(whole, F.array_repeat("_max", k)).otherwise(F.slice("_s", k + 1, k)).alias("_hi"),
-    )
-    # distinct values first: repeated scores, however frequent, cost one row per task
     values = known.groupBy(*by, "_x").agg(F.count("*").alias("_c"))
-    placed = hot_split_join(values, brackets, by, count="_n", null_safe=True)
-    below = placed.groupBy(*by).agg(
-        F.max("_n").alias("_n"),
-        F.array(*[F.sum(F.when(F.col("_x") < F.col("_lo")[i], F.col("_c")).otherwise(0)) for i in range(k)]).alias("_below"),
-    )
-    hits = F.filter(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda i: (F.col("_x") >= F.col("_lo")[i]) & (F.col("_x") <= F.col("_hi")[i]),
-    )
-    inside = placed.where(F.size(hits) > 0).select(*by, "_x", "_c", F.explode(hits).alias("_q"))
-    running = Window.partitionBy(*by, "_q").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_cum", F.sum("_c").over(running))
-    ranked = ranked.join(
-        below.select(*[F.col(c).alias(f"_k_{c}") for c in by], "_n", "_below"),
-        _all([ranked[c].eqNullSafe(F.col(f"_k_{c}")) for c in by]),
-    )
-    # position of the quantile among the sorted values, counted from zero
-    place = (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("_q") + 1)
-    under = F.element_at("_below", F.col("_q") + 1)
-    upto = under + F.col("_cum")
-    low_rank, high_rank = F.floor(place) + 1, F.ceil(place) + 1
-    found = ranked.groupBy(*by, "_q").agg(
-        F.max("_n").alias("_n"),
-        F.min(F.when(upto >= low_rank, F.col("_x"))).alias("_v0"),
-        F.min(F.when(upto >= high_rank, F.col("_x"))).alias("_v1"),
-        F.bool_and(under < low_rank).alias("_sound"),
-        F.max(place - F.floor(place)).alias("_part"),
-    )
-    sound = F.col("_sound") & F.col("_v1").isNotNull()
-    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_part")
-    missed = F.raise_error(F.lit("quantile bracket missed")).cast("double")
-    exact = found.withColumn("_v", F.when(sound, between).otherwise(missed))
-    picks = [F.max(F.when(F.col("_q") == i, F.col("_v"))).alias(f"q{i}") for i in range(k)]
-    return exact.groupBy(*by).agg(F.max("_n").alias("n"), *picks)
+    return running_total(values, by, ["_x"], F.col("_c"), "_upto", "_n")
+
+
+def _quantiles(ranked: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles with linear interpolation from ranked values: one grouping, nothing is collected."""
+
+    def at(p: float) -> Column:
+        place = (F.col("_n") - 1) * F.lit(float(p))  # among the sorted values, counted from zero
+        low, high = (F.min(F.when(F.col("_upto") >= rank, F.col("_x"))) for rank in (F.floor(place) + 1, F.ceil(place) + 1))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return ranked.groupBy(*by).agg(F.max("_n").alias("n"), *[at(p).alias(f"q{i}") for i, p in enumerate(probs)])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles per group with linear interpolation, as columns ``q0, q1, ...``, and rows ``n``.
+
+    ``percentile`` would hold all distinct values of a group in one buffer. Here distinct values are ranked by
+    running totals over ranges, and a quantile is the smallest value whose rank reaches it.
+    """
+    out = _quantiles(ranked_values(df, by, value), by, probs)
+    return out if by else out.where("n IS NOT NULL")
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, whiskers (last value within 1.5 box lengths) and outlier count per group."""
+    """Quartiles, whiskers (last value within 1.5 box lengths) and outlier count per group.
+
+    The ranked values serve the quartiles and, joined to them, the whiskers.
+    """
     by = list(by)
-    box = quantiles(df, by, value, (0.25, 0.5, 0.75)).select(
-        *by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3")
-    )
-    values = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("_c"))
-    rows = hot_split_join(values, box, by, count="n", null_safe=True)
+    ranked = ranked_values(df, by, value)
+    box = _quantiles(ranked, by, (0.25, 0.5, 0.75))
+    box = box.select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    rows = hot_split_join(ranked.select(*by, "_x", "_c"), box, by, count="n", null_safe=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.groupBy(*by).agg(

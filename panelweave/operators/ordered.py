@@ -7,39 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelweave.session import written
 
-def running_count(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], marker: Column,
-                  name: str = "grp") -> DataFrame:
-    """Number of marker rows up to and including this row, per ``by`` group in ``order``.
 
-    ``bucket`` is a coarse part of the order (a day, a thousand ids) that never decreases along it.
-    Markers are counted per bucket, a window adds up the few bucket totals, and a second window
-    counts inside each bucket; so a group with a third of all rows is split by its buckets.
+def running_total(df: DataFrame, by: Sequence[str], order: Sequence[str], amount: Column, name: str,
+                  total: str | None = None) -> DataFrame:
+    """Sum of ``amount`` up to and including this row, per ``by`` group in ``order``; ``total`` adds the whole group's sum.
+
+    The rows are range-partitioned by group and order, so a group with a third of all rows lies in many
+    consecutive ranges, and are written that way (this runs jobs). Each range adds up its own rows; the sums of
+    ranges before it in the same group come from a window over the range totals, a row per range and group.
+    ``order`` must tell the rows of a group apart, or rows that tie are numbered arbitrarily.
     """
     by = list(by)
-    marked = df.withColumn("_bucket", bucket).withColumn("_m", F.when(marker, 1).otherwise(0).cast("long"))
-    totals = marked.groupBy(*by, "_bucket").agg(F.sum("_m").alias("_t"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in by],
-        F.col("_bucket").alias("_k_bucket"),
-        F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"),
+    ranged = df.withColumn("_amount", amount).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    keys = [*by, "_range"]
+    sums = ranged.groupBy(*keys).agg(F.sum("_amount").alias("_sum"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy()
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(c).alias(f"_k_{c}") for c in keys],
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(group).alias("_whole"),
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    counted = marked.withColumn("_inside", F.sum("_m").over(inside))
-    on = counted["_bucket"].eqNullSafe(offsets["_k_bucket"])
-    for c in by:
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    counted = ranged.withColumn("_inside", F.sum("_amount").over(inside))
+    on = F.lit(True)
+    for c in keys:
         on = on & counted[c].eqNullSafe(offsets[f"_k_{c}"])
-    return counted.join(offsets, on).select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
+    more = [F.col("_whole").alias(total)] if total else []
+    return counted.join(offsets, on).select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name), *more)
 
 
-def row_numbers(df: DataFrame, bucket: Column, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Consecutive row numbers over the whole frame in ``order``, bucket by bucket.
+def running_count(df: DataFrame, by: Sequence[str], order: Sequence[str], marker: Column, name: str = "grp") -> DataFrame:
+    """Number of marker rows up to and including this row, per ``by`` group in ``order``."""
+    return running_total(df, by, order, F.when(marker, 1).otherwise(0).cast("long"), name)
 
-    One task adds up the bucket totals, so choose a bucket that gives at most some million of them.
-    """
-    whole = df.withColumn("_all", F.lit(1))
-    return running_count(whole, ["_all"], bucket, order, F.lit(True), name).drop("_all")
+
+def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
+    """Consecutive row numbers over the whole frame in ``order``; one task adds up one total per range."""
+    return running_count(df, [], order, F.lit(True), name)
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DIGITS = 4  # leading hex digits that form the buckets: 16 ** 4 of them
+from panelweave.session import written
+
+_DIGITS = 8  # leading hex digits that are compared as a number
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int | str = 123) -> DataFrame:
     """The ``n`` rows whose hashed key is smallest; ``key`` must be unique.
 
-    The order is the md5 of seed and key, so the same rows come out on every run and any engine.
-    Bucket counts tell which bucket holds the n-th row: lower buckets are kept whole, and only that
-    one bucket, a 65,536th of the rows, is ranked. Nothing is sorted as a whole.
+    The order is the md5 of seed and key, so the same rows come out on every run and any engine. Hashes are
+    uniform: of N rows, those below a share n / N plus six standard errors hold the n smallest all but certainly.
+    They are written (this runs jobs) and only they are sorted. Should they be too few, the share is doubled.
     """
+    whole = df.count()
     hashed = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
-    hashed = hashed.withColumn("_b", F.conv(F.substring("_h", 1, _DIGITS), 16, 10).cast("int"))
-    counts = hashed.groupBy("_b").agg(F.count("*").alias("_n"))
-    # one row per bucket, at most 65,536: a single ordered window is safe
-    running = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))
-    reached = running.where(F.col("_before") < n)
-    last = reached.agg(F.max("_b")).scalar()
-    before = reached.agg(F.max("_before")).scalar()
-    whole = hashed.where(F.col("_b") < last)
-    ranked = hashed.where(F.col("_b") == last).withColumn(
-        "_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    )
-    part = ranked.where(F.col("_r") <= n - before)
-    return whole.select(*df.columns).unionByName(part.select(*df.columns))
+    place = F.conv(F.substring("_h", 1, _DIGITS), 16, 10).cast("long")
+    share = min(1.0, (n + 6 * math.sqrt(n) + 20) / max(whole, 1))
+    while True:
+        low = written(hashed.where(place < math.ceil(share * 16**_DIGITS)), "sample")
+        if share >= 1.0 or low.count() >= n:
+            return low.orderBy("_h", key).limit(n).select(*df.columns)
+        share = min(1.0, 2 * share)
 
 
 def sample_ids(df: DataFrame, key: str, n: int, seed: int | str = 123) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.session import written
 
-HOT_KEYS = 512  # length of the broadcast list; any key outside it owns less than 1/512 of the rows
+TASK_ROWS = 1_000_000  # rows of one key that a task takes; a key with more is spread over several
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool):
@@ -19,30 +19,32 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: boo
 
 
 def hot_split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, count: str,
-                   null_safe: bool = False) -> DataFrame:
+                   null_safe: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
     """Left join to a ``right`` with one row per key of ``left``; ``right[count]`` counts its rows.
 
-    ``right`` is written to the shared folder first: it is read twice below, and a stored table of
-    known size lets the planner broadcast it when small, which spares ``left`` the shuffle.
+    This runs a job: ``right`` is written to the shared folder first, because it is read twice below, and
+    a stored table of known size lets the planner broadcast it when small, which spares ``left`` the shuffle.
 
-    The ``HOT_KEYS`` most frequent keys go into a broadcast list, whose length bounds it. Rows that
-    meet it are done; in the shuffled join they carry a salt, which spreads them over the
-    partitions, while all other rows join on salt 0. Rows with a NULL key are spread the same way.
-    A key absent from ``right`` joins to nothing, but its rows stay together: hand in all keys and
-    filter afterwards when an absent key may be frequent.
+    A key of c rows is dealt to ceil(c / task_rows) places: its rows carry a salt below that number, and its
+    one row of ``right`` is repeated for every salt. How many keys are split follows from the counts alone;
+    they are at most rows / task_rows, which bounds the table of their factors, the only thing broadcast.
+    Rows with a NULL key are spread the same way when they meet nothing. The salt is a hash of all columns, so
+    rows that are equal throughout stay together: group those beforehand. A key absent from ``right`` joins to
+    nothing, but its rows stay together: hand in all keys and filter afterwards when one may be frequent.
     """
     right = written(right, "join-side")
     values = [c for c in right.columns if c not in keys]
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_v_{v}") for v in values])
     tie = [f"_k_{k}" for k in keys]
-    hot = renamed.orderBy(F.desc(f"_v_{count}"), *tie).limit(HOT_KEYS)
-    hot = hot.select(*tie, F.lit(True).alias("_hot"), *[F.col(f"_v_{v}").alias(f"_h_{v}") for v in values])
-    step = left.join(F.broadcast(hot), _same(left, hot, keys, null_safe), "left").drop(*tie)
-    apart = F.col("_hot").isNotNull()
+    factor = F.ceil(F.col(f"_v_{count}") / F.lit(task_rows)).cast("int")
+    split = renamed.where(F.col(f"_v_{count}") > task_rows).select(*tie, factor.alias("_factor"))
+    step = left.join(F.broadcast(split), _same(left, split, keys, null_safe), "left").drop(*tie)  # at most rows / task_rows
+    places = F.coalesce("_factor", F.lit(1))
     if not null_safe:
-        apart = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys), apart)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(HOT_KEYS)) + 1
-    step = step.withColumn("_salt", F.when(apart, spread).otherwise(F.lit(0)).cast("long"))
-    cold = renamed.withColumn("_cold", F.lit(0).cast("long"))
-    joined = step.join(cold, _same(step, cold, keys, null_safe) & (step["_salt"] == cold["_cold"]), "left")
-    return joined.select(*left.columns, *[F.coalesce(F.col(f"_h_{v}"), F.col(f"_v_{v}")).alias(v) for v in values])
+        unknown = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+        places = F.when(unknown, F.lit(1 << 20)).otherwise(places)
+    step = step.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), places).cast("int")).drop("_factor")
+    copies = F.sequence(F.lit(0), F.greatest(F.coalesce(factor, F.lit(1)), F.lit(1)) - 1)
+    spread = renamed.withColumn("_place", F.explode(copies))
+    joined = step.join(spread, _same(step, spread, keys, null_safe) & (step["_salt"] == spread["_place"]), "left")
+    return joined.select(*left.columns, *[F.col(f"_v_{v}").alias(v) for v in values])

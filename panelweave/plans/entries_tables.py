@@ -451,14 +451,14 @@ def _(spark, d):
     PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM events""")
 def _(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
-    out = ordered.running_count(rows, ["user_id"], F.to_date("ts"), ["ts", "event_id"], F.col("event_type") == "signup")
+    out = ordered.running_count(rows, ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
     return out.select("event_id", "user_id", "grp")
 
 
 @query("win_row_number", "SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS row_id FROM part")
 def _(spark, d):
     rows = table(spark, d, "part").select("p_partkey")
-    return ordered.row_numbers(rows, F.floor(F.col("p_partkey") / 1000), ["p_partkey"])
+    return ordered.row_numbers(rows, ["p_partkey"])
 
 
 @query("win_dedup_first", "SELECT p_name, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS rn FROM part) WHERE rn = 1")
