@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.jaro import jaro_distance
 from panelweave.functions.names import company_key
-from panelweave.functions.signatures import with_signatures
+from panelweave.functions.signatures import letter_order, with_signatures
 from panelweave.operators.skew import hot_split_join
 from panelweave.session import written
 
 STRICT, LOOSE = 0.03, 0.06
+BLOCK = 2000  # rows of one blocking key that meet in a task, on either side
 
 
 def company_reference(register: DataFrame, name: str = "real_name", code: str = "sic", order: str = "cik") -> DataFrame:
@@ -36,38 +37,56 @@ def company_reference(register: DataFrame, name: str = "real_name", code: str =
 
 @dataclass(frozen=True)
 class Matcher:
-    """A register made ready once and reused by every batch of strings: reference rows and blocking keys."""
+    """A register made ready once and reused by every batch of strings: reference rows, letters and blocking keys."""
 
     reference: DataFrame
     index: DataFrame
+    letters: str
     loose: float
 
 
 def build_matcher(register: DataFrame, loose: float = LOOSE, *, name: str = "real_name", code: str = "sic",
                   order: str = "cik") -> Matcher:
     """Deduplicate a register and write it and its blocking keys for ``loose`` to the shared folder."""
-    reference = written(company_reference(register, name, code, order), "reference")
-    index = written(with_signatures(reference.select("ref_norm"), "ref_norm", loose, "reference"), "reference-index")
-    return Matcher(reference, index, loose)
+    return _matcher(written(company_reference(register, name, code, order), "reference"), loose)
+
+
+def _matcher(reference: DataFrame, loose: float, key: str = "ref_norm") -> Matcher:
+    letters = letter_order(reference, key)
+    index = written(with_signatures(reference.select(key), key, loose, "reference", letters), "reference-index")
+    return Matcher(reference, index, letters, loose)
 
 
 def candidate_pairs(queries: DataFrame, reference: DataFrame | Matcher, max_distance: float, *,
-                    query_key: str = "query_norm", ref_key: str = "ref_norm") -> DataFrame:
-    """All (query, reference) key pairs within ``max_distance``, with ``distance``.
+                    query_key: str = "query_norm", ref_key: str = "ref_norm", block: int = BLOCK) -> DataFrame:
+    """All (query, reference) key pairs within ``max_distance``, with ``distance``, each once.
 
-    A pair appears once per shared blocking key; group or deduplicate downstream. Each key value
-    must occur once per side. A matcher's index must have been built for the same distance.
+    Each key value must occur once per side. A matcher's index must have been built for the same distance.
+    Blocking keys of both sides are written (this runs jobs) and counted. Where both sides of a blocking key
+    are large, they are cut into blocks of ``block`` rows that meet in a grid, so no task compares a large
+    group with a large group. Pairs that share several blocking keys are compared once.
     """
-    left = with_signatures(queries.select(query_key), query_key, max_distance, "query")
     if isinstance(reference, Matcher):
         if reference.loose != max_distance:
             raise ValueError(f"the matcher was built for distance {reference.loose}, not {max_distance}")
-        right = reference.index
+        matcher = reference
     else:
-        right = with_signatures(reference.select(ref_key), ref_key, max_distance, "reference")
+        matcher = _matcher(reference, max_distance, ref_key)
+    left = written(with_signatures(queries.select(query_key), query_key, max_distance, "query", matcher.letters), "query-index")
+    n_left, n_right = (side.groupBy("sig").agg(F.count("*").alias(n)) for side, n in ((left, "_l"), (matcher.index, "_r")))
+    large = n_left.join(n_right, "sig").where(F.col("_l") * F.col("_r") > block * block)
+    cuts = [F.ceil(F.col(n) / block).cast("int").alias(c) for n, c in (("_l", "_rows"), ("_r", "_columns"))]
+    large = written(large.select("sig", *cuts), "large-signatures")
+
+    def dealt(side: DataFrame, key: str, own: str, across: str) -> DataFrame:
+        marked = side.join(large, "sig", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_rows", "_columns")})
+        place = F.pmod(F.xxhash64(key), F.col("_rows" if own == "_i" else "_columns")).cast("int")
+        copies = F.sequence(F.lit(0), F.col("_columns" if own == "_i" else "_rows") - 1)
+        return marked.withColumn(own, place).withColumn(across, F.explode(copies)).select("sig", "_i", "_j", key)
+
+    met = dealt(left, query_key, "_i", "_j").join(dealt(matcher.index, ref_key, "_j", "_i"), ["sig", "_i", "_j"])
     return (
-        left.join(right, "sig")
-        .select(query_key, ref_key)
+        met.select(query_key, ref_key).distinct()
         .withColumn("distance", jaro_distance(F.col(query_key), F.col(ref_key)))
         .where(F.col("distance") <= max_distance + 1e-12)
     )

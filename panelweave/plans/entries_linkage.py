@@ -86,21 +86,22 @@ def _(spark, d):
     return _keys(spark, d).join(ref, "query_norm").select("query_norm", "cik", "sic")
 
 
-@query("lnk_jaro", """SELECT s_suppkey, p_name, round(jaro_similarity(lower(s_name || ' ' || n_name), p_name || ' ' || lower(p_type) || ' ' || n_name), 9) AS similarity
-    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN part ON p_size = n_nationkey""")
+@query("lnk_jaro", role_sql("txn") + """ SELECT txn_id, round(jaro_similarity(lower(employer), p_name || ' ' || lower(p_type)), 9) AS similarity
+    FROM txn JOIN orders ON o_orderkey = txn_id JOIN part ON p_partkey = o_custkey""")
 def _(spark, d):
-    t = lambda n: table(spark, d, n)
-    rows = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("part"), F.col("p_size") == F.col("n_nationkey"))
-    left = F.lower(F.concat("s_name", F.lit(" "), "n_name"))
-    right = F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" "), "n_name")
-    return rows.select("s_suppkey", "p_name", r6(jaro_similarity(left, right), 9).alias("similarity"))
+    # the employer as an order states it against the firm's name: one pair per order
+    rows = bind.transactions(spark, d).select("txn_id", "employer").join(
+        table(spark, d, "orders").select(F.col("o_orderkey").alias("txn_id"), F.col("o_custkey").alias("p_partkey")), "txn_id"
+    ).join(table(spark, d, "part"), "p_partkey")
+    firm = F.concat("p_name", F.lit(" "), F.lower("p_type"))
+    return rows.select("txn_id", r6(jaro_similarity(F.lower("employer"), firm), 9).alias("similarity"))
 
 
 @query("lnk_candidates", role_sql("strings", "reference", extra=_KEYS_SQL) + f""" SELECT query_norm, ref_norm, round({_DIST}, 9) AS distance
     FROM keys CROSS JOIN reference WHERE {_DIST} <= 0.06""")
 def _(spark, d):
     pairs = linkage.candidate_pairs(_keys(spark, d), written(_reference(spark, d), "reference"), 0.06)
-    return pairs.distinct().select("query_norm", "ref_norm", r6("distance", 9).alias("distance"))
+    return pairs.select("query_norm", "ref_norm", r6("distance", 9).alias("distance"))
 
 
 @query("lnk_nearest", role_sql("strings", "reference", extra=_KEYS_SQL) + f""" SELECT query_norm, ref_norm, round(distance, 9) AS distance FROM (

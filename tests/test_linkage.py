@@ -1,6 +1,7 @@
 """Jaro and the lossless blocking against brute force."""
 
 import random
+import time
 
 import duckdb
 import pandas as pd
@@ -60,7 +61,7 @@ def test_equals_other_implementation():
 
 
 @pytest.mark.parametrize("distance", [0.02, 0.06, 0.1, 0.2])
-@pytest.mark.parametrize("kind", ["names", "short", "long", "unicode"])
+@pytest.mark.parametrize("kind", ["names", "short", "long", "longer", "unicode"])
 def test_blocking_loses_no_pair(spark, distance, kind):
     rng = random.Random(hash((kind, distance)) % 1000)
     if kind == "short":
@@ -69,6 +70,9 @@ def test_blocking_loses_no_pair(spark, distance, kind):
     elif kind == "long":
         left = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(12, 22))) for _ in range(12)]
         right = [_typos(rng, rng.choice(left), rng.randint(1, 12)) for _ in range(30)]
+    elif kind == "longer":
+        left = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(36, 105))) for _ in range(8)]
+        right = [_typos(rng, rng.choice(left), rng.randint(1, 60)) for _ in range(16)]
     else:
         left, right = _names(rng, 120)
         if kind == "unicode":
@@ -82,7 +86,49 @@ def test_blocking_loses_no_pair(spark, distance, kind):
     score = jaro_batch(pd.Series([a for a, _ in every]), pd.Series([b for _, b in every]))
     want = {p for p, s in zip(every, score, strict=True) if round(1 - s, 12) <= distance}
     assert got == want
-    assert want or kind in ("short", "unicode", "long")
+    assert want or kind in ("short", "unicode", "long", "longer")
+
+
+def test_blocking_keys_grow_with_the_length_only(spark):
+    from panelweave.functions.signatures import with_signatures
+
+    rng = random.Random(7)
+    rows = [(n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))) for n in (20, 80, 320, 640, 2000)]
+    keys = with_signatures(spark.createDataFrame(rows, "n int, query_norm string"), "query_norm", 0.1, "query")
+    for r in keys.groupBy("n").agg(F.countDistinct("sig").alias("keys")).collect():
+        assert r["keys"] <= 20 * r["n"], (r["n"], r["keys"])
+
+
+def test_large_blocking_keys_are_cut_into_blocks(spark):
+    rng = random.Random(3)
+    left, right = (sorted({_typos(rng, "red widget blue anvil", 2) for _ in range(80)}) for _ in range(2))
+    q = spark.createDataFrame([(s,) for s in left], "query_norm string")
+    r = spark.createDataFrame([(s,) for s in right], "ref_norm string")
+    whole = linkage.candidate_pairs(q, r, 0.1).collect()
+    assert sorted(map(str, linkage.candidate_pairs(q, r, 0.1, block=7).collect())) == sorted(map(str, whole))
+    assert len({(x[0], x[1]) for x in whole}) == len(whole)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd é漢", max_size=30), st.text("abcd é漢", max_size=30))
+def test_a_pair_alone_equals_a_batch(a, b):
+    from panelweave.functions.jaro import jaro_pair
+
+    assert abs(jaro_pair(a, b) - jaro_batch(pd.Series([a]), pd.Series([b]))[0]) < 1e-12
+
+
+def test_a_long_text_does_not_set_the_cost_of_the_others():
+    from panelweave.functions.jaro import jaro_by_length
+
+    rng = random.Random(5)
+    left, right = _names(rng, 2000)
+    left.append("".join(rng.choice("abcdefgh ") for _ in range(20_000)))
+    right.append(left[-1][5:] + "tail")
+    start = time.time()
+    got = jaro_by_length(pd.Series(left), pd.Series(right))
+    assert time.time() - start < 5
+    assert abs(got[:2000] - jaro_batch(pd.Series(left[:2000]), pd.Series(right[:2000]))).max() < 1e-12
+    assert got[-1] > 0.9
 
 
 def test_blocking_is_selective(spark):
@@ -91,10 +137,13 @@ def test_blocking_is_selective(spark):
     weights = [12.7, 9.1, 8.2, 7.5, 7, 6.7, 6.3, 6.1, 6, 4.3, 4, 2.8, 2.8, 2.4, 2.2, 2.4, 2, 1.9, 1, 1.5, 2, 0.8, 0.15, 0.1, 0.15, 0.07]
     word = lambda: "".join(rng.choices(letters, weights, k=rng.randint(3, 8)))
     names = sorted({" ".join(word() for _ in range(rng.randint(2, 4))) for _ in range(1500)})
-    from panelweave.functions.signatures import with_signatures
+    from panelweave.functions.signatures import letter_order, with_signatures
 
-    q = with_signatures(spark.createDataFrame([(s,) for s in names], "query_norm string"), "query_norm", 0.06, "query")
-    r = with_signatures(spark.createDataFrame([(s,) for s in names], "ref_norm string"), "ref_norm", 0.06, "reference")
+    refs = spark.createDataFrame([(s,) for s in names], "ref_norm string")
+    order = letter_order(refs, "ref_norm")
+    assert set("etaoin") < set(order[-10:])
+    q = with_signatures(spark.createDataFrame([(s,) for s in names], "query_norm string"), "query_norm", 0.06, "query", order)
+    r = with_signatures(refs, "ref_norm", 0.06, "reference", order)
     met = q.join(r, "sig").select("query_norm", "ref_norm").distinct().count()
     assert met / len(names) ** 2 < 0.005
 
