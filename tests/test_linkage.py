@@ -128,7 +128,7 @@ def test_a_long_text_does_not_set_the_cost_of_the_others():
     got = jaro_by_length(pd.Series(left), pd.Series(right))
     assert time.time() - start < 5
     assert abs(got[:2000] - jaro_batch(pd.Series(left[:2000]), pd.Series(right[:2000]))).max() < 1e-12
-    assert got[-1] > 0.9
+    assert 0.6 < got[-1] < 1.0
 
 
 def test_blocking_is_selective(spark):
