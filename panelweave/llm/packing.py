@@ -9,7 +9,7 @@ room for all of it. If none has, it is cut: the sequence of lowest cost with any
 and the remainder looks again.
 
 Tokenising works on distinct words. This vocabulary never joins characters across white space, so a text's
-ids are those of its words in order, and a batch encodes every distinct word once.
+ids are those of its words in order, and a batch encodes only words that the process has not met yet.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import heapq
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import texts
+from panelweave.llm.common import in_arrow, texts
 
 CAPACITY = 4096
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / CAPACITY
 GROUP_DOCS = 1024
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 _JOINED = 256  # words encoded as one string
+_KNOWN = 1 << 19  # words a process remembers
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -49,46 +51,76 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
+        self._forget()
         # Fixed value: the vocabulary's own division of a word.
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def _n_parts(self, word: str) -> int:
-        if word.isalpha():
-            return 1
-        if word[-1:] in ".,:;|" and word[:-1].isalpha():
-            return 2
-        return sum(1 for _ in self.parts.finditer(unicodedata.normalize("NFC", word).lower()))
-
-    def words(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _n_parts(self, words: pa.Array) -> np.ndarray:
+        """Parts of each word in the vocabulary's own division."""
+        parts = np.ones(len(words), dtype=np.int64)
+        other = np.flatnonzero(~pc.utf8_is_alpha(words).to_numpy(zero_copy_only=False))
+        for i, w in zip(other.tolist(), words.take(pa.array(other)).to_pylist(), strict=True):
+            if w[-1:] in ".,:;|" and w[:-1].isalpha():
+                parts[i] = 2
+            else:
+                parts[i] = sum(1 for _ in self.parts.finditer(unicodedata.normalize("NFC", w).lower()))
+        return parts
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and the number of ids of each.
 
         Words are encoded many at a time; the ids that end a part tell the words apart again. Words that could
         hold a special token, and strings whose parts do not add up, are encoded one by one.
         """
-        strings = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
-        coded = self.tokenizer.encode_batch_fast([" ".join(s) for s in strings], add_special_tokens=False)
-        ids, counts = [], []
-        for own, code in zip(strings, coded, strict=True):
+        texts, parts = words.to_pylist(), self._n_parts(words)
+        apart = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        low = range(0, len(texts), _JOINED)
+        coded = self.tokenizer.encode_batch_fast([" ".join(texts[i : i + _JOINED]) for i in low], add_special_tokens=False)
+        ids, counts = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        for i, code in zip(low, coded, strict=True):
+            own = slice(i, i + _JOINED)
             got = np.asarray(code.ids, dtype=np.uint32)
-            parts = np.fromiter((self._n_parts(w) for w in own), dtype=np.int64, count=len(own))
             last = np.flatnonzero(self.ends[got])
-            if len(last) != parts.sum() or any("<|" in w for w in own):
-                single = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in own]
+            if len(last) != parts[own].sum() or apart[own].any():
+                single = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in texts[own]]
                 ids.append(np.asarray([i for one in single for i in one], dtype=np.uint32))
                 counts.append(np.asarray([len(one) for one in single], dtype=np.int64))
                 continue
-            stops = np.concatenate([[0], last + 1])[np.cumsum(parts)]
+            stops = np.concatenate([[0], last + 1])[np.cumsum(parts[own])]
             ids.append(got)
             counts.append(np.diff(stops, prepend=0))
-        none = np.zeros(0, dtype=np.uint32)
-        return np.concatenate([none, *ids]), np.concatenate([none.astype(np.int64), *counts])
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An array of ids with the first id and the number of ids of each of some distinct words.
+
+        Words of earlier calls are remembered, about ``_KNOWN`` of them at most; then the memory starts anew.
+        """
+        if len(self.known) > _KNOWN:
+            self._forget()
+        at = pc.index_in(words, value_set=self.known)
+        unknown = pc.is_null(at)
+        new = words.filter(unknown)
+        place = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[unknown.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        if len(new):
+            ids, counts = self._encoded(new)
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.ids = np.concatenate([self.ids, ids])
+            self.known = pa.concat_arrays([self.known, new])
+        return self.ids, self.starts[place], self.counts[place]
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.starts = self.counts = np.zeros(0, dtype=np.int64)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each text."""
         split = pc.ascii_split_whitespace(column)
         coded = split.flatten().dictionary_encode()
-        ids, counts = self.words(coded.dictionary.to_pylist())
-        starts = np.cumsum(counts) - counts
+        ids, starts, counts = self.words(coded.dictionary)
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         lengths = counts[index]
         ends = np.cumsum(lengths)
@@ -99,6 +131,12 @@ class WordTokenizer:
         return flat, np.diff(before[offsets])
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The process's tokenizer; tasks that follow each other in a process share it."""
+    return WordTokenizer(path)
+
+
 def pack(lengths: Sequence[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents given by their lengths.
 
@@ -164,7 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     kind = spark.createDataFrame([], SCHEMA).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = tokenizer_of(tokenizer_path)
         out = to_arrow_schema(kind)
         sequence = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -187,4 +225,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     sequence += top
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
-    return texts(docs).mapInArrow(run, kind)
+    return in_arrow(texts(docs), run, kind)
