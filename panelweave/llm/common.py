@@ -8,10 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -28,6 +33,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+
+    A batch is held several times, on both sides of the pipe to Python, and texts are long. The session's
+    setting is lowered when it allows more, since it counts at the time the rows are computed.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(_BATCH_KEY, BATCH_ROWS)
+    return rows.mapInArrow(run, schema)
+
+
 def by_batch(rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, step: int = 256) -> DataFrame:
     """Apply ``work`` to the columns of at most ``step`` rows at a time, as Arrow batches inside the tasks.
 
@@ -43,4 +60,4 @@ def by_batch(rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]]
                 made = work(batch.slice(start, step).to_pydict())
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(made[f.name], f.type) for f in out}, schema=out)
 
-    return rows.mapInArrow(run, kind)
+    return in_arrow(rows, run, kind)

@@ -23,14 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import partitions, texts
+from panelweave.llm.common import in_arrow, partitions, texts
 
 S = 8
 #: Texts of fewer characters than ``SHORT`` use the finer scale.
 SHORT, S_SHORT = 96, 2
 _BASE, _WORD = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _COARSE = 64
-_STEP_ROWS, _STEP_CHARS = 512, 2_000_000
+_STEP_ROWS, _STEP_CHARS = 512, 1_000_000
 SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
@@ -199,4 +199,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     held, following, chars = [], [], 0
                 last = (doc_id, text) if own else None
 
-    return streams.select("doc_id", "text", "own").mapInArrow(run, kind)
+    return in_arrow(streams.select("doc_id", "text", "own"), run, kind)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import texts
+from panelweave.llm.common import in_arrow, texts
 
 #: Bounds of the training sample: documents per language, characters per document.
 SAMPLE, SAMPLE_CHARS = 60, 20_000
@@ -35,7 +35,7 @@ GRAMS = (2, 3, 4)
 _BITS = 16
 _BLOCK = 32
 _ROUNDS, _RATE, _DECAY = 20, 0.15, 1e-4
-_SLICE_BYTES = 6 << 20
+_SLICE_BYTES = 3 << 19
 #: Documents below this score count as of unknown language in ``known_language``.
 LEAST_SCORE = 0.35
 UNKNOWN = "und"
@@ -121,8 +121,10 @@ def emissions(model: Model, words: Words) -> np.ndarray:
     return out
 
 
-def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of every word; also forward values before and scaled scores times backward values after it.
+def forward_backward(
+    scores: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, learning: bool = False
+) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """Marginals of every word; when ``learning`` also forward values before and scaled scores times backward values after it.
 
     Sequences are cut into blocks. The transfer matrix of every block comes first, for all blocks at once; the
     values at block borders follow by a scan over a sequence's blocks, and the words inside from those.
@@ -159,10 +161,12 @@ def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.nd
         b = first[longer[k]] + k
         v = np.einsum("ikc,kc->ic", matrix[:, :, b + 1], after[:, b + 1])
         after[:, b] = v / v.max(axis=0)
-    previous, forward, ahead = np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    forward, ahead = np.empty_like(x), np.empty_like(x)
+    previous = np.empty_like(x) if learning else None
     a = before
     for s in range(_BLOCK):
-        previous[s] = a
+        if learning:
+            previous[s] = a
         a = (step.T @ a) * x[s]
         a /= a.sum(axis=0)
         forward[s] = a
@@ -173,6 +177,8 @@ def forward_backward(scores: np.ndarray, offsets: np.ndarray, transitions: np.nd
         b = np.where(real[s], v / v.max(axis=0), b)
     forward *= ahead
     forward /= forward.sum(axis=1, keepdims=True)
+    if not learning:
+        return forward[at], None, None
     ahead *= x
     return forward[at], previous[at], ahead[at]
 
@@ -213,7 +219,7 @@ def fit(samples: dict[str, list[str]], rounds: int = _ROUNDS) -> Model:
     slow, fast = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for t in range(1, rounds + 1):
         scores = emissions(model, words)[index]
-        marginals, previous, ahead = forward_backward(scores, offsets, model.transitions)
+        marginals, previous, ahead = forward_backward(scores, offsets, model.transitions, learning=True)
         error = truth - marginals
         of_word = np.stack([np.bincount(index, weights=error[:, k], minlength=len(distinct)) for k in range(n)], axis=1)
         grams = np.zeros_like(model.grams)
@@ -314,7 +320,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     schema=out,
                 )
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, kind)
+    return in_arrow(rows.select("doc_id", "text", "held_out"), run, kind)
 
 
 def runs_of_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -335,7 +341,7 @@ def runs_of_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
                     found.append([{"first": int(a - low), "words": int(b - a), "lang": own.languages[label[a]]} for a, b in zip(cut[:-1], cut[1:], strict=True)])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, out.field("runs").type)], schema=out)
 
-    return texts(docs).mapInArrow(run, kind)
+    return in_arrow(texts(docs), run, kind)
 
 
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
@@ -352,4 +358,4 @@ def known_language(docs: DataFrame, least_score: float = LEAST_SCORE, model: Mod
                 counts, best, score = _judged(own, pc.fill_null(part.column("text"), ""))
                 yield part.filter(pa.array((best < len(own.languages)) & (score >= least_score)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

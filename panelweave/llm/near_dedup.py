@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import partitions, texts
+from panelweave.llm.common import in_arrow, partitions, texts
 from panelweave.session import written
 
 #: Defaults: words of a shingle, and the least likeness in hundredths.
@@ -45,7 +45,7 @@ _TOP = (1 << 16) - 2
 #: Pairs whose estimate is this far below the threshold are dropped (some five standard errors).
 MARGIN = 0.2
 GROUP, BLOCK = 64, 256
-_SLICE_BYTES = 6 << 20
+_SLICE_BYTES = 2 << 20
 _CHUNK = 1 << 16
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 _RANDOM = np.random.default_rng(20240229)
@@ -165,7 +165,7 @@ def sketches(rows: DataFrame, width: int) -> DataFrame:
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.binary())], schema=out
                 )
 
-    return rows.mapInArrow(run, kind)
+    return in_arrow(rows, run, kind)
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
@@ -180,7 +180,7 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
                 keys = pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(sets, pa.binary())], schema=out)
 
-    return rows.mapInArrow(run, kind)
+    return in_arrow(rows, run, kind)
 
 
 def _stars(reps: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame, threshold: int) -> DataFrame:
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("n_member", "n_hub"))
                 yield batch.select(["hub", "member", "star"]).filter(pa.array(likeness(a, b, n, m) >= least))
 
-    return joined.select("hub", "member", "star", "r_member", "r_hub", "n_member", "n_hub").mapInArrow(run, pairs.select("hub", "member", "star").schema)
+    return in_arrow(joined.select("hub", "member", "star", "r_member", "r_hub", "n_member", "n_hub"), run, pairs.select("hub", "member", "star").schema)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
@@ -259,7 +259,7 @@ def _relative(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), out, strict=True)], schema=out)
 
-    return rows.mapInArrow(run, kind)
+    return in_arrow(rows, run, kind)
 
 
 def _linked(common: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
@@ -307,7 +307,7 @@ def _links_beside_hubs(relative: DataFrame, threshold: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=out)
 
-    return dealt.mapInArrow(run, kind)
+    return in_arrow(dealt, run, kind)
 
 
 def components(links: DataFrame) -> DataFrame:

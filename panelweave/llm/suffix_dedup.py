@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import partitions, texts
+from panelweave.llm.common import in_arrow, partitions, texts
 from panelweave.session import written
 
 LENGTH, GRAM = 100, 32
 #: Different segments of one anchor from which its windows are dealt by hash.
 WIDE = 50_000
-_SLICE_BYTES = 4 << 20
-_PLACE_BITS = 23  # places within a slice, for the leftmost of equal hashes
+_SLICE_BYTES = 2 << 20
+_PLACE_BITS = 22  # places within a slice and its overlap, for the leftmost of equal hashes
 _BASE, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LAST = np.iinfo(np.int64).max  # rows without an id come last
@@ -199,11 +199,12 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int,
             data = text.encode("utf-8", "surrogatepass")
             doc, tie = _LAST if doc is None else doc, zlib.crc32(data)
             for at in range(0, max(len(data) - LENGTH + 1, 0), _SLICE_BYTES):
-                held.append((doc, tie, at, data[at : at + _SLICE_BYTES + LENGTH - 1]))
-                size += len(held[-1][3])
-                if size >= _SLICE_BYTES:
+                piece = data[at : at + _SLICE_BYTES + LENGTH - 1]
+                if held and size + len(piece) > _SLICE_BYTES:
                     yield held
                     held, size = [], 0
+                held.append((doc, tie, at, piece))
+                size += len(piece)
     if held:
         yield held
 
@@ -232,7 +233,7 @@ def _send_segments(docs: DataFrame, buckets: int) -> DataFrame:
             if made:
                 yield _batch(made, out)
 
-    return docs.mapInArrow(run, kind)
+    return in_arrow(docs, run, kind)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, int, bytes]]]]:
@@ -281,7 +282,7 @@ def _settle(rows: DataFrame, buckets: int, wide: int) -> DataFrame:
             if made:
                 yield _batch(made, out)
 
-    return _dealt(rows).mapInArrow(run, kind)
+    return in_arrow(_dealt(rows), run, kind)
 
 
 def _texts_by_document(docs: DataFrame, buckets: int) -> DataFrame:
@@ -299,7 +300,7 @@ def _texts_by_document(docs: DataFrame, buckets: int) -> DataFrame:
             if ids:
                 yield _batch([(int(b), TEXT, i, zlib.crc32(d), squeeze.compress(d)) for b, i, d in zip(bucket, ids, data, strict=True)], out)
 
-    return docs.mapInArrow(run, kind)
+    return in_arrow(docs, run, kind)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> Iterator[tuple[int | None, int, bytes, dict[int, np.ndarray]]]:
@@ -375,7 +376,7 @@ def _send_bytes(rows: DataFrame, buckets: int) -> DataFrame:
                 yield from made()
         yield from made()
 
-    return _dealt(rows).mapInArrow(run, kind)
+    return in_arrow(_dealt(rows), run, kind)
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
@@ -499,7 +500,7 @@ def _mark_factors(rows: DataFrame, buckets: int) -> DataFrame:
             if made:
                 yield _batch(made, out)
 
-    return _dealt(rows).mapInArrow(run, kind)
+    return in_arrow(_dealt(rows), run, kind)
 
 
 def _cut(rows: DataFrame, whole: bool) -> DataFrame:
@@ -522,7 +523,7 @@ def _cut(rows: DataFrame, whole: bool) -> DataFrame:
         if made:
             yield _batch(made, out)
 
-    return _dealt(rows).mapInArrow(run, kind)
+    return in_arrow(_dealt(rows), run, kind)
 
 
 def remove_repeats(docs: DataFrame, wide: int = WIDE, whole: bool = False) -> DataFrame:
