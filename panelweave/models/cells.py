@@ -2,26 +2,23 @@
 
 All categorical predictors of a row form its cell. Per cell, Spark keeps the row count, the means and
 the covariances of the covariates and the outcome; any linear model in those variables, with any
-interactions, is a function of these numbers. The cells are bounded by the product of the level
-counts, so they fit on the driver whatever the size of the data.
+interactions, is a function of these numbers. The cells stay a table; what a model needs of them is
+summed in Spark, and only its matrix, a row and column per coefficient, comes to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.models.design import Column as DesignColumn
 from panelweave.models.design import Design, Factor
 from panelweave.session import written
 
-MAX_CELLS = 200_000
-
-
 def known_rows(df: DataFrame, outcome: str, factors: Sequence[Factor], numerics: Sequence[str],
                group: str | None = None) -> DataFrame:
     """Rows with every model variable present and every factor at a known level."""
@@ -53,77 +50,87 @@ def cell_table(df: DataFrame, outcome: str, factors: Sequence[Factor], numerics:
 
 @dataclass
 class Cells:
-    """Cells on the driver, and the per-group cells as a frame when there are groups."""
+    """The stored cells, per group when there are groups, with the mean of every variable and the number of rows.
+
+    Sums over cells that designs ask for (see :meth:`gram`) are kept, so designs that share columns share jobs.
+    """
 
     outcome: str
     factors: tuple[Factor, ...]
     numerics: tuple[str, ...]
     group: str | None
-    levels: dict[str, np.ndarray]
-    n: np.ndarray
-    means: np.ndarray
-    second: np.ndarray
-    by_group: DataFrame | None = None
+    table: DataFrame
+    shift: np.ndarray
+    n_rows: int
+    known: dict[tuple, float] = field(default_factory=dict)
 
-    @cached_property
-    def n_rows(self) -> int:
-        return int(round(self.n.sum()))
+    @property
+    def by_group(self) -> DataFrame:
+        return self.table
 
     def value_index(self, name: str) -> int:
         return (*self.numerics, self.outcome).index(name)
 
-    def indicator(self, conditions) -> np.ndarray:
-        """1 for cells at the given levels, else 0."""
-        out = np.ones(len(self.n))
-        for name, level in conditions:
-            out = out * np.array([v == level for v in self.levels[name]], dtype=float)
-        return out
+    def prepare(self, designs: Iterable[Design]) -> Cells:
+        """Sum what all of these designs need in one job; returns the cells."""
+        self.gram(list(dict.fromkeys(c for d in designs for c in d.columns)))
+        return self
+
+    def gram(self, columns: Sequence[DesignColumn]) -> np.ndarray:
+        """Cross-products of the design columns and, in the last place, the outcome, in shifted coordinates.
+
+        A cell is active in few columns, those whose levels it has. Spark sums its moments into every pair of
+        active columns; only the numbers of the matrix reach the driver, however many cells there are.
+        """
+        places = [(c.levels, c.numeric) for c in columns]
+        wanted = [*places, None]
+        pairs = [(a, b) for i, a in enumerate(wanted) for b in wanted[i:]]
+        if any((a, b) not in self.known and (b, a) not in self.known for a, b in pairs):
+            self._sum(columns)
+        value = lambda a, b: self.known.get((a, b), self.known.get((b, a), 0.0))
+        return np.array([[value(a, b) for b in wanted] for a in wanted])
+
+    def _sum(self, columns: Sequence[DesignColumn]) -> None:
+        size, shift = len(self.shift) + 1, self.shift.tolist()
+        index = [None, *range(len(shift))]
+        names = [f.name for f in self.factors]
+        moments = F.array(*[F.sum(moment(a, b, shift)) for a in index for b in index])
+        cells = self.table.groupBy(*names).agg(moments.alias("_moments"))
+        kinds = [0 if c.numeric is None else 1 + self.value_index(c.numeric) for c in columns]
+        marks = []
+        for i, (c, kind) in enumerate(zip(columns, kinds, strict=True)):
+            test = F.lit(True)
+            for name, level in c.levels:
+                test = test & (F.col(name) == F.lit(level))
+            marks.append(F.when(test, F.struct(F.lit(i).alias("i"), F.lit(kind).alias("k"))))
+        marks.append(F.struct(F.lit(len(columns)).alias("i"), F.lit(size - 1).alias("k")))
+        active = cells.select("_moments", F.filter(F.array(*marks), lambda m: m.isNotNull()).alias("_a"))
+        pairs = active.select("_moments", "_a", F.explode("_a").alias("a")).select("_moments", "a", F.explode("_a").alias("b"))
+        value = F.element_at("_moments", F.col("a.k") * size + F.col("b.k") + 1)
+        sums = pairs.where("a.i <= b.i").groupBy(F.col("a.i").alias("a"), F.col("b.i").alias("b")).agg(F.sum(value).alias("v"))
+        wanted = [*[(c.levels, c.numeric) for c in columns], None]
+        for i, a in enumerate(wanted):
+            for b in wanted[i:]:
+                self.known.setdefault((a, b), 0.0)
+        for r in sums.collect():  # one row per entry of the matrix
+            self.known[wanted[r["a"]], wanted[r["b"]]] = r["v"]
 
 
 def collect_cells(df: DataFrame, outcome: str, factors: Sequence[Factor], numerics: Sequence[str] = (),
                   group: str | None = None) -> Cells:
-    """Read the data once and return its cells.
+    """Read the data once and return its cells, stored in the shared folder.
 
-    Covariates and outcome are stored relative to their means, which keeps cross-products well
-    conditioned; ``Moments`` undoes the shift in the coefficients. With ``group``, per-group cells
-    are written once and feed both the totals and the group blocks.
+    Covariates and outcome are taken relative to their means, which keeps cross-products well
+    conditioned; ``Moments`` undoes the shift in the coefficients. With ``group``, cells are kept per group
+    and feed both the totals and the group blocks.
     """
     factors, numerics = tuple(factors), tuple(numerics)
-    table = cell_table(df, outcome, factors, numerics, group)
-    by_group = None
+    table = written(cell_table(df, outcome, factors, numerics, group), "cells")
     k = len(numerics) + 1
-    names = [f.name for f in factors]
-    if group:
-        by_group = written(table, "group-cells")
-        centre = by_group.agg(*[(F.sum(F.col("n") * F.col(f"m_{i}")) / F.sum("n")).alias(f"a_{i}") for i in range(k)]).first()
-        shift = [float(centre[i]) for i in range(k)]
-        table = by_group.groupBy(*names).agg(
-            F.sum("n").alias("n"),
-            *[(F.sum(F.col("n") * (F.col(f"m_{i}") - shift[i])) / F.sum("n") + shift[i]).alias(f"m_{i}") for i in range(k)],
-            *[
-                (F.sum(moment(i, j, shift)) / F.sum("n")
-                 - F.sum(F.col("n") * (F.col(f"m_{i}") - shift[i])) * F.sum(F.col("n") * (F.col(f"m_{j}") - shift[j]))
-                 / (F.sum("n") * F.sum("n"))).alias(f"c_{i}_{j}")
-                for i in range(k) for j in range(i, k)
-            ],
-        )
-    rows = table.limit(MAX_CELLS + 1).collect()
-    if len(rows) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells; give factors with fewer levels, or use a group")
-    if not rows:
+    centre = table.agg(F.sum("n").alias("n"), *[(F.sum(F.col("n") * F.col(f"m_{i}")) / F.sum("n")).alias(f"a_{i}") for i in range(k)]).first()
+    if not centre["n"]:
         raise ValueError("no complete rows")
-    rows.sort(key=lambda r: tuple(str(r[c]) for c in names))
-    second = np.zeros((len(rows), k, k))
-    for i in range(k):
-        for j in range(i, k):
-            second[:, i, j] = second[:, j, i] = [r[f"c_{i}_{j}"] for r in rows]
-    return Cells(
-        outcome, factors, numerics, group,
-        {c: np.array([r[c] for r in rows], dtype=object) for c in names},
-        np.array([r["n"] for r in rows], dtype=float),
-        np.array([[r[f"m_{i}"] for i in range(k)] for r in rows], dtype=float).reshape(len(rows), k),
-        second, by_group,
-    )
+    return Cells(outcome, factors, numerics, group, table, np.array([float(centre[f"a_{i}"]) for i in range(k)]), int(centre["n"]))
 
 
 def moment(i: int | None, j: int | None, shift: Sequence[float]) -> Column:
@@ -142,33 +149,16 @@ class Moments:
     """X'X, X'y and y'y of one design, from cells, in shifted coordinates."""
 
     def __init__(self, cells: Cells, design: Design):
-        missing = [f.name for f in design.factors if f.name not in cells.levels]
+        names = [f.name for f in cells.factors]
+        missing = [f.name for f in design.factors if f.name not in names]
         missing += [c for c in design.numerics if c not in cells.numerics]
         if missing:
             raise ValueError(f"not in the cells: {missing}")
         self.cells, self.design = cells, design
         self.columns = design.columns
-        weights = cells.n / cells.n.sum()
-        self.shift = weights @ cells.means
-        k = len(self.shift)
-        centred = cells.means - self.shift
-        # moments of (1, values) per cell
-        m = np.zeros((len(cells.n), k + 1, k + 1))
-        m[:, 0, 0] = cells.n
-        m[:, 0, 1:] = m[:, 1:, 0] = cells.n[:, None] * centred
-        m[:, 1:, 1:] = cells.n[:, None, None] * (cells.second + centred[:, :, None] * centred[:, None, :])
-        self.ind = np.stack([cells.indicator(c.levels) for c in self.columns], axis=1)
-        self.kind = [0 if c.numeric is None else 1 + cells.value_index(c.numeric) for c in self.columns]
-        p = len(self.columns)
-        self.xtx = np.zeros((p, p))
-        for ka in set(self.kind):
-            for kb in set(self.kind):
-                a = [i for i, v in enumerate(self.kind) if v == ka]
-                b = [i for i, v in enumerate(self.kind) if v == kb]
-                self.xtx[np.ix_(a, b)] = self.ind[:, a].T @ (m[:, ka, kb][:, None] * self.ind[:, b])
-        y = k
-        self.xty = np.array([self.ind[:, i] @ m[:, self.kind[i], y] for i in range(p)])
-        self.yty = float(m[:, y, y].sum())
+        self.shift = cells.shift
+        whole = cells.gram(self.columns)
+        self.xtx, self.xty, self.yty = whole[:-1, :-1], whole[:-1, -1], float(whole[-1, -1])
         self.n = cells.n_rows
         self.kept = independent_columns(self.xtx)
 

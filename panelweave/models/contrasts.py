@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import Column as SqlColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,50 +19,55 @@ from panelweave.models.mixed import MixedFit
 _Z95 = 1.959963984540054  # 97.5 % point of the normal distribution
 
 
-def _rows_of(cells: Cells, columns: Sequence[Column], levels: dict[str, np.ndarray]) -> np.ndarray:
-    """Design row of every cell at the given levels, covariates at the cell mean."""
-    out = np.ones((len(cells.n), len(columns)))
-    for j, c in enumerate(columns):
-        for name, level in c.levels:
-            out[:, j] *= np.array([v == level for v in levels[name]], dtype=float)
-        if c.numeric is not None:
-            out[:, j] *= cells.means[:, cells.value_index(c.numeric)]
-    return out
+def _value(cells: Cells, column: Column, without: str | None = None) -> SqlColumn:
+    """Value of a design column for a cell, covariates at the cell mean; ``without`` leaves one factor's test out."""
+    out = F.lit(1.0)
+    for name, level in column.levels:
+        if name != without:
+            out = out * F.when(F.col(name) == F.lit(level), 1.0).otherwise(0.0)
+    return out if column.numeric is None else out * F.col(f"m_{cells.value_index(column.numeric)}")
 
 
 def average_comparisons(spark: SparkSession, fit, cells: Cells, variable: Factor, by: Sequence[str] = ()) -> DataFrame:
     """Effect of moving every row from the reference to each other level, averaged within ``by``.
 
     The model is linear, so the average over rows is the row-weighted average over cells: exact, and
-    without another pass over the data. Errors follow from the coefficient covariance. ``s_value``
-    is minus the base-2 logarithm of the p-value. Effects of group deviations cancel as long as the
-    variable's coefficients do not vary by group.
+    without another pass over the data. Moving a row changes only the columns that test the variable for
+    the new level, so one grouping of the cells gives the mean change of each such column. Errors follow
+    from the coefficient covariance. ``s_value`` is minus the base-2 logarithm of the p-value. Effects of
+    group deviations cancel as long as the variable's coefficients do not vary by group.
     """
     columns = fit.design.columns
     beta, cov = np.nan_to_num(fit.beta), np.nan_to_num(fit.cov)
-    base = variable.levels[0]
-    groups: dict[tuple, list[int]] = {}
-    for i in range(len(cells.n)):
-        groups.setdefault(tuple(cells.levels[b][i] for b in by), []).append(i)
-    rows = []
-    for level in variable.levels[1:]:
-        at = lambda v: {**cells.levels, variable.name: np.array([v] * len(cells.n), dtype=object)}
-        change = _rows_of(cells, columns, at(level)) - _rows_of(cells, columns, at(base))
-        for key, members in groups.items():
-            w = cells.n[members] / cells.n[members].sum()
-            c = w @ change[members]
-            estimate, se = float(c @ beta), math.sqrt(max(float(c @ cov @ c), 0.0))
-            z = estimate / se if se else math.nan
-            p = normal_two_sided(z) if se else math.nan
-            s = -math.log2(p) if p and p > 0 else math.inf
-            rows.append((variable.name, f"{level} - {base}", *[str(k) for k in key], estimate, se, z, p, s,
-                         estimate - _Z95 * se, estimate + _Z95 * se))
+    base, n = variable.levels[0], F.col("n")
+    places = {level: [j for j, c in enumerate(columns) if (variable.name, level) in c.levels] for level in variable.levels[1:]}
+    means = [(F.sum(n * _value(cells, columns[j], variable.name)) / F.sum(n)).alias(f"_c{j}") for own in places.values() for j in own]
+    kinds = {f.name: f.dataType.simpleString() for f in cells.table.schema.fields}
+    shown = [(F.initcap(F.col(b).cast("string")) if kinds[b] == "boolean" else F.col(b).cast("string")).alias(b) for b in by]
+    averaged = cells.table.groupBy(*by).agg(F.sum("n").alias("_n"), *means).select(*shown, *[f"_c{j}" for own in places.values() for j in own])
+    names = list(by)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for level, own in places.items():
+                c = pdf[[f"_c{j}" for j in own]].to_numpy(dtype=float).reshape(len(pdf), len(own))
+                estimate = c @ beta[own]
+                se = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", c, cov[np.ix_(own, own)], c), 0.0))
+                z = np.divide(estimate, se, out=np.full(len(pdf), np.nan), where=se > 0)
+                p = np.array([normal_two_sided(v) if not math.isnan(v) else math.nan for v in z])
+                s = np.array([-math.log2(v) if v > 0 else math.inf for v in p])
+                head = {"term": variable.name, "contrast": f"{level} - {base}", **{b: pdf[b] for b in names}}
+                yield pd.DataFrame({
+                    **head, "estimate": estimate, "std_error": se, "statistic": z, "p_value": p, "s_value": s,
+                    "conf_low": estimate - _Z95 * se, "conf_high": estimate + _Z95 * se,
+                }, index=pdf.index)
+
     keys = "".join(f", `{b}` string" for b in by)
     schema = (
         f"term string, contrast string{keys}, estimate double, std_error double, statistic double, p_value double, "
         "s_value double, conf_low double, conf_high double"
     )
-    return spark.createDataFrame(rows, schema)
+    return averaged.mapInPandas(compare, schema)
 
 
 def mean_predictions(fit: MixedFit, by: Sequence[str]) -> DataFrame:
@@ -72,14 +79,7 @@ def mean_predictions(fit: MixedFit, by: Sequence[str]) -> DataFrame:
     cells, m = fit.cells, fit.moments
     beta = np.nan_to_num(fit.beta)
 
-    def value(column: Column):
-        out = F.lit(1.0)
-        for name, level in column.levels:
-            out = out * F.when(F.col(name) == F.lit(level), 1.0).otherwise(0.0)
-        if column.numeric is not None:
-            out = out * F.col(f"m_{cells.value_index(column.numeric)}")
-        return out
-
+    value = lambda column: _value(cells, column)
     fixed = sum((value(c) * float(b) for c, b in zip(m.columns, beta, strict=True)), F.lit(0.0))
     random = [m.columns[r] for r in fit.random]
     wide = fit.random_effects().groupBy(cells.group).agg(

@@ -2,8 +2,9 @@
 
 With a relative covariance factor Lambda, everything the profiled likelihood needs from group g is
 Z'Z, Z'X and Z'y (Bates, Maechler, Bolker and Walker, 2015). Spark reduces the data to these blocks
-once; a likelihood evaluation is then a sum over groups. Few groups are summed on the driver; many
-stay a written table and every evaluation is a job over it.
+once; a likelihood evaluation is then a sum over groups. The blocks stay a written table, and one job
+evaluates a whole list of factors: a random-intercept fit takes five jobs over it, one with random slopes
+two for every Newton step, some twenty in all.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from panelweave.models.design import Design
 from panelweave.models.distributions import chi_square_tail, normal_two_sided
 from panelweave.session import written
 
-MAX_LOCAL_GROUPS = 50_000
-
 
 def _indicator(levels) -> Column:
     out = F.lit(1.0)
@@ -81,37 +80,37 @@ def _fit_terms(blocks: np.ndarray, lam: np.ndarray, zpos: Sequence[int], beta: n
 
 
 class Groups:
-    """Group blocks, on the driver when few and as a written table when many."""
+    """Group blocks as a written table. Whatever is summed over groups is summed by a job, for many factors at once."""
 
-    def __init__(self, frame: DataFrame, q: int, width: int, local_limit: int = MAX_LOCAL_GROUPS):
+    def __init__(self, frame: DataFrame, q: int, width: int):
         self.q, self.width = q, width
         self.name = frame.columns[0]
         self.frame = written(frame, "group-blocks")
-        rows = self.frame.limit(local_limit + 1).collect()
-        self.local = None
-        if len(rows) <= local_limit:
-            self.local = np.array([r["block"] for r in rows], dtype=float).reshape(len(rows), q, width)
-            self.count = len(rows)
-        else:
-            self.count = self.frame.count()
-
-    def total(self, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Sum of ``part`` over all groups; tasks add up their own groups first."""
-        if self.local is not None:
-            return part(self.local)
+        self.count = self.frame.count()
+
+    def totals(self, part: Callable[[np.ndarray, np.ndarray], np.ndarray], factors: Sequence[np.ndarray]) -> np.ndarray:
+        """Sum of ``part(blocks, factor)`` over all groups, a row per factor.
+
+        Tasks add up their own groups; Spark adds up the tasks. The result has a row per factor whatever
+        the number of groups.
+        """
         q, width = self.q, self.width
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = None
+            sums = None
             for pdf in batches:
                 if len(pdf):
-                    value = part(np.stack(pdf["block"].to_numpy()).reshape(len(pdf), q, width))
-                    total = value if total is None else total + value
-            if total is not None:
-                yield pd.DataFrame({"v": [total.tolist()]})
+                    blocks = np.stack(pdf["block"].to_numpy()).reshape(len(pdf), q, width)
+                    own = np.stack([part(blocks, factor) for factor in factors])
+                    sums = own if sums is None else sums + own
+            if sums is not None:
+                yield pd.DataFrame({"t": np.arange(len(factors)), "v": list(sums)})
 
-        parts = self.frame.select("block").mapInPandas(add, "v array<double>").collect()  # one row per task
-        return np.sum([np.array(r["v"]) for r in parts], axis=0)
+        parts = self.frame.select("block").mapInPandas(add, "t int, v array<double>")
+        numbers = parts.select("t", F.posexplode("v").alias("i", "x")).groupBy("t", "i").agg(F.sum("x").alias("x"))
+        rows = numbers.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()  # one per factor
+        found = {r["t"]: [x for _, x in r["v"]] for r in rows}
+        return np.array([found[t] for t in range(len(factors))])
 
 
 @dataclass
@@ -188,9 +187,10 @@ def fit_mixed(cells: Cells, design: Design, random: Sequence[str] = ("(Intercept
     xtx, xty, yty = m.xtx[np.ix_(m.kept, m.kept)], m.xty[m.kept], m.yty
     free = n - p if reml else n
 
-    def solve(theta: np.ndarray):
-        lam = _lower(theta, q)
-        total = groups.total(lambda blocks: _sum_terms(blocks, lam, zpos))
+    def terms(thetas: Sequence[np.ndarray]) -> np.ndarray:
+        return groups.totals(lambda blocks, lam: _sum_terms(blocks, lam, zpos), [_lower(t, q) for t in thetas])
+
+    def solve(theta: np.ndarray, total: np.ndarray):
         cross = total[1:].reshape(p + 1, p + 1)
         a, b = xtx - cross[:p, :p], xty - cross[:p, p]
         chol = np.linalg.cholesky(a)
@@ -199,22 +199,25 @@ def fit_mixed(cells: Cells, design: Design, random: Sequence[str] = ("(Intercept
         deviance = total[0] + free * (1 + math.log(2 * math.pi * r2 / free))
         if reml:
             deviance += 2 * np.log(np.diag(chol)).sum()
-        return deviance, lam, a, np.linalg.solve(chol.T, half), r2
-
-    def criterion(theta: np.ndarray) -> float:
-        try:
-            return solve(theta)[0]
-        except (np.linalg.LinAlgError, ValueError):
-            return math.inf
+        return deviance, _lower(theta, q), a, np.linalg.solve(chol.T, half), r2
+
+    def criterion(thetas: Sequence[np.ndarray]) -> np.ndarray:
+        out = np.full(len(thetas), math.inf)
+        for i, (theta, total) in enumerate(zip(thetas, terms(thetas), strict=True)):
+            try:
+                out[i] = solve(theta, total)[0]
+            except (np.linalg.LinAlgError, ValueError):  # no such model: not a minimum
+                continue
+        return out
 
-    theta = _minimise_scalar(criterion) if q == 1 else _minimise_simplex(criterion, q)
-    deviance, lam, a, beta_shifted, r2 = solve(theta)
+    theta = _minimise_scalar(criterion) if q == 1 else _minimise(criterion, q)
+    deviance, lam, a, beta_shifted, r2 = solve(theta, terms([theta])[0])
     # one sign per column: the diagonal is made non-negative
     lam = lam * np.where(np.diag(lam) < 0, -1.0, 1.0)[None, :]
     theta = lam[np.tril_indices(q)]
     sigma2 = r2 / free
     beta, cov = m.original(beta_shifted, sigma2 * np.linalg.inv(a))
-    total = groups.total(lambda blocks: _fit_terms(blocks, lam, zpos, beta_shifted))
+    total = groups.totals(lambda blocks, own: _fit_terms(blocks, own, zpos, beta_shifted), [lam])[0]
     rss = yty - 2 * xty @ beta_shifted + beta_shifted @ xtx @ beta_shifted + total[0]
     psi = sigma2 * lam @ lam.T
     var_random = float(np.trace(psi @ total[1:].reshape(q, q)) / n)
@@ -275,65 +278,74 @@ def _map_groups(fit: MixedFit, deviations_only: bool) -> DataFrame:
     return groups.frame.mapInPandas(predict, f"`{name}` {kind}, term string, value double")
 
 
-def _minimise_scalar(f: Callable[[np.ndarray], float], tolerance: float = 1e-9) -> np.ndarray:
-    """Golden-section search over a non-negative scalar, after widening the bracket."""
-    g = lambda x: f(np.array([x]))
-    hi = 1.0
-    while g(2 * hi) < g(hi) and hi < 1e6:
-        hi *= 2
-    lo, hi = 0.0, 2 * hi
-    ratio = (math.sqrt(5) - 1) / 2
-    c, d = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-    fc, fd = g(c), g(d)
-    while hi - lo > tolerance * max(hi, 1e-3):
-        if fc < fd:
-            hi, d, fd = d, c, fc
-            c = hi - ratio * (hi - lo)
-            fc = g(c)
-        else:
-            lo, c, fc = c, d, fd
-            d = lo + ratio * (hi - lo)
-            fd = g(d)
-    best = (lo + hi) / 2
-    return np.array([0.0 if g(0.0) <= g(best) else best])
-
-
-def _minimise_simplex(f: Callable[[np.ndarray], float], q: int, restarts: int = 3, rounds: int = 2000) -> np.ndarray:
-    """Downhill simplex over the lower triangle, restarted at its result until that is stable."""
+Criterion = Callable[[Sequence[np.ndarray]], np.ndarray]
+
+
+def _minimise_scalar(f: Criterion, points: int = 33) -> np.ndarray:
+    """Minimum over a non-negative scalar in three jobs: a wide grid, two finer ones, and a fitted curve.
+
+    The curve, a polynomial of degree four through the nine best points of the last grid, is far more exact
+    than the grid, because the criterion is smooth and its values are good to ten digits.
+    """
+    grid = np.concatenate([[0.0], np.geomspace(1e-4, 1e4, 48)])
+    for step in range(3):
+        values = f([np.array([x]) for x in grid])
+        if step == 0:
+            at_zero = values[0]
+        best = int(np.argmin(values))
+        if step < 2:
+            low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+            grid = np.linspace(low, high, points)
+    if at_zero <= values[best]:
+        return np.array([0.0])
+    first = min(max(best - 4, 0), len(grid) - 9)
+    near, scale = grid[first : first + 9], grid[1] - grid[0]
+    curve = np.polynomial.Polynomial.fit((near - grid[best]) / scale, values[first : first + 9] - values[best], 4)
+    roots = [r.real for r in curve.deriv().roots() if abs(r.imag) < 1e-6 and abs(r.real) <= 1.5]
+    shift = min(roots, key=lambda r: curve(r), default=0.0)
+    return np.array([max(0.0, grid[best] + shift * scale)])
+
+
+def _derivatives(f: Criterion, x: np.ndarray, h: float = 2e-3) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, gradient and curvature at ``x`` from differences, in one job; gradients are extrapolated from two steps."""
+    k, unit = len(x), np.eye(len(x))
+    pairs = [(i, j) for i in range(k) for j in range(i)]
+    points = [x, *[x + s * h * unit[i] for i in range(k) for s in (1.0, -1.0, 0.5, -0.5)]]
+    points += [x + s * h * (unit[i] + unit[j]) for i, j in pairs for s in (1.0, -1.0)]
+    values = f(points)
+    value, sides, across = values[0], values[1 : 1 + 4 * k].reshape(k, 4), values[1 + 4 * k :].reshape(-1, 2)
+    gradient = (4 * (sides[:, 2] - sides[:, 3]) / h - (sides[:, 0] - sides[:, 1]) / (2 * h)) / 3
+    curvature = np.diag((sides[:, 0] + sides[:, 1] - 2 * value) / h**2)
+    for (i, j), (plus, minus) in zip(pairs, across, strict=True):
+        both = (plus + minus - 2 * value) / h**2
+        curvature[i, j] = curvature[j, i] = (both - curvature[i, i] - curvature[j, j]) / 2
+    return value, gradient, curvature
+
+
+def _minimise(f: Criterion, q: int, rounds: int = 40) -> np.ndarray:
+    """Newton's method over the lower triangle, two jobs a round: derivatives, and all trial steps at once.
+
+    Directions of negative curvature are turned; trial steps shrink (and stretch) the Newton step and also
+    go downhill, so a round always improves or ends the search. Ten rounds are usual, ``rounds`` the most.
+    """
     x = np.eye(q)[np.tril_indices(q)] * 0.5
-    value = f(x)
-    for attempt in range(restarts):
-        size = 0.25 / (attempt + 1)
-        points = np.vstack([x, *[x + size * e for e in np.eye(len(x))]])
-        values = np.array([f(v) for v in points])
-        for _ in range(rounds):
-            order = np.argsort(values)
-            points, values = points[order], values[order]
-            if values[-1] - values[0] < 1e-10 * (abs(values[0]) + 1e-10) and np.ptp(points, axis=0).max() < 1e-7:
-                break
-            centre = points[:-1].mean(axis=0)
-            trial = lambda t: centre + t * (points[-1] - centre)  # noqa: B023, E731
-            reflected = trial(-1.0)
-            fr = f(reflected)
-            if fr < values[0]:
-                expanded = trial(-2.0)
-                fe = f(expanded)
-                points[-1], values[-1] = (expanded, fe) if fe < fr else (reflected, fr)
-            elif fr < values[-2]:
-                points[-1], values[-1] = reflected, fr
-            else:
-                inner = trial(0.5 if fr >= values[-1] else -0.5)
-                fi = f(inner)
-                if fi < min(fr, values[-1]):
-                    points[-1], values[-1] = inner, fi
-                else:
-                    points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                    values[1:] = [f(v) for v in points[1:]]
+    lengths = (4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
+    for _ in range(rounds):
+        value, gradient, curvature = _derivatives(f, x)
+        size, axes = np.linalg.eigh(curvature)
+        size = np.maximum(np.abs(size), 1e-6 * max(np.abs(size).max(), 1e-12))
+        newton = -axes @ ((axes.T @ gradient) / size)
+        if np.abs(newton).max() < 1e-9:
+            break
+        downhill = -gradient / max(np.abs(gradient).max(), 1e-300) * 0.5
+        steps = [t * newton for t in lengths] + [t * downhill for t in lengths]
+        values = f([x + step for step in steps])
         best = int(np.argmin(values))
-        gained = value - values[best]
-        x, value = points[best].copy(), float(values[best])
-        if attempt and gained < 1e-8 * (abs(value) + 1):
+        small = np.abs(newton).max() < 1e-5
+        if small or not values[best] < value:
+            x = x + newton if small else x  # differences of values no longer tell; the gradient still does
             break
+        x = x + steps[best]
     return x
 
 

@@ -68,7 +68,8 @@ def fit_ols(cells: Cells, design: Design) -> OlsFit:
 
 
 def fit_nested(cells: Cells, designs: Mapping[str, Design]) -> dict[str, OlsFit]:
-    """A growing list of models over one set of cells: the data are read once for all of them."""
+    """A growing list of models over one set of cells: the data are read once and summed once for all of them."""
+    cells.prepare(designs.values())
     return {name: fit_ols(cells, design) for name, design in designs.items()}
 
 

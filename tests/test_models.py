@@ -140,17 +140,39 @@ def test_mixed_likelihood_equals_dense(spark, reml, random):
         assert _dense_deviance(pdf, design, design.positions(random), lam, reml)[0] >= dev - 1e-6
 
 
-def test_many_groups_path_equals_local(spark, cells):
-    design = Design.of(main(OCC, SEX, Z))
-    local = fit_mixed(cells, design)
-    m = Moments(cells, design)
-    far = Groups(group_blocks(cells, m, [0]), 1, len(m.kept) + 1, local_limit=2)
-    assert far.local is None and far.count == 12
-    lam = np.array([[0.6]])
+def test_totals_equal_sums_over_collected_blocks(spark, cells):
     from panelweave.models.mixed import _sum_terms
 
-    near = local.groups.total(lambda b: _sum_terms(b, lam, [0]))
-    assert np.allclose(near, far.total(lambda b: _sum_terms(b, lam, [0])))
+    design = Design.of(main(OCC, SEX, Z))
+    m = Moments(cells, design)
+    groups = Groups(group_blocks(cells, m, [0]).repartition(5), 1, len(m.kept) + 1)
+    blocks = np.array([r["block"] for r in groups.frame.collect()]).reshape(groups.count, 1, -1)
+    factors = [np.array([[x]]) for x in (0.0, 0.3, 2.0)]
+    part = lambda b, lam: _sum_terms(b, lam, [0])
+    assert groups.count == 12
+    assert np.allclose(groups.totals(part, factors), [part(blocks, lam) for lam in factors])
+
+
+def test_a_fit_takes_few_jobs(spark, cells, monkeypatch):
+    calls = []
+    plain = Groups.totals
+    monkeypatch.setattr(Groups, "totals", lambda self, part, factors: calls.append(len(factors)) or plain(self, part, factors))
+    fit_mixed(cells, Design.of(main(OCC, SEX, Z)))
+    assert len(calls) == 5
+    calls.clear()
+    fit_mixed(cells, Design.of(main(OCC, SEX, Z)), ("(Intercept)", "occengineer"))
+    assert len(calls) <= 60
+
+
+def test_more_cells_than_rows_fit(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rng.integers(0, 60, 4000).astype(str), "b": rng.integers(0, 50, 4000).astype(str), "y": rng.normal(size=4000)})
+    a, b = (Factor(c, tuple(sorted(pdf[c].unique()))) for c in "ab")
+    cells = collect_cells(spark.createDataFrame(pdf), "y", [a, b])
+    design = Design.of(main(a, b))
+    x = _matrix(pdf, design)
+    want = np.linalg.lstsq(x, pdf["y"].to_numpy(), rcond=None)[0]
+    assert np.allclose(fit_ols(cells, design).beta, want, atol=1e-8)
 
 
 def test_balanced_one_way_equals_anova(spark):
