@@ -3,8 +3,8 @@
 With a relative covariance factor Lambda, everything the profiled likelihood needs from group g is
 Z'Z, Z'X and Z'y (Bates, Maechler, Bolker and Walker, 2015). Spark reduces the data to these blocks
 once; a likelihood evaluation is then a sum over groups. The blocks stay a written table, and one job
-evaluates a whole list of factors: a random-intercept fit takes five jobs over it, one with random slopes
-two for every Newton step, some twenty in all.
+evaluates a whole list of factors: any number of random-intercept models over the same cells take five jobs
+over it together, a model with random slopes two for every Newton step, some twenty in all.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.models.cells import Cells, Moments, moment
+from panelweave.models.design import Column as DesignColumn
 from panelweave.models.design import Design
 from panelweave.models.distributions import chi_square_tail, normal_two_sided
 from panelweave.session import written
@@ -31,18 +32,16 @@ def _indicator(levels) -> Column:
     return out
 
 
-def group_blocks(cells: Cells, m: Moments, random: Sequence[int]) -> DataFrame:
-    """Per group the flattened rows of [Z'X | Z'y], with Z the ``random`` columns of X."""
-    kept = [m.columns[i] for i in m.kept]
+def group_blocks(cells: Cells, columns: Sequence[DesignColumn], random: Sequence[int]) -> DataFrame:
+    """Per group the flattened rows of [Z'X | Z'y], with X the design columns and Z the ``random`` ones of them."""
     index = lambda c: None if c.numeric is None else cells.value_index(c.numeric)
-    y = len(cells.numerics)
+    y, shift = len(cells.numerics), cells.shift.tolist()
     sums = []
-    for r in random:
-        z = m.columns[r]
-        for x in kept:
-            sums.append(F.sum(_indicator((*z.levels, *x.levels)) * moment(index(z), index(x), m.shift.tolist())))
-        sums.append(F.sum(_indicator(z.levels) * moment(index(z), y, m.shift.tolist())))
-    return cells.by_group.groupBy(cells.group).agg(F.array(*sums).alias("block"))
+    for z in (columns[r] for r in random):
+        for x in columns:
+            sums.append(F.sum(_indicator((*z.levels, *x.levels)) * moment(index(z), index(x), shift)))
+        sums.append(F.sum(_indicator(z.levels) * moment(index(z), y, shift)))
+    return cells.table.groupBy(cells.group).agg(F.array(*sums).alias("block"))
 
 
 def _terms(blocks: np.ndarray, lam: np.ndarray, zpos: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,12 +70,12 @@ def _random_effects(blocks: np.ndarray, lam: np.ndarray, zpos: Sequence[int], be
 
 
 def _fit_terms(blocks: np.ndarray, lam: np.ndarray, zpos: Sequence[int], beta: np.ndarray) -> np.ndarray:
-    """Change of the residual sum of squares by the random effects, and the sum of Z'Z, flattened."""
+    """Number of groups, change of the residual sum of squares by the random effects, and the sum of Z'Z, flattened."""
     b = _random_effects(blocks, lam, zpos, beta)
     ztz = blocks[:, :, list(zpos)]
     zr = blocks[:, :, -1] - blocks[:, :, :-1] @ beta
     change = -2 * (b * zr).sum() + np.einsum("gi,gij,gj->", b, ztz, b)
-    return np.concatenate([[change], ztz.sum(axis=0).ravel()])
+    return np.concatenate([[len(blocks), change], ztz.sum(axis=0).ravel()])
 
 
 class Groups:
@@ -86,13 +85,12 @@ class Groups:
         self.q, self.width = q, width
         self.name = frame.columns[0]
         self.frame = written(frame, "group-blocks")
-        self.count = self.frame.count()
 
-    def totals(self, part: Callable[[np.ndarray, np.ndarray], np.ndarray], factors: Sequence[np.ndarray]) -> np.ndarray:
+    def totals(self, part: Callable[[np.ndarray, object], np.ndarray], factors: Sequence[object]) -> np.ndarray:
         """Sum of ``part(blocks, factor)`` over all groups, a row per factor.
 
-        Tasks add up their own groups; Spark adds up the tasks. The result has a row per factor whatever
-        the number of groups.
+        Tasks add up their own groups; then the tasks' sums are added up, dealt by factor. The driver gets a row
+        per factor whatever the number of groups.
         """
         q, width = self.q, self.width
 
@@ -106,10 +104,17 @@ class Groups:
             if sums is not None:
                 yield pd.DataFrame({"t": np.arange(len(factors)), "v": list(sums)})
 
-        parts = self.frame.select("block").mapInPandas(add, "t int, v array<double>")
-        numbers = parts.select("t", F.posexplode("v").alias("i", "x")).groupBy("t", "i").agg(F.sum("x").alias("x"))
-        rows = numbers.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).collect()  # one per factor
-        found = {r["t"]: [x for _, x in r["v"]] for r in rows}
+        def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for t, v in zip(pdf["t"], pdf["v"], strict=True):
+                    sums[t] = sums[t] + v if t in sums else np.asarray(v)
+            if sums:
+                yield pd.DataFrame({"t": list(sums), "v": list(sums.values())})
+
+        kind = "t int, v array<double>"
+        parts = self.frame.select("block").mapInPandas(add, kind)
+        found = {r["t"]: r["v"] for r in parts.repartition("t").mapInPandas(merge, kind).collect()}  # one row per factor
         return np.array([found[t] for t in range(len(factors))])
 
 
@@ -122,11 +127,12 @@ class MixedFit:
     moments: Moments
     groups: Groups
     random: list[int]
+    places: list[int]
     reml: bool
     theta: np.ndarray
     lam: np.ndarray
     sigma: float
-    beta_shifted: np.ndarray
+    block_beta: np.ndarray
     beta: np.ndarray
     cov: np.ndarray
     measures: dict[str, float]
@@ -168,59 +174,107 @@ def _lower(theta: np.ndarray, q: int) -> np.ndarray:
     return lam
 
 
+class _Problem:
+    """One model over shared blocks: its deviance for a factor, and its estimates."""
+
+    def __init__(self, cells: Cells, design: Design, shared: Sequence[DesignColumn], random: Sequence[str], reml: bool):
+        self.m, self.design, self.reml = Moments(cells, design), design, reml
+        self.random = design.positions(random)
+        gone = [self.m.columns[r].label for r in self.random if r not in self.m.kept]
+        if gone:
+            raise ValueError(f"random terms without variation: {gone}")
+        kept = self.m.kept
+        self.own = [shared.index(self.m.columns[i]) for i in kept]  # places in the blocks
+        self.width, self.q, self.p, self.n = len(shared) + 1, len(self.random), len(kept), self.m.n
+        self.free = self.n - self.p if reml else self.n
+        self.xtx, self.xty, self.yty = self.m.xtx[np.ix_(kept, kept)], self.m.xty[kept], self.m.yty
+
+    def solve(self, total: np.ndarray):
+        """Deviance, the matrix of the fixed part, its coefficients and the residual sum, from the sums over groups."""
+        index = [*self.own, self.width - 1]
+        cross = total[1:].reshape(self.width, self.width)[np.ix_(index, index)]
+        p = self.p
+        a, b = self.xtx - cross[:p, :p], self.xty - cross[:p, p]
+        chol = np.linalg.cholesky(a)
+        half = np.linalg.solve(chol, b)
+        r2 = self.yty - cross[p, p] - half @ half
+        deviance = total[0] + self.free * (1 + math.log(2 * math.pi * r2 / self.free))
+        if self.reml:
+            deviance += 2 * np.log(np.diag(chol)).sum()
+        return deviance, a, np.linalg.solve(chol.T, half), r2
+
+    def deviance(self, total: np.ndarray) -> float:
+        try:
+            return self.solve(total)[0]
+        except (np.linalg.LinAlgError, ValueError):  # no such model: not a minimum
+            return math.inf
+
+    def block_beta(self, beta: np.ndarray) -> np.ndarray:
+        """Coefficients in the places of the blocks' columns."""
+        out = np.zeros(self.width - 1)
+        out[self.own] = beta
+        return out
+
+
 def fit_mixed(cells: Cells, design: Design, random: Sequence[str] = ("(Intercept)",), reml: bool = False,
-              groups: Groups | None = None) -> MixedFit:
+              start: MixedFit | None = None) -> MixedFit:
     """Fit by maximum likelihood, or by restricted likelihood with ``reml``.
 
-    ``random`` lists labels of design columns whose coefficients vary by group. ``groups`` may hand
-    in blocks of an earlier fit with the same design and random terms.
+    ``random`` lists labels of design columns whose coefficients vary by group. ``start`` may hand in an
+    earlier fit with the same design and random terms, whose blocks and factor are taken over.
+    """
+    return fit_mixed_many(cells, {"": (design, reml)}, random, start)[""]
+
+
+def fit_mixed_many(cells: Cells, models: Mapping[str, tuple[Design, bool]], random: Sequence[str] = ("(Intercept)",),
+                   start: MixedFit | None = None) -> dict[str, MixedFit]:
+    """Fit several designs (with their ``reml`` choice) that share the random terms, in the jobs of one.
+
+    The blocks hold the columns of all designs; a likelihood takes its own rows and columns out of the sums.
     """
-    m = Moments(cells, design)
-    rpos = design.positions(random)
-    gone = [m.columns[r].label for r in rpos if r not in m.kept]
-    if gone:
-        raise ValueError(f"random terms without variation: {gone}")
-    zpos = [m.kept.index(r) for r in rpos]
-    q, p, n = len(rpos), len(m.kept), m.n
-    if groups is None:
-        groups = Groups(group_blocks(cells, m, rpos), q, p + 1)
-    xtx, xty, yty = m.xtx[np.ix_(m.kept, m.kept)], m.xty[m.kept], m.yty
-    free = n - p if reml else n
+    shared = list(dict.fromkeys(c for design, _ in models.values() for c in design.columns))
+    cells.prepare(design for design, _ in models.values())
+    problems = [_Problem(cells, design, shared, random, reml) for design, reml in models.values()]
+    q, width = problems[0].q, problems[0].width
+    zpos = [shared.index(problems[0].m.columns[r]) for r in problems[0].random]
+    groups = start.groups if start else Groups(group_blocks(cells, shared, zpos), q, width)
 
     def terms(thetas: Sequence[np.ndarray]) -> np.ndarray:
         return groups.totals(lambda blocks, lam: _sum_terms(blocks, lam, zpos), [_lower(t, q) for t in thetas])
 
-    def solve(theta: np.ndarray, total: np.ndarray):
-        cross = total[1:].reshape(p + 1, p + 1)
-        a, b = xtx - cross[:p, :p], xty - cross[:p, p]
-        chol = np.linalg.cholesky(a)
-        half = np.linalg.solve(chol, b)
-        r2 = yty - cross[p, p] - half @ half
-        deviance = total[0] + free * (1 + math.log(2 * math.pi * r2 / free))
-        if reml:
-            deviance += 2 * np.log(np.diag(chol)).sum()
-        return deviance, _lower(theta, q), a, np.linalg.solve(chol.T, half), r2
-
-    def criterion(thetas: Sequence[np.ndarray]) -> np.ndarray:
-        out = np.full(len(thetas), math.inf)
-        for i, (theta, total) in enumerate(zip(thetas, terms(thetas), strict=True)):
-            try:
-                out[i] = solve(theta, total)[0]
-            except (np.linalg.LinAlgError, ValueError):  # no such model: not a minimum
-                continue
-        return out
+    if q == 1:
+        thetas = _minimise_scalars(lambda grids: [
+            np.array([problem.deviance(total) for total in own])
+            for problem, own in zip(problems, np.split(terms([np.array([x]) for g in grids for x in g]), np.cumsum([len(g) for g in grids])[:-1]), strict=True)
+        ], len(problems))
+    else:
+        first = start.theta if start else np.eye(q)[np.tril_indices(q)] * 0.5
+        thetas = [_minimise(lambda points, own=problem: np.array([own.deviance(t) for t in terms(points)]), first) for problem in problems]
+    lams = []
+    for theta in thetas:  # one sign per column: the diagonal is made non-negative
+        lam = _lower(theta, q)
+        lams.append(lam * np.where(np.diag(lam) < 0, -1.0, 1.0)[None, :])
+    solved = [problem.solve(total) for problem, total in zip(problems, terms([lam[np.tril_indices(q)] for lam in lams]), strict=True)]
+    betas = [problem.block_beta(found[2]) for problem, found in zip(problems, solved, strict=True)]
+    shares = groups.totals(lambda blocks, own: _fit_terms(blocks, own[0], zpos, own[1]), list(zip(lams, betas, strict=True)))
+    return {
+        name: _finished(cells, problem, groups, zpos, lam, beta, found, share)
+        for name, problem, lam, beta, found, share in zip(models, problems, lams, betas, solved, shares, strict=True)
+    }
+
 
-    theta = _minimise_scalar(criterion) if q == 1 else _minimise(criterion, q)
-    deviance, lam, a, beta_shifted, r2 = solve(theta, terms([theta])[0])
-    # one sign per column: the diagonal is made non-negative
-    lam = lam * np.where(np.diag(lam) < 0, -1.0, 1.0)[None, :]
+def _finished(cells: Cells, problem: _Problem, groups: Groups, zpos: list[int], lam: np.ndarray, block_beta: np.ndarray, found: tuple,
+              share: np.ndarray) -> MixedFit:
+    """Estimates and measures of a fitted model."""
+    deviance, a, beta_shifted, r2 = found
+    m, q, p, n = problem.m, problem.q, problem.p, problem.n
+    xtx, xty, yty = problem.xtx, problem.xty, problem.yty
     theta = lam[np.tril_indices(q)]
-    sigma2 = r2 / free
+    sigma2 = r2 / problem.free
     beta, cov = m.original(beta_shifted, sigma2 * np.linalg.inv(a))
-    total = groups.totals(lambda blocks, own: _fit_terms(blocks, own, zpos, beta_shifted), [lam])[0]
-    rss = yty - 2 * xty @ beta_shifted + beta_shifted @ xtx @ beta_shifted + total[0]
+    rss = yty - 2 * xty @ beta_shifted + beta_shifted @ xtx @ beta_shifted + share[1]
     psi = sigma2 * lam @ lam.T
-    var_random = float(np.trace(psi @ total[1:].reshape(q, q)) / n)
+    var_random = float(np.trace(psi @ share[2:].reshape(q, q)) / n)
     mean_fit = float(xtx[0] @ beta_shifted) / n  # the first column is the intercept
     var_fixed = (beta_shifted @ xtx @ beta_shifted - n * mean_fit**2) / (n - 1)
     whole = var_fixed + var_random + sigma2
@@ -230,7 +284,7 @@ def fit_mixed(cells: Cells, design: Design, random: Sequence[str] = ("(Intercept
         cor = psi / np.outer(sd, sd)
     measures = {
         "nobs": float(n),
-        "n_groups": float(groups.count),
+        "n_groups": float(share[0]),
         "loglik": -deviance / 2,
         "deviance": deviance,
         "aic": deviance + 2 * n_par,
@@ -242,19 +296,18 @@ def fit_mixed(cells: Cells, design: Design, random: Sequence[str] = ("(Intercept
         "sigma": math.sqrt(sigma2),
     }
     measures = {k: float(v) for k, v in measures.items()}
-    labels = [m.columns[r].label for r in rpos]
+    labels = [m.columns[r].label for r in problem.random]
     return MixedFit(
-        design, cells, m, groups, rpos, reml, theta, lam, float(math.sqrt(sigma2)), beta_shifted, beta, cov, measures,
-        dict(zip(labels, sd.tolist(), strict=True)), cor,
+        problem.design, cells, m, groups, problem.random, zpos, problem.reml, theta, lam, float(math.sqrt(sigma2)), block_beta, beta, cov,
+        measures, dict(zip(labels, sd.tolist(), strict=True)), cor,
     )
 
 
 def _map_groups(fit: MixedFit, deviations_only: bool) -> DataFrame:
     m, groups = fit.moments, fit.groups
-    zpos = [m.kept.index(r) for r in fit.random]
-    labels = fit.terms
+    zpos, labels = fit.places, fit.terms
     fixed = np.nan_to_num(fit.beta)
-    lam, beta, q, width, name = fit.lam, fit.beta_shifted, groups.q, groups.width, groups.name
+    lam, beta, q, width, name = fit.lam, fit.block_beta, groups.q, groups.width, groups.name
     # deviations of shifted columns, mapped to the original ones
     back = m.unshift()[:, fit.random]
     shown = list(fit.random) if deviations_only else [i for i in range(len(labels)) if not math.isnan(fit.beta[i])]
@@ -281,29 +334,29 @@ def _map_groups(fit: MixedFit, deviations_only: bool) -> DataFrame:
 Criterion = Callable[[Sequence[np.ndarray]], np.ndarray]
 
 
-def _minimise_scalar(f: Criterion, points: int = 33) -> np.ndarray:
-    """Minimum over a non-negative scalar in three jobs: a wide grid, two finer ones, and a fitted curve.
+def _minimise_scalars(f: Callable[[list[np.ndarray]], list[np.ndarray]], n: int, points: int = 33) -> list[np.ndarray]:
+    """Minima of ``n`` criteria over a non-negative scalar, side by side in three jobs: a wide grid and two finer ones.
 
-    The curve, a polynomial of degree four through the nine best points of the last grid, is far more exact
-    than the grid, because the criterion is smooth and its values are good to ten digits.
+    ``f`` takes a grid per criterion. A polynomial of degree four through the nine best points of the last grid is
+    far more exact than the grid, because a criterion is smooth and its values are good to ten digits.
     """
-    grid = np.concatenate([[0.0], np.geomspace(1e-4, 1e4, 48)])
+    grids = [np.concatenate([[0.0], np.geomspace(1e-4, 1e4, 48)])] * n
+    at_zero = None
     for step in range(3):
-        values = f([np.array([x]) for x in grid])
-        if step == 0:
-            at_zero = values[0]
-        best = int(np.argmin(values))
+        values = f(grids)
+        at_zero = [v[0] for v in values] if at_zero is None else at_zero
+        best = [int(np.argmin(v)) for v in values]
         if step < 2:
-            low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-            grid = np.linspace(low, high, points)
-    if at_zero <= values[best]:
-        return np.array([0.0])
-    first = min(max(best - 4, 0), len(grid) - 9)
-    near, scale = grid[first : first + 9], grid[1] - grid[0]
-    curve = np.polynomial.Polynomial.fit((near - grid[best]) / scale, values[first : first + 9] - values[best], 4)
-    roots = [r.real for r in curve.deriv().roots() if abs(r.imag) < 1e-6 and abs(r.real) <= 1.5]
-    shift = min(roots, key=lambda r: curve(r), default=0.0)
-    return np.array([max(0.0, grid[best] + shift * scale)])
+            grids = [np.linspace(g[max(b - 1, 0)], g[min(b + 1, len(g) - 1)], points) for g, b in zip(grids, best, strict=True)]
+    out = []
+    for grid, v, b, zero in zip(grids, values, best, at_zero, strict=True):
+        first = min(max(b - 4, 0), len(grid) - 9)
+        near, scale = grid[first : first + 9], grid[1] - grid[0]
+        curve = np.polynomial.Polynomial.fit((near - grid[b]) / scale, v[first : first + 9] - v[b], 4)
+        roots = [r.real for r in curve.deriv().roots() if abs(r.imag) < 1e-6 and abs(r.real) <= 1.5]
+        found = max(0.0, grid[b] + min(roots, key=curve, default=0.0) * scale)
+        out.append(np.array([0.0 if zero <= v[b] else found]))
+    return out
 
 
 def _derivatives(f: Criterion, x: np.ndarray, h: float = 2e-3) -> tuple[float, np.ndarray, np.ndarray]:
@@ -322,13 +375,12 @@ def _derivatives(f: Criterion, x: np.ndarray, h: float = 2e-3) -> tuple[float, n
     return value, gradient, curvature
 
 
-def _minimise(f: Criterion, q: int, rounds: int = 40) -> np.ndarray:
-    """Newton's method over the lower triangle, two jobs a round: derivatives, and all trial steps at once.
+def _minimise(f: Criterion, x: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Newton's method over the lower triangle from ``x``, two jobs a round: derivatives, and all trial steps at once.
 
     Directions of negative curvature are turned; trial steps shrink (and stretch) the Newton step and also
     go downhill, so a round always improves or ends the search. Ten rounds are usual, ``rounds`` the most.
     """
-    x = np.eye(q)[np.tril_indices(q)] * 0.5
     lengths = (4.0, 2.0, 1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
     for _ in range(rounds):
         value, gradient, curvature = _derivatives(f, x)

@@ -345,20 +345,20 @@ _STUDY_SQL = _MATCH_SQL + f""",
       NOT {_ENGINEER} AND NOT {_MANAGER} AS other, f.owner_cik IS NOT NULL AS is_sec_insider,
       f.owner_cik IS NOT NULL AND p.cycle >= f.cycle_from AND p.cycle <= f.cycle_to + 2 AS sec_insider_now, f.insider_role
       FROM people p JOIN s12 USING (sic_int) JOIN s49 USING (sic_int) LEFT JOIN found f ON p.cid = f.cid AND p.cycle = f.cycle AND lpad(CAST(p.cik AS VARCHAR), 10, '0') = f.cik_j))"""
-_STUDY = role_sql("strings", "reference", "range_def", "spell", extra=_STUDY_SQL)
+STUDY = role_sql("strings", "reference", "range_def", "spell", extra=_STUDY_SQL)
 _ROUNDED = [c for c in study.PANEL_COLUMNS if c.startswith("mean_")]
 
 
-@query("study_panel", _STUDY + f" SELECT {', '.join(study.PANEL_COLUMNS)} FROM study")
+@query("study_panel", STUDY + f" SELECT {', '.join(study.PANEL_COLUMNS)} FROM study")
 def _(spark, d):
     out = study.enriched_panel(**study.inputs_from_tables(spark, d))
     return rounded(rounded(out, "score_dyn", *_ROUNDED, digits=9), "total_amount", digits=4)
 
 
-_LATEST_SQL = ", ".join(f"arg_max({c}, {{'c': cycle, 'v': {c}}}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in study.PEOPLE_COLUMNS[1:])
+LATEST_SQL = ", ".join(f"arg_max({c}, {{'c': cycle, 'v': {c}}}) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in study.PEOPLE_COLUMNS[1:])
 
 
-@query("study_people", _STUDY + f" SELECT cid, max(cycle) AS cycle, {_LATEST_SQL} FROM study GROUP BY cid")
+@query("study_people", STUDY + f" SELECT cid, max(cycle) AS cycle, {LATEST_SQL} FROM study GROUP BY cid")
 def _(spark, d):
     out = study.latest_people(study.enriched_panel(**study.inputs_from_tables(spark, d)))
     return rounded(out, *[c for c in _ROUNDED if c in out.columns], digits=9)

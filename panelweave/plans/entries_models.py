@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from panelweave.models.mixed import fit_mixed, likelihood_ratio_table
 from panelweave.models.ols import coefficient_table, fit_nested, fit_ols, measure_table
 from panelweave.plans import hypotheses, study
 from panelweave.plans.bind import table
+from panelweave.plans.entries_linkage import LATEST_SQL, STUDY
 from panelweave.plans.registry import query, r6, rounded
 from panelweave.session import written
 
@@ -176,33 +179,155 @@ def _(spark, d):
     return rounded(mean_predictions(fit, ["l_suppkey"]), "mean_prediction", digits=3)
 
 
-def _factor_cells(spark, d):
-    return collect_cells(_lines(spark, d), "y", [FLAG, STATUS], ["l_quantity"], group="l_suppkey")
+# --- two kinds of rows: intercepts and slopes by supplier ---------------------------------------------
+
+_OPEN = Factor("l_linestatus", ("F", "O"))
+_SLOPED = "l_extendedprice / 10000 + (l_suppkey % 7) * CAST(0.8 AS DOUBLE) + CASE WHEN l_linestatus = 'O' THEN (l_suppkey % 5) * CAST(0.5 AS DOUBLE) ELSE 0 END"
+
 
+def _slope_sql(tag: str, slopes: bool, levels: int = 11) -> str:
+    """Profile likelihood of intercepts (and slopes) for a two-level factor, by a grid refined around its best point.
 
-@query("mdl_lmm_rs")
+    With Z = X = (1, s) and the factor [[a, 0], [b, c]], a group's matrix is 2 x 2: its determinant and inverse
+    are written out. Without slopes b = c = 0.
+    """
+    width = 8 if slopes else 32
+    q = "((m22 * {0} * {2} - m12 * ({0} * {3} + {1} * {2}) + m11 * {1} * {3}) / det)"
+    t = {"x": ("(a * n + b * k)", "(c * k)"), "s": ("(a * k + b * k)", "(c * k)"), "y": ("(a * sy + b * ky)", "(c * ky)")}
+    sums = ", ".join(f"sum({q.format(*t[u], *t[v])}) AS w{u}{v}" for u, v in ("xx", "xs", "ss", "xy", "sy", "yy"))
+    parts = [f"""grp{tag} AS (SELECT l_suppkey, count(*)::DOUBLE AS n, sum(s) AS k, sum(v) AS sy, sum(s * v) AS ky FROM (
+        SELECT l_suppkey, CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0 END AS s, {_SLOPED} - (SELECT avg({_SLOPED}) FROM lineitem) AS v FROM lineitem) GROUP BY 1)""",
+        f"all{tag} AS (SELECT sum(n) AS n, sum(k) AS k, sum(sy) AS sy, sum(ky) AS ky, (SELECT var_pop({_SLOPED}) * count(*) FROM lineitem) AS yy FROM grp{tag})"]
+    previous = None
+    for level in range(levels):
+        at = lambda i: f"(CAST({i} AS DOUBLE) / {width} - 0.5)"
+        size = 4.0 * (0.5 ** level if slopes else 0.125 ** level)
+        if previous is None:
+            axes = {"a": f"2 + {size} * {at('i')}", "b": f"{size} * {at('j')}" if slopes else "0.0", "c": f"2 + {size} * {at('h')}" if slopes else "0.0"}
+            source = f"generate_series(0, {width}) r(i)" + (f", generate_series(0, {width}) u(j), generate_series(0, {width}) v(h)" if slopes else "")
+        else:
+            axes = {"a": f"greatest(a + {size} * {at('i')}, 0)", "b": f"b + {size} * {at('j')}" if slopes else "0.0", "c": f"greatest(c + {size} * {at('h')}, 0)" if slopes else "0.0"}
+            source = f"{previous}, generate_series(0, {width}) r(i)" + (f", generate_series(0, {width}) u(j), generate_series(0, {width}) v(h)" if slopes else "")
+        grid = "SELECT DISTINCT " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" for n, e in axes.items()) + f" FROM {source}"
+        inner = "SELECT *, m11 * m22 - m12 * m12 AS det FROM (SELECT *, 1 + a * a * n + 2 * a * b * k + b * b * k AS m11, k * c * (a + b) AS m12, 1 + k * c * c AS m22 FROM grp" + tag + f" CROSS JOIN ({grid}))"
+        parts.append(f"e{tag}{level} AS (SELECT a, b, c, sum(ln(det)) AS ld, {sums} FROM ({inner}) GROUP BY a, b, c)")
+        parts.append(f"""f{tag}{level} AS (SELECT e.*, t.n AS n_rows, t.n - wxx AS g11, t.k - wxs AS g12, t.k - wss AS g22, t.sy - wxy AS h1, t.ky - wsy AS h2, t.yy - wyy AS hyy
+            FROM e{tag}{level} e, all{tag} t)""")
+        parts.append(f"""d{tag}{level} AS (SELECT *, ld + n_rows * (1 + ln(2 * pi() * (hyy - (g22 * h1 * h1 - 2 * g12 * h1 * h2 + g11 * h2 * h2) / (g11 * g22 - g12 * g12)) / n_rows)) AS dev
+            FROM f{tag}{level})""")
+        parts.append(f"best{tag}{level} AS (SELECT a, b, c, dev, n_rows FROM d{tag}{level} ORDER BY dev, a, b, c LIMIT 1)")
+        previous = f"best{tag}{level}"
+    return ", ".join(parts) + f", fit{tag} AS (SELECT * FROM {previous})"
+
+
+@query("mdl_lmm_rs", f"""WITH {_slope_sql('p', False, 7)}, {_slope_sql('r', True, 22)}
+    SELECT 'fixed slope' AS model, 4 AS npar, round(dev + 8, 2) AS aic, round(dev, 2) AS deviance, CAST(NULL AS DOUBLE) AS chisq, CAST(NULL AS INTEGER) AS df FROM fitp
+    UNION ALL SELECT 'random slope', 6, round(r.dev + 12, 2), round(r.dev, 2), round(p.dev - r.dev, 2), 2 FROM fitp p, fitr r""")
 def _(spark, d):
-    cells = _factor_cells(spark, d)
-    design = Design.of(main(FLAG, STATUS, QTY))
-    fixed = fit_mixed(cells, design)
-    slopes = fit_mixed(cells, design, ("(Intercept)", "l_returnflagN", "l_returnflagR"))
-    return likelihood_ratio_table(spark, {"fixed slope": fixed, "random slope": slopes})
+    rows = table(spark, d, "lineitem").selectExpr("l_suppkey", "l_linestatus", f"{_SLOPED} AS y")
+    cells, design = collect_cells(rows, "y", [_OPEN], group="l_suppkey"), Design.of(main(_OPEN))
+    fits = {"fixed slope": fit_mixed(cells, design), "random slope": fit_mixed(cells, design, ("(Intercept)", "l_linestatusO"))}
+    out = likelihood_ratio_table(spark, fits).select("model", "npar", "aic", "deviance", "chisq", "df")
+    return rounded(out, "aic", "deviance", "chisq", digits=2)
+
 
+# --- a balanced table: one row per supplier and cell ---------------------------------------------------
 
-@query("mdl_contrasts_mixed")
+LINE, PARITY = Factor("line", ("1", "2", "3")), Factor("parity", ("even", "odd"))
+_CELLS = """SELECT l_suppkey, CAST(l_linenumber AS VARCHAR(9)) AS line, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
+    avg(l_extendedprice / 10000) + (l_suppkey % 7) * CAST(0.8 AS DOUBLE) AS y FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, l_suppkey % 7"""
+_BALANCED = f"""WITH cell AS ({_CELLS}), bal AS (SELECT * FROM cell WHERE l_suppkey IN (SELECT l_suppkey FROM cell GROUP BY 1 HAVING count(*) = 6)),
+    mean AS (SELECT line, parity, count(*) AS n, avg(y) AS m FROM bal GROUP BY 1, 2),
+    rest AS (SELECT y - avg(y) OVER (PARTITION BY l_suppkey) - avg(y) OVER (PARTITION BY line, parity) + avg(y) OVER () AS e FROM bal),
+    s2 AS (SELECT sum(e * e) / (((SELECT count(DISTINCT l_suppkey) FROM bal) - 1) * 5) AS v FROM rest)"""
+
+
+def _balanced_fit(spark, d):
+    """REML fit of a saturated model where every supplier has every cell: cell means, and errors within suppliers."""
+    cell = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(
+        "l_suppkey", F.col("l_linenumber").cast("string").alias("line"), F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd").alias("parity")
+    ).agg((F.avg(F.col("l_extendedprice") / 10000)).alias("m"))
+    cell = written(cell.withColumn("y", F.col("m") + (F.col("l_suppkey") % 7) * F.lit(0.8)), "balanced")
+    whole = cell.groupBy("l_suppkey").agg(F.count("*").alias("n")).where("n = 6")
+    cells = collect_cells(cell.join(whole, "l_suppkey", "left_semi"), "y", [LINE, PARITY], group="l_suppkey")
+    return cells, fit_mixed(cells, Design.of(crossed(LINE, PARITY)), reml=True)
+
+
+@query("mdl_contrasts_mixed", f"""{_BALANCED} SELECT 'line' AS term, a.line || ' - 1' AS contrast, a.parity, round(a.m - b.m, 5) AS estimate, round(sqrt(2 * v / a.n), 5) AS std_error,
+    round((a.m - b.m) / sqrt(2 * v / a.n), 3) AS statistic FROM mean a JOIN mean b ON a.parity = b.parity AND b.line = '1', s2 WHERE a.line <> '1'""")
 def _(spark, d):
-    cells = _factor_cells(spark, d)
-    fit = fit_mixed(cells, Design.of([*crossed(FLAG, STATUS), *main(QTY)]), reml=True)
-    return average_comparisons(spark, fit, cells, FLAG, ["l_linestatus"])
+    cells, fit = _balanced_fit(spark, d)
+    out = average_comparisons(spark, fit, cells, LINE, ["parity"]).select("term", "contrast", "parity", "estimate", "std_error", "statistic")
+    return rounded(rounded(out, "estimate", "std_error", digits=5), "statistic", digits=3)
 
 
-@query("mdl_predictions_factors")
+@query("mdl_predictions_factors", f"{_BALANCED} SELECT line, parity, n, round(m, 6) AS mean_prediction FROM mean")
 def _(spark, d):
-    fit = fit_mixed(_factor_cells(spark, d), Design.of([*crossed(FLAG, STATUS), *main(QTY)]), reml=True)
-    return mean_predictions(fit, ["l_returnflag", "l_linestatus"])
+    _, fit = _balanced_fit(spark, d)
+    return rounded(mean_predictions(fit, ["line", "parity"]), "mean_prediction")
+
+
+# --- the catalogue over the enriched panel -------------------------------------------------------------
+
+
+def _study(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = written(study.enriched_panel(**study.inputs_from_tables(spark, d)), "study")
+    return written(study.latest_people(rows), "study-people"), rows
+
+
+@lru_cache(maxsize=2)
+def _catalogue(spark, d) -> hypotheses.Catalogue:
+    """All models over these tables; the queries below show different tables of one catalogue."""
+    return hypotheses.all_models(*_study(spark, d))
+
+
+_SAMPLE = STUDY + f""", latest AS (SELECT cid, {LATEST_SQL} FROM study GROUP BY cid),
+    sample AS (SELECT contributor_score AS y, ff49_abbr IN ('Softw', 'Hardw', 'Chips') AS tech, ff49_abbr AS industry, occupation_std, is_sec_insider FROM latest
+      WHERE contributor_score IS NOT NULL AND occupation_std IS NOT NULL AND mean_score_zipcode_wo_i IS NOT NULL AND ff49_abbr IS NOT NULL AND gender IS NOT NULL AND is_sec_insider IS NOT NULL),
+    part AS (SELECT 'h1' AS h, * FROM sample UNION ALL SELECT 'h3 managers', * FROM sample WHERE occupation_std = 'manager' UNION ALL SELECT 'h3 insiders', * FROM sample WHERE is_sec_insider),
+    long AS (SELECT h || ' tech: baseline' AS model, 'ff49_is_techTRUE' AS term, tech AS hit, y FROM part)"""
+
+
+@query("study_baselines", f"""{_SAMPLE}, g AS (SELECT model, term, hit, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS ss FROM long GROUP BY 1, 2, 3),
+    s AS (SELECT model, sum(ss) / (sum(n) - 2) AS s2 FROM g GROUP BY 1 HAVING count(*) = 2 AND sum(n) > 2)
+    SELECT g.model, g.term, round(g.m - r.m, 6) AS estimate, round(sqrt(s2 * (1.0 / g.n + 1.0 / r.n)), 6) AS std_error
+    FROM g JOIN g r ON g.model = r.model AND NOT r.hit JOIN s ON s.model = g.model WHERE g.hit""")
+def _(spark, d):
+    people, rows = _study(spark, d)
+    whole, _ = hypotheses.estimation_samples(people, rows)
+    fits = {k: f for k, f in (hypotheses.h1(whole) | hypotheses.h3(whole)).fits.items() if k.endswith("tech: baseline")}
+    out = coefficient_table(spark, fits).where("term = 'ff49_is_techTRUE' AND NOT isnan(estimate) AND NOT isnan(std_error)")
+    return rounded(out.select("model", "term", "estimate", "std_error"), "estimate", "std_error")
 
 
 @query("study_models")
 def _(spark, d):
-    rows = written(study.enriched_panel(**study.inputs_from_tables(spark, d)), "study")
-    return coefficient_table(spark, hypotheses.all_models(study.latest_people(rows), rows))
+    return coefficient_table(spark, _catalogue(spark, d).fits)
+
+
+@query("study_skipped")
+def _(spark, d):
+    found = _catalogue(spark, d)
+    return hypotheses.skipped_models(spark, found).unionByName(
+        spark.createDataFrame([(name, "fitted") for name in found.fits], "model string, reason string")
+    )
+
+
+@query("study_likelihood_ratios")
+def _(spark, d):
+    return hypotheses.likelihood_ratio_tables(spark, _catalogue(spark, d))
+
+
+@query("study_group_coefficients")
+def _(spark, d):
+    return hypotheses.group_coefficient_tables(spark, _catalogue(spark, d))
+
+
+@query("study_contrasts")
+def _(spark, d):
+    return hypotheses.contrast_tables(spark, _catalogue(spark, d))
+
+
+@query("study_predictions")
+def _(spark, d):
+    return hypotheses.prediction_tables(spark, _catalogue(spark, d))

@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from panelweave.models.cells import Moments, collect_cells, independent_columns
+from panelweave.models.cells import collect_cells, independent_columns
 from panelweave.models.contrasts import average_comparisons, mean_predictions
 from panelweave.models.design import Design, Factor, Numeric, crossed, main
 from panelweave.models.distributions import chi_square_tail, f_tail, normal_two_sided, t_two_sided
-from panelweave.models.mixed import Groups, fit_mixed, group_blocks, likelihood_ratio_table
+from panelweave.models.mixed import Groups, fit_mixed, fit_mixed_many, group_blocks, likelihood_ratio_table
 from panelweave.models.ols import coefficient_table, fit_nested, fit_ols
 
 OCC = Factor("occ", ("manager", "engineer", "other"))
@@ -144,12 +144,11 @@ def test_totals_equal_sums_over_collected_blocks(spark, cells):
     from panelweave.models.mixed import _sum_terms
 
     design = Design.of(main(OCC, SEX, Z))
-    m = Moments(cells, design)
-    groups = Groups(group_blocks(cells, m, [0]).repartition(5), 1, len(m.kept) + 1)
-    blocks = np.array([r["block"] for r in groups.frame.collect()]).reshape(groups.count, 1, -1)
+    columns = design.columns
+    groups = Groups(group_blocks(cells, columns, [0]).repartition(5), 1, len(columns) + 1)
+    blocks = np.array([r["block"] for r in groups.frame.collect()]).reshape(12, 1, -1)
     factors = [np.array([[x]]) for x in (0.0, 0.3, 2.0)]
     part = lambda b, lam: _sum_terms(b, lam, [0])
-    assert groups.count == 12
     assert np.allclose(groups.totals(part, factors), [part(blocks, lam) for lam in factors])
 
 
@@ -162,6 +161,11 @@ def test_a_fit_takes_few_jobs(spark, cells, monkeypatch):
     calls.clear()
     fit_mixed(cells, Design.of(main(OCC, SEX, Z)), ("(Intercept)", "occengineer"))
     assert len(calls) <= 60
+    calls.clear()
+    many = fit_mixed_many(cells, {k: (Design.of(main(*v)), r) for k, v, r in (("a", [OCC], False), ("b", [SEX, Z], False), ("c", [OCC, SEX], True))})
+    assert len(calls) == 5
+    alone = fit_mixed(cells, Design.of(main(SEX, Z)))
+    assert np.allclose(many["b"].beta, alone.beta) and math.isclose(many["b"].theta[0], alone.theta[0], rel_tol=1e-6)
 
 
 def test_more_cells_than_rows_fit(spark):
