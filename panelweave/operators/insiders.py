@@ -135,26 +135,24 @@ def fitting_owners(people: DataFrame, reference: DataFrame) -> DataFrame:
     """Per (cid, cycle, firm) with a fitting insider: smallest (``lo``) and largest owner, and counts.
 
     An owner fits with the same firm, surname and first name, and initials that do not contradict; a
-    missing initial fits any. ``people`` needs cid, cycle, cik and name. Distinct names per firm are
-    resolved first, then joined back, so neither a common name nor a big firm multiplies rows.
+    missing initial fits any. ``people`` needs cid, cycle, cik and name. Distinct names per firm are parsed and
+    resolved once, then joined back as they are written, so neither a common name nor a big firm multiplies rows.
     """
     rows = people.select("cid", "cycle", padded_id(F.col("cik")).alias("cik_j"), "name")
-    left = with_person_parts(rows, "name", into=("c_last", "c_first", "c_mi"))
-    left = left.where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
-    keys = ["cik_j", "c_last", "c_first", "c_mi"]
-    names = left.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    names = rows.groupBy("cik_j", "name").agg(F.count("*").alias("n_rows"))
+    parsed = with_person_parts(names, "name", into=("c_last", "c_first", "c_mi"))
     fits = F.filter("buckets", lambda b: F.col("c_mi").isNull() | b["i_mi"].isNull() | (b["i_mi"] == F.col("c_mi")))
     resolved = (
-        names.join(_owner_buckets(reference), ["cik_j", "c_last", "c_first"], "left")
+        parsed.join(_owner_buckets(reference), ["cik_j", "c_last", "c_first"], "left")
         .withColumn("fits", fits)
         .select(
-            *keys, "n_rows",
+            "cik_j", "name", "n_rows",
             F.array_min(F.transform("fits", lambda b: b["lo"])).alias("lo"),
             F.array_max(F.transform("fits", lambda b: b["hi"])).alias("hi"),
             F.aggregate("fits", F.lit(0).cast("long"), lambda total, b: total + b["n"]).alias("n_fit"),
         )
     )
-    found = hot_split_join(left, resolved, keys, count="n_rows", null_safe=True).where(F.col("lo").isNotNull())
+    found = hot_split_join(rows, resolved, ["cik_j", "name"], count="n_rows").where(F.col("lo").isNotNull())
     return found.groupBy("cid", "cycle", "cik_j").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("name").alias("name"), F.sum("n_fit").alias("n_fitting"),
         F.max("n_fit").alias("n_owners"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.skew import hot_split_join
@@ -53,53 +53,48 @@ def attach_group_stats(df: DataFrame, keys: Sequence[str], value: str, *, mean:
 
 
 _STATIC, _DYNAMIC = "contributor_score", "score_dyn"
+PLACES = {"city": ("city", True), "zipcode": ("zipcode", False)}
 
 
 def _place_stats(panel: DataFrame, place: str) -> DataFrame:
-    """One row per place: totals of the static score, and dynamic sums by state and cycle.
+    """Per place, state and cycle: rows, and sums and counts of the dynamic score; beside them those of the place.
 
-    A place spans a handful of states and cycles, so its parts fit in a short array, and one join on
-    the place serves the means over every finer key.
+    The sums over all states of a place and cycle, and over the whole place, are windows over these rows: a
+    place has one per state and cycle, however many people live there.
     """
     fine = panel.groupBy(place, "state", "cycle").agg(
-        F.count("*").alias("n"),
-        F.sum(_STATIC).alias("static"), F.count(_STATIC).alias("n_static"),
-        F.sum(_DYNAMIC).alias("dyn"), F.count(_DYNAMIC).alias("n_dyn"),
+        F.count("*").alias("_n"),
+        F.sum(_STATIC).alias("_s"), F.count(_STATIC).alias("_ns"), F.sum(_DYNAMIC).alias("_dyn"), F.count(_DYNAMIC).alias("_n_dyn"),
     )
-    return fine.groupBy(place).agg(
-        F.sum("n").alias("_n"), F.sum("static").alias("_static"), F.sum("n_static").alias("_n_static"),
-        F.collect_list(F.struct("state", "cycle", "n", "dyn", "n_dyn")).alias("_parts"),
+    whole, cycle = Window.partitionBy(place), Window.partitionBy(place, "cycle")
+    return fine.select(
+        place, "state", "cycle", "_n", "_dyn", "_n_dyn",
+        F.sum("_n").over(whole).alias("_n_place"), F.sum("_s").over(whole).alias("_static"), F.sum("_ns").over(whole).alias("_n_static"),
+        F.sum("_n").over(cycle).alias("_n_cycle"), F.sum("_dyn").over(cycle).alias("_dyn_cycle"),
     )
 
 
-def _total(parts: Column, field: str) -> Column:
-    return F.aggregate(parts, F.lit(0.0), lambda total, p: total + F.coalesce(p[field], F.lit(0)).cast("double"))
+def attach_local_means(panel: DataFrame, places: Mapping[str, tuple[str, bool]] = PLACES, size: str | None = "n_per_zip") -> DataFrame:
+    """All local means of the panel: by place (static), and by place and cycle (dynamic), with and without the row itself.
 
-
-def attach_local_means(panel: DataFrame) -> DataFrame:
-    """All local means of the panel: by city and zip (static), and by place and cycle (dynamic).
-
-    The keys follow the published tables: the zip-by-cycle mean includes the state while its
-    leave-one-out twin does not, and the static city mean has no state. Eight means over five key
-    lists need two joins, one by city and one by zip. ``panel`` is read three times: hand in a
-    written table (see ``session.written``) when it is costly to compute.
+    ``places`` maps the name in the new columns to the place column and whether the dynamic leave-one-out mean
+    stays within the state. The defaults follow the published tables: the zip-by-cycle mean includes the state
+    while its leave-one-out twin does not, and the static means have no state. ``size`` names the row count of
+    the last place. Each place takes one join. ``panel`` is read once more per place: hand in a written table (see
+    ``session.written``) when it is costly to compute. Runs jobs.
     """
     out = panel
-    same_cycle = lambda p: p["cycle"].eqNullSafe(F.col("cycle"))
-    same_state = lambda p: same_cycle(p) & p["state"].eqNullSafe(F.col("state"))
     static, dynamic = F.col(_STATIC), F.col(_DYNAMIC)
-    for place, name in (("city", "city"), ("zipcode", "zipcode")):
-        joined = hot_split_join(out, _place_stats(panel, place), [place], count="_n", null_safe=True)
-        here = F.filter("_parts", same_state)
-        # the leave-one-out mean by zip and cycle runs over all states of the zip
-        others = here if place == "city" else F.filter("_parts", same_cycle)
+    for i, (name, (place, within_state)) in enumerate(places.items()):
+        joined = hot_split_join(out, _place_stats(panel, place), [place, "state", "cycle"], count="_n", null_safe=True)
+        total, rows = ("_dyn", "_n") if within_state else ("_dyn_cycle", "_n_cycle")
         added = [
             (F.col("_static") / F.col("_n_static")).alias(f"mean_score_{name}"),
-            leave_one_out(F.col("_static"), F.col("_n"), static).alias(f"mean_score_{name}_wo_i"),
-            F.when(_total(here, "n_dyn") > 0, _total(here, "dyn") / _total(here, "n_dyn")).alias(f"mean_dyn_score_{name}_cycle"),
-            leave_one_out(_total(others, "dyn"), _total(others, "n"), dynamic).alias(f"mean_dyn_score_{name}_cycle_wo_i"),
+            leave_one_out(F.col("_static"), F.col("_n_place"), static).alias(f"mean_score_{name}_wo_i"),
+            F.when(F.col("_n_dyn") > 0, F.col("_dyn") / F.col("_n_dyn")).alias(f"mean_dyn_score_{name}_cycle"),
+            leave_one_out(F.col(total), F.col(rows), dynamic).alias(f"mean_dyn_score_{name}_cycle_wo_i"),
         ]
-        if place == "zipcode":
-            added.append(F.col("_n").alias("n_per_zip"))
+        if size and i == len(places) - 1:
+            added.append(F.col("_n_place").alias(size))
         out = joined.select(*out.columns, *added)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.jaro import jaro_similarity
-from panelweave.functions.names import company_key, looks_like_entity, with_person_parts
+from panelweave.functions.names import ENTITY_WORDS, company_key, looks_like_entity, with_person_parts
 from panelweave.functions.occupation import ENGINEER_WORDS, MANAGER_WORDS, occupation_flags
 from panelweave.functions.scores import clean_ticker, filing_date
 from panelweave.operators import insiders, linkage, panel, validate
@@ -187,12 +187,15 @@ def _(spark, d):
     return rounded(out, "false_positives_share", "false_negatives_share", digits=9)
 
 
-@query("val_review_sample", _MATCH + """ SELECT kind, employer_raw, matched_name, status FROM (
+@query("val_review_sample", _MATCH + f""", near AS (SELECT query_norm, arg_min(ref_norm, {{'d': distance, 'c': cik, 'r': ref_norm}}) AS nearest, round(min(distance), 9) AS nearest_distance FROM (
+    SELECT query_norm, ref_norm, cik, {_DIST} AS distance FROM keys CROSS JOIN reference) WHERE distance <= 0.2 GROUP BY query_norm)
+    SELECT kind, employer_raw, matched_name, status, nearest, nearest_distance FROM (
     SELECT 'accepted' AS kind, *, row_number() OVER (ORDER BY md5('123:' || employer_raw), employer_raw) AS r FROM matches WHERE match_type = 'fuzzy' AND status = 'auto_accept'
-    UNION ALL SELECT 'rejected', *, row_number() OVER (ORDER BY md5('123:' || employer_raw), employer_raw) FROM matches WHERE status <> 'auto_accept') WHERE r <= 100""")
+    UNION ALL SELECT 'rejected', *, row_number() OVER (ORDER BY md5('123:' || employer_raw), employer_raw) FROM matches WHERE status <> 'auto_accept') s LEFT JOIN strings USING (employer_raw) LEFT JOIN near ON near.query_norm = strings.query_norm WHERE r <= 100""")
 def _(spark, d):
-    matches = written(_matches(spark, d), "matches")
-    part = lambda kind: validate.review_sample(matches, kind, 100).select(F.lit(kind).alias("kind"), "employer_raw", "matched_name", "status")
+    matches, reference = written(_matches(spark, d), "matches"), written(_reference(spark, d), "reference")
+    shown = ("employer_raw", "matched_name", "status", "nearest", r6("nearest_distance", 9).alias("nearest_distance"))
+    part = lambda kind: validate.review_sample(matches, kind, 100, reference=reference).select(F.lit(kind).alias("kind"), *shown)
     return part("accepted").unionByName(part("rejected"))
 
 
@@ -227,10 +230,16 @@ def _(spark, d):
     return bind.submissions(spark, d).select(F.col("ACCESSION_NUMBER").alias("accession"), clean_ticker(F.col("ISSUERTRADINGSYMBOL")).alias("ticker"))
 
 
-@query("prj_entity_flag", role_sql("owner") + r""" SELECT RPTOWNERNAME AS name, count(*) AS n, bool_or(regexp_matches(upper(RPTOWNERNAME), '\b(L\.?P|FUND|TRUST|INC)\b')) AS is_entity
-    FROM owner GROUP BY 1""")
+# every word as it may be written, and beside each a longer word that only contains it
+_SPELLED = [s for w in ENTITY_WORDS for s in dict.fromkeys((w.replace("\\.?", "."), w.replace("\\.?", "").capitalize()))]
+_ENDINGS = [e for w in _SPELLED for e in (w, w + "x", w + "y" if "." in w else "x" + w)]
+
+
+@query("prj_entity_flag", role_sql("owner") + f""" SELECT RPTOWNERNAME || ' ' || split_part('{'|'.join(_ENDINGS)}', '|', CAST(1 + e AS INT)) AS name, count(*) AS n,
+    RPTOWNERNAME LIKE 'Acorn%' OR e % 3 = 0 AS is_entity FROM (SELECT RPTOWNERNAME, CAST(ACCESSION_NUMBER AS BIGINT) % {len(_ENDINGS)} AS e FROM owner) GROUP BY RPTOWNERNAME, e""")
 def _(spark, d):
-    counts = bind.owners(spark, d).groupBy(F.col("RPTOWNERNAME").alias("name")).agg(F.count("*").alias("n"))
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("ACCESSION_NUMBER").cast("bigint") % len(_ENDINGS) + 1).cast("int"))
+    counts = bind.owners(spark, d).groupBy(F.concat_ws(" ", "RPTOWNERNAME", ending).alias("name")).agg(F.count("*").alias("n"))
     return counts.withColumn("is_entity", looks_like_entity(F.col("name")))
 
 
@@ -305,6 +314,12 @@ def _(spark, d):
     return insiders.link_insiders(_people(spark, d), _spells(spark, d))
 
 
+@query("val_review_insiders", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid || ':' || cycle || ':' || cik_j AS pair, name, owner_name_raw, issuer_name, insider_role
+    FROM found ORDER BY md5('123:' || cid || ':' || cycle || ':' || cik_j), pair LIMIT 40""")
+def _(spark, d):
+    return validate.review_insiders(insiders.link_insiders(_people(spark, d), _spells(spark, d)), 40)
+
+
 @query("jn_equi_theta", role_sql("panel", "spell", extra=_INSIDER_SQL) + """ SELECT cid, cycle, cik_j, count(*) AS n_fitting, count(DISTINCT owner_cik) AS n_owners FROM fit GROUP BY cid, cycle, cik_j""")
 def _(spark, d):
     fits = insiders.fitting_owners(_people(spark, d), _spells(spark, d))

@@ -12,7 +12,7 @@ from panelweave.functions.scores import insider_now, padded_id, tech_flag
 from panelweave.operators import industry, insiders, linkage, panel
 from panelweave.operators.local_means import attach_local_means
 from panelweave.plans import bind
-from panelweave.session import written
+from panelweave.session import intermediates, written
 from panelweave.sources.transactions import write_partitioned
 
 # Fixed value: columns of the published panel, in order.
@@ -79,6 +79,12 @@ def publish(enriched: DataFrame, root: str, sample: bool = False) -> DataFrame:
     return stored
 
 
+def run(root: str, sample: bool = False, **inputs) -> DataFrame:
+    """The whole job: :func:`enriched_panel` of these inputs, published; intermediate files are removed."""
+    with intermediates(inputs["transactions"].sparkSession):
+        return publish(enriched_panel(**inputs), root, sample)
+
+
 def inputs_from_tables(spark: SparkSession, sf_dir: str, targets: Sequence[int] = bind.TARGETS) -> dict:
     """Arguments of :func:`enriched_panel` from the star-schema tables."""
     register = bind.register(spark, sf_dir)

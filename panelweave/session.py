@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,16 +33,39 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_SCOPES: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; an open :func:`intermediates` scope removes it at its end."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """A scope for a job that writes its result: what it stored in the shared folder on the way goes at the end.
+
+    Frames built inside read those files, so nothing lazy may be used after the scope. Only paths handed out
+    inside the scope are removed.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a frame feeds several later jobs: the files survive the loss of an executor,
-    and the lineage of whatever follows starts at a parquet scan.
+    and the lineage of whatever follows starts at a parquet scan. Runs a job when called, also while a
+    plan is being built.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
