@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.operators.skew import hot_split_join
+
 SCHEMES = (12, 48, 49)
 CODE_MIN, CODE_MAX = 100, 9999  # fixed values: first and last four-digit code
 
@@ -111,6 +113,12 @@ def check_crosswalk(lookup: DataFrame) -> DataFrame:
 
 
 def attach_industries(df: DataFrame, lookup: DataFrame, code: str = "sic") -> DataFrame:
-    """Left join listed codes' industries; the lookup has at most 9,900 rows and is broadcast."""
-    listed = lookup.where("in_sec").withColumnRenamed("sic", "_sic")
-    return df.join(F.broadcast(listed), F.col(code) == F.col("_sic"), "left").drop("_sic")
+    """Left join listed codes' industries, a row per code.
+
+    A code may hold a large share of the rows: their salts keep it apart (see ``skew.hot_split_join``, which
+    runs a job). A lookup of the usual size is broadcast by the planner.
+    """
+    listed = lookup.where("in_sec").withColumnRenamed("sic", code)
+    rows = df.groupBy(code).agg(F.count("*").alias("_rows"))
+    known = rows.join(listed, code, "left")
+    return hot_split_join(df, known, [code], count="_rows").drop("_rows")

@@ -12,6 +12,7 @@ from panelweave.models.contrasts import average_comparisons, mean_predictions
 from panelweave.models.design import Design, Factor, Numeric, coded, crossed, main
 from panelweave.models.mixed import fit_mixed, likelihood_ratio_table
 from panelweave.models.ols import coefficient_table, fit_nested, fit_ols, measure_table
+from panelweave.operators import describe
 from panelweave.plans import hypotheses, study
 from panelweave.plans.bind import table
 from panelweave.plans.entries_linkage import LATEST_SQL, STUDY
@@ -282,7 +283,7 @@ def _catalogue(spark, d) -> hypotheses.Catalogue:
 
 
 _SAMPLE = STUDY + f""", latest AS (SELECT cid, {LATEST_SQL} FROM study GROUP BY cid),
-    sample AS (SELECT contributor_score AS y, ff49_abbr IN ('Softw', 'Hardw', 'Chips') AS tech, ff49_abbr AS industry, occupation_std, is_sec_insider FROM latest
+    sample AS (SELECT contributor_score AS y, ff49_abbr IN ('Softw', 'Hardw', 'Chips') AS tech, ff49_abbr AS industry, occupation_std, is_sec_insider, gender FROM latest
       WHERE contributor_score IS NOT NULL AND occupation_std IS NOT NULL AND mean_score_zipcode_wo_i IS NOT NULL AND ff49_abbr IS NOT NULL AND gender IS NOT NULL AND is_sec_insider IS NOT NULL),
     part AS (SELECT 'h1' AS h, * FROM sample UNION ALL SELECT 'h3 managers', * FROM sample WHERE occupation_std = 'manager' UNION ALL SELECT 'h3 insiders', * FROM sample WHERE is_sec_insider),
     long AS (SELECT h || ' tech: baseline' AS model, 'ff49_is_techTRUE' AS term, tech AS hit, y FROM part)"""
@@ -300,6 +301,29 @@ def _(spark, d):
     return rounded(out.select("model", "term", "estimate", "std_error"), "estimate", "std_error")
 
 
+@query("study_mean_ci", f"""{_SAMPLE} SELECT industry AS ff49_abbr, tech AS ff49_is_tech, count(*) AS n, round(avg(y), 9) AS mean, round(stddev_samp(y), 9) AS sd, round(stddev_samp(y) / sqrt(count(*)), 9) AS se,
+    round(avg(y) - 2 * stddev_samp(y) / sqrt(count(*)), 9) AS lo, round(avg(y) + 2 * stddev_samp(y) / sqrt(count(*)), 9) AS hi FROM sample GROUP BY 1, 2""")
+def _(spark, d):
+    whole, _ = hypotheses.estimation_samples(*_study(spark, d))
+    return rounded(describe.mean_ci(whole, [hypotheses.INDUSTRY, hypotheses.TECH.name], hypotheses.STATIC), "mean", "sd", "se", "lo", "hi", digits=9)
+
+
+@query("study_box", f"""{_SAMPLE}, q AS (SELECT occupation_std, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.5) AS m, quantile_cont(y, 0.75) AS q3 FROM sample GROUP BY 1)
+    SELECT occupation_std, count(*) AS n, any_value(q1) AS q1, any_value(m) AS median, any_value(q3) AS q3, min(y) FILTER (WHERE y >= q1 - 1.5 * (q3 - q1)) AS whisker_lo,
+    max(y) FILTER (WHERE y <= q3 + 1.5 * (q3 - q1)) AS whisker_hi, count(*) FILTER (WHERE y < q1 - 1.5 * (q3 - q1) OR y > q3 + 1.5 * (q3 - q1)) AS n_outliers
+    FROM sample JOIN q USING (occupation_std) GROUP BY occupation_std""")
+def _(spark, d):
+    whole, _ = hypotheses.estimation_samples(*_study(spark, d))
+    return describe.box_stats(whole, ["occupation_std"], hypotheses.STATIC)
+
+
+@query("study_composition", f"""{_SAMPLE} SELECT occupation_std, gender, n, round(n / sum(n) OVER (PARTITION BY occupation_std), 9) AS share FROM (
+    SELECT occupation_std, gender, count(*) AS n FROM sample GROUP BY 1, 2)""")
+def _(spark, d):
+    whole, _ = hypotheses.estimation_samples(*_study(spark, d))
+    return rounded(describe.composition(whole, "occupation_std", "gender"), "share", digits=9)
+
+
 @query("study_models")
 def _(spark, d):
     return coefficient_table(spark, _catalogue(spark, d).fits)
