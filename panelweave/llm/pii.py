@@ -121,7 +121,7 @@ def _terms_beside(entity: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """Pairs (value, term, share): terms that reveal at least ``GENERALISE`` of an entity's information."""
+    """Pairs (value, term, share): terms that reveal at least ``GENERALISE`` of an entity's information. Runs jobs."""
     met = scanned.filter(F.col("entities").isNotNull()).select(F.explode("entities").alias("e"))
     met = met.select(F.col("e")["value"].alias("value"), _terms_beside(F.col("e")).alias("terms"))
     of_entity = met.groupBy("value").agg(F.count("*").alias("n_value"))
@@ -130,13 +130,11 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     joint = contexts.groupBy("value", "term").agg(F.sum("n").alias("n_joint"), F.count("*").alias("support"))
     candidates = joint.filter(F.col("support") >= SUPPORT).join(of_entity, "value")
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), _BREAK)).alias("term")).filter(F.length("term") > 0)
-    counts = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    total = counts.agg(F.sum("n_term").alias("n_words"))
-    counts = counts.filter(F.length("term") >= LEAST_LETTERS)
-    joined = counts.join(candidates, "term").crossJoin(F.broadcast(total))  # one row
-    window = 2.0 * REACH
-    p_term = F.least(F.lit(1.0), F.col("n_term") * window / F.col("n_words"))
-    p_value = F.least(F.lit(1.0), F.col("n_value") * window / F.col("n_words"))
+    counts = written(words.groupBy("term").agg(F.count("*").alias("n_term")), "pii-words")
+    per_word = 2.0 * REACH / (counts.agg(F.sum("n_term")).first()[0] or 1)  # windows a word may be met in
+    joined = counts.filter(F.length("term") >= LEAST_LETTERS).join(candidates, "term")
+    p_term = F.least(F.lit(1.0), F.col("n_term") * per_word)
+    p_value = F.least(F.lit(1.0), F.col("n_value") * per_word)
     pmi = F.log2(F.col("n_joint") / F.col("n_value") / p_term)
     share = F.when(p_value < 1.0, F.least(F.lit(1.0), pmi / -F.log2(p_value))).otherwise(F.lit(0.0))
     return joined.select("value", "term", share.alias("share")).filter(F.col("share") >= GENERALISE)
