@@ -37,10 +37,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def source_totals(rows: DataFrame) -> DataFrame:
-    """source, docs, tokens and the source's share of all tokens (sources without a token have none)."""
+    """source, docs, tokens and the source's share of all tokens (sources without a token have none). Runs a job."""
     totals = rows.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
-    whole = totals.agg(F.sum("tokens").alias("_all"))
-    return totals.crossJoin(F.broadcast(whole)).withColumn("share", F.col("tokens") / F.greatest("_all", F.lit(1))).drop("_all")  # one row
+    whole = totals.agg(F.sum("tokens")).first()[0] or 1
+    return totals.withColumn("share", F.col("tokens") / F.lit(float(whole)))
 
 
 def _measured(totals: DataFrame, exponents: list[float], budget: float | None) -> dict[float, tuple[float, float]]:
@@ -88,10 +88,10 @@ def weights(totals: DataFrame, a: float, budget: float | None = None) -> DataFra
     """source, docs, tokens, share, weight and passes of the mix with exponent ``a``."""
     power = F.when(F.col("tokens") > 0, F.pow("share", F.lit(a))).otherwise(0.0)
     tempered = totals.withColumn("_power", power).withColumn("_raw", F.when(F.col("tokens") > 0, F.col("_power") / F.col("share")))
-    whole = tempered.agg(F.sum("_power").alias("_z"), F.min("_raw").alias("_least"), F.sum("tokens").alias("_all"))
-    joined = tempered.crossJoin(F.broadcast(whole))  # one row
-    passes = F.col("_raw") / F.col("_least") if budget is None else F.lit(float(budget)) / F.col("_all") * F.col("_raw") / F.col("_z")
-    return joined.select(*totals.columns, (F.col("_power") / F.greatest("_z", F.lit(1e-300))).alias("weight"), F.coalesce(passes, F.lit(1.0)).alias("passes"))
+    z, least, whole = tempered.agg(F.sum("_power"), F.min("_raw"), F.sum("tokens")).first()
+    unit = (least or 1.0) if budget is None else (whole or 1) * (z or 1.0) / float(budget)
+    passes = F.coalesce(F.col("_raw") / F.lit(unit), F.lit(1.0))  # divided, so that the least is one pass exactly
+    return tempered.select(*totals.columns, (F.col("_power") / F.lit(z or 1.0)).alias("weight"), passes.alias("passes"))
 
 
 def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: float | None = None, budget: float | None = None,

@@ -57,6 +57,17 @@ def test_every_document_is_shown_and_shares_follow_the_weights(spark):
         assert all(math.floor(passes) <= copies[i] <= math.floor(passes) + 1 for i, (s, _) in counts.items() if s == source)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_source_falls_short_of_a_pass(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, f"s{i % 7}", " ".join(["w"] * rng.randrange(1, 90))) for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(200))
+    assert min(r["passes"] for r in got) == 1.0
+
+
 def test_a_budget_shows_less(spark):
     docs = table(spark, "0.01")
     whole = sum(len(WORDS.findall(r["text"])) for r in docs.collect())
