@@ -75,4 +75,33 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM folded WINDOW w AS (PARTITION BY text_sha256)""",
+    "op5_near_dedup": r"""
+        WITH RECURSIVE said AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingle AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i:i + 2] FOR i IN range(1, len(w) - 1)] WHEN len(w) > 0 THEN [w] ELSE [] END) AS s FROM said),
+        size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        link AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
+        way AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, way.y FROM reach r JOIN way ON way.x = r.y)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) LEFT JOIN size USING (doc_id)""",
+    "op6_suffix_dedup": """
+        WITH hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        windows AS (SELECT doc_id, p, h[2 * p + 1:2 * p + 200] AS w FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 99)) AS p FROM hexed WHERE len(h) >= 200)),
+        again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 100)) AS p FROM again),
+        runs AS (SELECT doc_id, min(p) AS a, max(p) AS b FROM (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM gone) GROUP BY doc_id, g),
+        edges AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM hexed),
+        kept AS (SELECT doc_id, string_agg(h[2 * c + 1:2 * a], '' ORDER BY a) AS h FROM (
+          SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a) + 1, 0) AS c FROM edges) JOIN hexed USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(x.h) // 2 AS n_bytes, (len(x.h) - len(k.h)) // 2 AS n_removed, (SELECT count(*) FROM runs WHERE runs.doc_id = x.doc_id) AS n_spans,
+          sha256(unhex(k.h)) AS kept_sha256 FROM hexed x JOIN kept k USING (doc_id)""",
+    # the given pages hold one article element each, with paragraphs, line breaks, bold words, quotes and ampersands
+    "op8_html_extraction": r"""
+        WITH inner_part AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+        plain AS (SELECT page_id, url, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+          FROM inner_part)
+        SELECT page_id, url, text, length(text) AS n_chars FROM plain""",
 }
