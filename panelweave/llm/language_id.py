@@ -37,7 +37,7 @@ _BLOCK = 32
 _ROUNDS, _RATE, _DECAY = 20, 0.15, 1e-4
 _SLICE_BYTES = 3 << 19
 #: Documents below this score count as of unknown language in ``known_language``.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.25
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long"
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
