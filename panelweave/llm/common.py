@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,15 +35,32 @@ def partitions(spark: SparkSession) -> int:
 
 
 def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows, whose process gives freed memory back.
 
     A batch is held several times, on both sides of the pipe to Python, and texts are long. The session's
-    setting is lowered when it allows more, since it counts at the time the rows are computed.
+    setting is lowered when it allows more, since it counts at the time the rows are computed. Spark keeps the
+    Python processes for later stages; what an operator has freed should not stay with them.
     """
     conf = rows.sparkSession.conf
     if not 0 < int(conf.get(_BATCH_KEY)) <= BATCH_ROWS:
         conf.set(_BATCH_KEY, BATCH_ROWS)
-    return rows.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, batch in enumerate(run(batches)):
+            yield batch
+            if i % 8 == 7:
+                give_back()
+        give_back()
+
+    return rows.mapInArrow(released, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and the C library to the system, where the library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def by_batch(rows: DataFrame, work: Callable[[dict[str, list]], dict[str, list]], schema: str, step: int = 256) -> DataFrame:
