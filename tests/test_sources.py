@@ -201,3 +201,14 @@ def test_publish_writes_panel_and_people(spark, tmp_path):
     people = spark.read.parquet(str(tmp_path / "processed_people"))
     assert stored.count() > 0 and people.count() == stored.select("cid").distinct().count()
     assert registers.read_processed(spark, str(tmp_path / "processed_panel")).count() == stored.count()
+
+
+def test_the_whole_job_removes_its_intermediate_files(spark, tmp_path):
+    from panelweave.plans import study
+    from panelweave.session import shared_root
+
+    folder = shared_root(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    stored = study.run(str(tmp_path), **study.inputs_from_tables(spark, "/root/testdata/sf0.001"))
+    assert stored.count() > 0
+    assert set(os.listdir(folder)) == before
