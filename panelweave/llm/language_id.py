@@ -3,7 +3,13 @@
 Every word (a run of letters) of a text gets a language. Its emission scores add up learned weights of hashed
 character n-grams with word marks (so that prefixes and suffixes are features of their own) and of the word
 itself when it is in the lexicon; learned transitions tie neighbouring words together. Forward-backward gives
-each word's marginal over the languages. A document's score for a language is the mean marginal of its words.
+each word's marginal over the languages; the language of the highest mean marginal is the document's.
+
+A word may also be of no learned language: each language has a chain of letters (order two, Witten-Bell), and the
+unknown state draws letters one by one as often as they occur in the sample. The chain's posterior against that
+state, weighted by the word's marginals, is how far the word is known; a document's score is the mean over its
+letters. So text that switches between known languages scores high, gibberish and texts in an unlearned
+language score low, and the number of languages does not matter.
 
 The model is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled documents per language of
 at most ``SAMPLE_CHARS`` characters, those with the smallest hash of their id. Every second training sequence
@@ -36,22 +42,37 @@ _BITS = 16
 _BLOCK = 32
 _ROUNDS, _RATE, _DECAY = 20, 0.15, 1e-4
 _SLICE_BYTES = 3 << 19
-#: Documents below this score count as of unknown language in ``known_language``.
-LEAST_SCORE = 0.25
+#: Documents below this score count as of unknown language in ``known_language``: most of their letters are unknown.
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long"
 _MULTIPLIER, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
+@dataclass
+class Chains:
+    """Letter chains of all languages: log ratios to the unknown state, by sorted codes of letters.
+
+    ``triples`` and ``pairs`` hold the ratios of a letter after two letters and after one; ``contexts`` and
+    ``letters`` what is added when the letter was not seen after those two letters, or after that one.
+    """
+
+    triples: tuple[np.ndarray, np.ndarray]
+    contexts: tuple[np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+    letters: tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
-    """Languages in order, emission weights by feature, lexicon (sorted word hashes), log transitions."""
+    """Languages in order, emission weights by feature, lexicon (sorted word hashes), log transitions, letter chains."""
 
     languages: list[str]
     grams: np.ndarray
     lexicon: np.ndarray
     lexical: np.ndarray
     transitions: np.ndarray
+    chains: Chains
 
 
 @dataclass
@@ -100,6 +121,74 @@ def word_features(words: pa.Array) -> Words:
     return Words(features, hashes)
 
 
+def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every letter of the words and their end marks, the word it is in, and codes of the one and two letters before it."""
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    sizes = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
+    place = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place > 0)
+    one = points[at - 1]
+    return points[at], np.repeat(np.arange(len(words)), sizes)[at], one, np.where(place[at] > 1, points[at - 2], 0) << 21 | one
+
+
+def fit_chains(samples: list[list[str]]) -> Chains:
+    """Letter chains of the texts of each language."""
+    split = [split_words(pa.array(found, pa.string())) for found in samples]
+    words = [w for distinct, _, _ in split for w in distinct.to_pylist()]
+    times = np.concatenate([np.zeros(0, dtype=np.int64)] + [np.bincount(index, minlength=len(distinct)) for distinct, index, _ in split])
+    language = np.repeat(np.arange(len(samples)), [len(distinct) for distinct, _, _ in split])
+    letter, of, one, two = _letters(words)
+    times, language, n = times[of].astype(float), language[of], len(samples)
+
+    def counted(codes: np.ndarray, weigh: np.ndarray, of_language: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names, index = np.unique(codes, return_inverse=True)
+        out = np.zeros((len(names), n))
+        np.add.at(out, (index, of_language), weigh)
+        return names, out
+
+    def step(before: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        codes, seen = counted(before << 21 | letter, times, language)
+        some = np.nonzero(seen)
+        contexts, kinds = counted(codes[some[0]] >> 21, np.ones(len(some[0])), some[1])
+        whole = counted(before, times, language)[1]
+        own = np.searchsorted(contexts, codes >> 21)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            less = np.where(whole > 0, kinds / (whole + kinds), 1.0)
+            more = np.where(whole[own] > 0, seen / (whole + kinds)[own], 0.0) / share[np.searchsorted(alphabet, codes & (1 << 21) - 1)][:, None]
+        return codes, more + less[own] * lower(codes), contexts, less
+
+    alphabet, place = np.unique(letter, return_inverse=True)
+    share = np.bincount(place, weights=times, minlength=len(alphabet))
+    share = share / max(share.sum(), 1.0)
+    pairs, after_one, letters, fewer = step(one, lambda codes: 1.0)
+    triples, after_two, contexts, less = step(two, lambda codes: after_one[np.searchsorted(pairs, codes & (1 << 42) - 1)])
+    return Chains((triples, np.log(after_two)), (contexts, np.log(less)), (pairs, np.log(after_one)), (letters, np.log(fewer)))
+
+
+def known(chains: Chains, words: pa.Array) -> np.ndarray:
+    """Posterior of every word and language against the unknown state, both equally likely before."""
+    strings = words.to_pylist()
+    letter, of, one, two = _letters(strings)
+    n = chains.letters[1].shape[1]
+    out = np.zeros((len(strings), n))
+    if not len(chains.letters[0]):
+        return out
+
+    def add(table: tuple[np.ndarray, np.ndarray], codes: np.ndarray, where: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(table[0], codes), len(table[0]) - 1)
+        hit = table[0][at] == codes
+        for k in range(n):
+            out[:, k] += np.bincount(where[hit], weights=table[1][at[hit], k], minlength=len(strings))
+        return ~hit
+
+    rest = add(chains.triples, two << 21 | letter, of)
+    letter, of, one, two = letter[rest], of[rest], one[rest], two[rest]
+    add(chains.contexts, two, of)
+    rest = add(chains.pairs, one << 21 | letter, of)
+    add(chains.letters, one[rest], of[rest])
+    return 1.0 / (1.0 + np.exp(-np.clip(out, -500, 500)))
+
+
 def _in_lexicon(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which words are in the lexicon, and where."""
     if not len(model.lexicon):
@@ -187,7 +276,7 @@ def fit(samples: dict[str, list[str]], rounds: int = _ROUNDS) -> Model:
     """A model from texts by language: gradient ascent (Adam) on the likelihood of the word labels."""
     languages = sorted(samples)
     if not languages:
-        return Model([], np.zeros((1 << _BITS, 0)), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
+        return Model([], np.zeros((1 << _BITS, 0)), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), np.zeros((0, 0)), fit_chains([]))
     rng = random.Random(7)
     sequences: list[list[tuple[str, int]]] = []
     lines = [[line for text in samples[name] for line in text.split("\n") if line.strip()] for name in languages]
@@ -205,7 +294,7 @@ def fit(samples: dict[str, list[str]], rounds: int = _ROUNDS) -> Model:
     words = word_features(distinct)
     often = np.bincount(index, minlength=len(distinct)) >= LEXICON_LEAST
     n = len(languages)
-    model = Model(languages, np.zeros((1 << _BITS, n)), np.unique(words.hashes[often]), np.zeros((0, n)), np.zeros((n, n)))
+    model = Model(languages, np.zeros((1 << _BITS, n)), np.unique(words.hashes[often]), np.zeros((0, n)), np.zeros((n, n)), fit_chains([samples[name] for name in languages]))
     model.lexical = np.zeros((len(model.lexicon), n))
     if not len(index) or n < 2:
         return model
@@ -275,7 +364,10 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def label_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of all words of a batch of texts, and the first word of each text (with the end)."""
-    distinct, index, starts = split_words(column)
+    return _labels(model, *split_words(column))
+
+
+def _labels(model: Model, distinct: pa.Array, index: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     scores = emissions(model, word_features(distinct))[index]
     if not len(index):
         return np.zeros((0, len(model.languages))), starts
@@ -285,23 +377,29 @@ def label_batch(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
 
 def _judged(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, best language (its number, one past the last for none) and score of each text."""
-    marginals, starts = label_batch(model, column) if model.languages else (np.zeros((0, 0)), np.zeros(len(column) + 1, dtype=np.int64))
+    if not model.languages:
+        return np.zeros(len(column), dtype=np.int64), np.zeros(len(column), dtype=np.int64), np.zeros(len(column))
+    distinct, index, starts = split_words(column)
+    marginals, _ = _labels(model, distinct, index, starts)
     counts = np.diff(starts)
     best, score = np.full(len(counts), len(model.languages)), np.zeros(len(counts))
     some = np.flatnonzero(counts > 0)
     if len(some):
-        means = np.add.reduceat(marginals, starts[:-1][some], axis=0) / counts[some, None]
-        best[some] = means.argmax(axis=1)
-        score[some] = np.clip(means.max(axis=1), 0.0, 1.0)
+        first = starts[:-1][some]
+        best[some] = (np.add.reduceat(marginals, first, axis=0) / counts[some, None]).argmax(axis=1)
+        letters = pc.utf8_length(distinct).to_numpy(zero_copy_only=False)[index].astype(float)
+        sure = (marginals * known(model.chains, distinct)[index]).sum(axis=1)
+        score[some] = np.clip(np.add.reduceat(sure * letters, first) / np.add.reduceat(letters, first), 0.0, 1.0)
     return counts, best, score
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score, n_words.
 
+    ``score`` is the share of the text that is of a learned language, of whichever it is.
     ``held_out`` is crc32(doc_id as text) mod 3 = 1; a row without an id is not held out and not learned from.
     A text that is null or has no letter is ``und`` with score 0, as is every text when nothing could be
-    learned. Of equal scores the first language by name wins. Repeated rows repeat; an empty table gives no
+    learned. Of equal means the first language by name wins. Repeated rows repeat; an empty table gives no
     rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -347,7 +445,7 @@ def runs_of_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def known_language(docs: DataFrame, least_score: float = LEAST_SCORE, model: Model | None = None) -> DataFrame:
     """The documents whose language is known with at least ``least_score``, with all their columns.
 
-    Texts without a letter and null texts go. The rows are filtered in the tasks that read them.
+    Texts without a letter, null texts, gibberish and texts in unlearned languages go. The rows are filtered in the tasks that read them.
     """
     learned = docs.sparkSession.sparkContext.broadcast(model if model is not None else train(docs))
 

@@ -1,4 +1,7 @@
+import base64
 import itertools
+import random
+import string
 import zlib
 
 import numpy as np
@@ -83,3 +86,47 @@ def test_nothing_to_learn_from(spark):
     assert language_id.identify(table(spark).limit(0)).collect() == []
     unlabelled = table(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
+
+
+def test_unknown_text_is_rejected_whatever_the_number_of_languages(spark):
+    docs = table(spark, "0.01").filter("lang is not null and length(text) between 200 and 20000")
+    by_language = {}
+    for r in docs.orderBy("doc_id").collect():
+        by_language.setdefault(r["lang"], []).append(r["text"])
+    rng = random.Random(3)
+    unknown = [
+        " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 11))) for _ in range(80)),
+        base64.b64encode(rng.randbytes(900)).decode(),
+        "Suomen kieli on uralilaisten kielten ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset. Ystäväni asuvat kaukana kylässä.",
+        "Русский язык является одним из крупнейших языков мира и широко распространён.",
+    ]
+    for names in (["en"], ["en", "fr"], sorted(by_language)):
+        model = language_id.fit({name: by_language[name][:40] for name in names})
+        clean = [by_language[name][k] for name in names for k in range(40, 50)]
+        mixed = ["\n".join(rng.choice(rng.choice(by_language[name][40:50]).split("\n")) for name in names * 4) for _ in range(10)]
+        rows = [(i, t, "kept" if i >= len(unknown) else "gone") for i, t in enumerate(unknown + clean + mixed)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert {r["doc_id"] for r in language_id.known_language(frame, model=model).collect()} == {r[0] for r in rows if r[2] == "kept"}
+
+
+def test_chains_against_plain_counts():
+    samples = [["the then that", "a tee"], ["der die das", "a"]]
+    chains = language_id.fit_chains(samples)
+    words = ["the", "die", "a", "tha", "zzz", "dat", "e", "thé"]
+    got = language_id.known(chains, pa.array(words))
+    split = [[f"\x00\x02{w}\x03" for text in texts for w in text.split()] for texts in samples]
+    everything = [c for texts in split for w in texts for c in w[2:]]
+    for k, texts in enumerate(split):
+
+        def after(letter, before, texts=texts):
+            if not before:
+                return everything.count(letter) / len(everything) if letter in everything else 1e-9
+            seen = [w[i] for w in texts for i in range(2, len(w)) if w[:i].endswith(before)]
+            kinds, lower = len(set(seen)), after(letter, before[1:])
+            return (seen.count(letter) + kinds * lower) / (len(seen) + kinds) if seen else lower
+
+        for i, word in enumerate(words):
+            w, ratio = f"\x00\x02{word}\x03", 1.0
+            for j in range(2, len(w)):
+                ratio *= after(w[j], w[j - 2 : j]) / after(w[j], "")
+            assert abs(got[i, k] - ratio / (1 + ratio)) < 1e-6, (word, k)
