@@ -11,8 +11,9 @@ state, weighted by the word's marginals, is how far the word is known; a documen
 letters. So text that switches between known languages scores high, gibberish and texts in an unlearned
 language score low, and the number of languages does not matter.
 
-The model is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled documents per language of
-at most ``SAMPLE_CHARS`` characters, those with the smallest hash of their id. Every second training sequence
+The model is fitted on the driver on a bounded sample: at most ``SAMPLE`` labelled documents per language, those
+with the smallest hash of their id. Documents of at most ``SAMPLE_CHARS`` characters come first; where a language
+has too few, longer ones give one block of whole lines of at most that length, at a hashed place. Every second training sequence
 is spliced from lines of documents in different languages, so the transitions learn that text may switch. The
 lexicon is the sample's words that occur at least ``LEXICON_LEAST`` times. Prediction runs over every whole
 text inside the tasks: emissions are computed once per distinct word of a batch, and the recursions go over
@@ -332,19 +333,40 @@ def _held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _block_of_lines() -> F.Column:
+    """Whole lines of a long text inside ``SAMPLE_CHARS`` characters at a hashed place; whole words where lines are too long."""
+    start = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.length("text") - SAMPLE_CHARS + 1).cast("int") + 1
+    window = F.substring(F.col("text"), start, F.lit(SAMPLE_CHARS))
+
+    def whole(mark: str) -> F.Column:
+        parts = F.split(window, mark)
+        return F.concat_ws(mark, F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))
+
+    lines, words = whole("\n"), whole(" ")
+    return F.when(F.length(lines) >= SAMPLE_CHARS // 2, lines).when(F.length(words) > 0, words).otherwise(window)
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the labelled documents that are not held out, within the bounds of the sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out())
-    rows = rows.filter(F.length("text") <= SAMPLE_CHARS)
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row per language
+    rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS)
+    counts = {r["lang"]: (r["short"], r["all"] - r["short"]) for r in rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(~F.col("long")).alias("short")).collect()}  # one row per language
     if not counts:
         return fit({})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * sample / n))])
+
+    def share(of: dict[str, float]) -> F.Column:
+        return F.element_at(F.create_map(*[F.lit(x) for lang, part in of.items() for x in (lang, part)]), F.col("lang"))
+
+    short = share({lang: min(1.0, 1.5 * sample / max(n, 1)) for lang, (n, _) in counts.items()})
+    # as many of the short documents as were counted all come, so the long ones only have to fill what they leave
+    longer = share({lang: min(1.0, 1.5 * (sample - n) / m) if n < sample and m else 0.0 for lang, (n, m) in counts.items()})
     place = (F.xxhash64("doc_id", F.lit("sample")) / F.lit(2.0**64)) + 0.5
-    picked = rows.withColumn("place", place).filter(F.col("place") <= F.element_at(share, F.col("lang")))
+    picked = rows.withColumn("place", place).filter(F.col("place") <= F.when(F.col("long"), longer).otherwise(short))
+    picked = picked.withColumn("text", F.when(F.col("long"), _block_of_lines()).otherwise(F.col("text")))
     samples: dict[str, list[str]] = {lang: [] for lang in counts}
-    for r in sorted(picked.select("lang", "place", "doc_id", "text").collect(), key=lambda r: (r["place"], r["doc_id"], r["text"])):
+    order = sorted(picked.select("lang", "long", "place", "doc_id", "text").collect(), key=lambda r: (r["long"], r["place"], r["doc_id"], r["text"]))
+    for r in order:
         if len(samples[r["lang"]]) < sample:
             samples[r["lang"]].append(r["text"])
     return fit({lang: found for lang, found in samples.items() if found})

@@ -130,3 +130,24 @@ def test_chains_against_plain_counts():
             for j in range(2, len(w)):
                 ratio *= after(w[j], w[j - 2 : j]) / after(w[j], "")
             assert abs(got[i, k] - ratio / (1 + ratio)) < 1e-6, (word, k)
+
+
+def test_language_of_long_documents_only_is_learned(spark):
+    rng = random.Random(4)
+    english, german = "the house garden people here with that water".split(), "der hund und die katze nicht tisch einer".split()
+    finnish = "suomen kieli ystäväni kylässä koulussa kirjaa mielelläni päivä".split()
+
+    def text(words, chars, mark):
+        made = " ".join(rng.choice(words) for _ in range(chars // 5))
+        return mark.join(made[i : i + 60] for i in range(0, len(made), 60)) if mark else made
+
+    rows = [(i, text(english, 400, "\n"), "en") for i in range(40)] + [(100 + i, text(german, 400, "\n"), "de") for i in range(40)]
+    rows += [(200 + i, text(finnish, 30_000, ("\n", "", " ")[i % 3]), "fi") for i in range(12)] + [(300, text(finnish, 90_000, "").replace(" ", " "), "fi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    assert all(got[i]["lang_pred"] == lang and got[i]["score"] > 0.5 for i, _, lang in rows)
+    spaced = docs.filter("lang = 'fi'").withColumn("block", language_id._block_of_lines()).collect()
+    for r in spaced:
+        assert r["block"] in r["text"] and language_id.SAMPLE_CHARS // 2 <= len(r["block"]) <= language_id.SAMPLE_CHARS
+        if r["doc_id"] < 300 and r["doc_id"] % 3 == 2:
+            assert set(r["block"].split("\n")) <= set(r["text"].split("\n"))
