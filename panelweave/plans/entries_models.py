@@ -268,6 +268,26 @@ def _(spark, d):
     return rounded(mean_predictions(fit, ["line", "parity"]), "mean_prediction")
 
 
+# --- all lines: unbalanced cells and a covariate, without SQL (REML has no closed form there) -----------
+
+
+def _whole_fit(spark, d):
+    cells = collect_cells(_lines(spark, d), "y", [FLAG, STATUS], ["l_quantity"], group="l_suppkey")
+    return cells, fit_mixed(cells, Design.of([*crossed(FLAG, STATUS), *main(QTY)]), reml=True)
+
+
+@query("mdl_contrasts_mixed_whole")
+def _(spark, d):
+    cells, fit = _whole_fit(spark, d)
+    return average_comparisons(spark, fit, cells, FLAG, ["l_linestatus"])
+
+
+@query("mdl_predictions_factors_whole")
+def _(spark, d):
+    _, fit = _whole_fit(spark, d)
+    return mean_predictions(fit, ["l_returnflag", "l_linestatus"])
+
+
 # --- the catalogue over the enriched panel -------------------------------------------------------------
 
 

@@ -251,3 +251,44 @@ def test_tail_probabilities():
     assert math.isclose(chi_square_tail(20.0, 4), math.exp(-10) * 11, rel_tol=1e-9)
     assert math.isclose(t_two_sided(12.706204736432095, 1), 0.05, rel_tol=1e-8)
     assert math.isclose(f_tail(161.44763879758827, 1, 1), 0.05, rel_tol=1e-8)
+
+
+def test_registered_whole_table_fits_equal_dense(spark, tmp_path):
+    """Unbalanced suppliers, some without every cell, all line numbers: every line counts."""
+    from panelweave.plans import registry
+    from panelweave.plans.entries_models import FLAG, QTY, STATUS
+
+    rng, n = np.random.default_rng(8), 90
+    pdf = pd.DataFrame({
+        "l_suppkey": rng.choice(9, n, p=rng.dirichlet(np.ones(9))) + 1, "l_linenumber": np.arange(n) % 7 + 1,
+        "l_returnflag": rng.choice(FLAG.levels, n, p=[0.2, 0.5, 0.3]), "l_linestatus": rng.choice(STATUS.levels, n, p=[0.3, 0.7]),
+        "l_quantity": rng.integers(1, 51, n).astype(float),
+    })
+    pdf["l_extendedprice"] = pdf["l_quantity"] * 900 + 8000 * (pdf["l_returnflag"] == "R") + rng.normal(0, 9000, n)
+    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pdf["g"], pdf["y"] = pdf["l_suppkey"], pdf["l_extendedprice"] / 10000 + pdf["l_suppkey"] % 7 * 0.8
+    design = Design.of([*crossed(FLAG, STATUS), *main(QTY)])
+    low, high = 0.0, 20.0
+    for _ in range(36):  # golden section
+        a, b = high - 0.618034 * (high - low), low + 0.618034 * (high - low)
+        less = _dense_deviance(pdf, design, [0], np.array([[a]]), True)[0] < _dense_deviance(pdf, design, [0], np.array([[b]]), True)[0]
+        low, high = (low, b) if less else (a, high)
+    x, y, same = _matrix(pdf, design), pdf["y"].to_numpy(), pdf["g"].to_numpy()[:, None] == pdf["g"].to_numpy()
+    v = np.eye(n) + low * low * same
+    cov = np.linalg.inv(x.T @ np.linalg.solve(v, x))
+    beta = cov @ x.T @ np.linalg.solve(v, y)
+    r = y - x @ beta
+    cov *= r @ np.linalg.solve(v, r) / (n - len(beta))
+    labels = [c.label for c in design.columns]
+    queries, _ = registry.load()
+    got = {(r["contrast"][0], r["l_linestatus"]): r for r in queries["mdl_contrasts_mixed_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(f, s) for f in "NR" for s in "FO"}
+    for (flag, status), row in got.items():
+        c = np.array([float(t in (f"l_returnflag{flag}", *([f"l_returnflag{flag}:l_linestatusO"] if status == "O" else []))) for t in labels])
+        assert math.isclose(row["estimate"], c @ beta, rel_tol=1e-4, abs_tol=1e-6)
+        assert math.isclose(row["std_error"], math.sqrt(c @ cov @ c), rel_tol=1e-3)
+    fitted = pd.Series(x @ beta + low * low * same @ np.linalg.solve(v, r)).groupby([pdf["l_returnflag"], pdf["l_linestatus"]]).agg(["size", "mean"])
+    found = queries["mdl_predictions_factors_whole"](spark, str(tmp_path)).collect()
+    assert sum(p["n"] for p in found) == n and len(found) == len(fitted)
+    for p in found:
+        assert math.isclose(p["mean_prediction"], fitted.loc[(p["l_returnflag"], p["l_linestatus"]), "mean"], rel_tol=1e-4)
