@@ -5,13 +5,15 @@ it one character at a time; the counts of its characters and the sum of ``c * lo
 character that enters and the one that leaves, so a run costs time in proportion to its length. Windows are
 judged by the class of their characters: hexadecimal ones against a lower threshold than base64 ones, since
 sixteen symbols carry at most four bits. Overlapping windows above the threshold merge into one span of kind
-``entropy``. The allow-list suppresses what looks random and is none: runs without a digit or without a
-letter, alphabets in order, placeholders, and spans the fixed patterns have already named.
+``entropy``, which extends to the edges of its tokens of letters and digits. What looks random and is none is cut
+out of a run and the parts beside it are scanned each: alphabets in order, placeholders, and spans the fixed
+patterns have already named. Spans without a digit or without a letter are no secrets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 
@@ -76,19 +78,50 @@ def window_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def allowed(span: str) -> bool:
-    """Whether a span of high entropy is on the allow-list."""
-    letters = any(c.isalpha() for c in span)
-    digits = any(c.isdigit() for c in span)
-    return not letters or not digits or bool(ALLOWED.search(span.lower()))
+    """Whether a span of high entropy is on the allow-list: without a letter or without a digit."""
+    return not any(c.isalpha() for c in span) or not any(c.isdigit() for c in span)
+
+
+def _rest(start: int, end: int, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the cuts (in order of their starts) leave of a stretch, in parts of at least a window."""
+    parts = []
+    for s, e in cuts:
+        if s < end and e > start:
+            parts.append((start, s))
+            start = max(start, e)
+    return [(a, b) for a, b in [*parts, (start, end)] if b - a >= WINDOW]
+
+
+def _token_edges(run: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans extended to the edges of the letters and digits they begin and end in, merged where they meet."""
+    found: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a and run[a - 1].isalnum() and run[a].isalnum():
+            a -= 1
+        while b < len(run) and run[b].isalnum() and run[b - 1].isalnum():
+            b += 1
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return found
 
 
 def _entropy(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    found = []
+    found, named, at = [], [(s, e) for s, _, e in taken], 0
     for m in CANDIDATE.finditer(text):
-        run, at = m.group(), m.start()
-        if run.isalpha() or run.isdigit() or any(s < m.end() and at < e for s, _, e in taken):
-            continue
-        found += [(at + a, 3, at + b) for a, b in window_spans(run) if not allowed(run[a:b])]
+        while at < len(named) and named[at][1] <= m.start():
+            at += 1
+        near = []
+        for s, e in itertools.islice(named, at, None):
+            if s >= m.end():
+                break
+            near.append((s, e))
+        placeholders = [(m.start() + p.start(), m.start() + p.end()) for p in ALLOWED.finditer(m.group().lower())]
+        for a, b in _rest(m.start(), m.end(), sorted(near + placeholders)):
+            run = text[a:b]
+            if not run.isalpha() and not run.isdigit():
+                found += [(a + s, 3, a + e) for s, e in _token_edges(run, window_spans(run)) if not allowed(run[s:e])]
     return found
 
 
