@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import exact_dedup, fingerprint, html_text, language_id, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup
+from panelweave.llm import decontaminate, exact_dedup, fill_in_middle, fingerprint, html_text, language_id, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup
 from panelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in fill-in-the-middle order."""
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside ten-word windows of the benchmark."""
+    return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_near_dedup, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan)
+    f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_near_dedup, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan,
+                               op11_fill_in_middle, op13_decontamination)
 }
 
 ORACLE: dict[str, str] = {
@@ -104,4 +115,24 @@ ORACLE: dict[str, str] = {
         plain AS (SELECT page_id, url, trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(a, '</?b>', '', 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
           FROM inner_part)
         SELECT page_id, url, text, length(text) AS n_chars FROM plain""",
+    "op11_fill_in_middle": r"""
+        WITH told AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+            sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+        numbers AS (SELECT doc_id, t, w, len(w) AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT AS h3, ('0x' || x[25:32])::BIGINT AS h4 FROM told),
+        cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+        parts AS (SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:n], '') AS s FROM cuts)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+          sha256(t) AS restored_sha256 FROM parts""",
+    "op13_decontamination": r"""
+        WITH item AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        gram AS (SELECT DISTINCT item, g, len(g) AS width FROM (SELECT item, unnest([w[i:i + 9] FOR i IN range(1, greatest(len(w) - 9, 1) + 1)]) AS g FROM item WHERE len(w) > 0)),
+        said AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        win AS (SELECT doc_id, width, i, w[i:i + width - 1] AS g FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM said, (SELECT DISTINCT width FROM gram))),
+        hit AS (SELECT doc_id, i, win.width, item FROM win JOIN gram ON win.g = gram.g),
+        word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + width)) AS k FROM hit) GROUP BY doc_id),
+        named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM said LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)""",
 }
