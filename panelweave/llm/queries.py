@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import decontaminate, exact_dedup, fill_in_middle, fingerprint, html_text, language_id, mixing, near_dedup, packing, pii, secret_scan, suffix_dedup
+from panelweave.llm import decontaminate, exact_dedup, fill_in_middle, fingerprint, html_text, language_id, mixing, near_dedup, packing, phrases, pii, secret_scan, suffix_dedup
 from panelweave.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document inside ten-word windows of the benchmark."""
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -75,7 +80,7 @@ def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_exact_dedup, op2_language_id, op3_packing, op4_fingerprints, op5_near_dedup, op6_suffix_dedup, op7_mixing, op8_html_extraction, op9_pii, op10_secret_scan,
-                               op11_fill_in_middle, op13_decontamination)
+                               op11_fill_in_middle, op12_collocations, op13_decontamination)
 }
 
 ORACLE: dict[str, str] = {
@@ -125,6 +130,20 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
           sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
           sha256(t) AS restored_sha256 FROM parts""",
+    "op12_collocations": r"""
+        WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+        said AS (SELECT lang, [x FOR x IN regexp_split_to_array(p, '[\x20\x09]+') IF x <> ''] AS w FROM piece),
+        gram AS (SELECT lang, k, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g FROM said, (VALUES (1), (2), (3)) AS t(k)),
+        f AS (SELECT lang, k, g, count(*)::HUGEINT AS c FROM gram GROUP BY ALL),
+        spoken AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        cut AS (SELECT lang, g, k, c AS a, unnest(range(1, k)) AS j FROM f WHERE k > 1 AND c >= 10),
+        both_parts AS (SELECT cut.*, x.c AS l, y.c AS r, (1000000::HUGEINT * a * a) // (x.c * y.c) AS score FROM cut
+          JOIN f x ON x.lang = cut.lang AND x.g = cut.g[1:j] JOIN f y ON y.lang = cut.lang AND y.g = cut.g[j + 1:]),
+        best AS (SELECT * FROM both_parts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+        longer AS (SELECT lang, g, max(c) AS m FROM (SELECT lang, g[1:2] AS g, c FROM f WHERE k = 3 AND c >= 10 UNION ALL SELECT lang, g[2:3], c FROM f WHERE k = 3 AND c >= 10) GROUP BY lang, g),
+        kept AS (SELECT best.lang, array_to_string(best.g, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.g = best.g WHERE m IS NULL OR 100 * m < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+        FROM kept JOIN spoken USING (lang) QUALIFY rank <= 2000""",
     "op13_decontamination": r"""
         WITH item AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
         gram AS (SELECT DISTINCT item, g, len(g) AS width FROM (SELECT item, unnest([w[i:i + 9] FOR i IN range(1, greatest(len(w) - 9, 1) + 1)]) AS g FROM item WHERE len(w) > 0)),
