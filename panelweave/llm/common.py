@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import sys
+import types
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,6 +59,21 @@ def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return rows.mapInArrow(released, schema)
 
 
+def broadcast_object(spark: SparkSession, value: Any) -> Broadcast:
+    """Broadcast an object with its class, for workers that cannot import this package; read it by :func:`received`."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast) -> Any:
+    """The object of a :func:`broadcast_object`, once for each call."""
+    return cloudpickle.loads(sent.value)
+
+
+def process_cache() -> dict[str, Any]:
+    """What this Python process keeps from task to task. Kept as a module made on the spot, so nothing need be importable."""
+    return sys.modules.setdefault("_panelweave_process", types.ModuleType("_panelweave_process")).__dict__
+
+
 def give_back() -> None:
     """Return freed memory of Arrow and the C library to the system, where the library can."""
     pa.default_memory_pool().release_unused()

@@ -33,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import in_arrow, texts
+from panelweave.llm.common import broadcast_object, in_arrow, received, texts
 
 #: Bounds of the training sample: documents per language, characters per document.
 SAMPLE, SAMPLE_CHARS = 60, 20_000
+#: Languages learned at most, those with the most labelled documents (ties by name); the model has a column for each.
+LANGUAGES = 256
 LEXICON_LEAST = 3
 GRAMS = (2, 3, 4)
 _BITS = 16
@@ -351,7 +353,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~_held_out())
     rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS)
-    counts = {r["lang"]: (r["short"], r["all"] - r["short"]) for r in rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(~F.col("long")).alias("short")).collect()}  # one row per language
+    labels = rows.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(~F.col("long")).alias("short")).orderBy(F.desc("all"), "lang")
+    counts = {r["lang"]: (r["short"], r["all"] - r["short"]) for r in labels.limit(LANGUAGES).collect()}
     if not counts:
         return fit({})
 
@@ -362,7 +365,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     # as many of the short documents as were counted all come, so the long ones only have to fill what they leave
     longer = share({lang: min(1.0, 1.5 * (sample - n) / m) if n < sample and m else 0.0 for lang, (n, m) in counts.items()})
     place = (F.xxhash64("doc_id", F.lit("sample")) / F.lit(2.0**64)) + 0.5
-    picked = rows.withColumn("place", place).filter(F.col("place") <= F.when(F.col("long"), longer).otherwise(short))
+    picked = rows.filter(F.col("lang").isin(list(counts))).withColumn("place", place).filter(F.col("place") <= F.when(F.col("long"), longer).otherwise(short))
     picked = picked.withColumn("text", F.when(F.col("long"), _block_of_lines()).otherwise(F.col("text")))
     samples: dict[str, list[str]] = {lang: [] for lang in counts}
     order = sorted(picked.select("lang", "long", "place", "doc_id", "text").collect(), key=lambda r: (r["long"], r["place"], r["doc_id"], r["text"]))
@@ -425,12 +428,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    learned = spark.sparkContext.broadcast(model if model is not None else train(docs))  # 2**16 rows and the sample's lexicon
+    learned = broadcast_object(spark, model if model is not None else train(docs))  # 2**16 rows and the sample's lexicon
     kind = spark.createDataFrame([], SCHEMA).schema
     rows = texts(docs).withColumn("held_out", _held_out())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, own = to_arrow_schema(kind), learned.value
+        out, own = to_arrow_schema(kind), received(learned)
         names = np.asarray([*own.languages, UNKNOWN], dtype=object)
         for batch in batches:
             for part in _slices(batch):
@@ -446,11 +449,11 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def runs_of_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """The word labels of code-switched text: doc_id and runs of words (first, words, lang) of one language."""
     spark = docs.sparkSession
-    learned = spark.sparkContext.broadcast(model if model is not None else train(docs))
+    learned = broadcast_object(spark, model if model is not None else train(docs))
     kind = spark.createDataFrame([], "doc_id long, runs array<struct<first:long,words:long,lang:string>>").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, own = to_arrow_schema(kind), learned.value
+        out, own = to_arrow_schema(kind), received(learned)
         for batch in batches:
             for part in _slices(batch):
                 marginals, starts = label_batch(own, part.column("text")) if own.languages else (np.zeros((0, 1)), np.zeros(part.num_rows + 1, dtype=np.int64))
@@ -469,10 +472,10 @@ def known_language(docs: DataFrame, least_score: float = LEAST_SCORE, model: Mod
 
     Texts without a letter, null texts, gibberish and texts in unlearned languages go. The rows are filtered in the tasks that read them.
     """
-    learned = docs.sparkSession.sparkContext.broadcast(model if model is not None else train(docs))
+    learned = broadcast_object(docs.sparkSession, model if model is not None else train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = learned.value
+        own = received(learned)
         for batch in batches:
             for part in _slices(batch):
                 counts, best, score = _judged(own, pc.fill_null(part.column("text"), ""))

@@ -18,7 +18,6 @@ import heapq
 import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import in_arrow, texts
+from panelweave.llm.common import in_arrow, process_cache, texts
 
 CAPACITY = 4096
 END_ID = 2
@@ -131,10 +130,12 @@ class WordTokenizer:
         return flat, np.diff(before[offsets])
 
 
-@lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
     """The process's tokenizer; tasks that follow each other in a process share it."""
-    return WordTokenizer(path)
+    kept = process_cache()
+    if kept.get("tokenizer_path") != path:
+        kept.update(tokenizer=WordTokenizer(path), tokenizer_path=path)
+    return kept["tokenizer"]
 
 
 def pack(lengths: Sequence[int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from panelweave.llm.common import in_arrow, partitions, texts
+from panelweave.llm.common import in_arrow, texts
 from panelweave.session import written
 
 LENGTH, GRAM = 100, 32
 #: Different segments of one anchor from which its windows are dealt by hash.
 WIDE = 50_000
+#: Text for each bucket, and buckets of a task: a bucket is held in memory, a task reads its buckets one after another.
+_BUCKET_BYTES, _TASK_BUCKETS = 8 << 20, 2
 _SLICE_BYTES = 2 << 20
 _PLACE_BITS = 22  # places within a slice and its overlap, for the leftmost of equal hashes
 _BASE, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -250,8 +252,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tu
         yield now, held
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    return rows.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "kind")
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.repartition(max(1, buckets // _TASK_BUCKETS), "bucket").sortWithinPartitions("bucket", "kind")
+
+
+def _bucket_count(source: DataFrame) -> int:
+    """Buckets for some ``_BUCKET_BYTES`` of text each, and at least some for every core. Runs a job."""
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    cores = source.sparkSession.sparkContext.defaultParallelism
+    return _TASK_BUCKETS * max(cores, -(-size // (_TASK_BUCKETS * _BUCKET_BYTES)))
 
 
 def _all(rows: list[tuple], kind: int, dtype: np.dtype) -> np.ndarray:
@@ -282,7 +291,7 @@ def _settle(rows: DataFrame, buckets: int, wide: int) -> DataFrame:
             if made:
                 yield _batch(made, out)
 
-    return in_arrow(_dealt(rows), run, kind)
+    return in_arrow(_dealt(rows, buckets), run, kind)
 
 
 def _texts_by_document(docs: DataFrame, buckets: int) -> DataFrame:
@@ -376,7 +385,7 @@ def _send_bytes(rows: DataFrame, buckets: int) -> DataFrame:
                 yield from made()
         yield from made()
 
-    return in_arrow(_dealt(rows), run, kind)
+    return in_arrow(_dealt(rows, buckets), run, kind)
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
@@ -461,6 +470,8 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, limit: int =
 def _repeated_windows(places: np.ndarray, pieces: list[bytes]) -> np.ndarray:
     """Marks of the windows of segments whose longest previous factor is a whole window."""
     order = np.lexsort([places["start"], places["tie"], places["doc"]])
+    same = np.logical_and.reduce([places[c][order[1:]] == places[c][order[:-1]] for c in ("doc", "tie", "start")])
+    order = order[np.append(True, ~same)]  # a repeated row asks for the same place again
     places = places[order]
     data = np.frombuffer(b"".join(pieces[i] for i in order), dtype=np.uint8)
     sizes = places["size"].astype(np.int64)
@@ -500,10 +511,10 @@ def _mark_factors(rows: DataFrame, buckets: int) -> DataFrame:
             if made:
                 yield _batch(made, out)
 
-    return in_arrow(_dealt(rows), run, kind)
+    return in_arrow(_dealt(rows, buckets), run, kind)
 
 
-def _cut(rows: DataFrame, whole: bool) -> DataFrame:
+def _cut(rows: DataFrame, buckets: int, whole: bool) -> DataFrame:
     """Step 5: texts without the marked bytes."""
     schema = SCHEMA + (", removed array<struct<start:long,end:long>>, kept binary" if whole else "")
     kind = rows.sparkSession.createDataFrame([], schema).schema
@@ -523,7 +534,7 @@ def _cut(rows: DataFrame, whole: bool) -> DataFrame:
         if made:
             yield _batch(made, out)
 
-    return in_arrow(_dealt(rows), run, kind)
+    return in_arrow(_dealt(rows, buckets), run, kind)
 
 
 def remove_repeats(docs: DataFrame, wide: int = WIDE, whole: bool = False) -> DataFrame:
@@ -535,10 +546,10 @@ def remove_repeats(docs: DataFrame, wide: int = WIDE, whole: bool = False) -> Da
     empty table gives no rows; other columns are ignored.
     """
     source = texts(docs)
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets = _bucket_count(source)
     settled = written(_settle(_send_segments(source, buckets), buckets, wide), "repeat-segments")
     by_document = _texts_by_document(source, buckets)
     asked = settled.filter(F.col("kind").isin(ASK, ASK_WIDE)).unionByName(by_document)
     factors = written(_mark_factors(_send_bytes(asked, buckets), buckets), "repeat-factors")
     marks = settled.filter(F.col("kind") == MARK).unionByName(factors.filter(F.col("kind") == MARK))
-    return _cut(marks.unionByName(by_document), whole)
+    return _cut(marks.unionByName(by_document), buckets, whole)

@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from panelweave.llm import language_id
 from tests.llm.rows import ODD, odd, table
 
@@ -151,3 +153,11 @@ def test_language_of_long_documents_only_is_learned(spark):
         assert r["block"] in r["text"] and language_id.SAMPLE_CHARS // 2 <= len(r["block"]) <= language_id.SAMPLE_CHARS
         if r["doc_id"] < 300 and r["doc_id"] % 3 == 2:
             assert set(r["block"].split("\n")) <= set(r["text"].split("\n"))
+
+
+def test_junk_labels_beyond_the_bound_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 4)
+    df = table(spark, "0.01")
+    junk = df.limit(40).withColumn("lang", F.concat(F.lit("zz"), F.col("doc_id").cast("string")))
+    model = language_id.train(df.unionByName(junk))
+    assert sorted(model.languages) == ["de", "en", "es", "fr"]

@@ -81,3 +81,22 @@ def test_whole_result(spark):
     second = suffix_dedup.remove_repeats(df, whole=True).filter("doc_id = 2").first()
     assert bytes(second["kept"]) == b"xy"
     assert [tuple(s) for s in second["removed"]] == [(1, 201)]
+
+
+def test_repeated_rows_lose_nothing_by_each_other(spark):
+    rng = np.random.default_rng(11)
+    t = "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 500))
+    u = "".join(chr(97 + int(x)) for x in rng.integers(0, 26, 300))
+    rows = [(1, t), (1, t), (1, t), (2, u[:90] + t[150:420] + u[90:]), (2, u[:90] + t[150:420] + u[90:]), (3, t[300:] + u), (None, t), (None, t)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for wide in (suffix_dedup.WIDE, 1):
+        compare(df, wide=wide)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df).collect()}
+    assert got[1] == 0 and got[2] == 270
+
+
+def test_buckets_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_BUCKET_BYTES", 50_000)
+    df = table(spark, "0.01")
+    assert suffix_dedup._bucket_count(df) >= 2 * 24
+    compare(df)
