@@ -5,10 +5,11 @@ is found by bisection (several sections at a time, one small job each) over the
 smallest a whose mix keeps every source within ``repetition`` passes, or the one that meets a target entropy.
 The budget is the least that passes over every source at least once, unless one is given.
 
-A source of r passes is cut into blocks of about ``BLOCK_TOKENS`` tokens by a hash of the document id. Every
-block is shown floor(r) times whole, each time in another permutation, and once more up to its own share of
-the remaining budget, so no running total over a source is needed and a source of any size spreads over all
-tasks.
+A source of r passes is cut into blocks of about ``BLOCK_TOKENS`` tokens by a hash of the document id, so its blocks in
+their order are a permutation of it, and a source of any size spreads over all tasks. Every block is shown floor(r) times whole, each
+time in another permutation. The tokens that remain are spent on the source's blocks in order: the place of a
+block among them is a running total by groups of ``GROUP_BLOCKS`` blocks, so what a block leaves goes to the next, and the source
+misses its budget by half of one document at most, however long its documents are.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql.window import Window
 
 from panelweave.session import written
 
-BLOCK_TOKENS = 1 << 16
+BLOCK_TOKENS, GROUP_BLOCKS = 1 << 16, 4096
 REPETITION = 2.0
 _SECTIONS, _ROUNDS = 32, 5
 _SALTS = 64
@@ -91,7 +92,22 @@ def weights(totals: DataFrame, a: float, budget: float | None = None) -> DataFra
     z, least, whole = tempered.agg(F.sum("_power"), F.min("_raw"), F.sum("tokens")).first()
     unit = (least or 1.0) if budget is None else (whole or 1) * (z or 1.0) / float(budget)
     passes = F.coalesce(F.col("_raw") / F.lit(unit), F.lit(1.0))  # divided, so that the least is one pass exactly
-    return tempered.select(*totals.columns, (F.col("_power") / F.lit(z or 1.0)).alias("weight"), passes.alias("passes"))
+    near = F.when(F.abs(passes - F.round(passes)) < 1e-6, F.round(passes)).otherwise(passes)  # bisection ends just beside a whole limit
+    return tempered.select(*totals.columns, (F.col("_power") / F.lit(z or 1.0)).alias("weight"), near.alias("passes"))
+
+
+def _before_blocks(placed: DataFrame) -> DataFrame:
+    """source, block and the tokens of the source's earlier blocks.
+
+    Totals run over groups of blocks first, then inside each group; a source has a group for some 2**28 tokens, a group 4096 blocks.
+    """
+    blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("_tokens")).withColumn("_group", F.floor(F.col("block") / GROUP_BLOCKS))
+    earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = blocks.groupBy("source", "_group").agg(F.sum("_tokens").alias("_tokens"))
+    running = F.coalesce(F.sum("_tokens").over(earlier.partitionBy("source").orderBy("_group")), F.lit(0))
+    inside = F.coalesce(F.sum("_tokens").over(earlier.partitionBy("source", "_group").orderBy("block")), F.lit(0))
+    groups = groups.select("source", "_group", running.alias("_ahead"))
+    return blocks.withColumn("_inside", inside).join(groups, ["source", "_group"]).select("source", "block", (F.col("_ahead") + F.col("_inside")).alias("_ahead"))
 
 
 def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: float | None = None, budget: float | None = None,
@@ -99,24 +115,26 @@ def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: floa
     """One row per shown copy of a document: doc_id, source, n_tokens, weight, passes, epoch, block, position.
 
     ``position`` is the place in the block's permutation of that epoch, from 0. A null source is the source
-    named by the empty string. Documents without a token are shown in every whole pass. Rows that repeat an id
-    are shown each. With the default budget every document is shown at least once; a smaller one shows only
-    the first of each block's permutation. An empty table gives no rows; other columns are ignored.
+    named by the empty string. Documents without a token, null texts among them, are shown in every whole pass. Rows that repeat an id
+    are shown each. With the default budget every document is shown at least once, and a source's part of a pass ends with the
+    document that brings it nearest to its budget. A budget that is given is not exceeded; a small one shows only the first of the
+    source's blocks. Ties go by document id. A text's length does not matter: only its tokens are counted. An empty table
+    gives no rows; other columns are ignored.
     """
     rows = written(token_counts(docs), "mix-counts")
     totals = written(source_totals(rows), "mix-totals")
     a = exponent(totals, repetition=repetition, entropy=entropy, budget=budget)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).alias("blocks")
-    sources = weights(totals, a, budget).select("source", "weight", "passes", blocks)
+    blocks = F.greatest(F.lit(1), F.ceil((F.col("tokens") + F.col("docs")) / block_tokens)).alias("blocks")
+    sources = weights(totals, a, budget).select("source", "tokens", "weight", "passes", blocks)
     sources = sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
     salted = rows.withColumn("_salt", F.pmod(key, F.lit(_SALTS)).cast("int"))
     placed = salted.join(sources, ["source", "_salt"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("blocks")))
     placed = placed.withColumn("_order", F.xxhash64("doc_id", F.lit("pass")))
-    block = Window.partitionBy("source", "block")
-    before = block.orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = (F.col("passes") - F.floor("passes")) * F.sum("n_tokens").over(block)
-    more = (F.sum("n_tokens").over(before) <= part) & (F.col("n_tokens") > 0)
+    placed = placed.join(_before_blocks(placed), ["source", "block"])
+    so_far = Window.partitionBy("source", "block").orderBy("_order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left = (F.col("passes") - F.floor("passes")) * F.col("tokens") - F.col("_ahead") - F.sum("n_tokens").over(so_far)
+    more = (left >= (-F.col("n_tokens") / 2 if budget is None else F.lit(0))) & (F.col("passes") > F.floor("passes")) & (F.col("n_tokens") > 0)
     copies = F.floor("passes") + F.when(more, 1).otherwise(0)
     shown = placed.withColumn("copies", copies.cast("int")).filter("copies > 0")
     shown = shown.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

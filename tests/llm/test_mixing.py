@@ -1,4 +1,5 @@
 import math
+import random
 from collections import defaultdict
 
 import pytest
@@ -59,8 +60,6 @@ def test_every_document_is_shown_and_shares_follow_the_weights(spark):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_no_source_falls_short_of_a_pass(spark, seed):
-    import random
-
     rng = random.Random(seed)
     rows = [(i, f"s{i % 7}", " ".join(["w"] * rng.randrange(1, 90))) for i in range(200)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
@@ -87,3 +86,37 @@ def test_awkward_rows(spark):
     assert mixing.mixed_documents(df.limit(0)).collect() == []
     blank = df.filter("doc_id in (1, 2, 3)")
     assert sorted(r["doc_id"] for r in mixing.mix(blank).collect()) == [1, 2, 3]
+
+
+def test_shares_of_sources_with_documents_longer_than_a_block(spark):
+    rng = random.Random(4)
+    sizes = {"short": [rng.randrange(20, 400) for _ in range(6000)], "mid": [20_000 + rng.randrange(900) for _ in range(30)], "long": [60_000 - rng.randrange(500) for _ in range(6)], "tiny": [90] * 50}
+    rows = [(i, s, n) for i, (s, n) in enumerate((s, n) for s, found in sizes.items() for n in found)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long").selectExpr("doc_id", "source", "repeat('w ', int(n)) AS text")
+    for how in ({}, {"repetition": 3.5}, {"block_tokens": 4000, "repetition": 1.7}):
+        shown, copies, told = defaultdict(int), defaultdict(int), {}
+        for r in mixing.mix(df, **how).collect():
+            shown[r["source"]] += r["n_tokens"]
+            copies[r["doc_id"]] += 1
+            told[r["source"]] = (r["weight"], r["passes"])
+        assert set(copies) == {r[0] for r in rows}
+        for source, found in sizes.items():
+            weight, passes = told[source]
+            assert abs(shown[source] - passes * sum(found)) <= max(found) / 2 + 1
+            if source in ("short", "mid"):
+                assert shown[source] / sum(shown.values()) == pytest.approx(weight, rel=0.02)
+        if not how:
+            assert told["tiny"][1] == 2.0 and shown["tiny"] == 2 * 90 * 50  # the limit is met as a whole number
+
+
+def test_running_totals_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_BLOCKS", 3)
+    rows = [("a", b, 10 * b + k) for b in range(20) for k in range(3) if b != 7] + [("b", 0, 5)]
+    got = {(r[0], r[1]): r[2] for r in mixing._before_blocks(spark.createDataFrame(rows, "source string, block long, n_tokens long")).collect()}
+    assert got == {(s, b): sum(n for t, c, n in rows if t == s and c < b) for s, b, _ in rows}
+
+
+def test_a_source_of_empty_documents_has_blocks(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'e' AS source", "'' AS text")
+    rows = mixing.mix(df, block_tokens=100).collect()
+    assert len(rows) == 3000 and len({r["block"] for r in rows}) >= 25
