@@ -43,6 +43,35 @@ def test_markup():
     assert html_text.main_text("<p title='a > b'>x</p><p title=\"unclosed") == "x"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='content has-sidebar'><article>{BODY}</article></div></body>",
+        f"<body><div class='post comments-open'><article>{BODY}</article><div id=comments><p>{'First! ' * 60}</p></div></div></body>",
+        f"<body><form id=aspnetForm action=/><input type=hidden name=v><div><article>{BODY}</article></div><label>Search</label><button>Go</button></form></body>",
+        f"<body><form id=f><div class=menu><a href=/>Home</a></div><div>{BODY}</div></form></body>",
+        f"<body class='menu-open no-sidebar'><div class='widget'><main>{BODY}</main></div></body>",
+        f"<body><nav><ul><li><a href=/>Home</a><article>{BODY}</article></body>",
+        f"<body><div style='display: none' class=page><article>{BODY}</article></div><div style='display:none'>Never seen</div></body>",
+        f"<body><aside class=sidebar><article><p>A teaser of another story</p></article></aside><article>{BODY}</article></body>",
+        f"<body><main>{BODY}</main><section class='comment-list'><article class='comment'><p>{'I think so too. ' * 90}</p></article></section></body>",
+        f"<body><div id='siteFooter'>About us</div><div class='ad-300x250'>Buy</div><div class='left_sidebar widget_area'>More</div><div>{BODY}</div></body>",
+    ],
+)
+def test_wrappers_do_not_empty_a_page(page):
+    assert html_text.main_text(page) == TEXT
+
+
+def test_names_inside_an_article_are_no_reason_to_cut():
+    page = f"<article><h2 id=related>On</h2>{BODY}<section id='related-work'><h2 id='social'>Policy</h2><p title='a hidden gem'>was here</p></section><div id='social-policy'>too</div></article>"
+    assert html_text.main_text(page) == f"On {TEXT} Policy was here too"
+
+
+def test_formulas_and_preformatted_text_stay():
+    assert html_text.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p><xmp>a <b> &amp; c</xmp>end</article>") == "so x=1 holds a <b> &amp; c end"
+    assert html_text.main_text("<article><p>yes</p><form><label>Mail</label><p>Sign up</p></form></article>") == "yes"
+
+
 def test_odd_pages_end():
     assert html_text.main_text("") == ""
     assert html_text.main_text("<div>" * 30_000 + "deep") == "deep"
