@@ -91,3 +91,99 @@ def test_copies_of_a_context_count_once(spark):
     rows = [(i, "call Mortimer at bob@corp.example please") for i in range(6)] + [(100, "other words here " * 200)]
     got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["n_term"] for r in got) == 0
+
+
+BREAK = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def shares(rows):
+    """(key, term) -> share, by the definitions."""
+    import math
+    from collections import Counter
+
+    words, contexts = Counter(), set()
+    for _, text in rows:
+        words.update(w.lower() for w in BREAK.split(text) if w)
+        for kind, pattern in PATTERNS.items():
+            hits = [m for m in pattern.finditer(text)]
+            good = {(a, e) for a, _, e, k in base(text) if k == kind}
+            for i, m in enumerate(hits):
+                if m.span() not in good:
+                    continue
+                before = [w for w in BREAK.split(text[hits[i - 1].end() if i else 0 : m.start()]) if w][-pii.REACH :]
+                after = [w for w in BREAK.split(text[m.end() : hits[i + 1].start() if i + 1 < len(hits) else len(text)]) if w][: pii.REACH]
+                terms = tuple(sorted({w.lower() for w in before + after if len(w) >= pii.LEAST_LETTERS}))
+                digits = re.sub("[^0-9]", "", m[0])
+                group = {"email": m[0].split("@")[-1].lower(), "ip": ".".join(m[0].split(".")[:3]), "card": digits[:6], "phone": digits[:5]}[kind]
+                contexts |= {(f"{kind}={m[0]}", terms), (f"{kind}~{group}", terms)}
+    n_key = Counter(k for k, _ in contexts)
+    joint = Counter((k, t) for k, terms in contexts for t in terms)
+    per_word = 2 * pii.REACH / sum(words.values())
+    out = {}
+    for (k, t), n in joint.items():
+        p_t, p_k = min(1, words[t] * per_word), min(1, n_key[k] * per_word)
+        chance = n_key[k] * p_t
+        if n <= chance or n - chance + n * math.log(chance / n) + math.log(len(joint)) > math.log(pii.CHANCE) or p_k >= 1:
+            continue
+        share = min(1.0, math.log2((n + p_t) / (n_key[k] + 1) / p_t) / -math.log2(p_k))
+        if share >= pii.GENERALISE:
+            out[k, t] = round(share, 9)
+    return out
+
+
+def planted():
+    """Entities that occur once each, with a term that gives their group away, in ordinary text."""
+    rows = [(i, f"report file{i} from Zorgomat staff, person{i}.x{i}@zorg.example said more on day {i}. " + "plain words follow here " * 20) for i in range(12)]
+    rows += [(50 + i, f"host rack{i} Quibblenet{'' if i % 2 else ' node'} at 10.77.3.{i} answered\nquibblenet again later " + "plain words follow here " * 20) for i in range(10)]
+    rows += [(100 + i, f"someone{i} wrote from some{i}.one@mail{i}.example about topic{i} " + "plain words follow here " * 30) for i in range(30)]
+    rows += [(200 + i, "plain words follow here and a report of the day from staff " * 12) for i in range(40)]
+    return rows
+
+
+def test_shares_against_brute_force(spark):
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.disclosing_terms(pii.texts(df), pii.scan(pii.texts(df))).collect()
+    want = shares(rows)
+    assert {(r["key"], r["term"]): round(r["share"], 9) for r in found} == want
+    assert {("email~zorg.example", "zorgomat"), ("ip~10.77.3", "quibblenet")} <= set(want)
+
+
+def test_terms_of_groups_whose_entities_occur_once(spark):
+    rows = planted()
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    for i in got:
+        terms = {texts[i][int(s.split(":")[1]) : int(s.split(":")[2])].lower() for s in got[i]["spans"].split(",") if s.startswith("term")}
+        if i < 12:
+            assert "zorgomat" in terms
+        elif 50 <= i < 60:
+            assert "quibblenet" in terms and got[i]["n_term"] >= 2
+        else:
+            assert not terms, (i, terms)
+        assert not terms & {"plain", "words", "follow", "here", "day"}
+
+
+def test_thousands_of_spans_take_time_in_proportion(spark):
+    import time
+
+    texts = {n: " ".join(f"user{i}@host{i}.example.com writes" for i in range(n)) for n in (300, 20_000)}
+    took = {}
+    for n, text in texts.items():
+        start = time.time()
+        (got,) = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        took[n] = time.time() - start
+        want = ",".join(f"{k}:{s}:{e}" for s, _, e, k in base(text))
+        assert got["n_email"] == n and got["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert took[20_000] < took[300] + 8
+
+
+def test_terms_at_the_edges_of_base_spans(spark):
+    rows = [(i, f"Zorgomat person{i}@zorg.example Zorgomat{i}@zorg.example,zorgomat-4.3.2.{i} item{i}") for i in range(9)] + [(50 + i, "plain words follow here " * 40) for i in range(30)]
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(9):
+        spans = [(s.split(":")[0], *map(int, s.split(":")[1:])) for s in got[i]]
+        own = [s for s in spans if s[0] != "term"]
+        for _, a, b in (s for s in spans if s[0] == "term"):
+            assert rows[i][1][a:b].lower() == "zorgomat" and not any(x < b and a < y for _, x, y in own)
+        assert sum(s[0] == "term" for s in spans) == 2
