@@ -13,7 +13,7 @@ from panelweave.operators import panel
 from panelweave.plans import bind
 from panelweave.plans.bind import TARGETS, role_sql, table
 from panelweave.plans.registry import query, r6, rounded
-from panelweave.session import shared_path, written
+from panelweave.session import shared_path
 from panelweave.sources import audit, registers, transactions
 from panelweave.streaming.incremental import convert_new_files, read_converted
 
@@ -140,9 +140,9 @@ def _per_cycle(entries: DataFrame) -> DataFrame:
 @query("ing_ledger", role_sql("txn", extra=_SRC) + f" SELECT *, 'converted' AS status FROM ({_COUNTS})")
 def _(spark, d):
     path = f"{_files(spark, d)}/file=*"
-    probed = written(transactions.probe_files(spark, path), "probed")
-    rows = transactions.read_files(spark, path, COLUMNS, header=False, probed=probed)
-    return _per_cycle(audit.ledger_rows(rows, probed, file_key=transactions.key_from_path(F.col("source_file"), PATTERN)))
+    survey = transactions.survey_files(spark, path)
+    rows = transactions.read_files(spark, path, COLUMNS, header=False, survey=survey)
+    return _per_cycle(audit.ledger_rows(rows, transactions.file_totals(survey), file_key=transactions.key_from_path(F.col("source_file"), PATTERN)))
 
 
 @query("ing_incremental", role_sql("txn", extra=_SRC) + f""" SELECT c.*, 'converted' AS status, n_umlaut, n_backslash, CASE WHEN cycle <= 1998 THEN 1 ELSE 2 END AS pass FROM ({_COUNTS}) c

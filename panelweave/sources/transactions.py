@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from panelweave.session import written
+from panelweave.sources.split_csv import MOST_BLOCKS, block_states, csv_records
+
 # Source columns in file order, the names they get here, and the typed ones.
 SOURCE_NAMES: Mapping[str, str] = {
     "cycle": "cycle",
@@ -143,16 +146,43 @@ def probe_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def record_fields(records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What :func:`csv_fields` gives, from whole records with their number of fields."""
+    options = {k: str(v) for k, v in csv_options().items() if k not in ("header", "multiLine", "encoding", "enforceSchema", "columnNameOfCorruptRecord")}
+    schema = ", ".join(f"`{c}` string" for c in [*columns, _BEYOND])
+    open_end = ~F.endswith("record", F.lit('"'))
+    parsed = records.select(F.from_csv("record", schema, options).alias("p"), "n_fields", open_end.alias("_open_end"), "source_file")
+    n = len(columns)
+    state = F.when(F.col("n_fields") > n, "long").when(F.col("n_fields") < n, "short").otherwise("ok")
+    fields = []
+    for i, c in enumerate(columns):
+        present = F.when(F.col("n_fields") > i, F.coalesce(F.col("p")[c], F.lit("")))
+        fields.append(F.nullif(repaired(present, F.col("_open_end") & (F.col("n_fields") == i + 1)), F.lit(NULL_TOKEN)).alias(c))
+    return parsed.select(*fields, state.alias("row_state"), "source_file")
+
+
+def survey_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The blocks of the files as stored rows, for :func:`read_files` and :func:`file_totals`; one pass over the files."""
+    return written(block_states(spark, path), "csv-survey")
+
+
+def file_totals(survey: DataFrame) -> DataFrame:
+    """What :func:`probe_files` tells, from a survey of the blocks."""
+    return survey.groupBy("source_file").agg(F.sum("n_lines").alias("n_lines"), F.bool_and("is_utf8").alias("is_utf8"))
+
+
 def read_files(spark: SparkSession, path: str | list[str], columns: Sequence[str], *, header: bool = True,
-               probed: DataFrame | None = None) -> DataFrame:
-    """Dirty CSV of mixed encodings: valid UTF-8 as it is, all else as Latin-1.
+               survey: DataFrame | None = None) -> DataFrame:
+    """Dirty CSV of mixed encodings: valid UTF-8 as it is, all else as Latin-1; see :func:`csv_fields`.
 
-    All files are read once, a character per byte; the fields of files that ``probed`` (by default
-    :func:`probe_files`) finds to be UTF-8 are then decoded. No list of files reaches the driver.
+    A file is read by as many tasks as it has blocks, although its records span lines. ``survey`` (by default made
+    here by :func:`survey_files`) says where its blocks begin inside a field and how it is encoded. With more than
+    ``MOST_BLOCKS`` blocks each file is read by one task, a character per byte, and decoded afterwards.
     """
-    rows = read_dirty_csv(spark, path, columns, encoding=_BYTES, header=header)
-    known = (probe_files(spark, path) if probed is None else probed).select("source_file", "is_utf8")
-    joined = rows.join(known, "source_file")
+    known = survey_files(spark, path) if survey is None else survey
+    if known.count() <= MOST_BLOCKS:
+        return record_fields(csv_records(spark, path, known, header), columns)
+    joined = read_dirty_csv(spark, path, columns, encoding=_BYTES, header=header).join(file_totals(known).select("source_file", "is_utf8"), "source_file")
     text = lambda c: F.when(F.col("is_utf8"), F.decode(F.encode(F.col(c), _BYTES), "UTF-8")).otherwise(F.col(c))
     return joined.select(*[text(c).alias(c) for c in columns], "row_state", "source_file")
 

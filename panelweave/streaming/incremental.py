@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from panelweave.session import written
 from panelweave.sources.audit import ledger_rows
-from panelweave.sources.transactions import TYPED, key_or_null, probe_files, read_files, read_partitioned, typed
+from panelweave.sources.transactions import TYPED, file_totals, key_or_null, read_files, read_partitioned, survey_files, typed
 
 
 def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str, checkpoint: str,
@@ -33,14 +33,14 @@ def convert_new_files(spark: SparkSession, source: str, target: str, ledger: str
     def convert(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         paths = [r["path"] for r in batch.collect()]  # at most files_per_batch
-        probed = written(probe_files(session, paths), "probed")
+        survey = survey_files(session, paths)
         of_file = key_or_null(F.col("source_file"), pattern, low, high)
-        raw = read_files(session, paths, columns, header=header, probed=probed).withColumn(f"_file_{key}", of_file)
+        raw = read_files(session, paths, columns, header=header, survey=survey).withColumn(f"_file_{key}", of_file)
         raw = written(raw.where(F.col(f"_file_{key}").isNotNull()), "batch-rows")
         rows = typed(raw, types, key).withColumnsRenamed({key: f"row_{key}", f"_file_{key}": key})
         out = f"{target}/batch={number}"
         rows.write.mode("overwrite").partitionBy(key).option("compression", "zstd").parquet(out)
-        entries = ledger_rows(raw, probed, key=key, file_key=of_file)
+        entries = ledger_rows(raw, file_totals(survey), key=key, file_key=of_file)
         entries.write.mode("overwrite").parquet(f"{ledger}/batch={number}")
 
     query = (
