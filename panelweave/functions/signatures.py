@@ -14,13 +14,16 @@ Lengths are grouped into bands, a sixteenth to a thirty-second of the length wid
 every pair from them. O and l depend on the pair of bands alone, both sides know them, and the pair is part
 of the key. A string meets some ten bands whatever its length, and has at most a few dozen keys for each
 (one per token where many misses are allowed), so the number of keys grows in proportion to the length.
+
+The keys two strings share are the l-subsets of the tokens both prefixes have. One of them is taken as theirs: the first l of
+these tokens in the common order (:func:`meets_first`). A join on keys that keeps only this one gives each pair once.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LETTERS = 200  # letters that are ranked by frequency; all others sort before them
@@ -65,7 +68,8 @@ def with_signatures(df: DataFrame, key: str, max_distance: float, role: str, let
     """One row per blocking key of ``df[key]``, in the column ``sig``.
 
     ``role`` is ``"query"`` or ``"reference"``; the two sides order the pair of bands differently. ``letters``
-    (rare to common, see :func:`letter_order`) must be the same on both sides.
+    (rare to common, see :func:`letter_order`) must be the same on both sides. ``_ids``, ``_band``, ``_partner``
+    and ``_size`` are what :func:`meets_first` needs.
     """
     if not 0 <= max_distance < max_blocked_distance():
         raise ValueError("max_distance must lie in [0, 1/3)")
@@ -97,14 +101,20 @@ def with_signatures(df: DataFrame, key: str, max_distance: float, role: str, let
         .withColumn("_longest", F.expr(f"greatest(_band + {_width('_band')}, _partner + {_width('_partner')}) - 1"))
         .where(f"_need <= least(_len, _partner + {_width('_partner')} - 1)")
         .withColumn("_size", F.expr(f"least(_need, case _longest - _need when 0 then {_WHOLE} {size_rule} else 1 end)"))
-        .withColumn("_prefix", F.expr("slice(_tokens, 1, _len - _need + _size)"))
+        .withColumn("_ids", F.expr("transform(slice(_tokens, 1, _len - _need + _size), t -> xxhash64(t))"))
     )
-    key_of = lambda tokens: f"xxhash64({own}, {other}, array_join({tokens}, '|'))"
+    key_of = lambda ids: f"xxhash64({own}, {other}, {ids})"
     sigs = F.expr(
         "case"
-        f" when _longest = _need then array({key_of('_prefix')})"
-        f" when _size = 1 then transform(_prefix, t -> {key_of('array(t)')})"
-        f" else transform(element_at({_subset_table()}, concat(size(_prefix), '_', _size)),"
-        f" s -> {key_of('transform(s, p -> element_at(_prefix, p))')}) end"
+        f" when _longest = _need then array({key_of('_ids')})"
+        f" when _size = 1 then transform(_ids, t -> {key_of('array(t)')})"
+        f" else transform(element_at({_subset_table()}, concat(size(_ids), '_', _size)),"
+        f" s -> {key_of('transform(s, p -> element_at(_ids, p))')}) end"
     )
-    return pairs.select(*carried, F.explode(sigs).alias("sig"))
+    bands = [F.col(own).alias("_band"), F.col(other).alias("_partner")]
+    return pairs.select(*carried, "_ids", *bands, "_size", F.explode(sigs).alias("sig"))
+
+
+def meets_first(sig: Column, own_ids: Column, other_ids: Column, band: Column, partner: Column, size: Column) -> Column:
+    """Whether ``sig`` is the one of the keys two strings share that counts as theirs; bands as the query sees them."""
+    return F.xxhash64(band, partner, F.slice(F.array_intersect(own_ids, other_ids), 1, size)) == sig

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.jaro import jaro_distance
 from panelweave.functions.names import company_key
-from panelweave.functions.signatures import letter_order, with_signatures
+from panelweave.functions.signatures import letter_order, meets_first, with_signatures
 from panelweave.operators.skew import hot_split_join
 from panelweave.session import written
 
@@ -64,7 +64,8 @@ def candidate_pairs(queries: DataFrame, reference: DataFrame | Matcher, max_dist
     Each key value must occur once per side. A matcher's index must have been built for the same distance.
     Blocking keys of both sides are written (this runs jobs) and counted. Where both sides of a blocking key
     are large, they are cut into blocks of ``block`` rows that meet in a grid, so no task compares a large
-    group with a large group. Pairs that share several blocking keys are compared once.
+    group with a large group. A pair that shares several blocking keys is taken at the first of them only, told from
+    the rows themselves, so pairs are neither gathered nor shuffled.
     """
     if isinstance(reference, Matcher):
         if reference.loose != max_distance:
@@ -78,15 +79,17 @@ def candidate_pairs(queries: DataFrame, reference: DataFrame | Matcher, max_dist
     cuts = [F.ceil(F.col(n) / block).cast("int").alias(c) for n, c in (("_l", "_rows"), ("_r", "_columns"))]
     large = written(large.select("sig", *cuts), "large-signatures")
 
-    def dealt(side: DataFrame, key: str, own: str, across: str) -> DataFrame:
+    def dealt(side: DataFrame, key: str, own: str, across: str, *more: Column) -> DataFrame:
         marked = side.join(large, "sig", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_rows", "_columns")})
         place = F.pmod(F.xxhash64(key), F.col("_rows" if own == "_i" else "_columns")).cast("int")
         copies = F.sequence(F.lit(0), F.col("_columns" if own == "_i" else "_rows") - 1)
-        return marked.withColumn(own, place).withColumn(across, F.explode(copies)).select("sig", "_i", "_j", key)
+        return marked.withColumn(own, place).withColumn(across, F.explode(copies)).select("sig", "_i", "_j", key, *more)
 
-    met = dealt(left, query_key, "_i", "_j").join(dealt(matcher.index, ref_key, "_j", "_i"), ["sig", "_i", "_j"])
+    queried = dealt(left, query_key, "_i", "_j", F.col("_ids"), F.col("_band"), F.col("_partner"), F.col("_size"))
+    met = queried.join(dealt(matcher.index, ref_key, "_j", "_i", F.col("_ids").alias("_ref_ids")), ["sig", "_i", "_j"])
+    first = meets_first(F.col("sig"), F.col("_ids"), F.col("_ref_ids"), F.col("_band"), F.col("_partner"), F.col("_size"))
     return (
-        met.select(query_key, ref_key).distinct()
+        met.where(first).select(query_key, ref_key)
         .withColumn("distance", jaro_distance(F.col(query_key), F.col(ref_key)))
         .where(F.col("distance") <= max_distance + 1e-12)
     )

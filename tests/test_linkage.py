@@ -89,6 +89,22 @@ def test_blocking_loses_no_pair(spark, distance, kind):
     assert want or kind in ("short", "unicode", "long", "longer")
 
 
+@pytest.mark.parametrize("distance", [0.0, 0.03, 0.06, 0.1, 0.2])
+def test_pairs_come_once_without_a_shuffle_of_pairs(spark, distance):
+    rng = random.Random(12)
+    left, right = _names(rng, 150)
+    left += [_typos(rng, rng.choice(left), 2) for _ in range(80)] + [" ".join(rng.choice(WORDS) for _ in range(20))]
+    right += [_typos(rng, x, 3) for x in left[-60:]]
+    q = spark.createDataFrame([(s,) for s in sorted(set(left))], "query_norm string")
+    r = spark.createDataFrame([(s,) for s in sorted(set(right))], "ref_norm string")
+    pairs = linkage.candidate_pairs(q, r, distance)
+    rows = [(x[0], x[1]) for x in pairs.collect()]
+    assert len(rows) == len(set(rows))
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "ArrowEvalPython" in plan and "HashAggregate" not in plan
+    assert plan.count("Exchange hashpartitioning(query_norm") == plan.count("Exchange hashpartitioning(ref_norm") == 0
+
+
 def test_blocking_keys_grow_with_the_length_only(spark):
     from panelweave.functions.signatures import with_signatures
 
