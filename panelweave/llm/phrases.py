@@ -13,7 +13,7 @@ A proposal travels to the tasks as a Bloom filter of 16 bits a phrase, of ``MOST
 merely has a phrase counted that need not be. Beyond that size the filter passes more and prunes less, with the same result.
 
 Inside a task, blocks of text are cut into words and counted with arrays; what leaves it is one row per distinct
-phrase of a block, summed again before and after the shuffle. The key is the language and the whole phrase, so neither a frequent word
+phrase of a block, summed again after the shuffle. The key is the language and the whole phrase, so neither a frequent word
 nor a frequent language gathers rows. Lookups of the parts' counts split keys with many rows, and the best of a
 language are taken per salt first.
 """
@@ -202,7 +202,8 @@ def _tally(rows: DataFrame, proposals: list[tuple[Filter, Filter]]) -> DataFrame
                     columns = [langs[at : at + len(part)].cast(pa.string()), phrases[at : at + len(part)].cast(pa.string()), pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int64))]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "c"])
 
-    return in_arrow(rows, run, _COUNTS).groupBy("lang", "phrase", "k").agg(F.sum("c").alias("c"))
+    # blocks are summed in themselves; hashing every phrase once more before the shuffle would cost more than it saves
+    return in_arrow(rows, run, _COUNTS).repartition("lang", "phrase", "k").groupBy("lang", "phrase", "k").agg(F.sum("c").alias("c"))
 
 
 def _filters(known: DataFrame) -> tuple[Filter, Filter]:
