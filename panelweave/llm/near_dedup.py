@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from panelweave.llm.common import in_arrow, partitions, texts
+from panelweave.operators.skew import hot_split_join
 from panelweave.session import written
 
 #: Defaults: words of a shingle, and the least likeness in hundredths.
@@ -284,19 +285,28 @@ def links_in_block(rest: list[dict], members: list[dict], threshold: int) -> lis
     return found
 
 
+def _star_blocks(rows: DataFrame) -> DataFrame:
+    """Open members (``rest``) against all members of their star, as a grid of blocks (i, j).
+
+    An open member goes to all blocks j of its star. Any member goes only to the blocks i that hold an open one, so a star
+    with one open member is copied once, however large it is.
+    """
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("member"), F.ceil(F.col("star") / BLOCK)).cast("int"))
+    hubs = rows.groupBy("hub").agg(F.count("*").alias("members"), F.collect_set(F.when(F.col("rest"), F.col("own"))).alias("open"))
+    rows = hot_split_join(rows, hubs, ["hub"], count="members").filter(F.size("open") > 0)
+    every = F.sequence(F.lit(0), F.ceil(F.col("star") / BLOCK).cast("int") - 1)
+    columns = ["hub", "i", "j", "rest", "member", "n_member", "bits", "outside"]
+    first = rows.filter("rest").withColumn("i", F.col("own")).withColumn("j", F.explode(every)).select(*columns)
+    second = rows.withColumn("j", F.col("own")).withColumn("i", F.explode("open")).withColumn("rest", F.lit(False)).select(*columns)
+    return first.unionByName(second)
+
+
 def _links_beside_hubs(relative: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) in a star that do not involve its hub, from blocks of at most ``BLOCK`` expected members a side."""
     spark = relative.sparkSession
     with_hub = F.expr(f"100 * common >= {threshold} * (n_hub + n_member - common)")
     rows = relative.filter("star > 1").withColumn("rest", ~with_hub)
-    open_stars = rows.filter("rest").select("hub").distinct()
-    blocks = F.ceil(F.col("star") / BLOCK).cast("int")
-    rows = rows.join(open_stars, "hub", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["hub", "i", "j", "rest", "member", "n_member", "bits", "outside"]
-    first = rows.filter("rest").withColumn("i", F.col("own")).withColumn("j", F.explode(every)).select(*columns)
-    second = rows.withColumn("j", F.col("own")).withColumn("i", F.explode(every)).withColumn("rest", F.lit(False)).select(*columns)
-    dealt = first.unionByName(second).repartition(partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    dealt = _star_blocks(rows).repartition(partitions(spark), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     kind = spark.createDataFrame([], "a long, b long").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

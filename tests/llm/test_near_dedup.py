@@ -110,3 +110,18 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100, 0, -1)] + [(500, 400)], "a long, b long")
     got = {r["id"]: r["label"] for r in near_dedup.components(links).collect()}
     assert got == {**{i: 1 for i in range(1, 102)}, 400: 400, 500: 400}
+
+
+def test_a_star_is_copied_only_to_blocks_with_open_members(spark):
+    star = 3000
+    rows = spark.range(star).selectExpr(
+        "1L AS hub", "id + 10 AS member", f"{star}L AS star", "id IN (5, 6, 2000) AS rest", "9L AS n_member", "unhex('00') AS bits", "unhex('') AS outside"
+    )
+    whole = spark.range(400).selectExpr("2L AS hub", "id + 9000 AS member", "400L AS star", "false AS rest", "9L AS n_member", "unhex('00') AS bits", "unhex('') AS outside")
+    made = near_dedup._star_blocks(rows.unionByName(whole)).collect()
+    blocks = -(-star // near_dedup.BLOCK)
+    second = [r for r in made if not r["rest"]]
+    assert len({r["i"] for r in second}) <= 3 and len(second) == star * len({r["i"] for r in second})
+    assert len(made) - len(second) == 3 * blocks
+    met = {(a["member"], b["member"]) for a in made if a["rest"] for b in second if (a["i"], a["j"]) == (b["i"], b["j"])}
+    assert met == {(a + 10, b + 10) for a in (5, 6, 2000) for b in range(star)}
