@@ -3,8 +3,9 @@
 Every document becomes a digest row. The rows are cut into ``RUNS`` runs by a hash of the document id, so
 that copies of one text, however many, are spread evenly. Within a run equal digests fold into one row
 (smallest id, number of rows). Then come binomial rounds: in each, ``2**ROUND_BITS`` neighbouring runs
-exchange their rows, sliced by digest over all tasks, and a multiway merge keeps the smallest identifier
-per digest. A digest has at most ``2**ROUND_BITS`` rows in any merge, so no group is ever large, and no
+exchange their rows, sliced by digest over all tasks. Every task sorts and folds its part of a run before it sends it; what
+arrives is merged in digest order, and a pass over that order keeps the smallest identifier per digest (sort
+aggregates on both sides, which need that order). A digest has at most ``2**ROUND_BITS`` rows in any merge, so no group is ever large, and no
 task holds a whole run. A merge takes two rows for the same text only when the digest, the length and a
 second, independent hash agree; that is the verification at each level.
 
@@ -38,9 +39,13 @@ def digest_runs(docs: DataFrame, runs: int = RUNS) -> DataFrame:
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    """Fold the rows of one text within each run, in digest order."""
-    merged = runs.groupBy("run", *_TEXT).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return merged.sortWithinPartitions("run", *_TEXT)
+    """Merge the rows of each run in digest order and fold those of one text.
+
+    A minimum over a struct cannot be kept in a hash table, so rows are folded in sorted order, before and after the exchange.
+    """
+    first = F.min(F.when(F.col("keep_id").isNotNull(), F.struct("keep_id")))
+    merged = runs.groupBy("run", *_TEXT).agg(first.alias("first"), F.sum("group_size").alias("group_size"))
+    return merged.select("run", *_TEXT, F.col("first.keep_id").alias("keep_id"), "group_size")
 
 
 def exact_duplicates(docs: DataFrame, runs: int = RUNS, round_bits: int = ROUND_BITS) -> DataFrame:
@@ -67,7 +72,11 @@ def exact_duplicates(docs: DataFrame, runs: int = RUNS, round_bits: int = ROUND_
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows with the same id and text one stays."""
+    """The documents that stay, with all their columns; of rows with the same id and text one stays.
+
+    Null texts count as empty and keep their null; a row without an id stays only in a class without one. An empty table gives no
+    rows. Columns of any name are kept, but for ones that begin with ``_dedup_``. A text of any length is hashed whole.
+    """
     folded = F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " ")
     keys = {"_dedup_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_dedup_sha": F.sha2(folded, 256)}
     found = exact_duplicates(docs).filter("kept")

@@ -41,3 +41,18 @@ def test_empty_table(spark):
     empty = table(spark).limit(0)
     assert exact_dedup.exact_duplicates(empty).collect() == []
     assert exact_dedup.keep_first(empty).collect() == []
+
+
+def test_every_level_consumes_sorted_runs(spark):
+    rows = exact_dedup.digest_runs(table(spark, "0.01")).withColumnRenamed("doc_id", "keep_id").selectExpr("*", "1L AS group_size")
+    level, levels = exact_dedup._merge(rows), 1
+    for shift in (4, 4):
+        level, levels = exact_dedup._merge(level.selectExpr(f"shiftright(run, {shift}) AS run", "* EXCEPT (run)")), levels + 1
+    level.collect()
+    plan = level._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    folds = [i for i, line in enumerate(plan) if "SortAggregate(key=[run" in line]
+    assert len(folds) == 2 * levels and not any("HashAggregate" in line for line in plan)
+    # the input of every fold is sorted by run and digest
+    for i in folds:
+        below = next(line for line in plan[i + 1 :] if "Sort [run" in line or "SortAggregate(" in line or "Exchange" in line)
+        assert "Sort [run" in below, plan[i : i + 4]
