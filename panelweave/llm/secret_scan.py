@@ -117,7 +117,10 @@ def _entropy(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, in
             if s >= m.end():
                 break
             near.append((s, e))
-        placeholders = [(m.start() + p.start(), m.start() + p.end()) for p in ALLOWED.finditer(m.group().lower())]
+        whole = m.group()
+        # inside a token, with letters or digits on both sides, it is a part of the token
+        own = [p.span() for p in ALLOWED.finditer(whole.lower()) if not (whole[p.start() - 1 : p.start()].isalnum() and whole[p.end() : p.end() + 1].isalnum())]
+        placeholders = [(m.start() + s, m.start() + e) for s, e in own]
         for a, b in _rest(m.start(), m.end(), sorted(near + placeholders)):
             run = text[a:b]
             if not run.isalpha() and not run.isdigit():

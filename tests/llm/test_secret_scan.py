@@ -102,3 +102,29 @@ def test_spans_of_random_strings_are_exact(spark):
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     rows = [(i, f"use {''.join(rng.choice(alphabet) for _ in range(40))} to log in") for i in range(20)]
     assert {r["spans"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {"entropy:4:44"}
+
+
+def test_a_placeholder_inside_a_token_does_not_cut_it(spark):
+    token = "Zx9Qw8Er7Ty6Ui5Op4" + "00000000" + "As3Df2Gh1JkLzXcVbNm8"
+    rows = [(1, f"key {token} end"), (2, "key AKIA-EXAMPLE-00000000 end")]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == f"entropy:4:{4 + len(token)}" and "entropy" not in got[2]
+
+
+def test_precision_and_recall_by_length_and_class(spark):
+    rng = random.Random(9)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    classes = {"hex": "0123456789ABCDEF", "base64": lower + lower.upper() + "0123456789", "lower": lower + "0123456789"}
+    words = ["internationalization", "counterrevolutionaries", "2024-05-17T10:22:31", "path/to/some/longer/folder/name", "customer_order_line_items", "aaaaaaaaaabbbbbbbbbb1111111111"]
+    rows, planted = [], {}
+    for name, letters in classes.items():
+        for size in (32, 40, 64, 128):
+            for _ in range(25):
+                key = "".join(rng.choice(letters) for _ in range(size))
+                planted[len(rows)] = (name, size)
+                rows.append((len(rows), f"set it to {key} now"))
+    rows += [(len(rows) + i, f"see {w} there {w}") for i, w in enumerate(words * 20)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = {i for i in got if "entropy" in got[i]}
+    assert len(hits & set(planted)) / len(planted) >= 0.9
+    assert len(hits & set(planted)) / len(hits) >= 0.99
