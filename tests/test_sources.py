@@ -140,6 +140,70 @@ def test_incremental_conversion_converts_each_file_once(spark, tmp_path):
     assert read_converted(spark, out, COLUMNS).where("cycle = 2018 and row_cycle = 2020").count() == 1
 
 
+def test_a_batch_that_is_killed_leaves_nothing_and_is_converted_once(spark, tmp_path, monkeypatch):
+    from panelweave.session import shared_root
+    from panelweave.sources import manifest
+    from panelweave.streaming import incremental
+
+    source, out, ledger, state = (str(tmp_path / p) for p in ("src", "out", "ledger", "state"))
+    folder = shared_root(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    run = lambda: convert_new_files(spark, source, out, ledger, state, COLUMNS)
+    _write(f"{source}/txn_2016.csv", DIRTY)
+    run()
+    assert set(os.listdir(folder)) == before  # intermediate files are gone
+    _write(f"{source}/txn_2018.csv", HEADER + b"2018,1,1,a,b\n")
+    told, publish = incremental.ledger_rows, manifest.publish
+
+    def fault(*args, **how):
+        raise RuntimeError("killed")
+
+    for module, name, whole in ((incremental, "ledger_rows", told), (manifest, "publish", publish)):  # after the data, and after the ledger
+        monkeypatch.setattr(module, name, fault)
+        with pytest.raises(Exception, match="killed"):
+            run()
+        monkeypatch.setattr(module, name, whole)
+        assert read_converted(spark, out, COLUMNS).count() == 6 and set(os.listdir(folder)) == before
+        assert {r["cycle"] for r in incremental.read_ledger(spark, out, ledger).collect()} == {2016}
+
+    def late(session, *args, **how):
+        publish(session, *args, **how)
+        raise RuntimeError("killed after publishing")
+
+    monkeypatch.setattr(manifest, "publish", late)
+    with pytest.raises(Exception, match="killed after"):
+        run()
+    monkeypatch.setattr(manifest, "publish", publish)
+    run()  # the batch is replayed, and known
+    assert read_converted(spark, out, COLUMNS).count() == 7
+    assert {r["cycle"] for r in incremental.read_ledger(spark, out, ledger).collect()} == {2016, 2018}
+    live = manifest.current(spark, out)["parts"]
+    assert [p for p in os.listdir(out) if p.startswith("part=")] and len(live) == 2
+    manifest.sweep(spark, out)
+    assert sorted(p for p in os.listdir(out) if p.startswith("part=")) == sorted(live)
+
+
+def test_small_parts_are_compacted(spark, tmp_path):
+    from panelweave.sources import manifest
+    from panelweave.streaming.incremental import compact_converted
+
+    source, out, ledger, state = (str(tmp_path / p) for p in ("src", "out", "ledger", "state"))
+    for year in (2016, 2018, 2020):
+        _write(f"{source}/txn_{year}.csv", HEADER + b"".join(b"%d,%d,1,a,b\n" % (year, i) for i in range(9)))
+        convert_new_files(spark, source, out, ledger, state, COLUMNS)
+    old = read_converted(spark, out, COLUMNS)
+    want = sorted(map(str, old.collect()))
+    assert compact_converted(spark, out, COLUMNS) == 3 and compact_converted(spark, out, COLUMNS) == 0
+    back = read_converted(spark, out, COLUMNS)
+    assert sorted(map(str, back.collect())) == want == sorted(map(str, old.collect()))  # a reader that started before goes on
+    assert back.select(F.col("_metadata.file_path")).distinct().count() == 3
+    _write(f"{source}/txn_2022.csv", HEADER + b"2022,1,1,a,b\n")
+    convert_new_files(spark, source, out, ledger, state, COLUMNS)
+    assert read_converted(spark, out, COLUMNS).count() == 28 and len(manifest.current(spark, out)["parts"]) == 2
+    with pytest.raises(RuntimeError, match="not live"):
+        manifest.publish(spark, out, [], ["part=unknown"])
+
+
 def test_incremental_conversion_of_odd_files(spark, tmp_path):
     source, out, ledger, state = (str(tmp_path / p) for p in ("src", "out", "ledger", "state"))
     _write(f"{source}/txn_2016.csv", HEADER + "2016,1,1,Müller,Köln\n".encode("latin-1"))
