@@ -37,11 +37,17 @@ def individuals(df: DataFrame, targets: Iterable[int], step: int = 2) -> DataFra
     return df.where(F.col("cycle").isin(needed_cycles(targets, step)) & (F.col("contributor_type") == "I"))
 
 
-def _weighted(df: DataFrame) -> tuple[Column, Column]:
-    """Sums of weight times score and of weight over the rows that count."""
+def weighted_terms(df: DataFrame) -> tuple[Column, Column]:
+    """Weight times score, and weight, of the rows that count."""
     weight = amount_weight(F.col("amount"))
     counted = counts_for_score(F.col("cid"), F.col("candidate_score"), F.col("txn_type")) & (weight > 0)
-    return F.sum(F.when(counted, weight * F.col("candidate_score"))), F.sum(F.when(counted, weight))
+    return F.when(counted, weight * F.col("candidate_score")), F.when(counted, weight)
+
+
+def _weighted(df: DataFrame) -> tuple[Column, Column]:
+    """Sums of weight times score and of weight over the rows that count."""
+    num, den = weighted_terms(df)
+    return F.sum(num), F.sum(den)
 
 
 def weighted_sums(df: DataFrame) -> DataFrame:

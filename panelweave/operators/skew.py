@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelweave.session import written
 
 TASK_ROWS = 1_000_000  # rows of one key that a task takes; a key with more is spread over several
+MOST_SPLIT = 100_000  # keys that are split at most: with very many rows a task takes more of one key
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], null_safe: bool):
@@ -27,7 +28,8 @@ def hot_split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, co
 
     A key of c rows is dealt to ceil(c / task_rows) places: its rows carry a salt below that number, and its
     one row of ``right`` is repeated for every salt. How many keys are split follows from the counts alone;
-    they are at most rows / task_rows, which bounds the table of their factors, the only thing broadcast.
+    they are at most rows / task_rows and at most ``MOST_SPLIT`` (beyond, task_rows grows with the rows), which bounds the
+    table of their factors, the only thing broadcast.
     Rows with a NULL key are spread the same way when they meet nothing. The salt is a hash of all columns, so
     rows that are equal throughout stay together: group those beforehand. A key absent from ``right`` joins to
     nothing, but its rows stay together: hand in all keys and filter afterwards when one may be frequent.
@@ -36,9 +38,10 @@ def hot_split_join(left: DataFrame, right: DataFrame, keys: Sequence[str], *, co
     values = [c for c in right.columns if c not in keys]
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(v).alias(f"_v_{v}") for v in values])
     tie = [f"_k_{k}" for k in keys]
+    task_rows = max(task_rows, (right.agg(F.sum(count)).first()[0] or 0) // MOST_SPLIT)
     factor = F.ceil(F.col(f"_v_{count}") / F.lit(task_rows)).cast("int")
     split = renamed.where(F.col(f"_v_{count}") > task_rows).select(*tie, factor.alias("_factor"))
-    step = left.join(F.broadcast(split), _same(left, split, keys, null_safe), "left").drop(*tie)  # at most rows / task_rows
+    step = left.join(F.broadcast(split), _same(left, split, keys, null_safe), "left").drop(*tie)  # at most MOST_SPLIT
     places = F.coalesce("_factor", F.lit(1))
     if not null_safe:
         unknown = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))

@@ -9,12 +9,12 @@ from panelweave.functions.jaro import jaro_similarity
 from panelweave.functions.names import ENTITY_WORDS, company_key, looks_like_entity, with_person_parts
 from panelweave.functions.occupation import ENGINEER_WORDS, MANAGER_WORDS, occupation_flags
 from panelweave.functions.scores import clean_ticker, filing_date
-from panelweave.operators import insiders, linkage, panel, validate
+from panelweave.operators import insiders, linkage, panel, stored, validate
 from panelweave.plans import bind, study
 from panelweave.plans.bind import TARGETS, company_key_sql, person_sql, role_sql, table
 from panelweave.plans.entries_tables import _LOCAL, _scheme_sql
 from panelweave.plans.registry import query, r6, rounded
-from panelweave.session import written
+from panelweave.session import shared_path, written
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
@@ -277,6 +277,27 @@ def _(spark, d):
     return _spells(spark, d)
 
 
+def _stored_years(spark, d) -> DataFrame:
+    """Person-years from filings that arrive year by year of filing, late statements of earlier years among them."""
+    root = shared_path(spark, "person-years")
+    submissions, owners = written(bind.submissions(spark, d), "submissions"), written(bind.owners(spark, d), "owners")
+    filed = F.year(filing_date(F.col("FILING_DATE"))) % 3
+    for number in range(3):
+        batch = submissions.where(F.coalesce(filed, F.lit(0)) == number)
+        stored.add_filings(spark, root, batch, owners.join(batch.select("ACCESSION_NUMBER"), "ACCESSION_NUMBER", "left_semi"), number)
+    return stored.read_states(spark, root)
+
+
+@query("agg_insider_year_incremental", role_sql("person_year") + " SELECT * FROM person_year")
+def _(spark, d):
+    return _stored_years(spark, d)
+
+
+@query("agg_spell_incremental", role_sql("spell") + " SELECT * REPLACE (CAST(cycle_from AS INTEGER) AS cycle_from, CAST(cycle_to AS INTEGER) AS cycle_to) FROM spell")
+def _(spark, d):
+    return insiders.spells(insiders.persons_only(_stored_years(spark, d)))
+
+
 @query("prj_role", role_sql("spell") + """ SELECT owner_cik, cik, CASE WHEN ever_officer AND ever_director THEN 'officer_director' WHEN ever_officer THEN 'officer'
     WHEN ever_director THEN 'director' END AS insider_role FROM spell""")
 def _(spark, d):

@@ -235,22 +235,25 @@ def _(spark, d):
 # --- a balanced table: one row per supplier and cell ---------------------------------------------------
 
 LINE, PARITY = Factor("line", ("1", "2", "3")), Factor("parity", ("even", "odd"))
-_CELLS = """SELECT l_suppkey, CAST(l_linenumber AS VARCHAR(9)) AS line, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
-    avg(l_extendedprice / 10000) + (l_suppkey % 7) * CAST(0.8 AS DOUBLE) AS y FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, l_suppkey % 7"""
-_BALANCED = f"""WITH cell AS ({_CELLS}), bal AS (SELECT * FROM cell WHERE l_suppkey IN (SELECT l_suppkey FROM cell GROUP BY 1 HAVING count(*) = 6)),
+_CELLS = """SELECT l_suppkey, CASE WHEN l_linenumber <= 2 THEN '1' WHEN l_linenumber <= 4 THEN '2' ELSE '3' END AS line, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity,
+    avg(l_extendedprice / 10000) + (l_suppkey % 7) * CAST(0.8 AS DOUBLE) AS y FROM lineitem GROUP BY 1, 2, 3, l_suppkey % 7"""
+_BALANCED = f"""WITH bal AS ({_CELLS}),
     mean AS (SELECT line, parity, count(*) AS n, avg(y) AS m FROM bal GROUP BY 1, 2),
     rest AS (SELECT y - avg(y) OVER (PARTITION BY l_suppkey) - avg(y) OVER (PARTITION BY line, parity) + avg(y) OVER () AS e FROM bal),
     s2 AS (SELECT sum(e * e) / (((SELECT count(DISTINCT l_suppkey) FROM bal) - 1) * 5) AS v FROM rest)"""
 
 
 def _balanced_fit(spark, d):
-    """REML fit of a saturated model where every supplier has every cell: cell means, and errors within suppliers."""
-    cell = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(
-        "l_suppkey", F.col("l_linenumber").cast("string").alias("line"), F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd").alias("parity")
+    """REML fit of a saturated model over the cell means of all lines, a row per supplier and cell.
+
+    Every supplier has lines in every cell, so the fit is balanced: cell means, and errors within suppliers.
+    """
+    line = F.when(F.col("l_linenumber") <= 2, "1").when(F.col("l_linenumber") <= 4, "2").otherwise("3")
+    cell = table(spark, d, "lineitem").groupBy(
+        "l_suppkey", line.alias("line"), F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd").alias("parity")
     ).agg((F.avg(F.col("l_extendedprice") / 10000)).alias("m"))
     cell = written(cell.withColumn("y", F.col("m") + (F.col("l_suppkey") % 7) * F.lit(0.8)), "balanced")
-    whole = cell.groupBy("l_suppkey").agg(F.count("*").alias("n")).where("n = 6")
-    cells = collect_cells(cell.join(whole, "l_suppkey", "left_semi"), "y", [LINE, PARITY], group="l_suppkey")
+    cells = collect_cells(cell, "y", [LINE, PARITY], group="l_suppkey")
     return cells, fit_mixed(cells, Design.of(crossed(LINE, PARITY)), reml=True)
 
 
@@ -296,12 +299,26 @@ def _study(spark, d) -> tuple[DataFrame, DataFrame]:
     return written(study.latest_people(rows), "study-people"), rows
 
 
+def _files(spark, d) -> tuple[tuple[str, int, int], ...]:
+    """Name, length and time of the files of the tables."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(d)
+    found, out = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 @lru_cache(maxsize=2)
-def _catalogue(spark, d) -> hypotheses.Catalogue:
-    """All models over these tables; the queries below show different tables of one catalogue."""
+def _fitted(spark, d, files) -> hypotheses.Catalogue:
     return hypotheses.all_models(*_study(spark, d))
 
 
+def _catalogue(spark, d) -> hypotheses.Catalogue:
+    """All models over these tables as they are now; the queries below show different tables of one catalogue."""
+    return _fitted(spark, d, _files(spark, d))
+
+
 _SAMPLE = STUDY + f""", latest AS (SELECT cid, {LATEST_SQL} FROM study GROUP BY cid),
     sample AS (SELECT contributor_score AS y, ff49_abbr IN ('Softw', 'Hardw', 'Chips') AS tech, ff49_abbr AS industry, occupation_std, is_sec_insider, gender FROM latest
       WHERE contributor_score IS NOT NULL AND occupation_std IS NOT NULL AND mean_score_zipcode_wo_i IS NOT NULL AND ff49_abbr IS NOT NULL AND gender IS NOT NULL AND is_sec_insider IS NOT NULL),

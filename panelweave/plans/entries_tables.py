@@ -10,10 +10,11 @@ from panelweave.functions.picks import first_by
 from panelweave.functions.scores import (
     amount_weight, business_equipment_flag, counts_for_score, even_cycle, insider_now, padded_id, tech_flag,
 )
-from panelweave.operators import describe, industry, local_means, ordered, panel, sampling
+from panelweave.operators import describe, industry, local_means, ordered, panel, sampling, stored
 from panelweave.plans import bind
 from panelweave.plans.bind import TARGETS, role_sql, table
 from panelweave.plans.registry import query, r6, rounded
+from panelweave.session import shared_path
 
 _T = ", ".join(map(str, TARGETS))
 
@@ -264,6 +265,15 @@ def _(spark, d):
     return rounded(rounded(_panel(spark, d), "total_amount", digits=4), "score_dyn", digits=9)
 
 
+@query("person_cycle_panel_incremental", role_sql("panel") + " SELECT * REPLACE (round(total_amount, 4) AS total_amount, round(score_dyn, 9) AS score_dyn) FROM panel")
+def _(spark, d):
+    root, rows = shared_path(spark, "panel-states"), _txn(spark, d)
+    for number in range(3):  # batches that cut through every cycle
+        stored.add_transactions(spark, root, rows.where(F.pmod(F.xxhash64("txn_id"), F.lit(3)) == number), number)
+    out = stored.panel_from_states(spark, root, TARGETS)
+    return rounded(rounded(out, "total_amount", digits=4), "score_dyn", digits=9)
+
+
 @query("agg_first_by_date", role_sql("raw") + " SELECT cid, cycle, " + ", ".join(bind._first_sql(c) for c in panel.FIRST_SEEN) + " FROM raw GROUP BY cid, cycle")
 def _(spark, d):
     picks = [first_by(F.col(c), F.col("date"), F.col("txn_id")).alias(c) for c in panel.FIRST_SEEN]

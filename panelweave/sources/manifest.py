@@ -2,7 +2,8 @@
 
 A data set is a folder with one folder per part and, below ``_manifest``, numbered versions. A version lists the live
 parts and the last batch that was published; it is written beside and renamed, so it is there whole or not at all, and
-the highest number counts. A part that no version lists was never published, or has been replaced.
+the highest number counts. A part that no version lists was never published, or has been replaced. A version may also list
+folders inside of parts, which can then be replaced one by one.
 """
 
 from __future__ import annotations
@@ -82,7 +83,10 @@ def sweep(spark: SparkSession, root: str, keep_versions: int = 1) -> list[str]:
             stream = fs.open(at)
             live |= set(json.loads(bytes(stream.readAllBytes()).decode())["parts"])
             stream.close()
-    gone = [n for n in _names(spark, root) if n.startswith("part=") and n not in live]
+    held = {p.split("/", 1)[0] for p in live}
+    gone = [n for n in _names(spark, root) if n.startswith("part=") and n not in held]
+    for name in held - live:  # parts of which some folders are live
+        gone += [f"{name}/{n}" for n in _names(spark, f"{root}/{name}") if "=" in n and f"{name}/{n}" not in live]
     for name in gone:
         fs, at = _files(spark, f"{root}/{name}")
         fs.delete(at, True)
