@@ -10,7 +10,7 @@ from panelweave.functions.picks import first_by
 from panelweave.functions.scores import (
     amount_weight, business_equipment_flag, counts_for_score, even_cycle, insider_now, padded_id, tech_flag,
 )
-from panelweave.operators import describe, industry, local_means, ordered, panel, sampling, stored
+from panelweave.operators import describe, industry, local_means, ordered, panel, ranges, sampling, stored
 from panelweave.plans import bind
 from panelweave.plans.bind import TARGETS, role_sql, table
 from panelweave.plans.registry import query, r6, rounded
@@ -215,6 +215,29 @@ def _scheme_sql(n: int) -> str:
     CROSS JOIN (SELECT * FROM range_def WHERE scheme = {n} ORDER BY ff_num DESC LIMIT 1) o) WHERE rn = 1)"""
 
 
+@query("jn_range_dates", """WITH p AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n_lines FROM lineitem GROUP BY 1),
+    r AS (SELECT CAST(o_orderdate AS DATE) AS low, CAST(o_orderdate AS DATE) + CAST(o_custkey % 400 AS INTEGER) AS high, o_orderkey FROM orders)
+    SELECT day, n_lines, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY high - low, o_orderkey) AS rn FROM p JOIN r ON day BETWEEN low AND high) WHERE rn = 1""")
+def _(spark, d):
+    # the shortest period of an order that holds a shipping day
+    days = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n_lines"))
+    low = F.to_date("o_orderdate")
+    periods = table(spark, d, "orders").select(low.alias("low"), F.date_add(low, (F.col("o_custkey") % 400).cast("int")).alias("high"), "o_orderkey")
+    found = ranges.narrowest_ranges(days, "day", periods, "low", "high", ["o_orderkey"])
+    return days.join(found, "day").select("day", "n_lines", "o_orderkey")
+
+
+@query("jn_range_codes", """WITH p AS (SELECT DISTINCT l_orderkey * 1000000000000 + l_partkey AS code FROM lineitem),
+    r AS (SELECT p_partkey * 3000000000000 AS low, p_partkey * 3000000000000 + p_size * 1000000000000 AS high, p_partkey FROM part)
+    SELECT p_partkey, count(*) AS n_codes FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY high - low, p_partkey) AS rn FROM p JOIN r ON code BETWEEN low AND high) WHERE rn = 1 GROUP BY 1""")
+def _(spark, d):
+    wide = F.lit(1_000_000_000_000)
+    codes = table(spark, d, "lineitem").select((F.col("l_orderkey") * wide + F.col("l_partkey")).alias("code"))
+    low = F.col("p_partkey") * 3 * wide
+    parts = table(spark, d, "part").select(low.alias("low"), (low + F.col("p_size") * wide).alias("high"), "p_partkey")
+    return ranges.narrowest_ranges(codes, "code", parts, "low", "high", ["p_partkey"]).groupBy("p_partkey").agg(F.count("*").alias("n_codes"))
+
+
 @query("jn_residual_default", role_sql("range_def", extra=_CODES + ", " + _scheme_sql(12)) + " SELECT * FROM s12")
 def _(spark, d):
     return industry.assign_scheme(_codes(spark, d), bind.range_definitions(spark), 12)
