@@ -55,7 +55,8 @@ def exact_duplicates(docs: DataFrame, runs: int = RUNS, round_bits: int = ROUND_
     that repeat a doc_id and text all are kept = (doc_id = keep_id), so an id that occurs twice stays twice
     here (``keep_first`` keeps one row). Null texts count as empty and form one class with empty ones. A row
     without an id never stays unless its class has no id at all; it is then returned with keep_id null and
-    kept true. An empty table gives no rows; other columns are ignored.
+    kept true. An empty table gives no rows; other columns are ignored. A text of any length is hashed whole where it is read and
+    never shuffled.
     """
     rows = written(digest_runs(docs, runs), "digests")
     first = _merge(rows.withColumnRenamed("doc_id", "keep_id").withColumn("group_size", F.lit(1).cast("long")))

@@ -146,7 +146,11 @@ def mix(docs: DataFrame, *, repetition: float | None = REPETITION, entropy: floa
 
 
 def mixed_documents(docs: DataFrame, **how: float) -> DataFrame:
-    """The documents of the mix with all their columns, a row per shown copy."""
+    """The documents of the mix with all their columns, a row per shown copy.
+
+    Documents without a token, null texts among them, are shown in every whole pass; rows that repeat an id are each shown as often as the one
+    shown most. An empty table gives no rows. Columns of any name are kept, but for ones that begin with ``_mix_``.
+    """
     copies = mix(docs, **how).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_mix_id")).agg((F.max("epoch") + 1).alias("_mix_copies"))
     joined = docs.join(copies, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_mix_id"))
     return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*docs.columns)

@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
     smallest doc_id reachable over links, ``kept`` whether it is the document's own. Null and empty texts, and
     texts of white space, have no shingle and are linked with nothing. A row without an id is linked with
     nothing; its component_id is null and it is kept. Rows that repeat an id are one document. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. A text of any length counts whole; its task holds its shingles. Ties do not matter:
+    links do not depend on the order of rows.
     """
     source = texts(docs)
     rows = written(sketches(source, width), "near-sketches")
@@ -374,6 +375,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, threshold: int = THRESH
 
 
 def keep_one(docs: DataFrame, **how: int) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
+    """The documents that stay, one of each component, with all their columns.
+
+    Documents without a shingle (null, empty, white space) and rows without an id stay; rows that repeat an id stay or go together.
+    An empty table gives no rows. Columns of any name are kept, but for ``_near_id``.
+    """
     kept = near_duplicates(docs, **how).filter("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_near_id")).distinct()
     return docs.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("_near_id"), "left_semi")

@@ -152,7 +152,8 @@ def secrets(docs: DataFrame) -> DataFrame:
 
     Positions count code points, ends are exclusive, spans are ordered by start and then kind. Null and empty
     texts have no spans (an empty string, and the digest of one). Whole texts are scanned in one pass each;
-    repeated rows repeat, an empty table gives no rows, and other columns are ignored.
+    repeated rows repeat, an empty table gives no rows, and other columns are ignored. Spans of different kinds may begin at the
+    same place; all are told, in the order of the kinds. A text of any length is scanned in time proportional to it.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, base_sha256 string, spans string"
     return by_batch(texts(docs), _scan, schema)
