@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in five stages over the document operators."""
+"""From raw documents to packed training sequences, in five stages over the document operators.
+
+All stages but the last return the columns of documents, whatever further columns there are. Null and empty texts have no language and
+go in the first stage, so do rows whose text has no letter. Rows that repeat an id and a text become one in the second. A row without
+an id counts as a document of its own id. An empty table gives no rows at every stage. Texts of any length pass whole.
+"""
 
 from __future__ import annotations
 
