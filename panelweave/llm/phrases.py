@@ -38,7 +38,7 @@ LEAST, TOP = 10, 2000
 SAMPLE_OF, LOWERED = 4, 0.8  # a quarter of the documents proposes, at 0.8 of the count to expect there
 MOST_BITS, BITS_A_PHRASE = 27, 16  # bits of a filter: two to the power of 27 at most
 BLOCK_BYTES = 8 << 20
-_COUNTS = "lang string, phrase string, k int, c long"
+_COUNTS = "key string, c long"  # language, tab, phrase; no word holds a tab
 #: Bytes of words are 0, those between words 1, those between pieces 2.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -131,9 +131,8 @@ def _phrase_hashes(lang: pa.StringArray, phrase: pa.StringArray) -> np.ndarray:
 
 
 def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and how often each occurs."""
-    at, values = pd.factorize(codes)
-    return values, np.bincount(at, minlength=len(values))
+    """Distinct values, sorted so that neighbours share their first words and compress well, and how often each occurs."""
+    return np.unique(codes, return_counts=True)
 
 
 def count_block(lang: pa.StringArray, text: pa.StringArray, proposals: list[tuple[Filter, Filter]]) -> Iterator[tuple[pa.Array, pa.Array, int, np.ndarray]]:
@@ -196,14 +195,17 @@ def _tally(rows: DataFrame, proposals: list[tuple[Filter, Filter]]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in _blocks(batches):
-            for langs, phrases, k, often in count_block(lang, text, sent.value):
+            for langs, phrases, _, often in count_block(lang, text, sent.value):
                 for at in range(0, len(often), 100_000):
-                    part = often[at : at + 100_000]
-                    columns = [langs[at : at + len(part)].cast(pa.string()), phrases[at : at + len(part)].cast(pa.string()), pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "c"])
+                    part = pa.array(often[at : at + 100_000].astype(np.int64))
+                    keys = pc.binary_join_element_wise(langs[at : at + len(part)], phrases[at : at + len(part)], "\t")
+                    yield pa.RecordBatch.from_arrays([keys.cast(pa.string()), part], ["key", "c"])
 
     # blocks are summed in themselves; hashing every phrase once more before the shuffle would cost more than it saves
-    return in_arrow(rows, run, _COUNTS).repartition("lang", "phrase", "k").groupBy("lang", "phrase", "k").agg(F.sum("c").alias("c"))
+    summed = in_arrow(rows, run, _COUNTS).repartition("key").groupBy("key").agg(F.sum("c").alias("c"))
+    phrase = F.substring_index("key", "\t", -1)
+    k = F.when(phrase == "", F.lit(0)).otherwise(F.size(F.split(phrase, " ")))
+    return summed.select(F.substring("key", F.lit(1), F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), k.alias("k"), "c")
 
 
 def _filters(known: DataFrame) -> tuple[Filter, Filter]:
