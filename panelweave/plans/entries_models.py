@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.models.absorbed import fit_absorbed
 from panelweave.models.cells import collect_cells
 from panelweave.models.contrasts import average_comparisons, mean_predictions
 from panelweave.models.design import Design, Factor, Numeric, coded, crossed, main
@@ -65,6 +66,34 @@ def _(spark, d):
     return rounded(out.select("measure", "value"), "value", digits=4)
 
 
+_ABSORBED = f"""WITH li AS (SELECT l_partkey, l_quantity AS q, l_discount AS d, {_Y} AS y FROM lineitem),
+    g AS (SELECT l_partkey, CAST(count(*) AS DOUBLE) AS n, avg(y) AS my, avg(q) AS mq, avg(d) AS md, covar_pop(q, q) AS qq, covar_pop(q, d) AS qd, covar_pop(d, d) AS dd,
+        covar_pop(q, y) AS qy, covar_pop(d, y) AS dy, covar_pop(y, y) AS yy FROM li GROUP BY 1),
+    s AS (SELECT sum(n) AS n, count(*) AS levels, sum(n * qq) AS qq, sum(n * qd) AS qd, sum(n * dd) AS dd, sum(n * qy) AS qy, sum(n * dy) AS dy, sum(n * yy) AS yy FROM g),
+    b AS (SELECT *, qq * dd - qd * qd AS det, (dd * qy - qd * dy) / (qq * dd - qd * qd) AS bq, (qq * dy - qd * qy) / (qq * dd - qd * qd) AS bd FROM s),
+    e AS (SELECT *, yy - bq * qy - bd * dy AS rss, (yy - bq * qy - bd * dy) / (n - levels - 2) AS s2 FROM b)"""
+
+
+@query("mdl_absorbed", _ABSORBED + """ SELECT 'l_quantity' AS term, round(bq, 6) AS estimate, round(sqrt(s2 * dd / det), 6) AS std_error FROM e
+    UNION ALL SELECT 'l_discount', round(bd, 6), round(sqrt(s2 * qq / det), 6) FROM e
+    UNION ALL SELECT unnest(['nobs', 'levels', 'df_residual', 'r2_within', 'sigma']), round(unnest([n, CAST(levels AS DOUBLE), n - levels - 2, 1 - rss / yy, sqrt(s2)]), 6), NULL FROM e""")
+def _(spark, d):
+    fit = _absorbed_fit(spark, d)
+    terms = coefficient_table(spark, {"m": fit}).select("term", "estimate", "std_error")
+    fitted = measure_table(spark, {"m": fit}).select(F.col("measure").alias("term"), F.col("value").alias("estimate"), F.lit(None).cast("double").alias("std_error"))
+    return rounded(terms.unionByName(fitted), "estimate", "std_error")
+
+
+@query("mdl_absorbed_effects", _ABSORBED + " SELECT l_partkey, CAST(g.n AS BIGINT) AS n, round(my - bq * mq - bd * md, 6) AS effect FROM g, e")
+def _(spark, d):
+    return rounded(_absorbed_fit(spark, d).effects(), "effect")
+
+
+def _absorbed_fit(spark, d):
+    rows = table(spark, d, "lineitem").selectExpr("l_partkey", "l_quantity", "l_discount", f"{_Y} AS y")
+    return fit_absorbed(rows, "y", Design.of(main(QTY, Numeric("l_discount"))), "l_partkey")
+
+
 @query("mdl_nested", _L + """, g AS (SELECT l_returnflag AS f, regr_slope(y, z) AS b, regr_intercept(y, z) AS a FROM li GROUP BY 1), a AS (SELECT * FROM g WHERE f = 'A')
     SELECT 'qty' AS model, '(Intercept)' AS term, round(regr_intercept(y, z), 6) AS estimate FROM li UNION ALL SELECT 'qty', 'l_quantity', round(regr_slope(y, z), 6) FROM li
     UNION ALL SELECT 'flag * qty', '(Intercept)', round(a, 6) FROM a UNION ALL SELECT 'flag * qty', 'l_quantity', round(b, 6) FROM a

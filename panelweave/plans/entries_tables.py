@@ -10,7 +10,7 @@ from panelweave.functions.picks import first_by
 from panelweave.functions.scores import (
     amount_weight, business_equipment_flag, counts_for_score, even_cycle, insider_now, padded_id, tech_flag,
 )
-from panelweave.operators import describe, industry, local_means, ordered, panel, ranges, sampling, stored
+from panelweave.operators import describe, distinct, industry, local_means, ordered, panel, ranges, sampling, stored
 from panelweave.plans import bind
 from panelweave.plans.bind import TARGETS, role_sql, table
 from panelweave.plans.registry import query, r6, rounded
@@ -323,6 +323,15 @@ def _(spark, d):
     return _panel(spark, d).groupBy("zipcode", "state", "cycle").agg(F.countDistinct("cid").alias("n_people"))
 
 
+@query("agg_distinct_groupings", role_sql("panel") + """ SELECT grouping(zipcode, state, cycle) AS level, zipcode, state, cycle, count(DISTINCT cid) AS n_people FROM panel
+    GROUP BY GROUPING SETS ((zipcode, state, cycle), (zipcode, state), (zipcode), (cycle), ())""")
+def _(spark, d):
+    sets = [["zipcode", "state", "cycle"], ["zipcode", "state"], ["zipcode"], ["cycle"], []]
+    out = distinct.distinct_counts(_panel(spark, d), "cid", sets, "n_people")
+    level = F.element_at(F.array(*[F.lit(v) for v in (0, 1, 3, 6, 7)]), F.col("grouping") + 1)
+    return out.select(level.cast("bigint").alias("level"), "zipcode", "state", "cycle", "n_people")
+
+
 @query("agg_group_mean", role_sql("panel") + """ SELECT 'city' AS level, city AS place, CAST(NULL AS BIGINT) AS cycle, round(avg(contributor_score), 9) AS mean FROM panel GROUP BY city
     UNION ALL SELECT 'zip', zipcode, NULL, round(avg(contributor_score), 9) FROM panel GROUP BY zipcode
     UNION ALL SELECT 'city_cycle', city || '/' || state, cycle, round(avg(score_dyn), 9) FROM panel GROUP BY city, state, cycle
