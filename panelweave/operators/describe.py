@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from panelweave.operators.ordered import running_total
+from panelweave.operators.selection import renamed, same, selected_quantiles
 from panelweave.operators.skew import hot_split_join
+from panelweave.session import written
 
 
 def _all(tests: Sequence[Column]) -> Column:
@@ -118,23 +120,36 @@ def _quantiles(ranked: DataFrame, by: Sequence[str], probs: Sequence[float]) ->
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles per group with linear interpolation, as columns ``q0, q1, ...``, and rows ``n``.
 
-    ``percentile`` would hold all distinct values of a group in one buffer. Here distinct values are ranked by
-    running totals over ranges, and a quantile is the smallest value whose rank reaches it.
+    ``percentile`` would hold all distinct values of a group in one buffer. Here wanted ranks are narrowed down by counted
+    digits (``selection``). For very many groups distinct values are ranked by running totals over ranges instead,
+    and a quantile is the smallest value whose rank reaches it.
     """
-    out = _quantiles(ranked_values(df, by, value), by, probs)
-    return out if by else out.where("n IS NOT NULL")
+    if not by:
+        return quantiles(df.withColumn("_all", F.lit(1)), ["_all"], value, probs).drop("_all")
+    by = list(by)
+    out = selected_quantiles(df, by, value, probs)
+    return _quantiles(ranked_values(df, by, value), by, probs) if out is None else out
 
 
 def box_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Quartiles, whiskers (last value within 1.5 box lengths) and outlier count per group.
+    """Quartiles, whiskers (last value within 1.5 box lengths) and outlier count per group with a known value.
 
-    The ranked values serve the quartiles and, joined to them, the whiskers.
+    The quartiles of up to ``selection.MOST_GROUPS`` groups are written and broadcast to a last scan. For more groups
+    ranked values serve the quartiles and, joined to them, the whiskers.
     """
-    by = list(by)
-    ranked = ranked_values(df, by, value)
-    box = _quantiles(ranked, by, (0.25, 0.5, 0.75))
-    box = box.select(*by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    rows = hot_split_join(ranked.select(*by, "_x", "_c"), box, by, count="n", null_safe=True)
+    if not by:
+        return box_stats(df.withColumn("_all", F.lit(1)), ["_all"], value).drop("_all")
+    by, quartiles = list(by), (0.25, 0.5, 0.75)
+    names = ["n", *[F.col(f"q{i}").alias(c) for i, c in enumerate(("q1", "median", "q3"))]]
+    box = selected_quantiles(df, by, value, quartiles)
+    if box is not None:
+        box = renamed(written(box.select(*by, *names), "boxes"), by)
+        rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_x"), F.lit(1).alias("_c"))
+        rows = rows.join(F.broadcast(box), same(rows, box, by))
+    else:
+        ranked = ranked_values(df, by, value)
+        box = _quantiles(ranked, by, quartiles).select(*by, *names)
+        rows = hot_split_join(ranked.select(*by, "_x", "_c"), box, by, count="n", null_safe=True)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("_x").between(F.col("q1") - reach, F.col("q3") + reach)
     return rows.groupBy(*by).agg(
