@@ -49,6 +49,22 @@ def row_numbers(df: DataFrame, order: Sequence[str], name: str = "row_id") -> Da
     return running_count(df, [], order, F.lit(True), name)
 
 
+def running_last(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """The last ``value`` that is not NULL up to and including this row, over the whole frame in ``order``.
+
+    Rows are range-partitioned and written as in :func:`running_total`; one task passes on one value per range.
+    """
+    ranged = df.withColumn("_own", value).repartitionByRange(*order).withColumn("_range_id", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    last = ranged.where(F.col("_own").isNotNull()).groupBy("_range_id").agg(F.max_by("_own", F.struct(*order)).alias("_last"))
+    every = ranged.select("_range_id").distinct().join(last, "_range_id", "left")
+    earlier = Window.orderBy("_range_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = every.select("_range_id", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("_range_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = ranged.withColumn("_inside", F.last("_own", ignorenulls=True).over(inside))
+    return found.join(before, "_range_id").select(*df.columns, F.coalesce("_inside", "_before").alias(name))
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in a full order: a grouped minimum that combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys and c not in order]

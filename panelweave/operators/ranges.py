@@ -1,10 +1,13 @@
 """Points to the narrowest range that holds them, over any domain of integers or dates, without trying all ranges.
 
-A range is cut into dyadic bins: the bins of width 2**k are the numbers that agree but for their last k bits, and a range is
-the union of at most two bins per width. A point lies in one bin per width. So a range has at most some 128 bins, whatever its
-length, a point one per width that any range uses, and both meet by equality. All points of a bin of a range lie in
-it, hence of the ranges that share a bin only the first in order is kept: the right side has one row per bin, and a bin
-with very many points is split by its count.
+The ends of n ranges cut the domain into at most 2n segments; between two ends the same ranges hold every point. So the
+narrowest range is found per segment, and a point takes that of the last segment that begins at or before it, by one pass over
+points and segments in order. Points are not multiplied, whatever the length of the ranges.
+
+For the segments, a range is cut into dyadic bins of segment numbers: the bins of width 2**k are the numbers that agree but for
+their last k bits, and a range is the union of at most two bins per width. A segment lies in one bin per width, so both
+meet by equality, in some 2 log2(2n) rows a range at most. All segments of a bin of a range lie in it, hence of the ranges that share a
+bin only the first in order is kept: the right side has one row per bin, and a bin of very many segments is split by its count.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
+from panelweave.operators.ordered import row_numbers, running_last
 from panelweave.operators.skew import hot_split_join
 from panelweave.session import written
 
@@ -27,8 +31,11 @@ def _number(df: DataFrame, column: str) -> Column:
     return F.unix_date(c).cast("long") if isinstance(df.schema[column].dataType, DateType) else c.cast("long")
 
 
-def bins(low: Column, high: Column) -> Column:
-    """The bins (width as a power of two, number) whose union is the closed range from ``low`` to ``high``."""
+def bins(low: Column, high: Column, bits: int = 63) -> Column:
+    """The bins (width as a power of two, number) whose union is the closed range from ``low`` to ``high``.
+
+    Ends of at most ``bits`` bits take fewer steps.
+    """
     none = F.array().cast("array<struct<k:int,bin:bigint>>")
 
     def step(acc: Column, k: Column) -> Column:
@@ -46,7 +53,33 @@ def bins(low: Column, high: Column) -> Column:
         )
 
     start = F.struct(low.cast("long").alias("a"), high.cast("long").alias("b"), none.alias("found"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), start, step, lambda acc: acc["found"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(bits)), start, step, lambda acc: acc["found"])
+
+
+def _segments(sized: DataFrame) -> DataFrame:
+    """Begin (``_value``) of every segment between range ends, and ``_range``, the narrowest range there or NULL.
+
+    ``sized`` has a row per pair of ends ``_a`` and ``_b``, with ``_range``.
+    """
+    after = F.when(F.col("_b") < _MOST, F.col("_b") + 1)
+    ends = sized.select(F.explode(F.array(F.struct(F.col("_a").alias("_value"), F.lit(1).alias("_low")), F.struct(after.alias("_value"), F.lit(0).alias("_low")))).alias("_e"))
+    ends = ends.select("_e.*").where("_value IS NOT NULL").groupBy("_value").agg(F.sum("_low").alias("_lows"), F.sum(1 - F.col("_low")).alias("_highs"))
+    ends = written(row_numbers(ends, ["_value"], "_id").withColumn("_id", F.col("_id") - 1), "range-ends")
+    last = ends.count() - 1
+    numbered = hot_split_join(sized.withColumn("_after", after), ends.select(F.col("_value").alias("_a"), F.col("_id").alias("_from"), "_lows"), ["_a"], count="_lows")
+    # an open end has no segment after it; those rows are kept apart, so that they need not meet in one place
+    shut = hot_split_join(
+        numbered.where("_after IS NOT NULL").select("_range", "_from", "_after"),
+        ends.where("_highs > 0").select(F.col("_value").alias("_after"), F.col("_id").alias("_to"), "_highs"), ["_after"], count="_highs",
+    ).select("_range", "_from", (F.col("_to") - 1).alias("_to"))
+    spans = shut.unionByName(numbered.where("_after IS NULL").select("_range", "_from", F.lit(last).cast("long").alias("_to")))
+    placed = spans.select("_range", F.explode(bins(F.col("_from"), F.col("_to"), max(last, 0).bit_length())).alias("_at"))
+    best = written(placed.groupBy(F.col("_at.k").alias("_k"), F.col("_at.bin").alias("_bin")).agg(F.min("_range").alias("_range")), "range-bins")
+    widths = sorted(r[0] for r in best.select("_k").distinct().collect())  # at most 64
+    keyed = ends.select("_value", "_id", F.explode(F.array(*[F.lit(k) for k in widths]).cast("array<int>")).alias("_k"))
+    keyed = keyed.select("_value", "_k", F.expr("shiftright(_id, _k)").alias("_bin"))
+    side = keyed.groupBy("_k", "_bin").agg(F.count("*").alias("_n")).join(best, ["_k", "_bin"], "left")
+    return hot_split_join(keyed, side, ["_k", "_bin"], count="_n").groupBy("_value").agg(F.min("_range").alias("_range"))
 
 
 def narrowest_ranges(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, order: Sequence[str] = ()) -> DataFrame:
@@ -61,16 +94,10 @@ def narrowest_ranges(points: DataFrame, point: str, ranges: DataFrame, low: str,
     sized = ranges.withColumns({"_a": a, "_b": b}).where("_a <= _b").withColumn("_width", F.col("_b").cast("decimal(20,0)") - F.col("_a").cast("decimal(20,0)"))
     rest = [c for c in columns if c not in order]
     first = F.struct("_width", *order, *rest)
-    placed = sized.select(first.alias("_range"), F.explode(bins(F.col("_a"), F.col("_b"))).alias("_at"))
-    best = written(placed.groupBy(F.col("_at.k").alias("_k"), F.col("_at.bin").alias("_bin")).agg(F.min("_range").alias("_range")), "range-bins")
-    widths = [r[0] for r in best.select("_k").distinct().collect()]  # at most 64
-    if not widths:
-        return points.select(point).limit(0).join(ranges.limit(0), F.lit(True))
+    sized = written(sized.groupBy("_a", "_b").agg(F.min(first).alias("_range")), "range-sides")
     values = points.where(F.col(point).isNotNull()).select(F.col(point), _number(points, point).alias("_value")).distinct()
-    keyed = values.select(point, "_value", F.explode(F.array(*[F.lit(k) for k in sorted(widths)])).alias("_k"))
-    keyed = written(keyed.select(point, "_k", F.expr("shiftright(_value, _k)").alias("_bin")), "range-points")
-    counts = keyed.groupBy("_k", "_bin").agg(F.count("*").alias("_n"))
-    side = counts.join(best, ["_k", "_bin"], "left")
-    met = hot_split_join(keyed, side, ["_k", "_bin"], count="_n").where(F.col("_range").isNotNull())
-    found = met.groupBy(point).agg(F.min("_range").alias("_range"))
-    return found.select(point, *[F.col(f"_range.{c}").alias(c) for c in columns])
+    # a segment goes before the points at its begin; that of no range ends the one before
+    begins = _segments(sized).select(F.lit(None).cast(points.schema[point].dataType).alias(point), "_value", F.lit(0).alias("_kind"), F.struct("_range").alias("_segment"))
+    both = begins.unionByName(values.select(point, "_value", F.lit(1).alias("_kind")), allowMissingColumns=True)
+    found = running_last(both, ["_value", "_kind"], F.col("_segment"), "_found").where("_kind = 1 AND _found._range IS NOT NULL")
+    return found.select(point, *[F.col(f"_found._range.{c}").alias(c) for c in columns])

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import ranges
+from panelweave.operators import ordered, ranges
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -69,3 +69,23 @@ def test_no_ranges_and_no_points(spark):
     assert ranges.narrowest_ranges(p.limit(0), "p", r.selectExpr("low", "high + 9 AS high", "name"), "low", "high").collect() == []
     plan = ranges.narrowest_ranges(p, "p", r.selectExpr("low", "high + 9 AS high", "name"), "low", "high")
     assert plan.columns == ["p", "low", "high", "name"]
+
+
+def test_points_are_not_multiplied_by_widths(spark, monkeypatch):
+    sizes = {}
+
+    def counted(df, name, written=ranges.written):
+        out = written(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    for module in (ranges, ordered):
+        monkeypatch.setattr(module, "written", counted)
+    wide = 1_000_000_000_000
+    points = [(i % 700 * wide + i,) for i in range(5000)]
+    rows = [(3 * i * wide, (3 * i + 1 + i % 50) * wide, f"r{i}") for i in range(200)]
+    p, r = spark.createDataFrame(points, "p long"), spark.createDataFrame(rows, "low long, high long, name string")
+    got = ranges.narrowest_ranges(p, "p", r, "low", "high", ["name"]).select("p", "name").collect()
+    assert sorted(map(tuple, got)) == _expected([x for x, in points], rows)
+    # a row per point and segment; a range has some 2 log2 of its segments, however long it is
+    assert max(sizes.values()) <= len(points) + 2 * len(rows)
