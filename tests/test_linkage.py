@@ -226,3 +226,28 @@ def test_sweep_is_monotone(spark):
         single = linkage.link_companies(rows, linkage.company_reference(ref), strict=t, loose=0.06)
         n = single.count()
         assert abs(single.where("status = 'auto_accept'").count() / n - sweep[t]) < 1e-12
+
+
+def test_a_register_is_read_once(spark):
+    """Keys of a register cost regular expressions over all rows; tiers, letters and blocking keys share one pass."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    register = _register(spark)
+    lazy = linkage.company_reference(register.mapInArrow(seen, register.schema))
+    rows = spark.createDataFrame([("Acme Corp",), ("acmee inc",), ("nothing like it",)], "employer string")
+    got = linkage.link_companies(rows, lazy)
+    expected = linkage.link_companies(rows, linkage.build_matcher(register))
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert read.value == register.count()
+
+
+def test_repeated_names_become_keys_once(spark):
+    rows = [(3, "Acme, Inc.", "100"), (1, "Acme, Inc.", "200"), (2, "ACME", "300"), (4, None, "1"), (5, "", "1"), (6, "Beta", None)]
+    register = spark.createDataFrame(rows, "cik long, real_name string, sic string")
+    got = linkage.company_reference(register).select("ref_norm", "cik", "real_name", "sic").collect()
+    assert list(map(tuple, got)) == [("acme", 1, "Acme, Inc.", "200")]
