@@ -251,3 +251,21 @@ def test_repeated_names_become_keys_once(spark):
     register = spark.createDataFrame(rows, "cik long, real_name string, sic string")
     got = linkage.company_reference(register).select("ref_norm", "cik", "real_name", "sic").collect()
     assert list(map(tuple, got)) == [("acme", 1, "Acme, Inc.", "200")]
+
+
+def test_samples_share_blocking_keys(spark, monkeypatch):
+    names = []
+
+    def noted(df, name, write=linkage.written):
+        names.append(name)
+        return write(df, name)
+
+    register = _register(spark)
+    rows = spark.createDataFrame([("acmee inc",), ("north star holdinsg",), ("zzz",)], "employer string")
+    matcher = linkage.build_matcher(register)
+    matches = linkage.link_companies(rows, matcher)
+    alone = [sorted(map(str, validate.review_sample(matches, kind, 5, reference=matcher.reference).collect())) for kind in ("accepted", "rejected")]
+    wide = linkage.matcher_of(matcher.reference, 0.2)
+    monkeypatch.setattr(linkage, "written", noted)
+    shared = [sorted(map(str, validate.review_sample(matches, kind, 5, reference=wide).collect())) for kind in ("accepted", "rejected")]
+    assert shared == alone and "reference-index" not in names
