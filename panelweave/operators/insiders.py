@@ -49,9 +49,14 @@ def officer_filings(submissions: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def person_years(submissions: DataFrame, owners: DataFrame) -> DataFrame:
-    """One row per (owner, issuer, year). Picks without a natural order take the smallest value."""
+    """One row per (owner, issuer, year). Picks without a natural order take the smallest value.
+
+    Filings are dealt by owner and issuer, so years and spells (:func:`person_spells`) need no further shuffle. An owner
+    has few filings a year at a firm, so aggregating before the shuffle would sort every row to save hardly any.
+    """
     return (
         officer_filings(submissions, owners)
+        .repartition("owner_cik", "cik")
         .groupBy("owner_cik", "cik", "year")
         .agg(
             longest(F.col("owner_name_raw")).alias("owner_name_raw"),
@@ -75,30 +80,62 @@ def persons_only(years: DataFrame) -> DataFrame:
     return named.where(F.col("last").isNotNull() & F.col("first").isNotNull())
 
 
-def spells(persons: DataFrame) -> DataFrame:
-    """One row per (owner, issuer): validity in dates and cycles, and descriptive labels.
+def _by_name(years: DataFrame, *more: str) -> DataFrame:
+    """Per (owner, issuer, name) and ``more`` what :func:`_merged` needs of the years with that name.
 
-    Labels without a natural order come from the earliest year; the name from the year with most filings.
+    An owner hardly ever has two names at a firm, so a name is parsed once and not once a year.
     """
-    cycle = even_cycle(F.col("year"))
-    earliest = F.min_by(F.struct("last", "first", "middle_init", "issuer_name"), "year")
-    out = persons.groupBy("owner_cik", "cik").agg(
-        F.max_by("owner_name_raw", F.struct(F.col("n_filings"), -F.col("year"))).alias("owner_name_raw"),
-        earliest.alias("_e"),
+    known = F.col("ticker").isNotNull()
+    return years.groupBy("owner_cik", "cik", "owner_name_raw", *more).agg(
+        F.max(F.struct(F.col("n_filings"), -F.col("year"))).alias("_most"),
+        F.min("year").alias("_from"),
+        F.max("year").alias("_to"),
+        F.min_by("issuer_name", "year").alias("issuer_name"),
         first_by(F.col("ticker"), F.col("year")).alias("ticker"),
+        F.min(F.when(known, F.col("year"))).alias("_ticker_year"),
+        longest(F.col("title_label")).alias("title_label"),
+        F.bool_or("is_officer").alias("is_officer"),
+        F.bool_or("is_director").alias("is_director"),
+        F.min("first_event").alias("first_event"),
+        F.max("last_event").alias("last_event"),
+        F.sum("n_filings").alias("n_filings"),
+        F.bool_or("has_form3").alias("has_form3"),
+    )
+
+
+def _merged(named: DataFrame) -> DataFrame:
+    """Spells of names folded by :func:`_by_name`, with their parts."""
+    earliest = F.min_by(F.struct("last", "first", "middle_init", "issuer_name"), "_from")
+    out = named.groupBy("owner_cik", "cik").agg(
+        F.max_by("owner_name_raw", "_most").alias("owner_name_raw"),
+        earliest.alias("_e"),
+        first_by(F.col("ticker"), F.col("_ticker_year")).alias("ticker"),
         longest(F.col("title_label")).alias("title_label"),
         F.bool_or("is_officer").alias("ever_officer"),
         F.bool_or("is_director").alias("ever_director"),
         F.min("first_event").alias("insider_from"),
         F.max("last_event").alias("insider_to"),
-        F.min(cycle).alias("cycle_from"),
-        F.max(cycle).alias("cycle_to"),
+        F.min(even_cycle(F.col("_from"))).alias("cycle_from"),
+        F.max(even_cycle(F.col("_to"))).alias("cycle_to"),
         F.sum("n_filings").alias("n_filings"),
         F.bool_or("has_form3").alias("has_form3"),
     )
     return out.select("*", "_e.*").drop("_e")
 
 
+def spells(persons: DataFrame) -> DataFrame:
+    """One row per (owner, issuer): validity in dates and cycles, and descriptive labels.
+
+    Labels without a natural order come from the earliest year; the name from the year with most filings.
+    """
+    return _merged(_by_name(persons, "last", "first", "middle_init"))
+
+
+def person_spells(years: DataFrame) -> DataFrame:
+    """:func:`spells` of the persons among person-years, each name of an owner at a firm parsed once."""
+    return _merged(persons_only(_by_name(years)))
+
+
 def role_name(officer: Column, director: Column) -> Column:
     """``officer_director``, ``officer`` or ``director``."""
     return (
@@ -111,20 +148,19 @@ def _owner_buckets(reference: DataFrame) -> DataFrame:
 
     Each initial keeps its smallest owner with attributes, its largest owner id and its counts: enough
     to tell whether exactly one owner fits. A key has at most one bucket per letter, so the array is
-    short. The reference has one row per owner and firm.
+    short. The reference has one row per owner and firm; a name that many owners of a firm share is parsed once.
     """
-    rows = reference.select(
-        padded_id(F.col("cik")).alias("cik_j"),
-        "owner_name_raw",
-        F.struct(
-            "owner_cik", "owner_name_raw", "issuer_name", "title_label", "ever_officer", "ever_director",
-            "cycle_from", "cycle_to",
-        ).alias("owner"),
+    owner = F.struct(
+        "owner_cik", "owner_name_raw", "issuer_name", "title_label", "ever_officer", "ever_director",
+        "cycle_from", "cycle_to",
+    )
+    by_name = reference.groupBy(padded_id(F.col("cik")).alias("cik_j"), "owner_name_raw").agg(
+        F.min(owner).alias("lo"), F.max("owner_cik").alias("hi"), F.count("*").alias("n")
     )
-    named = with_person_parts(rows, "owner_name_raw", surname_first=True, into=("c_last", "c_first", "i_mi"))
+    named = with_person_parts(by_name, "owner_name_raw", surname_first=True, into=("c_last", "c_first", "i_mi"))
     named = named.where(F.col("c_last").isNotNull() & F.col("c_first").isNotNull())
     by_initial = named.groupBy("cik_j", "c_last", "c_first", "i_mi").agg(
-        F.min("owner").alias("lo"), F.max("owner.owner_cik").alias("hi"), F.count("*").alias("n")
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")
     )
     return by_initial.groupBy("cik_j", "c_last", "c_first").agg(
         F.collect_list(F.struct("i_mi", "lo", "hi", "n")).alias("buckets")

@@ -213,6 +213,43 @@ def test_insider_linkage(spark):
     assert got == {10: ("1", "officer_director"), 11: ("1", "officer_director"), 13: ("2", "officer"), 15: ("3", "director")}
 
 
+YEAR = (
+    "owner_cik string, cik string, year int, owner_name_raw string, issuer_name string, ticker string, is_officer boolean, "
+    "is_director boolean, has_form3 boolean, title_label string, first_event date, last_event date, n_filings long"
+)
+
+
+def test_spells_of_years_parse_a_name_once(spark):
+    """Folding the years of a name before it is parsed gives the spells of the parsed years, also when a name changes."""
+    def year(owner, y, name, ticker=None, title=None, n=1):
+        return (owner, "320", y, name, f"FIRM {y}", ticker, y % 2 == 0, y % 3 == 0, False, title, D(y, 1, 2), D(y, 5, 6), n)
+
+    years = spark.createDataFrame([
+        year("1", 2012, "Smith John J"), year("1", 2013, "Smith John J", "B", "CEO", 3), year("1", 2015, "Smith-Hall John", "A", "EVP, Sales", 3),
+        year("1", 2016, "Smith John J", "C", None, 1), year("2", 2012, "Acorn Growth Fund L.P.", "T", "Trustee", 9),
+        year("2", 2014, "Jones Mary", None, "CFO"), year("3", 2014, "Acorn Growth Fund L.P."), year("4", 2014, "Mononym"),
+    ], YEAR)
+    got = insiders.person_spells(years)
+    assert sorted(map(str, got.collect())) == sorted(map(str, insiders.spells(insiders.persons_only(years)).select(*got.columns).collect()))
+    found = {r["owner_cik"]: r for r in got.collect()}
+    assert set(found) == {"1", "2"}
+    first = found["1"]
+    assert (first["owner_name_raw"], first["last"], first["ticker"], first["title_label"]) == ("Smith John J", "SMITH", "B", "EVP, Sales")
+    assert (first["issuer_name"], first["cycle_from"], first["cycle_to"], first["n_filings"]) == ("FIRM 2012", 2012, 2016, 8)
+    assert (found["2"]["n_filings"], found["2"]["insider_from"], found["2"]["ticker"]) == (1, D(2014, 1, 2), None)
+
+
+def test_filings_are_dealt_by_owner_and_issuer_once(spark):
+    head = spark.createDataFrame([("a", "3", "02-Jan-2014", "02-Jan-2014", "320", "Acme", "T")],
+                                 "ACCESSION_NUMBER string, DOCUMENT_TYPE string, FILING_DATE string, PERIOD_OF_REPORT string, ISSUERCIK string, ISSUERNAME string, ISSUERTRADINGSYMBOL string")
+    owner = spark.createDataFrame([("a", "1", "Smith John", "Officer", "CEO")],
+                                  "ACCESSION_NUMBER string, RPTOWNERCIK string, RPTOWNERNAME string, RPTOWNER_RELATIONSHIP string, RPTOWNER_TITLE string")
+    out = insiders.person_spells(insiders.person_years(head, owner))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(owner_cik" in line for line in plan.splitlines()) == 1
+    assert [r["last"] for r in out.collect()] == ["SMITH"]
+
+
 def test_complete_cases_and_outliers(spark):
     df = spark.createDataFrame([("", 1.0), ("M", None), ("F", 2.0)], "g string, x double")
     assert describe.complete_cases(df, ["g", "x"]).count() == 2
