@@ -41,19 +41,20 @@ def enriched_panel(transactions: DataFrame, register: DataFrame, definitions: Da
     """Panel with linked firm, industries, occupation, insider status and local means.
 
     Frames that feed several later steps are written once to the shared folder: the panel (linked,
-    then joined back), the matcher, and the linked panel (read by the local means). Everything else
-    stays lazy.
+    then joined back), the matcher, the matches, and the linked panel (read by the local means). Everything else
+    stays lazy. Industries are looked up per match, a row per distinct employer, and come to the rows with it.
     """
     base = written(panel.person_cycle_panel(transactions, targets), "panel")
     matcher = linkage.build_matcher(register, loose)
-    matches = linkage.link_companies(base, matcher, strict=strict, loose=loose)
-    firms = linkage.attach_matches(base, matches, how="inner", keep=["matched_name", "cik", "sic"])
-    firms = firms.withColumnRenamed("matched_name", "employer_matched").where(F.col("cik").isNotNull())
+    matches = written(linkage.link_companies(base, matcher, strict=strict, loose=loose), "matches")
     lookup = industry.crosswalk(definitions, sic_list)
-    firms = industry.attach_industries(firms, lookup)
+    matches = industry.attach_industries(matches, lookup)
+    industries = [c for c in lookup.columns if c.startswith("ff") and c in PANEL_COLUMNS]
+    firms = linkage.attach_matches(base, matches, how="inner", keep=["matched_name", "cik", "sic", *industries])
+    firms = firms.withColumnRenamed("matched_name", "employer_matched").where(F.col("cik").isNotNull())
     firms = firms.withColumn("ff49_is_tech", tech_flag(F.col("ff49_abbr"))).withColumns(occupation_flags(F.col("occupation")))
     firms = written(firms.withColumn("cik", padded_id(F.col("cik"))), "panel-firms")
-    spell = insiders.spells(insiders.persons_only(insiders.person_years(submissions, owners)))
+    spell = insiders.person_spells(insiders.person_years(submissions, owners))
     linked = insiders.link_insiders(firms, spell).select(
         "cid", "cycle", F.col("cik_j").alias("cik"), "is_sec_insider", "insider_role", "cycle_from", "cycle_to"
     )

@@ -81,6 +81,21 @@ def test_panel_pools_exactly_the_cycle_before(spark):
     assert got[None]["score_dyn"] is None
 
 
+def test_panel_deals_known_persons_once(spark):
+    """Grouping and look-back of a person share one shuffle; only rows without a person are dealt again, by their aggregates."""
+    rows = [(i, cid, c, 100.0, D(2016, 3, i), "I", "15", s, e, 0.1) for i, (cid, c, s, e) in enumerate(
+        [(7, 2014, 1.0, "a"), (7, 2016, 0.0, None), (7, 2016, 1.0, "b"), (None, 2016, 1.0, "x"), (None, 2014, 1.0, "y"), (None, 2016, 0.0, "z")], 1)]
+    out = panel.person_cycle_panel(_txn(spark, rows), [2016], attributes=["employer"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(cid" in line]
+    known, *unknown = dealt
+    assert ", cycle" not in known and len(unknown) == 2
+    assert sorted(map(str, out.select("cid", "employer", "n_transactions_per_cycle", "score_dyn").collect())) == [
+        "Row(cid=7, employer='b', n_transactions_per_cycle=2, score_dyn=0.6666666666666666)",
+        "Row(cid=None, employer='x', n_transactions_per_cycle=2, score_dyn=None)",
+    ]
+
+
 def test_panel_ignores_odd_cycles_between(spark):
     rows = [(i, 7, c, 100.0, D(2014, 3, 1), "I", "15", s, "e", 0.1) for i, (c, s) in enumerate([(2014, 1.0), (2015, 50.0), (2016, 0.0)])]
     scores = panel.pooled_scores(panel.weighted_sums(_txn(spark, rows))).where("cycle = 2016").first()["score_dyn"]
