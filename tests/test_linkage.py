@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from panelweave.functions.jaro import jaro_batch
+from panelweave.functions.jaro import jaro_batch, nearest_of
 from panelweave.operators import linkage, validate
 
 WORDS = "red widget blue anvil economy standard large gizmo plate acme north star zinc quartz holdings".split()
@@ -269,3 +269,57 @@ def test_samples_share_blocking_keys(spark, monkeypatch):
     monkeypatch.setattr(linkage, "written", noted)
     shared = [sorted(map(str, validate.review_sample(matches, kind, 5, reference=wide).collect())) for kind in ("accepted", "rejected")]
     assert shared == alone and "reference-index" not in names
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz 0123", "é漢😀xyz" + "".join(map(chr, range(0x4E00, 0x4E80)))])
+def test_bounds_hide_no_nearest_text(letters):
+    rng = random.Random(4)
+    texts, others = (["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(n)] for n in (60, 150))
+    others += others[:20] + ["####"]
+    texts += [_typos(rng, t, 1) for t in others[:20]]
+    for many in (others, others[:3], []):
+        want = []
+        for t in texts if many else ():
+            apart = 1 - jaro_batch(pd.Series([t] * len(many)), pd.Series(many))
+            want.append((apart.min(), int(apart.argmin())))
+        assert [found[0] for found in nearest_of(texts, many) if found] == want
+
+
+def test_the_closest_key_is_found_at_any_distance(spark):
+    rng = random.Random(6)
+    left, right = _names(rng, 60)
+    queries = sorted({*right, "qqqq jjjj", "漢字", "x", *["".join(rng.choice("abcdnorst") for _ in range(9)) for _ in range(20)]})
+    ref = [(t, 1000 - i) for i, t in enumerate(sorted(set(left)))]
+    reference = spark.createDataFrame(ref, "ref_norm string, cik long").cache()
+    want = {}
+    for q in queries:
+        apart = (1 - jaro_batch(pd.Series([q] * len(ref)), pd.Series([t for t, _ in ref]))).round(12)
+        want[q] = min((float(d), cik, t) for d, (t, cik) in zip(apart, ref, strict=True))
+    rows = spark.createDataFrame([(q,) for q in [*queries, ""]], "query_norm string")
+    matchers = [linkage.matcher_of(reference, d) for d in (0.06, 0.1)]
+    for used, block in ((matchers, 7), (matchers[:1], 2000)):
+        got = linkage.closest(rows, *used, block=block).collect()
+        assert len(got) == len(queries) and max(r["distance"] for r in got) == 1.0
+        assert all((round(r["distance"], 9), r["ref_norm"]) == (round(want[r["query_norm"]][0], 9), want[r["query_norm"]][2]) for r in got)
+    empty = linkage.matcher_of(reference.where("cik < 0"), 0.06)
+    assert linkage.closest(rows, empty).count() == 0
+
+
+def test_all_pairs_are_reviewed_and_the_sample_is_marked(spark):
+    rows = spark.createDataFrame([(t,) for t in ("north star holdinsg", "acmee inc", "retired", "zzz", "self employed", "", "Inc.")], "employer string")
+    matcher = linkage.build_matcher(_register(spark))
+    matches = linkage.link_companies(rows, matcher, strict=0.06)
+    accepted, rejected = ({r["employer_raw"]: r for r in validate.review_sample(matches, k, 2, reference=matcher).collect()} for k in ("accepted", "rejected"))
+    assert {*accepted, *rejected} == {r["employer"] for r in rows.collect()}
+    assert [(t, r["nearest"], r["sampled"]) for t, r in accepted.items()] == [("north star holdinsg", "north star holding", True)]
+    for text, r in rejected.items():
+        assert (r["nearest"] is None) == (text in ("", "Inc."))
+    assert rejected["retired"]["nearest_distance"] > 0.2
+    drawn = spark.createDataFrame([(t,) for t in rejected], "t string").orderBy(F.md5(F.concat(F.lit("123:"), "t")), "t").limit(2)
+    assert {t for t, r in rejected.items() if r["sampled"]} == {r["t"] for r in drawn.collect()}
+    # rows that are repeated or have no string stay, and no more than n of them are marked
+    odd = matches.where("status <> 'auto_accept'").unionByName(matches.where("employer_raw = 'zzz'")).withColumn(
+        "employer_raw", F.when(F.col("employer_raw") != "retired", F.col("employer_raw")))
+    plain = validate.review_sample(odd, "rejected", 3)
+    assert plain.count() == len(rejected) + 1 and plain.where("sampled").count() == 3
+    assert plain.columns == [*matches.columns, "sampled"]
